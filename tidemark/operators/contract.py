@@ -33,10 +33,22 @@ class ContractError(ValueError):
 
 
 def column_presence(df: DataFrame, options: DatasetOptions) -> DataFrame:
-    """One row per contracted column, saying whether the table has it."""
+    """One row per contracted column: whether the table has it, and in how many rows
+    it has a value. The values of all columns are counted in one pass."""
     listed = {"data.target_column": (options.target,), **options.sections()}
-    rows = [(section, name, name in df.columns) for section, names in listed.items() for name in names]
-    return df.sparkSession.createDataFrame(rows, "section string, column string, present boolean")
+    cells = []
+    for section, names in listed.items():
+        for name in names:
+            present = name in df.columns
+            cells.append(
+                F.struct(
+                    F.lit(section).alias("section"),
+                    F.lit(name).alias("column"),
+                    F.lit(present).alias("present"),
+                    (F.count(col(name)) if present else F.count(F.lit(None))).alias("value_count"),
+                )
+            )
+    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
 def check_columns(columns: Sequence[str], options: DatasetOptions) -> None:

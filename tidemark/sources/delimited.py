@@ -9,12 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.columns import DEFAULT_NA_TOKENS, INTEGER_PATTERN, blank_to_null, col, strip, to_number
+from tidemark.functions.columns import (
+    DEFAULT_NA_TOKENS,
+    INTEGER_PATTERN,
+    blank_to_null,
+    col,
+    strip,
+    to_number,
+)
 from tidemark.operators.contract import ContractError, contract_report
 from tidemark.options import DatasetOptions
 
 # --- fixed values -----------------------------------------------------------
-BYTE_ORDER_MARK = "﻿"
+BYTE_ORDER_MARK = "\ufeff"
 TRUE_WORDS = ("True", "TRUE", "true")
 FALSE_WORDS = ("False", "FALSE", "false")
 # ----------------------------------------------------------------------------
