@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
@@ -19,12 +20,20 @@ from tidemark.plans.ordered import positions
 def train(
     df: DataFrame, spec: FeatureSpec, options: ModelOptions = ModelOptions(), label: str = "label"
 ) -> PipelineModel:
-    """Fit features and classifier on the training rows.
+    """Fit features and classifier on the training rows, which are read once and kept.
 
     The penalty is ``1 / (C * rows)`` because the loss is a weighted mean here
     and a weighted sum in the objective that ``C`` belongs to; balanced weights
     add up to the number of rows.
     """
+    rows = df.select(*[col(c) for c in spec.all], col(label)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit(rows, spec, options, label)
+    finally:
+        rows.unpersist()
+
+
+def _fit(df: DataFrame, spec: FeatureSpec, options: ModelOptions, label: str) -> PipelineModel:
     classes = df.groupBy(col(label).alias("y")).count().limit(3).collect()
     total = sum(r["count"] for r in classes)
     if len(classes) != 2:
@@ -38,7 +47,7 @@ def train(
         featuresCol="features", labelCol="__label", weightCol="__weight",
         predictionCol="__prediction", probabilityCol="__probability", rawPredictionCol="__raw",
         regParam=1.0 / (options.C * total), elasticNetParam=0.0, standardization=False,
-        maxIter=options.max_iter, tol=1e-10,
+        maxIter=options.max_iter, tol=options.tol,
     )
     weighted = df.withColumns({"__weight": weight, "__label": col(label).cast("double")})
     return Pipeline(stages=[*feature_stages(fit), classifier]).fit(weighted)

@@ -162,12 +162,12 @@ def feature_stages(fit: FeatureFit, output: str = "features") -> list[Transforme
         index = [f"__idx_{i}" for i, _ in usable]
         hot = [f"__hot_{i}" for i, _ in usable]
         # unseen values take the extra slot, which is the one the encoder drops
-        stages.append(
-            StringIndexerModel.from_arrays_of_labels(
-                [list(f.categories) for _, f in usable], inputCols=raw, outputCols=index,
-                handleInvalid="keep",
+        stages += [
+            StringIndexerModel.from_labels(
+                list(f.categories), inputCol=r, outputCol=x, handleInvalid="keep"
             )
-        )
+            for (_, f), r, x in zip(usable, raw, index)
+        ]
         stages.append(
             OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True, handleInvalid="error")
         )

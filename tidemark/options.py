@@ -82,6 +82,7 @@ class ModelOptions:
     C: float = 1.0
     balanced: bool = True
     max_iter: int = 1000
+    tol: float = 1e-8
     decision_threshold: float = 0.5
 
     def __post_init__(self) -> None:
