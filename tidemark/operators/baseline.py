@@ -342,3 +342,14 @@ def baseline_to_json(baseline: DataFrame) -> DataFrame:
 
 def baseline_from_json(documents: DataFrame) -> DataFrame:
     return documents.select(F.from_json(col("payload"), BASELINE_SCHEMA).alias("b")).select("b.*")
+
+
+def attach_baseline(models: DataFrame, baseline: DataFrame) -> DataFrame:
+    """The rows of ``models``, each with every feature of one shared baseline.
+
+    The baseline has one small row per feature, which enters as literals.
+    """
+    documents = [r["payload"] for r in baseline_to_json(baseline).orderBy("feature_pos").collect()]
+    payload = F.explode(F.array(*[F.lit(d) for d in documents])).alias("payload")
+    parsed = models.select("*", payload).withColumn("b", F.from_json("payload", BASELINE_SCHEMA))
+    return parsed.select(*[col(c) for c in models.columns], "b.*")

@@ -31,7 +31,8 @@ def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def partition_path(root: str, table: str, key: str, value: str | int) -> str:
-    return f"{root.rstrip('/')}/{table}/{key}={value}"
+    parts = [root.rstrip("/"), table, f"{key}={value}"]
+    return "/".join(p for p in parts if p)
 
 
 def safe_run_id(spark: SparkSession, run_id: str) -> str:

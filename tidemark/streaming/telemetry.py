@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.columns import col
 from tidemark.operators.telemetry import RATE_RANGE_SECONDS, RATE_STEP_SECONDS
+from tidemark.sources.store import partition_path
 
 
 def stream_rate(
@@ -35,17 +36,36 @@ def stream_rate(
     )
 
 
-def write_current(rates: DataFrame, path: str, checkpoint: str, mode: str = "complete",
-                  **trigger) -> StreamingQuery:
-    """Keep the current rates in one parquet folder, replaced by every micro-batch."""
+def write_current(rates: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep all rates so far in one parquet folder, replaced by every micro-batch.
+
+    Complete output keeps every range in the state store; for endless streams use
+    ``write_closed``, whose state holds open ranges only.
+    """
 
     def replace(df: DataFrame, _batch: int) -> None:
         df.write.mode("overwrite").parquet(path)
 
     return (
-        rates.writeStream.outputMode(mode)
+        rates.writeStream.outputMode("complete")
         .foreachBatch(replace)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def write_closed(rates: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append ranges once the watermark has closed them, one folder per micro-batch,
+    so a replayed micro-batch replaces its own rows."""
+
+    def append(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(partition_path(path, "", "micro_batch", batch))
+
+    return (
+        rates.writeStream.outputMode("append")
+        .foreachBatch(append)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
