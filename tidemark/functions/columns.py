@@ -18,6 +18,11 @@ ALL_VALUES = "all_values"
 # Numbers as a lenient tabular parser reads them: sign, decimals, exponent, infinity.
 NUMBER_PATTERN = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
 INTEGER_PATTERN = r"^[+-]?\d+$"
+# Every character that counts as white space in Unicode text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 # Tokens read as missing in delimited files, besides those a contract adds.
 DEFAULT_NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -38,7 +43,7 @@ def col(c: str | Column) -> Column:
 
 def strip(c: str | Column) -> Column:
     """Remove all leading and trailing white space, not only spaces."""
-    return F.regexp_replace(col(c).cast("string"), r"^\s+|\s+$", "")
+    return F.btrim(col(c).cast("string"), F.lit(WHITE_SPACE))
 
 
 def blank_to_null(c: str | Column, tokens: Sequence[str]) -> Column:
@@ -54,12 +59,8 @@ def finite_or_null(c: str | Column) -> Column:
 def to_number(c: str | Column) -> Column:
     """Lenient number: anything that is not a whole numeric text becomes null."""
     text = strip(c)
-    infinite = F.lower(F.regexp_replace(text, r"^[+-]", "")).isin("inf", "infinity")
-    signed = F.when(text.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    return F.when(
-        text.rlike(NUMBER_PATTERN),
-        F.when(infinite, signed).otherwise(text.try_cast("double")),
-    )
+    # the cast alone would also take type suffixes such as 12d
+    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
 
 
 def normalize_category(c: str | Column) -> Column:

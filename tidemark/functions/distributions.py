@@ -11,20 +11,23 @@ from pyspark.sql import functions as F
 # --- fixed values -----------------------------------------------------------
 PROBABILITY_FLOOR = 1e-6
 # ----------------------------------------------------------------------------
+MAX_UNROLL = 32
 
 
-def numeric_bucket(value: Column, cuts: Column, max_cuts: int) -> Column:
+def numeric_bucket(value: Column, cuts: Column, unroll: int | None = None) -> Column:
     """0 for missing, else 1 + number of cut points below the value.
 
     Buckets are closed on the right: a value equal to a cut stays below it.
-    ``max_cuts`` bounds the array length, so the count unrolls into plain
-    comparisons instead of an interpreted array function.
+    With ``unroll`` (an upper bound of the array length) the count becomes plain
+    compiled comparisons. Their code grows with the bound, so this pays where
+    the expression occurs once, as on (feature, value) rows, not once per column.
     """
-    above = [
-        F.when(value > F.get(cuts, F.lit(i)), F.lit(1)).otherwise(F.lit(0))
-        for i in range(max_cuts)
-    ]
-    return F.when(value.isNull(), F.lit(0)).otherwise(reduce(lambda a, b: a + b, above, F.lit(1)))
+    if unroll is not None and unroll <= MAX_UNROLL:
+        terms = [F.when(value > F.get(cuts, F.lit(i)), 1).otherwise(0) for i in range(unroll)]
+        below = reduce(lambda a, b: a + b, terms, F.lit(0))
+    else:
+        below = F.size(F.filter(cuts, lambda c: value > c))
+    return F.when(value.isNull(), F.lit(0)).otherwise(F.lit(1) + below)
 
 
 def category_bucket(value: Column, tracked: Column, missing: str) -> Column:

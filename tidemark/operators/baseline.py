@@ -21,9 +21,11 @@ from tidemark.functions.columns import (
 )
 from tidemark.functions.distributions import numeric_bucket
 from tidemark.options import DriftOptions, FeatureSpec
-from tidemark.plans.quantiles import exact_quantiles
+from tidemark.plans.local import small_table
+from tidemark.plans.quantiles import exact_quantiles, quantiles_of_counts
 
 SALTS = 64
+EMPTY = "cannot build a drift baseline from an empty table"
 
 METADATA_SCHEMA = T.StructType(
     [
@@ -69,9 +71,11 @@ def category_value(df: DataFrame, name: str) -> Column:
 
 def numeric_profile(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Count, missing rate, mean, population std, min and max of every feature, in one pass."""
+    # values are read in a projection of their own, so the aggregates stay small code
+    read = df.select(*[numeric_value(df, name).alias(f"v{i}") for i, name in enumerate(features)])
     parts = []
-    for i, name in enumerate(features):
-        value = numeric_value(df, name)
+    for i in range(len(features)):
+        value = F.col(f"v{i}")
         parts.append(
             F.struct(
                 F.count(F.lit(1)).alias("sample_size"),
@@ -98,7 +102,28 @@ def numeric_profile(df: DataFrame, features: Sequence[str]) -> DataFrame:
         )
         for i, name in enumerate(features)
     ]
-    return df.agg(*parts).select(F.inline(F.array(*cells)))
+    return read.agg(*parts).select(F.inline(F.array(*cells)))
+
+
+def _few_values(df: DataFrame, features: Sequence[str], limit: int) -> dict[str, dict[float, int]] | None:
+    """Value counts of columns with few distinct values; None if they are not so few."""
+    cells = [
+        F.struct(F.lit(n).alias("feature"), numeric_value(df, n).alias("value")) for n in features
+    ]
+    counted = (
+        df.select(F.inline(F.array(*cells)))
+        .filter(F.col("value").isNotNull())
+        .groupBy("feature", "value")
+        .count()
+        .limit(limit * len(features) + 1)
+        .collect()
+    )
+    if len(counted) > limit * len(features):
+        return None
+    found: dict[str, dict[float, int]] = {n: {} for n in features}
+    for r in counted:
+        found[r["feature"]][r["value"] + 0.0] = r["count"]
+    return found
 
 
 def cut_points(
@@ -111,34 +136,39 @@ def cut_points(
 ) -> dict[str, list[float]]:
     """Inner quantile edges per feature, ready for right-closed buckets.
 
-    The number of bins is the smaller of ``bin_count`` and the distinct values;
-    distinct values are counted exactly only where the estimate says they are few.
+    The number of bins is the smaller of ``bin_count`` and the distinct values.
+    Columns that the profile says have few values are counted value by value,
+    which gives both numbers; the others have more values than bins.
     """
     if profile is None:
         profile = {r["feature_name"]: r.asDict() for r in numeric_profile(df, features).collect()}
-    values = {n: numeric_value(df, n) for n in features if profile[n]["value_count"] > 0}
-    bins = {n: bin_count for n in values}
-    few = [n for n in values if profile[n]["distinct_estimate"] <= 4 * bin_count + 64]
+    filled = [n for n in features if profile[n]["value_count"] > 0]
+    edges: dict[str, list[float]] = {}
+    limit = 4 * bin_count + 64
+    few = [n for n in filled if profile[n]["distinct_estimate"] <= limit]
     if few:
-        row = df.agg(*[F.count_distinct(values[n]).alias(f"d{i}") for i, n in enumerate(few)]).first()
-        for i, n in enumerate(few):
-            bins[n] = 0 if row[f"d{i}"] <= 1 else min(bin_count, row[f"d{i}"])
-    shares = {n: [Fraction(i, b) for i in range(b + 1)] for n, b in bins.items() if b > 0}
-    if method == "exact":
-        counts = {n: profile[n]["value_count"] for n in shares}
-        edges = exact_quantiles(df, values, shares, counts, **quantile_settings)
-    elif method == "approx":
-        edges = {}
-        if shares:
-            row = df.agg(
-                *[
-                    F.percentile_approx(values[n], [float(s) for s in shares[n]], 10_000).alias(f"q{i}")
-                    for i, n in enumerate(shares)
-                ]
-            ).first()
-            edges = {n: [float(v) for v in row[f"q{i}"]] for i, n in enumerate(shares)}
-    else:
+        for n, counts in (_few_values(df, few, 2 * limit) or {}).items():
+            if len(counts) > 1:
+                bins = min(bin_count, len(counts))
+                edges[n] = quantiles_of_counts(counts, [Fraction(i, bins) for i in range(bins + 1)])
+            else:
+                edges[n] = []
+    many = [n for n in filled if n not in edges]
+    values = {n: numeric_value(df, n) for n in many}
+    shares = [Fraction(i, bin_count) for i in range(bin_count + 1)]
+    if method not in ("exact", "approx"):
         raise ValueError(f"unknown quantile method '{method}'")
+    if many and method == "exact":
+        counts = {n: profile[n]["value_count"] for n in many}
+        edges |= exact_quantiles(df, values, dict.fromkeys(many, shares), counts, **quantile_settings)
+    elif many:
+        row = df.agg(
+            *[
+                F.percentile_approx(values[n], [float(s) for s in shares], 10_000).alias(f"q{i}")
+                for i, n in enumerate(many)
+            ]
+        ).first()
+        edges |= {n: [float(v) for v in row[f"q{i}"]] for i, n in enumerate(many)}
     # duplicate edges collapse first, only then the outer two are cut off
     return {n: sorted(set(edges.get(n, [])))[1:-1] for n in features}
 
@@ -178,13 +208,16 @@ def numeric_histogram(
     cells = [
         F.struct(
             F.lit(positions[n]).alias("feature_pos"),
-            numeric_bucket(numeric_value(df, n), array_of(c, "double"), len(c)).alias("bucket"),
+            F.lit(i).alias("i"),
+            numeric_value(df, n).alias("value"),
         )
-        for n, c in cuts.items()
+        for i, n in enumerate(cuts)
     ]
+    given = F.get(F.array(*[array_of(c, "double") for c in cuts.values()]), F.col("i"))
+    longest = max(len(c) for c in cuts.values())
     return (
         df.select(F.inline(F.array(*cells)))
-        .groupBy("feature_pos", "bucket")
+        .groupBy("feature_pos", numeric_bucket(F.col("value"), given, longest).alias("bucket"))
         .agg(F.count(F.lit(1)).alias("row_count"))
     )
 
@@ -248,14 +281,17 @@ def category_profile(counts: DataFrame, top_k: int) -> DataFrame:
 def _numeric_baseline(df: DataFrame, features: Sequence[str], options: DriftOptions,
                       method: str) -> DataFrame:
     profile = {r["feature_name"]: r.asDict() for r in numeric_profile(df, features).collect()}
+    if profile[features[0]]["sample_size"] == 0:
+        raise ValueError(EMPTY)
     cuts = cut_points(df, features, options.numeric_bin_count, profile, method)
     spark = df.sparkSession
     # the two local tables below hold one row per feature and per bucket
-    grid = spark.createDataFrame(
-        [(i, b) for i, n in enumerate(features) for b in range(len(cuts[n]) + 2)],
+    grid = small_table(
+        spark, [(i, b) for i, n in enumerate(features) for b in range(len(cuts[n]) + 2)],
         "feature_pos int, bucket int",
     )
-    stats = spark.createDataFrame(
+    stats = small_table(
+        spark,
         [
             (
                 i, n, "numeric", profile[n]["sample_size"], interval_labels(cuts[n]), cuts[n], [],
@@ -323,9 +359,9 @@ def build_baseline(
     """Baseline of all features: numeric ones first, each with its buckets and shares."""
     if not spec.all:
         raise ValueError("a baseline needs at least one feature")
-    if df.isEmpty():
-        raise ValueError("cannot build a drift baseline from an empty table")
     parts = []
+    if not spec.numeric and df.isEmpty():
+        raise ValueError(EMPTY)
     if spec.numeric:
         parts.append(_numeric_baseline(df, spec.numeric, options, method))
     if spec.categorical:

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.columns import col, strip, to_number
+from tidemark.functions.columns import NUMBER_PATTERN, col, strip
 from tidemark.options import DatasetOptions
+from tidemark.plans.local import small_table
 
 # A report keeps its class counts in one row; wider targets are read as a table.
 MAX_REPORT_CLASSES = 10_000
@@ -95,7 +96,7 @@ def contract_report(df: DataFrame, options: DatasetOptions) -> DataFrame:
         sorted(df.columns),
         {c["label"]: c["row_count"] for c in classes},
     )
-    return df.sparkSession.createDataFrame([row], REPORT_SCHEMA)
+    return small_table(df.sparkSession, [row], REPORT_SCHEMA)
 
 
 @dataclass(frozen=True)
@@ -108,27 +109,32 @@ class RecordRule:
     minimum: float | None = None
     optional: bool = False
 
-    def accepts(self) -> Column:
-        raw = col(self.field)
-        text = strip(raw)
-        absent = raw.isNull() | (text == "")
+    def accepts(self, text: Column, number: Column) -> Column:
+        """Whether the trimmed text and its numeric reading satisfy the rule."""
         if self.kind == "text":
             ok = text != ""
         elif self.kind == "choice":
             ok = text.isin(*self.choices)
         elif self.kind in ("integer", "number"):
-            value = to_number(raw)
-            ok = value.isNotNull()
+            ok = number.isNotNull()
             if self.kind == "integer":
-                ok = ok & (value == F.floor(value))
+                ok = ok & (number == F.floor(number))
             if self.minimum is not None:
-                ok = ok & (value >= F.lit(float(self.minimum)))
+                ok = ok & (number >= F.lit(float(self.minimum)))
         else:
             raise ValueError(f"unknown rule kind '{self.kind}'")
+        absent = text.isNull() | (text == "")
         ok = F.coalesce(ok, F.lit(False))
         return (absent | ok) if self.optional else (~absent & ok)
 
 
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    if not columns:
+        return df
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def check_records(
     df: DataFrame, rules: Sequence[RecordRule], payload: str | None = None
 ) -> DataFrame:
@@ -136,14 +142,32 @@ def check_records(
 
     ``payload`` names a JSON object column whose unknown fields are refused too.
     """
-    broken = [F.when(~r.accepts(), F.lit(f"{r.field}:{r.kind}")) for r in rules]
+    texts = {f"__text{i}": strip(r.field) for i, r in enumerate(rules)}
+    numbers = {
+        f"__number{i}": F.when(F.col(f"__text{i}").rlike(NUMBER_PATTERN),
+                               F.col(f"__text{i}").try_cast("double"))
+        for i, r in enumerate(rules)
+        if r.kind in ("integer", "number")
+    }
+    # generated columns are computed once; filters on them do not repeat the parsing
+    read = _once(_once(df, texts), numbers)
+    none = F.lit(None).cast("double")
+    broken = [
+        F.when(
+            ~r.accepts(
+                F.col(f"__text{i}"), F.col(f"__number{i}") if f"__number{i}" in numbers else none
+            ),
+            F.lit(f"{r.field}:{r.kind}"),
+        )
+        for i, r in enumerate(rules)
+    ]
     errors = F.array_compact(F.array(*broken))
     if payload is not None:
         known = F.array(*[F.lit(r.field) for r in rules])
         unknown = F.array_sort(F.array_except(F.json_object_keys(col(payload)), known))
         extra = F.transform(unknown, lambda name: F.concat(name, F.lit(":extra")))
         errors = F.concat(errors, F.coalesce(extra, F.array().cast("array<string>")))
-    return df.withColumn("errors", errors)
+    return _once(read, {"errors": errors}).drop(*texts, *numbers)
 
 
 def valid_records(checked: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from tidemark.functions.distributions import (
 )
 from tidemark.operators.baseline import array_of, category_value, numeric_value
 from tidemark.options import DriftOptions
+from tidemark.plans.local import small_table
 
 
 def observed_counts(observed: DataFrame, baseline: Sequence[Row]) -> DataFrame:
@@ -25,23 +26,35 @@ def observed_counts(observed: DataFrame, baseline: Sequence[Row]) -> DataFrame:
     The bucket definitions enter as literals; features the table lacks count as
     missing throughout.
     """
-    cells = []
-    for b in baseline:
-        if b["feature_type"] == "numeric":
-            cuts = b["cut_points"]
-            bucket = numeric_bucket(
-                numeric_value(observed, b["feature_name"]), array_of(cuts, "double"), len(cuts)
-            )
-        else:
-            bucket = category_bucket(
-                category_value(observed, b["feature_name"]),
-                array_of(b["tracked_categories"], "string"),
-                MISSING,
-            )
-        cells.append(F.struct(F.lit(b["feature_pos"]).alias("feature_pos"), bucket.alias("bucket")))
+    cells = [
+        F.struct(
+            F.lit(b["feature_pos"]).alias("feature_pos"),
+            F.lit(i).alias("i"),
+            F.lit(b["feature_type"] == "numeric").alias("is_numeric"),
+            (
+                numeric_value(observed, b["feature_name"])
+                if b["feature_type"] == "numeric"
+                else F.lit(None).cast("double")
+            ).alias("number"),
+            (
+                category_value(observed, b["feature_name"])
+                if b["feature_type"] != "numeric"
+                else F.lit(None).cast("string")
+            ).alias("text"),
+        )
+        for i, b in enumerate(baseline)
+    ]
+    cuts = F.get(F.array(*[array_of(b["cut_points"] or [], "double") for b in baseline]), F.col("i"))
+    tracked = F.get(
+        F.array(*[array_of(b["tracked_categories"] or [], "string") for b in baseline]), F.col("i")
+    )
+    longest = max(len(b["cut_points"] or []) for b in baseline)
+    bucket = F.when(
+        F.col("is_numeric"), numeric_bucket(F.col("number"), cuts, longest)
+    ).otherwise(category_bucket(F.col("text"), tracked, MISSING))
     return (
         observed.select(F.inline(F.array(*cells)))
-        .groupBy("feature_pos", "bucket")
+        .groupBy("feature_pos", bucket.alias("bucket"))
         .agg(F.count(F.lit(1)).alias("row_count"))
     )
 
@@ -51,7 +64,8 @@ def _scored(observed: DataFrame, baseline: DataFrame, options: DriftOptions) ->
     rows = baseline.orderBy("feature_pos").collect()  # one small row per feature
     if not rows:
         raise ValueError("the baseline has no features")
-    grid = observed.sparkSession.createDataFrame(
+    grid = small_table(
+        observed.sparkSession,
         [
             (r["feature_pos"], r["feature_name"], r["feature_type"], i, label, share)
             for r in rows

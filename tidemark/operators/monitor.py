@@ -81,18 +81,14 @@ def _bucket_columns(baselines: DataFrame, spec: FeatureSpec) -> DataFrame:
     )
 
 
-def _bucketed(
-    observations: DataFrame, baselines: DataFrame, spec: FeatureSpec, max_cuts: int
-) -> DataFrame:
+def _bucketed(observations: DataFrame, baselines: DataFrame, spec: FeatureSpec) -> DataFrame:
     """Observations with one array of (feature, bucket); monitors without baseline drop out."""
     joined = lookup_join(observations, _bucket_columns(baselines, spec), [KEY], spread_by=[SEQ])
     cells = []
     for i, name in enumerate(spec.all):
         given = F.col(f"__def{i}")
         if name in spec.numeric:
-            bucket = numeric_bucket(
-                numeric_value(observations, name), given["cut_points"], max_cuts
-            )
+            bucket = numeric_bucket(numeric_value(observations, name), given["cut_points"])
         else:
             bucket = category_bucket(
                 category_value(observations, name), given["tracked_categories"], MISSING
@@ -128,14 +124,12 @@ def evaluate_history(
             *[col(n) for n in rows.columns]
         )
         rows = rows.unionByName(old)
-    shape = baselines.agg(
-        F.max(F.size("cut_points")).alias("cuts"), F.max(F.size("expected_distribution")).alias("buckets")
-    ).first()
-    max_cuts, buckets = shape["cuts"] or 0, shape["buckets"] or 1
+    widest = baselines.agg(F.max(F.size("expected_distribution")).alias("buckets")).first()
+    buckets = widest["buckets"] or 1
 
     seq_edges = block_edges(rows, SEQ, rows_per_block)
     batch_edges = block_edges(rows, BATCH, rows_per_block) if seq_edges else []
-    placed = positions(_bucketed(rows, baselines, spec, max_cuts), [KEY], SEQ, "pos", edges=seq_edges)
+    placed = positions(_bucketed(rows, baselines, spec), [KEY], SEQ, "pos", edges=seq_edges)
 
     # the row at pos + N pushes out the row at pos
     slim = lookup_join(rows.select(KEY, BATCH, SEQ), baselines.select(KEY).distinct(), [KEY],

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col
 from tidemark.options import SplitOptions
+from tidemark.plans.local import small_table
 from tidemark.plans.ordered import running
 
 MAX_CLASSES = 10_000
@@ -94,8 +95,8 @@ def assign_splits(
     if digits:
         cells = hashed.groupBy(col(label).alias("label"), "__cell").agg(F.count(F.lit(1)).alias("n"))
         upto = running(cells, ["label"], "__cell", {"upto": ("sum", "n")})
-        limits = spark.createDataFrame(
-            [(c, q) for c, (t, v) in quotas.items() for q in {t, t + v}], f"label {kind}, quota bigint"
+        limits = small_table(
+            spark, [(c, q) for c, (t, v) in quotas.items() for q in {t, t + v}], f"label {kind}, quota bigint"
         )
         # the quota table has two rows per class
         hit = upto.join(F.broadcast(limits), "label").filter(
@@ -109,8 +110,8 @@ def assign_splits(
         first = edges[c].get(test, (-1, 0)) if digits else (0, 0)
         second = edges[c].get(test + validation, (-1, 0)) if digits else (0, 0)
         rows.append((c, test, validation, first[0], first[1], second[0], second[1]))
-    plan = spark.createDataFrame(
-        rows,
+    plan = small_table(
+        spark, rows,
         f"__label {kind}, __test bigint, __val bigint, __c1 bigint, __b1 bigint, __c2 bigint, "
         "__b2 bigint",
     )

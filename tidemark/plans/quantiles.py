@@ -11,24 +11,57 @@ wanted intervals by value. Ranks are integers, so no rounding enters.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import bisect
+import itertools
+import math
+import sys
+from collections.abc import Callable, Mapping, Sequence
 from fractions import Fraction
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import col
+from tidemark.plans.local import small_table
 
-COLLECT_LIMIT = 500_000
+COLLECT_LIMIT = 1_000_000
 ACCURACY = 20_000
+LARGEST = sys.float_info.max
 
 
-def _region(value: Column, points: Sequence[float]) -> Column:
-    """Even numbers are open intervals between points, odd numbers the points."""
-    place = F.lit(0)
-    for p in points:
-        place = place + (value > F.lit(p)).cast("int") + (value >= F.lit(p)).cast("int")
-    return place
+def _cells(
+    df: DataFrame, columns: Mapping[str, Column], points: Mapping[str, list[float]]
+) -> DataFrame:
+    """Value ``v<i>`` and region ``r<i>`` of every column.
+
+    Even regions are the open intervals between points, odd ones the points.
+    The place among the points is found by binary search.
+    """
+    # adding 0.0 makes both zeros one value; infinities become the largest numbers
+    values = df.select(
+        *[
+            F.greatest(F.least(v.cast("double"), F.lit(LARGEST)), F.lit(-LARGEST)).alias(f"w{i}")
+            for i, v in enumerate(columns.values())
+        ]
+    ).select(*[(F.col(f"w{i}") + F.lit(0.0)).alias(f"v{i}") for i in range(len(columns))])
+    cut = {i: points[n] for i, n in enumerate(columns) if points[n]}
+    if cut:
+        values = Bucketizer(
+            splitsArray=[[float("-inf"), *p, float("inf")] for p in cut.values()],
+            inputCols=[f"v{i}" for i in cut],
+            outputCols=[f"b{i}" for i in cut],
+            handleInvalid="keep",
+        ).transform(values)
+    regions = []
+    for i in range(len(columns)):
+        region = F.lit(0)
+        if i in cut:
+            reached = F.col(f"b{i}").cast("int")
+            point = F.get(F.array(*[F.lit(p) for p in cut[i]]), reached - 1)
+            on_point = F.coalesce(point == F.col(f"v{i}"), F.lit(False))
+            region = F.lit(2) * reached - on_point.cast("int")
+        regions.append(region.alias(f"r{i}"))
+    return values.select(*[F.col(f"v{i}") for i in range(len(columns))], *regions)
 
 
 def _wanted_ranks(count: int, shares: Sequence[Fraction]) -> set[int]:
@@ -51,16 +84,20 @@ def _locate(counts: Mapping[int, int], ranks: set[int]) -> dict[int, list[tuple[
     return found
 
 
-def _long(df: DataFrame, columns: Mapping[str, Column], points: Mapping[str, list[float]]) -> DataFrame:
+def _long(
+    df: DataFrame, columns: Mapping[str, Column], points: Mapping[str, list[float]]
+) -> DataFrame:
     cells = [
         F.struct(
-            F.lit(name).alias("feature"),
-            _region(value, points[name]).alias("region"),
-            value.alias("value"),
+            F.lit(name).alias("feature"), F.col(f"r{i}").alias("region"), F.col(f"v{i}").alias("value")
         )
-        for name, value in columns.items()
+        for i, name in enumerate(columns)
     ]
-    return df.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
+    return (
+        _cells(df, columns, points)
+        .select(F.inline(F.array(*cells)))
+        .filter(F.col("value").isNotNull())
+    )
 
 
 def _narrow(
@@ -70,18 +107,18 @@ def _narrow(
     wide: Mapping[tuple[str, int], tuple[int, list[int]]],
 ) -> dict[str, list[float]]:
     """New cut points from approximate quantiles around the wanted ranks."""
+    place = {n: i for i, n in enumerate(columns)}
     asks = []
-    for i, ((name, region), (count, ranks)) in enumerate(wide.items()):
-        margin = 2.0 / ACCURACY
-        shares = sorted(
-            {min(1.0, max(0.0, r / count + side)) for r in ranks for side in (-margin, margin)}
-        )
-        inside = F.when(_region(columns[name], points[name]) == region, columns[name])
-        asks.append(F.percentile_approx(inside, shares, ACCURACY).alias(f"q{i}"))
-    row = df.agg(*asks).first()
+    for j, ((name, region), (count, ranks)) in enumerate(wide.items()):
+        i, margin = place[name], 2.0 / ACCURACY
+        sides = {s for r in ranks for s in (r / count - margin, r / count + margin)}
+        shares = sorted({min(1.0, max(0.0, s)) for s in sides})
+        inside = F.when(F.col(f"r{i}") == region, F.col(f"v{i}"))
+        asks.append(F.percentile_approx(inside, shares, ACCURACY).alias(f"q{j}"))
+    row = _cells(df, columns, points).agg(*asks).first()
     fresh: dict[str, list[float]] = {}
-    for i, (name, _) in enumerate(wide):
-        fresh.setdefault(name, []).extend(float(v) for v in row[f"q{i}"])
+    for j, (name, _) in enumerate(wide):
+        fresh.setdefault(name, []).extend(float(v) for v in row[f"q{j}"])
     return fresh
 
 
@@ -129,16 +166,27 @@ def exact_quantiles(
     if targets:
         values.update(_pick(df, columns, points, targets))
 
-    def interpolate(name: str, share: Fraction) -> float:
-        span = (counts[name] - 1) * share.numerator
-        low, rest = divmod(span, share.denominator)
-        a = values[name, low]
-        if rest == 0:
-            return a
-        b = values[name, min(low + 1, counts[name] - 1)]
-        return a if a == b else a + (b - a) * (rest / share.denominator)
+    values = {k: math.copysign(math.inf, v) if abs(v) == LARGEST else v for k, v in values.items()}
+
+    return {
+        n: [_interpolate(counts[n], s, lambda rank: values[n, rank]) for s in shares[n]] for n in names
+    }
+
+
+def _interpolate(count: int, share: Fraction, value_at: Callable[[int], float]) -> float:
+    low, rest = divmod((count - 1) * share.numerator, share.denominator)
+    a = value_at(low)
+    if rest == 0:
+        return a
+    b = value_at(min(low + 1, count - 1))
+    return a if a == b else a + (b - a) * (rest / share.denominator)
+
 
-    return {n: [interpolate(n, s) for s in shares[n]] for n in names}
+def quantiles_of_counts(counts: Mapping[float, int], shares: Sequence[Fraction]) -> list[float]:
+    """The same quantiles from the counts of a few distinct values."""
+    values = sorted(counts)
+    upto = list(itertools.accumulate(counts[v] for v in values))
+    return [_interpolate(upto[-1], s, lambda rank: values[bisect.bisect_right(upto, rank)]) for s in shares]
 
 
 def _pick(
@@ -155,8 +203,8 @@ def _pick(
     grouped = _long(df, columns, points).filter(keep).groupBy("feature", "region", "value").count()
     order = Window.partitionBy("feature", "region").orderBy("value")
     upto = grouped.withColumn("upto", F.sum("count").over(order))
-    asked = df.sparkSession.createDataFrame(
-        targets, "t_feature string, t_region int, rank bigint, local bigint"
+    asked = small_table(
+        df.sparkSession, targets, "t_feature string, t_region int, rank bigint, local bigint"
     )
     hit = (
         (F.col("feature") == F.col("t_feature"))

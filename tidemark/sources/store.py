@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import sanitize_key
+from tidemark.plans.local import small_table
 
 # --- fixed values -----------------------------------------------------------
 STAGES = ("ingestion", "validation", "preprocessing", "training", "evaluation", "registration")
@@ -105,7 +106,7 @@ class RunStore:
         self.write("reports", run_id, report)
         self.write("split_sizes", run_id, split_sizes)
         flat = [(k, str(v)) for k, v in _flat(settings)]
-        self.write("settings", run_id, self.spark.createDataFrame(flat, "key string, value string"))
+        self.write("settings", run_id, small_table(self.spark, flat, "key string, value string"))
         features = baseline.agg(
             F.max("sample_size").alias("sample_size"),
             F.count(F.lit(1)).alias("feature_count"),

@@ -15,6 +15,7 @@ from tidemark.operators.baseline import (
 )
 from tidemark.operators.drift import drift_evaluation, drift_features
 from tidemark.options import DriftOptions, FeatureSpec
+from tidemark.plans.local import small_table
 from workload import query, table
 
 OPTIONS = DriftOptions()
@@ -84,7 +85,7 @@ def cut_points_query(spark, sf):
     cuts = cut_points(line, LINE_NUMERICS, 10)
     # at most nine numbers per feature
     rows = [(n, i + 1, float(c)) for n, cs in cuts.items() for i, c in enumerate(cs)]
-    found = spark.createDataFrame(rows, "feature_name string, pos bigint, cut double")
+    found = small_table(spark, rows, "feature_name string, pos bigint, cut double")
     return found.withColumn("cut", F.round("cut", 6))
 
 

@@ -21,6 +21,7 @@ from tidemark.operators.transforms import (
     value_counts,
 )
 from tidemark.options import FeatureSpec, ModelOptions, SplitOptions
+from tidemark.plans.local import small_table
 from workload import query, table
 
 SPLIT = SplitOptions(test_size=0.2, validation_size=0.1, seed=42)
@@ -122,7 +123,7 @@ def scaling_statistics(spark, sf):
     fits = fit_numeric(_accounts(spark, sf), ["c_acctbal", "c_nationkey"])
     # one row per feature
     rows = [(f.name, f.median, f.mean, f.std) for f in fits]
-    found = spark.createDataFrame(rows, "feature string, median double, mean double, std double")
+    found = small_table(spark, rows, "feature string, median double, mean double, std double")
     return found.withColumns({c: F.round(c, 6) for c in ("median", "mean", "std")})
 
 
