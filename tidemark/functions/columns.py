@@ -6,6 +6,7 @@ whole-stage code generation.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -41,6 +42,11 @@ def col(c: str | Column) -> Column:
     return F.col("`" + c.replace("`", "``") + "`") if isinstance(c, str) else c
 
 
+def constant(values: Sequence, kind: str) -> Column:
+    """Array constant, written as one document; the optimizer folds it into a literal."""
+    return F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")
+
+
 def strip(c: str | Column) -> Column:
     """Remove all leading and trailing white space, not only spaces."""
     return F.btrim(col(c).cast("string"), F.lit(WHITE_SPACE))

@@ -15,6 +15,7 @@ from tidemark.functions.columns import (
     MISSING,
     OTHER,
     col,
+    constant,
     finite_or_null,
     normalize_category,
     to_number,
@@ -192,10 +193,6 @@ def interval_labels(cuts: Sequence[float]) -> list[str]:
     return [MISSING, *[f"({a}, {b}]" for a, b in zip(names, names[1:])]]
 
 
-def array_of(values: Sequence, kind: str) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
-
-
 def numeric_histogram(
     df: DataFrame, cuts: Mapping[str, Sequence[float]], positions: Mapping[str, int] | None = None
 ) -> DataFrame:
@@ -213,7 +210,7 @@ def numeric_histogram(
         )
         for i, n in enumerate(cuts)
     ]
-    given = F.get(F.array(*[array_of(c, "double") for c in cuts.values()]), F.col("i"))
+    given = F.get(constant([list(c) for c in cuts.values()], "array<double>"), F.col("i"))
     longest = max(len(c) for c in cuts.values())
     return (
         df.select(F.inline(F.array(*cells)))
@@ -284,14 +281,9 @@ def _numeric_baseline(df: DataFrame, features: Sequence[str], options: DriftOpti
     if profile[features[0]]["sample_size"] == 0:
         raise ValueError(EMPTY)
     cuts = cut_points(df, features, options.numeric_bin_count, profile, method)
-    spark = df.sparkSession
-    # the two local tables below hold one row per feature and per bucket
-    grid = small_table(
-        spark, [(i, b) for i, n in enumerate(features) for b in range(len(cuts[n]) + 2)],
-        "feature_pos int, bucket int",
-    )
+    # one row per feature
     stats = small_table(
-        spark,
+        df.sparkSession,
         [
             (
                 i, n, "numeric", profile[n]["sample_size"], interval_labels(cuts[n]), cuts[n], [],
@@ -304,17 +296,18 @@ def _numeric_baseline(df: DataFrame, features: Sequence[str], options: DriftOpti
         ],
         T.StructType([f for f in BASELINE_SCHEMA.fields if f.name != "expected_distribution"]),
     )
-    counted = grid.join(numeric_histogram(df, cuts), ["feature_pos", "bucket"], "left")
-    shares = counted.groupBy("feature_pos").agg(
-        F.array_sort(
-            F.collect_list(F.struct("bucket", F.coalesce("row_count", F.lit(0)).alias("n")))
-        ).alias("cells")
+    counted = numeric_histogram(df, cuts).groupBy("feature_pos").agg(
+        F.map_from_entries(F.collect_list(F.struct("bucket", "row_count"))).alias("counts")
+    )
+    shares = F.transform(
+        F.sequence(F.lit(0), F.size("bucket_labels") - 1),
+        lambda bucket: F.coalesce(F.col("counts")[bucket], F.lit(0)) / F.col("sample_size"),
+    )
+    return (
+        counted.join(F.broadcast(stats), "feature_pos")
+        .withColumn("expected_distribution", shares)
+        .select(*BASELINE_SCHEMA.names)
     )
-    joined = stats.join(shares, "feature_pos")
-    size = F.col("sample_size")
-    return joined.withColumn(
-        "expected_distribution", F.transform("cells", lambda cell: cell["n"] / size)
-    ).select(*BASELINE_SCHEMA.names)
 
 
 def _categorical_baseline(df: DataFrame, features: Sequence[str], first: int,
@@ -339,7 +332,7 @@ def _categorical_baseline(df: DataFrame, features: Sequence[str], first: int,
         size.alias("sample_size"),
         F.concat(F.array(F.lit(MISSING)), tracked, F.array(F.lit(OTHER))).alias("bucket_labels"),
         F.transform(counts, lambda n: n / size).alias("expected_distribution"),
-        array_of([], "double").alias("cut_points"),
+        constant([], "double").alias("cut_points"),
         tracked.alias("tracked_categories"),
         F.struct(
             F.col("missing_rate"),
@@ -385,7 +378,8 @@ def attach_baseline(models: DataFrame, baseline: DataFrame) -> DataFrame:
 
     The baseline has one small row per feature, which enters as literals.
     """
-    documents = [r["payload"] for r in baseline_to_json(baseline).orderBy("feature_pos").collect()]
-    payload = F.explode(F.array(*[F.lit(d) for d in documents])).alias("payload")
+    rows = sorted(baseline_to_json(baseline).collect(), key=lambda r: r["feature_pos"])
+    documents = [r["payload"] for r in rows]
+    payload = F.explode(constant(documents, "string")).alias("payload")
     parsed = models.select("*", payload).withColumn("b", F.from_json("payload", BASELINE_SCHEMA))
     return parsed.select(*[col(c) for c in models.columns], "b.*")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import MISSING
+from tidemark.functions.columns import MISSING, constant
 from tidemark.functions.distributions import (
     category_bucket,
     feature_status,
@@ -15,9 +15,8 @@ from tidemark.functions.distributions import (
     overall_status,
     psi_of_arrays,
 )
-from tidemark.operators.baseline import array_of, category_value, numeric_value
+from tidemark.operators.baseline import category_value, numeric_value
 from tidemark.options import DriftOptions
-from tidemark.plans.local import small_table
 
 
 def observed_counts(observed: DataFrame, baseline: Sequence[Row]) -> DataFrame:
@@ -44,10 +43,9 @@ def observed_counts(observed: DataFrame, baseline: Sequence[Row]) -> DataFrame:
         )
         for i, b in enumerate(baseline)
     ]
-    cuts = F.get(F.array(*[array_of(b["cut_points"] or [], "double") for b in baseline]), F.col("i"))
-    tracked = F.get(
-        F.array(*[array_of(b["tracked_categories"] or [], "string") for b in baseline]), F.col("i")
-    )
+    index = F.col("i")
+    cuts = F.get(constant([b["cut_points"] or [] for b in baseline], "array<double>"), index)
+    tracked = F.get(constant([b["tracked_categories"] or [] for b in baseline], "array<string>"), index)
     longest = max(len(b["cut_points"] or []) for b in baseline)
     bucket = F.when(
         F.col("is_numeric"), numeric_bucket(F.col("number"), cuts, longest)
@@ -60,46 +58,48 @@ def observed_counts(observed: DataFrame, baseline: Sequence[Row]) -> DataFrame:
 
 
 def _scored(observed: DataFrame, baseline: DataFrame, options: DriftOptions) -> DataFrame:
-    """One row per feature with its PSI, before the sample-size gate."""
-    rows = baseline.orderBy("feature_pos").collect()  # one small row per feature
+    """One row per feature with its PSI, before the sample-size gate.
+
+    The baseline has one small row per feature and enters as literals, so the
+    observed table is aggregated without any join.
+    """
+    rows = sorted(baseline.collect(), key=lambda r: r["feature_pos"])
     if not rows:
         raise ValueError("the baseline has no features")
-    grid = small_table(
-        observed.sparkSession,
-        [
-            (r["feature_pos"], r["feature_name"], r["feature_type"], i, label, share)
-            for r in rows
-            for i, (label, share) in enumerate(
-                zip(r["bucket_labels"], r["expected_distribution"], strict=True)
-            )
-        ],
-        "feature_pos int, feature_name string, feature_type string, bucket int, label string, "
-        "expected double",
-    )
-    counted = grid.join(observed_counts(observed, rows), ["feature_pos", "bucket"], "left")
-    cell = F.struct(
-        "bucket", "label", "expected", F.coalesce("row_count", F.lit(0).cast("bigint")).alias("n")
+    counts = (
+        observed_counts(observed, rows)
+        .groupBy("feature_pos")
+        .agg(
+            F.sum("row_count").alias("observed_sample_size"),
+            F.map_from_entries(F.collect_list(F.struct("bucket", "row_count"))).alias("counts"),
+        )
     )
-    merged = counted.groupBy("feature_pos", "feature_name", "feature_type").agg(
-        F.coalesce(F.sum("row_count"), F.lit(0)).alias("observed_sample_size"),
-        F.array_sort(F.collect_list(cell)).alias("cells"),
+    place = F.array_position(constant([r["feature_pos"] for r in rows], "int"), F.col("feature_pos"))
+
+    def given(field: str, kind: str) -> Column:
+        return F.get(constant([r[field] for r in rows], kind), place.cast("int") - 1).alias(field)
+
+    named = counts.select(
+        "feature_pos", "observed_sample_size", "counts",
+        given("feature_name", "string"), given("feature_type", "string"),
+        given("bucket_labels", "array<string>"),
+        given("expected_distribution", "array<double>").alias("baseline_distribution"),
     )
     size = F.col("observed_sample_size")
-    shares = F.transform("cells", lambda c: F.when(size > 0, c["n"] / size).otherwise(F.lit(0.0)))
+    shares = F.transform(
+        F.sequence(F.lit(0), F.size("baseline_distribution") - 1),
+        lambda bucket: F.coalesce(F.col("counts")[bucket], F.lit(0)) / size,
+    )
     return (
-        merged.withColumns(
-            {
-                "bucket_labels": F.col("cells.label"),
-                "baseline_distribution": F.col("cells.expected"),
-                "observed_distribution": shares,
-            }
+        named.withColumn("observed_distribution", shares)
+        .drop("counts")
+        .withColumn(
+            "psi", psi_of_arrays(F.col("baseline_distribution"), F.col("observed_distribution"))
         )
-        .withColumn("psi", psi_of_arrays(F.col("baseline_distribution"), F.col("observed_distribution")))
         .withColumn(
             "status",
             feature_status(F.col("psi"), options.warning_threshold, options.drift_threshold),
         )
-        .drop("cells")
     )
 
 
@@ -120,7 +120,7 @@ def drift_evaluation(observed: DataFrame, baseline: DataFrame, options: DriftOpt
         "feature_pos", "feature_name", "feature_type", "psi", "status", "bucket_labels",
         "baseline_distribution", "observed_distribution",
     )
-    enough = F.col("observed_sample_size") >= options.min_samples
+    enough = F.coalesce(F.col("observed_sample_size") >= options.min_samples, F.lit(False))
     zero = F.lit(0).cast("bigint")
     return (
         scored.agg(
@@ -134,7 +134,7 @@ def drift_evaluation(observed: DataFrame, baseline: DataFrame, options: DriftOpt
             F.when(
                 enough, overall_status(F.col("drifted"), F.col("warned"), options.min_drifted_features)
             ).otherwise("insufficient_data").alias("status"),
-            "observed_sample_size",
+            F.coalesce("observed_sample_size", zero).alias("observed_sample_size"),
             F.lit(options.min_samples).alias("min_samples"),
             F.lit(options.window_size).alias("window_size"),
             F.lit(options.warning_threshold).alias("warning_threshold"),

@@ -81,9 +81,13 @@ def _bucket_columns(baselines: DataFrame, spec: FeatureSpec) -> DataFrame:
     )
 
 
-def _bucketed(observations: DataFrame, baselines: DataFrame, spec: FeatureSpec) -> DataFrame:
+def _bucketed(
+    observations: DataFrame, baselines: DataFrame, spec: FeatureSpec, at_most: int
+) -> DataFrame:
     """Observations with one array of (feature, bucket); monitors without baseline drop out."""
-    joined = lookup_join(observations, _bucket_columns(baselines, spec), [KEY], spread_by=[SEQ])
+    joined = lookup_join(
+        observations, _bucket_columns(baselines, spec), [KEY], spread_by=[SEQ], at_most=at_most
+    )
     cells = []
     for i, name in enumerate(spec.all):
         given = F.col(f"__def{i}")
@@ -124,16 +128,20 @@ def evaluate_history(
             *[col(n) for n in rows.columns]
         )
         rows = rows.unionByName(old)
-    widest = baselines.agg(F.max(F.size("expected_distribution")).alias("buckets")).first()
-    buckets = widest["buckets"] or 1
+    known = baselines.agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.size("expected_distribution")).alias("buckets")
+    ).first()
+    buckets = known["buckets"] or 1
 
     seq_edges = block_edges(rows, SEQ, rows_per_block)
     batch_edges = block_edges(rows, BATCH, rows_per_block) if seq_edges else []
-    placed = positions(_bucketed(rows, baselines, spec), [KEY], SEQ, "pos", edges=seq_edges)
+    placed = positions(_bucketed(rows, baselines, spec, known["rows"]), [KEY], SEQ, "pos", edges=seq_edges)
 
     # the row at pos + N pushes out the row at pos
-    slim = lookup_join(rows.select(KEY, BATCH, SEQ), baselines.select(KEY).distinct(), [KEY],
-                       "left_semi")
+    slim = lookup_join(
+        rows.select(KEY, BATCH, SEQ), baselines.select(KEY).distinct(), [KEY], "left_semi",
+        at_most=known["rows"],
+    )
     pushed = positions(slim, [KEY], SEQ, "pos", edges=seq_edges).select(
         KEY, (F.col("pos") - options.window_size).alias("pos"), F.col(BATCH).alias("leaves")
     )
@@ -169,7 +177,7 @@ def evaluate_history(
     )
     scored = lookup_join(
         windows.filter(F.col(BATCH) != CARRIED).withColumn("window_rows", size),
-        expected, [KEY, "feature_pos"], spread_by=[BATCH],
+        expected, [KEY, "feature_pos"], spread_by=[BATCH], at_most=known["rows"],
     )
     shares = [F.col(f"w{k}") / F.col("window_rows") for k in range(buckets)]
     scored = scored.withColumn(

@@ -20,14 +20,19 @@ def lookup_join(
     how: str = "inner",
     spread_by: Sequence[str] = (),
     broadcast_rows: int = BROADCAST_ROWS,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Equi-join that broadcasts ``dims`` only after counting it.
 
+    ``at_most`` is an upper bound of its rows the caller has counted already.
+
     A larger dimension is repeated once per salt and joined on key and salt, so
     that a key holding a large share of the facts is spread over many tasks.
     ``spread_by`` are fact columns that vary inside a key.
     """
-    if dims.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if at_most is None:
+        at_most = dims.limit(broadcast_rows + 1).count()
+    if at_most <= broadcast_rows:
         return facts.join(F.broadcast(dims), list(keys), how)
     if not spread_by:
         return facts.join(dims, list(keys), how)
