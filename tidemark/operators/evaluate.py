@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col
-from tidemark.plans.ordered import running
+from tidemark.plans.ordered import block_edges, running
 
 # --- fixed values -----------------------------------------------------------
 METRICS = (
@@ -60,9 +60,12 @@ def ranking_metrics(
     scores, with one class, or without positives gives null.
     """
     y = col(label)
+    scored = df.filter(col(score).isNotNull() & ~F.isnan(col(score)))
+    if edges is None:
+        # blocks from the raw scores: reading one column beats grouping twice
+        edges = block_edges(scored.select(col(score).cast("double").alias("score")), "score")
     groups = (
-        df.filter(col(score).isNotNull() & ~F.isnan(col(score)))
-        .groupBy(*by, col(score).cast("double").alias("score"))
+        scored.groupBy(*by, col(score).cast("double").alias("score"))
         .agg(
             F.count_if(y == 1).cast("double").alias("p"),
             F.count_if(y == 0).cast("double").alias("n"),

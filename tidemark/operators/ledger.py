@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.columns import col
 from tidemark.options import RegistryOptions
+from tidemark.plans.lookup import lookup_join
 from tidemark.plans.ordered import block_edges, running
 
 # --- fixed values -----------------------------------------------------------
@@ -98,7 +99,7 @@ def best_incumbents(
     per_run = scored_versions.groupBy("model_name", "run_id").agg(F.min(entry).alias("e"))
     best = per_run.groupBy("model_name").agg(F.min("e").alias("first"))
     second = (
-        per_run.join(best, "model_name")
+        lookup_join(per_run, best, ["model_name"], spread_by=["run_id"])
         .filter(F.col("run_id") != F.col("first.run"))
         .groupBy("model_name")
         .agg(F.min("e").alias("second"))
@@ -106,7 +107,8 @@ def best_incumbents(
     top = best.join(second, "model_name", "left")
     own = F.col("first.run").eqNullSafe(F.col("run_id"))
     chosen = F.when(own, F.col("second")).otherwise(F.col("first"))
-    return candidates.join(top, "model_name", "left").withColumns(
+    joined = lookup_join(candidates, top, ["model_name"], "left", spread_by=["run_id"])
+    return joined.withColumns(
         {
             "incumbent_metric": chosen["metric"],
             "incumbent_version": chosen["version"],

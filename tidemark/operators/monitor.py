@@ -54,11 +54,12 @@ STATE_SCHEMA = (
 def rolling_window(df: DataFrame, window_size: int, key: str = KEY, seq: str = SEQ) -> DataFrame:
     """Last ``window_size`` rows of every monitor.
 
-    Rows are first cut down inside salts of a monitor, so a busy monitor is
-    ranked by many tasks and only ``SALTS * window_size`` rows meet in one.
+    A task that reads rows passes on at most ``window_size`` of a monitor. These
+    are ranked per group of reading tasks, so a busy monitor is spread as well
+    and only ``SALTS * window_size`` rows meet in the last step.
     """
     newest = col(seq).desc()
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(col(seq)), F.lit(SALTS)))
+    salted = df.withColumn("__salt", F.spark_partition_id() % SALTS)
     part = Window.partitionBy(col(key), "__salt").orderBy(newest)
     whole = Window.partitionBy(col(key)).orderBy(newest)
     return (

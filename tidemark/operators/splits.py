@@ -16,6 +16,7 @@ from tidemark.plans.ordered import running
 MAX_CLASSES = 10_000
 ROWS_PER_CELL = 200_000
 MAX_DIGITS = 6
+CELLS_PER_BLOCK = 65_536
 
 
 def _train_share(counts: Mapping, draws: int) -> dict:
@@ -91,10 +92,12 @@ def assign_splits(
     ).withColumn("__cell", F.conv(F.substring("__hash", 1, digits), 16, 10).cast("bigint")
                  if digits else F.lit(0).cast("bigint"))
 
-    edges = {c: {} for c in quotas}
+    boundaries = {c: {} for c in quotas}
     if digits:
         cells = hashed.groupBy(col(label).alias("label"), "__cell").agg(F.count(F.lit(1)).alias("n"))
-        upto = running(cells, ["label"], "__cell", {"upto": ("sum", "n")})
+        # hashes are uniform, so even steps over the cell numbers are even blocks
+        steps = [float(c) for c in range(CELLS_PER_BLOCK, 16**digits, CELLS_PER_BLOCK)]
+        upto = running(cells, ["label"], "__cell", {"upto": ("sum", "n")}, edges=steps)
         limits = small_table(
             spark, [(c, q) for c, (t, v) in quotas.items() for q in {t, t + v}], f"label {kind}, quota bigint"
         )
@@ -103,12 +106,12 @@ def assign_splits(
             (F.col("quota") <= F.col("upto")) & (F.col("quota") > F.col("upto") - F.col("n"))
         )
         for r in hit.collect():
-            edges[r["label"]][r["quota"]] = (r["__cell"], r["upto"] - r["n"])
+            boundaries[r["label"]][r["quota"]] = (r["__cell"], r["upto"] - r["n"])
 
     rows = []
     for c, (test, validation) in quotas.items():
-        first = edges[c].get(test, (-1, 0)) if digits else (0, 0)
-        second = edges[c].get(test + validation, (-1, 0)) if digits else (0, 0)
+        first = boundaries[c].get(test, (-1, 0)) if digits else (0, 0)
+        second = boundaries[c].get(test + validation, (-1, 0)) if digits else (0, 0)
         rows.append((c, test, validation, first[0], first[1], second[0], second[1]))
     plan = small_table(
         spark, rows,
