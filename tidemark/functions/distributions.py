@@ -30,14 +30,15 @@ def numeric_bucket(value: Column, cuts: Column, unroll: int | None = None) -> Co
     return F.when(value.isNull(), F.lit(0)).otherwise(F.lit(1) + below)
 
 
-def category_bucket(value: Column, tracked: Column, missing: str) -> Column:
-    """0 for missing, the place in ``tracked``, or one past its end for the rest."""
-    place = F.array_position(tracked, value).cast("int")
-    return (
-        F.when(value == F.lit(missing), F.lit(0))
-        .when(place > 0, place)
-        .otherwise(F.size(tracked) + F.lit(1))
-    )
+def category_bucket(value: Column, labels: Column) -> Column:
+    """Place of the value among ``labels``, counted from 0, or one past their end.
+
+    ``labels`` are the missing bucket followed by the tracked categories. The
+    remainder sends the 0 of "not found" to the last bucket, so the value, which
+    may be costly to normalize, is written and evaluated once.
+    """
+    place = F.array_position(labels, value).cast("int")
+    return F.pmod(place - 1, F.size(labels) + 1)
 
 
 def psi_term(expected: Column, observed: Column) -> Column:

@@ -45,11 +45,12 @@ def observed_counts(observed: DataFrame, baseline: Sequence[Row]) -> DataFrame:
     ]
     index = F.col("i")
     cuts = F.get(constant([b["cut_points"] or [] for b in baseline], "array<double>"), index)
-    tracked = F.get(constant([b["tracked_categories"] or [] for b in baseline], "array<string>"), index)
+    known = [[MISSING, *(b["tracked_categories"] or [])] for b in baseline]
+    labels = F.get(constant(known, "array<string>"), index)
     longest = max(len(b["cut_points"] or []) for b in baseline)
     bucket = F.when(
         F.col("is_numeric"), numeric_bucket(F.col("number"), cuts, longest)
-    ).otherwise(category_bucket(F.col("text"), tracked, MISSING))
+    ).otherwise(category_bucket(F.col("text"), labels))
     return (
         observed.select(F.inline(F.array(*cells)))
         .groupBy("feature_pos", bucket.alias("bucket"))

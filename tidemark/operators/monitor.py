@@ -73,7 +73,8 @@ def rolling_window(df: DataFrame, window_size: int, key: str = KEY, seq: str = S
 
 def _bucket_columns(baselines: DataFrame, spec: FeatureSpec) -> DataFrame:
     """One row per monitor with the bucket definition of every feature."""
-    definition = F.struct("feature_pos", "cut_points", "tracked_categories")
+    labels = F.concat(F.array(F.lit(MISSING)), F.col("tracked_categories"))
+    definition = F.struct("feature_pos", "cut_points", labels.alias("labels"))
     return baselines.groupBy(KEY).agg(
         *[
             F.max(F.when(F.col("feature_name") == name, definition)).alias(f"__def{i}")
@@ -95,9 +96,7 @@ def _bucketed(
         if name in spec.numeric:
             bucket = numeric_bucket(numeric_value(observations, name), given["cut_points"])
         else:
-            bucket = category_bucket(
-                category_value(observations, name), given["tracked_categories"], MISSING
-            )
+            bucket = category_bucket(category_value(observations, name), given["labels"])
         cells.append(
             F.when(
                 given.isNotNull(),
