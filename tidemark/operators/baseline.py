@@ -71,39 +71,36 @@ def category_value(df: DataFrame, name: str) -> Column:
 
 
 def numeric_profile(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Count, missing rate, mean, population std, min and max of every feature, in one pass."""
-    # values are read in a projection of their own, so the aggregates stay small code
-    read = df.select(*[numeric_value(df, name).alias(f"v{i}") for i, name in enumerate(features)])
-    parts = []
-    for i in range(len(features)):
-        value = F.col(f"v{i}")
-        parts.append(
-            F.struct(
-                F.count(F.lit(1)).alias("sample_size"),
-                F.count(value).alias("value_count"),
-                F.avg(value.isNull().cast("double")).alias("missing_rate"),
-                F.avg(value).alias("mean"),
-                F.stddev_pop(value).alias("std"),
-                F.min(value).alias("min"),
-                F.max(value).alias("max"),
-                F.approx_count_distinct(value).alias("distinct_estimate"),
-            ).alias(f"f{i}")
-        )
+    """Count, missing rate, mean, population std, min and max of every feature, in one pass.
+
+    Features are read as rows, so the compiled aggregate does not grow with them.
+    """
     cells = [
-        F.struct(
-            F.lit(i).alias("feature_pos"),
-            F.lit(name).alias("feature_name"),
-            *[
-                F.col(f"f{i}.{field}").alias(field)
-                for field in (
-                    "sample_size", "value_count", "missing_rate", "mean", "std", "min", "max",
-                    "distinct_estimate",
-                )
-            ],
-        )
+        F.struct(F.lit(i).alias("feature_pos"), numeric_value(df, name).alias("value"))
         for i, name in enumerate(features)
     ]
-    return read.agg(*parts).select(F.inline(F.array(*cells)))
+    value = F.col("value")
+    return (
+        df.select(F.inline(F.array(*cells)))
+        .groupBy("feature_pos")
+        .agg(
+            F.count(F.lit(1)).alias("sample_size"),
+            F.count(value).alias("value_count"),
+            F.avg(value).alias("mean"),
+            F.stddev_pop(value).alias("std"),
+            F.min(value).alias("min"),
+            F.max(value).alias("max"),
+            F.approx_count_distinct(value).alias("distinct_estimate"),
+        )
+        .select(
+            "feature_pos",
+            F.get(constant(features, "string"), F.col("feature_pos")).alias("feature_name"),
+            "sample_size",
+            "value_count",
+            ((F.col("sample_size") - F.col("value_count")) / F.col("sample_size")).alias("missing_rate"),
+            "mean", "std", "min", "max", "distinct_estimate",
+        )
+    )
 
 
 def _few_values(df: DataFrame, features: Sequence[str], limit: int) -> dict[str, dict[float, int]] | None:
@@ -143,7 +140,7 @@ def cut_points(
     """
     if profile is None:
         profile = {r["feature_name"]: r.asDict() for r in numeric_profile(df, features).collect()}
-    filled = [n for n in features if profile[n]["value_count"] > 0]
+    filled = [n for n in features if n in profile and profile[n]["value_count"] > 0]
     edges: dict[str, list[float]] = {}
     limit = 4 * bin_count + 64
     few = [n for n in filled if profile[n]["distinct_estimate"] <= limit]
@@ -278,7 +275,7 @@ def category_profile(counts: DataFrame, top_k: int) -> DataFrame:
 def _numeric_baseline(df: DataFrame, features: Sequence[str], options: DriftOptions,
                       method: str) -> DataFrame:
     profile = {r["feature_name"]: r.asDict() for r in numeric_profile(df, features).collect()}
-    if profile[features[0]]["sample_size"] == 0:
+    if not profile:
         raise ValueError(EMPTY)
     cuts = cut_points(df, features, options.numeric_bin_count, profile, method)
     # one row per feature

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col
@@ -27,14 +27,23 @@ def train(
     add up to the number of rows.
     """
     rows = df.select(*[col(c) for c in spec.all], col(label)).persist(StorageLevel.MEMORY_AND_DISK)
+    spread = None
     try:
-        return _fit(rows, spec, options, label)
+        classes = rows.groupBy(col(label).alias("y")).count().limit(3).collect()
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        if rows.rdd.getNumPartitions() < 4 * cores:
+            # every iteration reads all rows: few, uneven partitions would leave cores idle
+            spread = rows.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+        return _fit(rows if spread is None else spread, spec, options, label, classes)
     finally:
         rows.unpersist()
+        if spread is not None:
+            spread.unpersist()
 
 
-def _fit(df: DataFrame, spec: FeatureSpec, options: ModelOptions, label: str) -> PipelineModel:
-    classes = df.groupBy(col(label).alias("y")).count().limit(3).collect()
+def _fit(
+    df: DataFrame, spec: FeatureSpec, options: ModelOptions, label: str, classes: Sequence[Row]
+) -> PipelineModel:
     total = sum(r["count"] for r in classes)
     if len(classes) != 2:
         raise ValueError("training needs rows of exactly two classes")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tidemark.functions.columns import (
     DEFAULT_NA_TOKENS,
     INTEGER_PATTERN,
+    NUMBER_PATTERN,
     blank_to_null,
     col,
     strip,
@@ -19,6 +20,7 @@ from tidemark.functions.columns import (
 )
 from tidemark.operators.contract import ContractError, contract_report
 from tidemark.options import DatasetOptions
+from tidemark.plans.local import small_table
 
 # --- fixed values -----------------------------------------------------------
 BYTE_ORDER_MARK = "\ufeff"
@@ -75,25 +77,30 @@ def inferred_types(df: DataFrame) -> DataFrame:
     a column without values is double.
     """
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    tests, cells = [], []
-    for i, n in enumerate(names):
-        text = strip(n)
-        whole = text.rlike(INTEGER_PATTERN) & text.try_cast("bigint").isNotNull()
-        tests += [
-            F.bool_and(F.when(col(n).isNotNull(), whole)).alias(f"i{i}"),
-            F.bool_and(F.when(col(n).isNotNull(), to_number(n).isNotNull())).alias(f"d{i}"),
-            F.bool_and(col(n).isin(*TRUE_WORDS, *FALSE_WORDS)).alias(f"b{i}"),
-            F.count(col(n)).alias(f"c{i}"),
-        ]
-        kind = (
-            F.when(F.col(f"c{i}") == 0, "double")
-            .when(F.col(f"i{i}"), "bigint")
-            .when(F.col(f"d{i}"), "double")
-            .when(F.col(f"b{i}"), "boolean")
-            .otherwise("string")
-        )
-        cells.append(F.struct(F.lit(n).alias("column"), kind.alias("inferred_type")))
-    return df.agg(*tests).select(F.inline(F.array(*cells)))
+    cells = [F.struct(F.lit(i).alias("pos"), col(n).alias("value")) for i, n in enumerate(names)]
+    # columns become rows, so one small test is compiled instead of one per column
+    read = (
+        df.select(F.inline(F.array(*cells)))
+        .filter(F.col("value").isNotNull())
+        .select("pos", "value", F.inline(F.array(F.struct(strip("value").alias("text")))))
+    )
+    text = F.col("text")
+    whole = text.rlike(INTEGER_PATTERN) & text.try_cast("bigint").isNotNull()
+    tested = read.groupBy("pos").agg(
+        F.bool_and(whole).alias("whole"),
+        F.bool_and(text.rlike(NUMBER_PATTERN)).alias("number"),
+        F.bool_and(F.col("value").isin(*TRUE_WORDS, *FALSE_WORDS)).alias("truth"),
+    )
+    kind = F.when(F.col("whole"), "bigint").when(F.col("number"), "double").when(
+        F.col("truth"), "boolean"
+    )
+    columns = small_table(df.sparkSession, list(enumerate(names)), "pos int, column string")
+    found = columns.join(tested, "pos", "left")
+    return found.select(
+        "column",
+        F.when(F.col("whole").isNull(), "double").otherwise(F.coalesce(kind, F.lit("string")))
+        .alias("inferred_type"),
+    )
 
 
 def apply_types(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
