@@ -68,3 +68,12 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_line_chunks(docs, "doc_id", "text", report=True).select(
         "doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines",
         F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@_query("op3_near_classes")
+def near_text_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies of every document; the smallest id of a class is kept."""
+    from tidemark.llm.near_dedup import near_classes
+
+    found = near_classes(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.withColumnRenamed("id", "doc_id")
