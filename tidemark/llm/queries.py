@@ -77,3 +77,15 @@ def near_text_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_classes(_table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.withColumnRenamed("id", "doc_id")
+
+
+@_query("op10_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 4096 tokens."""
+    import public_tokenizers
+
+    from tidemark.llm.packing import pack_documents
+
+    packed = pack_documents(_table(spark, sf_dir, "documents"), "doc_id", "text",
+                            public_tokenizers.path("word_bpe_49k.json"))
+    return packed.withColumnRenamed("id", "doc_id")
