@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import pieces, written
+from tidemark.plans.lookup import lookup_join
 
 #: Rows per language that a fit may use: the bound of the training sample.
 MAX_ROWS_PER_LANGUAGE = 400
@@ -131,8 +132,8 @@ def sample_rows(labelled: DataFrame, max_rows: int = MAX_ROWS_PER_LANGUAGE) -> D
     """
     counts = labelled.groupBy("lang").agg(F.count("*").alias("__n"))
     draw = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    near = (labelled.withColumn("__draw", draw).join(counts, "lang")
-            .filter(F.col("__draw") < 3.0 * max_rows / F.col("__n")))
+    near = lookup_join(labelled.withColumn("__draw", draw), counts, ["lang"], spread_by=["__draw"]) \
+        .filter(F.col("__draw") < 3.0 * max_rows / F.col("__n"))
     first = Window.partitionBy("lang").orderBy("__draw", "text")
     return (near.withColumn("place", F.row_number().over(first))
             .filter(F.col("place") <= max_rows).select("lang", "place", "text"))
