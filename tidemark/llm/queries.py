@@ -89,3 +89,12 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(_table(spark, sf_dir, "documents"), "doc_id", "text",
                             public_tokenizers.path("word_bpe_49k.json"))
     return packed.withColumnRenamed("id", "doc_id")
+
+
+@_query("op9_pii_spans")
+def pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    from tidemark.llm.pii import detect_pii, fit_trees
+
+    docs = _table(spark, sf_dir, "documents")
+    return detect_pii(docs, "doc_id", "text", fit_trees(docs, "text")).withColumnRenamed("id", "doc_id")
