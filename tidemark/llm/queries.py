@@ -98,3 +98,15 @@ def pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     return detect_pii(docs, "doc_id", "text", fit_trees(docs, "text")).withColumnRenamed("id", "doc_id")
+
+
+@_query("op5_warc_round_trip")
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back by boundary chains."""
+    from tidemark.llm.warc import archive_round_trip, page_of
+
+    read = archive_round_trip(_table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return read.select(
+        page_of(F.col("record_id")).cast("long").alias("page_id"), F.col("length").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"),
+        page_of(F.col("refers_to")).cast("long").alias("refers_to"))
