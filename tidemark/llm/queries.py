@@ -110,3 +110,15 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         page_of(F.col("record_id")).cast("long").alias("page_id"), F.col("length").alias("payload_bytes"),
         F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"),
         page_of(F.col("refers_to")).cast("long").alias("refers_to"))
+
+
+@_query("op7_byte_bpe")
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and what they decode to."""
+    import public_tokenizers
+
+    from tidemark.llm.byte_bpe import encode_digests, load_ranks
+
+    ranks = load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return encode_digests(_table(spark, sf_dir, "documents"), "doc_id", "text", ranks,
+                          public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
