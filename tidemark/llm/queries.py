@@ -122,3 +122,12 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return encode_digests(_table(spark, sf_dir, "documents"), "doc_id", "text", ranks,
                           public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
+
+
+@_query("op6_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to strings of 200 bytes that also start elsewhere."""
+    from tidemark.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), "doc_id", "text", digest=True) \
+        .withColumnRenamed("id", "doc_id")
