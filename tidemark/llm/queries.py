@@ -131,3 +131,24 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return remove_repeats(_table(spark, sf_dir, "documents"), "doc_id", "text", digest=True) \
         .withColumnRenamed("id", "doc_id")
+
+
+@_query("op1_exact_top_k", r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings
+           WHERE embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+      WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 5""")
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector."""
+    from tidemark.llm.metric_search import scaled, top_products, usable
+
+    vectors = _table(spark, sf_dir, "embeddings").filter(usable(F.col("embedding")))
+    rows = vectors.select(F.col("vec_id").alias("id"), scaled(F.col("embedding")).alias("v"))
+    return top_products(rows, 5, F.col("id") % 50 == 0)
