@@ -152,3 +152,12 @@ def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").filter(usable(F.col("embedding")))
     rows = vectors.select(F.col("vec_id").alias("id"), scaled(F.col("embedding")).alias("v"))
     return top_products(rows, 5, F.col("id") % 50 == 0)
+
+
+@_query("op4_vector_links")
+def vector_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of the vectors of each label at a cosine of 0.98."""
+    from tidemark.llm.embedding_dedup import vector_links
+
+    return vector_links(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label") \
+        .withColumnRenamed("id", "vec_id")
