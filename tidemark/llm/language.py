@@ -220,6 +220,19 @@ def predict_language(df: DataFrame, model: LanguageModel, id_col: str, text_col:
     return kept.mapInPandas(run, schema)
 
 
+def keep_identified(df: DataFrame, model: LanguageModel, text_col: str, least_score: float) -> DataFrame:
+    """The rows whose text has a language with at least this score."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        fitted = shared.value
+        for batch in pieces(batches):
+            found = [predict_text(t, fitted) for t in batch[text_col]]
+            yield batch[[lang != UNKNOWN and score >= least_score for lang, score in found]]
+
+    return df.mapInPandas(run, df.schema)
+
+
 def held_out(id_column: str | Column) -> Column:
     """Documents that no fit may use: crc32 of the id as text, modulo 4, is 2."""
     key = F.col(id_column) if isinstance(id_column, str) else id_column

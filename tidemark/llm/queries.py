@@ -161,3 +161,11 @@ def vector_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return vector_links(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label") \
         .withColumnRenamed("id", "vec_id")
+
+
+@_query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
