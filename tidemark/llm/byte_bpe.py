@@ -31,12 +31,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe_merges import PairTable, merge_words
-from tidemark.llm.common import pieces, written
+from tidemark.llm.common import arrow_pieces, replaced, written
 
 MAP_BUCKETS = 16_384
 #: Bounds of the words that are encoded ahead, and of the texts they come from.
@@ -220,17 +221,18 @@ def _tokenized(df, id_col, text_col, ranks, pattern, *, digests: bool) -> DataFr
 
     def run(batches):
         tokenizer = ByteTokenizer(*shared.value)
-        for batch in pieces(batches, 1024):
-            ids = tokenizer.encode(batch["text"].tolist())
-            out = batch.drop(columns="text")
-            out["n_tokens"] = [len(i) for i in ids]
+        for batch in arrow_pieces(batches, 1024):
+            ids = tokenizer.encode(batch.column("text").to_pylist())
+            new = {"n_tokens": pa.array([len(i) for i in ids], pa.int64())}
             if digests:
                 decimal = tokenizer.decimal.__getitem__
-                out["ids_sha256"] = [hashlib.sha256(",".join(map(decimal, i.tolist())).encode()).hexdigest() for i in ids]
-                out["decoded_sha256"] = [hashlib.sha256(tokenizer.decode(i)).hexdigest() for i in ids]
+                new["ids_sha256"] = pa.array(
+                    [hashlib.sha256(",".join(map(decimal, i.tolist())).encode()).hexdigest() for i in ids], pa.string())
+                new["decoded_sha256"] = pa.array(
+                    [hashlib.sha256(tokenizer.decode(i)).hexdigest() for i in ids], pa.string())
             else:
-                out["ids"] = [i.tobytes() for i in ids]
-                out["decoded"] = [tokenizer.decode(i) for i in ids]
-            yield out
+                new["ids"] = pa.array([i.tobytes() for i in ids], pa.binary())
+                new["decoded"] = pa.array([tokenizer.decode(i) for i in ids], pa.binary())
+            yield replaced(batch, "text", **new)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import meet_in_blocks, pairs_in_runs, written
 from tidemark.llm.components import connected_components
 from tidemark.llm.metric_search import usable
 
@@ -45,7 +45,6 @@ MISSED = 1e-7
 CONFIDENCE = 5.0
 BLOCK_ROWS = 1024
 SHARD_ROWS = 20_000
-PAIRS_AT_ONCE = 1 << 20
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -96,30 +95,6 @@ class Codes:
         return np.minimum(one, two)
 
 
-def _pairs(groups: np.ndarray, side: np.ndarray):
-    """Index pairs inside each run of equal ``groups``, in batches; of two blocks, only pairs across."""
-    edges = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True])
-    batch_i, batch_j, held = [], [], 0
-    sizes = np.diff(edges)
-    for size in np.unique(sizes):
-        starts = edges[:-1][sizes == size]
-        i, j = np.triu_indices(size, 1)
-        step = max(1, PAIRS_AT_ONCE // max(len(i), 1))
-        for at in range(0, len(starts), step):
-            part = starts[at : at + step]
-            a = (part[:, None] + i).ravel()
-            b = (part[:, None] + j).ravel()
-            across = (side[a] < 0) | (side[a] != side[b])
-            batch_i.append(a[across])
-            batch_j.append(b[across])
-            held += len(batch_i[-1])
-            if held >= PAIRS_AT_ONCE:
-                yield np.concatenate(batch_i), np.concatenate(batch_j)
-                batch_i, batch_j, held = [], [], 0
-    if held:
-        yield np.concatenate(batch_i), np.concatenate(batch_j)
-
-
 def _compare(rows: pd.DataFrame, bits: int, tables: int, similarity: float) -> pd.DataFrame:
     """Links per vector and the smallest vector each is connected with, in one shard."""
     out = []
@@ -140,7 +115,7 @@ def _compare(rows: pd.DataFrame, bits: int, tables: int, similarity: float) -> p
         links = np.zeros(len(ids), np.int64)
         root = np.arange(len(ids))
         linked = []
-        for p, q in _pairs(group, side):
+        for p, q in pairs_in_runs(group, side):
             i, j, t = at[p], at[q], table[p]
             maybe = codes.upper(i, j) >= similarity
             i, j, t = i[maybe], j[maybe], t[maybe]
@@ -197,12 +172,8 @@ def vector_links(df: DataFrame, id_col: str, vector_col: str, label_col: str,
         hashed, f"id long, label {label_type}, dim int, table int, code long")
     key = ["label", "dim", "table", "code"]
     shared = written(coded.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1"), "vector-buckets")
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    met = coded.join(shared, key).withColumn("blocks", blocks) \
-        .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("id", "label", "table", "code", "mine", F.least("mine", "other").alias("one"),
-                F.greatest("mine", "other").alias("two"))
+    met = meet_in_blocks(coded.join(shared, key), "n", "id", BLOCK_ROWS) \
+        .select("id", "label", "table", "code", "mine", "one", "two")
     met = written(met, "vector-met")
     shards = max(1, -(-met.count() // SHARD_ROWS))
     carried = met.join(distinct.select("id", "label", "vector", "copies"), ["id", "label"])

@@ -23,11 +23,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import pieces, written
+from tidemark.llm.common import arrow_pieces, pieces, replaced, written
 from tidemark.plans.lookup import lookup_join
 
 #: Rows per language that a fit may use: the bound of the training sample.
@@ -210,14 +211,12 @@ def predict_language(df: DataFrame, model: LanguageModel, id_col: str, text_col:
 
     def run(batches):
         fitted = shared.value
-        for batch in pieces(batches):
-            found = [predict_text(t, fitted) for t in batch["text"]]
-            out = batch.drop(columns="text")
-            out["lang_pred"] = [f[0] for f in found]
-            out["score"] = [f[1] for f in found]
-            yield out
+        for batch in arrow_pieces(batches):
+            found = [predict_text(t, fitted) for t in batch.column("text").to_pylist()]
+            yield replaced(batch, "text", lang_pred=pa.array([f[0] for f in found], pa.string()),
+                           score=pa.array([f[1] for f in found], pa.float64()))
 
-    return kept.mapInPandas(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def keep_identified(df: DataFrame, model: LanguageModel, text_col: str, least_score: float) -> DataFrame:
@@ -226,11 +225,11 @@ def keep_identified(df: DataFrame, model: LanguageModel, text_col: str, least_sc
 
     def run(batches):
         fitted = shared.value
-        for batch in pieces(batches):
-            found = [predict_text(t, fitted) for t in batch[text_col]]
-            yield batch[[lang != UNKNOWN and score >= least_score for lang, score in found]]
+        for batch in arrow_pieces(batches):
+            found = [predict_text(t, fitted) for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
 
-    return df.mapInPandas(run, df.schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def held_out(id_column: str | Column) -> Column:

@@ -27,13 +27,14 @@ from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.bpe_merges import PairTable, merge_words
-from tidemark.llm.common import pieces, written
+from tidemark.llm.common import arrow_pieces, replaced, written
 
 CAPACITY = 4096
 CLOSING_ID = 1
@@ -155,19 +156,21 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str,
 
     def run(batches):
         tokenizer = _tokenizer(vocabulary)
-        for batch in pieces(batches, 1024):
-            ids = tokenizer.encode([t or "" for t in batch["text"]])
+        for batch in arrow_pieces(batches, 1024):
+            ids = tokenizer.encode([t or "" for t in batch.column("text").to_pylist()])
             out = []
-            for key, raw in zip(batch["id"].tolist(), ids, strict=True):
+            for row, raw in enumerate(ids):
                 raw += closing
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
-                    out.append((key, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            made = pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32"])
-            made["id"] = made["id"].astype(batch["id"].dtype)
-            yield made
+                    out.append((row, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            made = pd.DataFrame(out, columns=["row", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(made["row"])), pa.array(made["piece"], pa.int32()),
+                 *(pa.array(made[c], pa.int64()) for c in ("start", "length", "ids_crc32"))],
+                names=["id", "piece", "start", "length", "ids_crc32"])
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 Plan = list[tuple[int, tuple[int, ...]]]
@@ -333,17 +336,15 @@ def pack_documents(df: DataFrame, id_col: str, text_col: str, vocabulary: str,
     def place(batches):
         where = runs.value
         for batch in batches:
-            sequence = np.empty(len(batch), np.int64)
-            offset = np.empty(len(batch), np.int64)
-            lengths, ranks = batch["length"].to_numpy(), batch["rank"].to_numpy()
+            lengths, ranks = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            sequence = np.empty(len(lengths), np.int64)
+            offset = np.empty(len(lengths), np.int64)
             for n in np.unique(lengths):
                 mine = lengths == n
                 first, start, at = where[int(n)]
                 i = np.searchsorted(first, ranks[mine], "right") - 1
                 sequence[mine] = start[i] + ranks[mine] - first[i]
                 offset[mine] = at[i]
-            out = batch.drop(columns="rank")
-            out["sequence_id"], out["offset"] = sequence, offset
-            yield out
+            yield replaced(batch, "rank", sequence_id=pa.array(sequence), offset=pa.array(offset))
 
-    return ranked.mapInPandas(place, schema)
+    return ranked.mapInArrow(place, schema)
