@@ -20,7 +20,8 @@ among k results. Queries meet trees in blocks of bounded size on both sides.
 Defined results: vectors that are null or hold null or non-finite components
 take no part, as queries or candidates. Only vectors of one length are
 compared. Rows that repeat an id and a vector count once; rows that share the
-query's id are its own. Fewer than k candidates give fewer rows. Products must
+query's id are its own; an id with several vectors as queries gets one list of
+all their products. Fewer than k candidates give fewer rows. Products must
 stay below 2^53 for the bounds; where the largest norm allows more, every
 entry is computed in 64-bit integers. Other columns are ignored; empty tables
 give empty results.
@@ -180,7 +181,8 @@ def top_products(rows: DataFrame, k: int, is_query: Column) -> DataFrame:
     chosen = distinct.orderBy(F.xxhash64("v"), "v").limit(wanted).select("dim", "v").collect()
     pivots: dict[int, np.ndarray] = {}
     for dim in sorted({r["dim"] for r in chosen}):
-        pivots[dim] = lift(np.array([r["v"] for r in chosen if r["dim"] == dim], np.float64).reshape(-1, dim), largest)
+        held = [r["v"] for r in chosen if r["dim"] == dim]
+        pivots[dim] = lift(np.array(held, np.float64).reshape(len(held), dim), largest)
     shared = spark.sparkContext.broadcast((pivots, largest))
 
     def assign(batches):
@@ -191,7 +193,7 @@ def top_products(rows: DataFrame, k: int, is_query: Column) -> DataFrame:
             for dim in batch["dim"].unique():
                 if dim in cells:
                     at = np.flatnonzero(batch["dim"] == dim)
-                    points = lift(np.array(batch["v"].iloc[at].tolist(), np.float64).reshape(-1, dim), most)
+                    points = lift(np.array(batch["v"].iloc[at].tolist(), np.float64).reshape(len(at), dim), most)
                     square = (points ** 2).sum(1)[:, None] + (cells[dim] ** 2).sum(1) - 2 * points @ cells[dim].T
                     cell[at] = square.argmin(axis=1)
                     away[at] = np.sqrt(((points - cells[dim][cell[at]]) ** 2).sum(axis=1))
@@ -208,7 +210,7 @@ def top_products(rows: DataFrame, k: int, is_query: Column) -> DataFrame:
     def plant(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("v", key=lambda s: s.map(tuple))
         dim, cell = int(group["dim"].iloc[0]), int(group["cell"].iloc[0])
-        raw = np.array(group["v"].tolist(), np.int64).reshape(-1, dim)
+        raw = np.array(group["v"].tolist(), np.int64).reshape(len(group), dim)
         ids = [list(map(int, i)) for i in group["ids"]]
         held, most = shared.value
         if exact:
