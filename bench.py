@@ -10,6 +10,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from tidemark.session import build_session
@@ -31,7 +32,8 @@ def main() -> None:
     cores = int(cpus) if cpus.isdigit() else os.cpu_count() or 8
     spark = build_session(
         "bench", f"local[{cpus}]", cores,
-        **{"spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"), "spark.ui.enabled": "false",
+        **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tidemark-bench-"),
+           "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"), "spark.ui.enabled": "false",
            "spark.ui.showConsoleProgress": "false"},
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -42,8 +42,8 @@ def test_cells_do_not_change_the_split(spark, options):
     plain = assign_splits(df, "y", "id", options)
     cells = assign_splits(df, "y", "id", options, rows_per_cell=40)
     assert sorted(plain.collect()) == sorted(cells.collect())
-    counts = {r["y"]: r["count"] for r in df.groupBy("y").count().collect()}
-    quotas = split_quotas(counts, options)
+    classes = df.groupBy(F.col("y").alias("label")).agg(F.count("*").alias("n"))
+    quotas = {r["label"]: (r["test"], r["validation"]) for r in split_quotas(classes, options).collect()}
     got = {(r["y"], r["split"]): r["row_count"] for r in split_sizes(plain, ("y", "split")).collect()}
     for y, (test, validation) in quotas.items():
         assert got[y, "test"] == test and got.get((y, "validation"), 0) == validation
@@ -108,7 +108,7 @@ def test_stages_equal_explicit_columns(mixed):
     from pyspark.ml.functions import vector_to_array
 
     fit, explicit = _matrix(mixed)
-    staged = Pipeline(stages=feature_stages(fit)).fit(mixed).transform(mixed).orderBy("id")
+    staged = Pipeline(stages=feature_stages(fit, mixed.schema)).fit(mixed).transform(mixed).orderBy("id")
     vectors = np.array([r[0] for r in staged.select(vector_to_array("features")).collect()])
     assert vectors.shape == (400, fit.width)
     assert np.allclose(vectors, explicit[:, :-1])

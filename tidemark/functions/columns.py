@@ -9,8 +9,9 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- fixed values -----------------------------------------------------------
 MISSING = "__missing__"
@@ -62,6 +63,25 @@ def finite_or_null(c: str | Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def is_missing(df: DataFrame, name: str) -> Column:
+    """Null, or not a number in a floating column."""
+    value = col(name)
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return value.isNull() | F.isnan(value)
+    return value.isNull()
+
+
+def numeric_sql(name: str, kind: T.DataType) -> str:
+    """The reading of ``to_number`` / ``finite_or_null`` as SQL text, for saved pipelines."""
+    quoted = "`" + name.replace("`", "``") + "`"
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return f"nanvl(CAST({quoted} AS DOUBLE), CAST(NULL AS DOUBLE))"
+    blanks = "".join(f"\\u{ord(c):04x}" for c in WHITE_SPACE)
+    pattern = NUMBER_PATTERN.replace("\\", "\\\\")
+    text = f"btrim(CAST({quoted} AS STRING), '{blanks}')"
+    return f"CASE WHEN {text} RLIKE '{pattern}' THEN try_cast({text} AS DOUBLE) END"
+
+
 def to_number(c: str | Column) -> Column:
     """Lenient number: anything that is not a whole numeric text becomes null."""
     text = strip(c)

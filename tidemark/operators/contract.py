@@ -9,12 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.columns import NUMBER_PATTERN, col, strip
+from tidemark.functions.columns import NUMBER_PATTERN, col, is_missing, strip
 from tidemark.options import DatasetOptions
 from tidemark.plans.local import small_table
 
-# A report keeps its class counts in one row; wider targets are read as a table.
-MAX_REPORT_CLASSES = 10_000
 # --- fixed values -----------------------------------------------------------
 MAX_REQUEST_RECORDS = 1000
 # ----------------------------------------------------------------------------
@@ -68,8 +66,9 @@ def check_columns(columns: Sequence[str], options: DatasetOptions) -> None:
 
 def target_distribution(df: DataFrame, options: DatasetOptions) -> DataFrame:
     """Rows per class, nulls as a class of their own."""
+    target = F.when(~is_missing(df, options.target), col(options.target).cast("string"))
     return (
-        df.groupBy(col(options.target).cast("string").alias("label"))
+        df.groupBy(target.alias("label"))
         .agg(F.count(F.lit(1)).alias("row_count"))
         .orderBy("label")
     )
@@ -78,25 +77,57 @@ def target_distribution(df: DataFrame, options: DatasetOptions) -> DataFrame:
 def contract_report(df: DataFrame, options: DatasetOptions) -> DataFrame:
     """Check the table and summarize it in one row; a broken contract raises.
 
-    All counts come from one aggregation on the target column.
+    All counts come from one aggregation on the target column; the classes
+    themselves stay in Spark, however many there are.
     """
     check_columns(df.columns, options)
-    classes = target_distribution(df, options).limit(MAX_REPORT_CLASSES + 1).collect()
-    if not classes:
-        raise ContractError("the table has no rows")
-    if any(c["label"] is None for c in classes):
+    classes = target_distribution(df, options)
+    seen = classes.agg(
+        F.count("label").alias("classes"),
+        F.count_if(F.col("label").isNull()).alias("missing"),
+    ).first()
+    if seen["missing"]:
         raise ContractError("the target column has missing values")
-    if len(classes) < 2:
+    if not seen["classes"]:
+        raise ContractError("the table has no rows")
+    if seen["classes"] < 2:
         raise ContractError("the target column needs at least two classes")
-    if len(classes) > MAX_REPORT_CLASSES:
-        raise ContractError("too many target classes for a report; read target_distribution instead")
-    row = (
-        sum(c["row_count"] for c in classes),
-        len(df.columns),
-        sorted(df.columns),
-        {c["label"]: c["row_count"] for c in classes},
+    report = classes.agg(
+        F.sum("row_count").alias("row_count"),
+        F.lit(len(df.columns)).alias("column_count"),
+        F.array(*[F.lit(c) for c in sorted(df.columns)]).alias("validated_columns"),
+        F.map_from_entries(F.collect_list(F.struct("label", "row_count"))).alias("target_distribution"),
+    )
+    return report.select(*[F.col(f.name).cast(f.dataType) for f in REPORT_SCHEMA.fields])
+
+
+def contract_violations(df: DataFrame, options: DatasetOptions) -> DataFrame:
+    """``section, rule, detail`` of everything that breaks the contract, instead of an error."""
+    found: list[tuple[str, str, str]] = []
+    repeated = sorted({c for c in df.columns if df.columns.count(c) > 1})
+    found += [("columns", "repeated", c) for c in repeated]
+    if options.target not in df.columns:
+        found.append(("data.target_column", "absent", options.target))
+    for section, names in options.sections().items():
+        found += [(section, "absent", c) for c in sorted(set(names) - set(df.columns))]
+    listed = small_table(df.sparkSession, found, "section string, rule string, detail string")
+    if options.target not in df.columns or repeated:
+        return listed
+    seen = target_distribution(df, options).agg(
+        F.count("label").alias("classes"),
+        F.coalesce(F.sum(F.when(F.col("label").isNull(), F.col("row_count"))), F.lit(0)).alias("missing"),
+        F.coalesce(F.sum("row_count"), F.lit(0)).alias("rows"),
+    )
+    rules = [
+        F.when(F.col("rows") == 0, F.struct(F.lit("empty").alias("rule"), F.lit("0").alias("detail"))),
+        F.when(F.col("missing") > 0, F.struct(F.lit("missing_target"), F.col("missing").cast("string"))),
+        F.when((F.col("rows") > 0) & (F.col("classes") < 2),
+               F.struct(F.lit("two_classes"), F.col("classes").cast("string"))),
+    ]
+    of_target = seen.select(F.inline(F.array_compact(F.array(*rules)))).select(
+        F.lit("data.target_column").alias("section"), "rule", "detail"
     )
-    return small_table(df.sparkSession, [row], REPORT_SCHEMA)
+    return listed.unionByName(of_target)
 
 
 @dataclass(frozen=True)

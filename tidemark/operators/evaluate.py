@@ -56,16 +56,24 @@ def ranking_metrics(
     """ROC AUC and average precision with exact handling of tied scores.
 
     Rows are first reduced to one row per distinct score; running counts over
-    the scores then stay distributed through ordered blocks. A split without
-    scores, with one class, or without positives gives null.
+    the scores then stay distributed through ordered blocks. A split with one
+    class or without positives gives null, and so does a split in which a row
+    has no score: a ranking of the others would not be its ranking.
     """
     y = col(label)
-    scored = df.filter(col(score).isNotNull() & ~F.isnan(col(score)))
+    usable = col(score).isNotNull() & ~F.isnan(col(score).cast("double"))
+    scored = df.withColumn("__scored", usable)
     if edges is None:
         # blocks from the raw scores: reading one column beats grouping twice
-        edges = block_edges(scored.select(col(score).cast("double").alias("score")), "score")
+        edges = block_edges(
+            scored.filter("__scored").select(col(score).cast("double").alias("score")), "score"
+        )
+    # rows without a score are one group of their split, below all others
     groups = (
-        scored.groupBy(*by, col(score).cast("double").alias("score"))
+        scored.groupBy(
+            *by, F.when(F.col("__scored"), col(score).cast("double")).otherwise(F.lit(float("-inf"))).alias("score"),
+            "__scored",
+        )
         .agg(
             F.count_if(y == 1).cast("double").alias("p"),
             F.count_if(y == 0).cast("double").alias("n"),
@@ -75,9 +83,10 @@ def ranking_metrics(
         groups, by, "score", {"cp": ("sum", "p"), "cn": ("sum", "n")}, descending=True, edges=edges
     )
     p, n, cp, cn = (F.col(c) for c in ("p", "n", "cp", "cn"))
+    whole = F.bool_and("__scored")
     return counted.groupBy(*by).agg(
-        F.try_divide(F.sum(n * (cp - p / 2)), F.sum(p) * F.sum(n)).alias("roc_auc"),
-        F.try_divide(F.sum(p * cp / (cp + cn)), F.sum(p)).alias("average_precision"),
+        F.when(whole, F.try_divide(F.sum(n * (cp - p / 2)), F.sum(p) * F.sum(n))).alias("roc_auc"),
+        F.when(whole, F.try_divide(F.sum(p * F.try_divide(cp, cp + cn)), F.sum(p))).alias("average_precision"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.columns import col, normalize_category, strip, to_number
+from tidemark.functions.columns import col, is_missing, normalize_category, strip, to_number
 from tidemark.options import DatasetOptions, FeatureSpec
 
 
@@ -43,13 +43,13 @@ def encode_target(df: DataFrame, target: str, positive: str, label: str = "label
     """Add a 0/1 label. Needs one small job to look at the classes."""
     kind = df.schema[target].dataType
     value = col(target)
-    if df.filter(value.isNull()).limit(1).count():
+    if df.filter(is_missing(df, target)).limit(1).count():
         raise ValueError("the target column has missing values")
     if isinstance(kind, T.BooleanType):
         return df.withColumn(label, value.cast("int"))
     if isinstance(kind, T.NumericType):
-        whole = value.cast("bigint")
-        if df.agg(F.bool_and(whole.isin(0, 1)).alias("binary")).first()["binary"]:
+        whole = value.try_cast("bigint")
+        if df.agg(F.bool_and(F.coalesce(whole.isin(0, 1), F.lit(False))).alias("binary")).first()["binary"]:
             return df.withColumn(label, whole.cast("int"))
     text = strip(target)
     found = [r[0] for r in df.select(text.alias("c")).distinct().orderBy("c").limit(3).collect()]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,7 +100,7 @@ def best_incumbents(
     best = per_run.groupBy("model_name").agg(F.min("e").alias("first"))
     second = (
         lookup_join(per_run, best, ["model_name"], spread_by=["run_id"])
-        .filter(F.col("run_id") != F.col("first.run"))
+        .filter(~F.col("run_id").eqNullSafe(F.col("first.run")))
         .groupBy("model_name")
         .agg(F.min("e").alias("second"))
     )
@@ -163,14 +163,20 @@ def promotion_history(
 
 
 def new_versions(promoted: DataFrame, versions: DataFrame, options: RegistryOptions) -> DataFrame:
-    """Version rows to append for newly registered runs, one per model."""
+    """Version rows to append for newly registered runs.
+
+    Several runs of a model follow each other in the order of their run ids,
+    which is the order of time.
+    """
     latest = versions.groupBy("model_name").agg(F.max("version").alias("__latest"))
+    placed = F.row_number().over(Window.partitionBy("model_name").orderBy("run_id"))
     return (
         promoted.filter("registered")
+        .withColumn("__place", placed)
         .join(latest, "model_name", "left")
         .select(
             "model_name",
-            (F.coalesce("__latest", F.lit(0)) + 1).cast("bigint").alias("version"),
+            (F.coalesce("__latest", F.lit(0)) + F.col("__place")).cast("bigint").alias("version"),
             "run_id",
             F.lit(options.metric).alias("metric_name"),
             F.lit(options.split).alias("metric_split"),
@@ -191,10 +197,13 @@ def upsert_aliases(aliases: DataFrame, changed: DataFrame) -> DataFrame:
     return kept.unionByName(changed)
 
 
-def resolve_models(requests: DataFrame, versions: DataFrame, aliases: DataFrame) -> DataFrame:
+def resolve_models(
+    requests: DataFrame, versions: DataFrame, aliases: DataFrame, strict: bool = True
+) -> DataFrame:
     """Version and location of requested models, by alias or by pinned version.
 
-    A request that names both or neither is an error.
+    A request that names both or neither is an error, and so is one that finds
+    no version; without ``strict`` the latter is a row with ``found`` = false.
     """
     both = F.col("alias").isNotNull() == F.col("pinned_version").isNotNull()
     checked = requests.withColumn(
@@ -205,15 +214,24 @@ def resolve_models(requests: DataFrame, versions: DataFrame, aliases: DataFrame)
     named = checked.join(
         aliases.withColumnRenamed("version", "__alias_version"), ["model_name", "alias"], "left"
     ).withColumn("version", F.coalesce("pinned_version", "__alias_version"))
-    found = versions.select("model_name", "version", "run_id")
+    found = versions.select("model_name", "version", "run_id", F.lit(True).alias("found"))
     uri = F.concat(
         F.lit("models:/"), F.col("model_name"),
         F.when(F.col("alias").isNotNull(), F.concat(F.lit("@"), F.col("alias"))).otherwise(
             F.concat(F.lit("/"), F.col("pinned_version").cast("string"))
         ),
     )
-    return named.join(found, ["model_name", "version"]).select(
-        "model_name", "alias", "pinned_version", "version", "run_id", uri.alias("model_uri")
+    joined = named.join(found, ["model_name", "version"], "left")
+    has = F.coalesce(F.col("found"), F.lit(False))
+    if strict:
+        absent = F.raise_error(F.concat(F.lit("no registered model at "), uri)).cast("string")
+        joined = joined.withColumn("model_name", F.when(has, F.col("model_name")).otherwise(absent))
+        return joined.select(
+            "model_name", "alias", "pinned_version", "version", "run_id", uri.alias("model_uri")
+        )
+    return joined.select(
+        "model_name", "alias", "pinned_version", F.when(has, F.col("version")).alias("version"),
+        "run_id", F.when(has, uri).alias("model_uri"), has.alias("found"),
     )
 
 
@@ -221,15 +239,40 @@ def latest_run(
     runs: DataFrame, models: DataFrame, run_id: str | None = None, model_path: str | None = None
 ) -> DataFrame:
     """The run to serve: an explicit model location, a pinned run, else the newest run
-    that has a model. Run ids sort in time order."""
+    that has a model. Run ids sort in time order. A model that is not there is an error."""
     if model_path is not None:
-        return models.filter(F.col("model_path") == model_path).select("run_id", "model_path")
-    if run_id is not None:
-        return models.filter(F.col("run_id") == run_id).select("run_id", "model_path")
-    with_model = runs.join(models, "run_id", "left_semi").agg(F.max("run_id").alias("run_id"))
-    return with_model.join(models, "run_id").select("run_id", "model_path")
-
+        found = models.filter(F.col("model_path") == model_path)
+        wanted = f"at '{model_path}'"
+    elif run_id is not None:
+        found = models.filter(F.col("run_id") == run_id)
+        wanted = f"of run '{run_id}'"
+    else:
+        newest = runs.join(models, "run_id", "left_semi").agg(F.max("run_id").alias("run_id"))
+        found = newest.join(models, "run_id")
+        wanted = "of any run"
+    found = found.select("run_id", "model_path")
+    if found.limit(1).count() == 0:
+        raise FileNotFoundError(f"no model {wanted}")
+    return found
+
+
+def baseline_for_models(
+    models: DataFrame, baselines: DataFrame, keys: Sequence[str], tracked: DataFrame | None = None
+) -> DataFrame:
+    """Models with the baseline of their run: the local one, else the tracked one, else null.
 
-def baseline_for_models(models: DataFrame, baselines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Models with the baseline of their run, null where none was kept."""
-    return models.join(baselines, list(keys), "left")
+    Both baseline tables have the same columns. ``baseline_source`` says which one it is.
+    """
+    names = [c for c in baselines.columns if c not in keys]
+    local = baselines.select(*keys, F.struct(*[col(c) for c in names]).alias("__local"))
+    joined = models.join(local, list(keys), "left")
+    if tracked is None:
+        chosen, source = F.col("__local"), F.when(F.col("__local").isNotNull(), "local")
+    else:
+        other = tracked.select(*keys, F.struct(*[col(c) for c in names]).alias("__tracked"))
+        joined = joined.join(other, list(keys), "left")
+        chosen = F.coalesce("__local", "__tracked")
+        source = F.when(F.col("__local").isNotNull(), "local").when(F.col("__tracked").isNotNull(), "tracked")
+    return joined.select(
+        *[col(c) for c in models.columns], *[chosen[c].alias(c) for c in names], source.alias("baseline_source")
+    )

@@ -26,19 +26,17 @@ def train(
     and a weighted sum in the objective that ``C`` belongs to; balanced weights
     add up to the number of rows.
     """
-    rows = df.select(*[col(c) for c in spec.all], col(label)).persist(StorageLevel.MEMORY_AND_DISK)
-    spread = None
+    rows = df.select(*[col(c) for c in spec.all], col(label))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < 4 * cores:
+        # every iteration reads all rows: few, uneven partitions would leave cores idle
+        rows = rows.repartition(2 * cores)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         classes = rows.groupBy(col(label).alias("y")).count().limit(3).collect()
-        cores = rows.sparkSession.sparkContext.defaultParallelism
-        if rows.rdd.getNumPartitions() < 4 * cores:
-            # every iteration reads all rows: few, uneven partitions would leave cores idle
-            spread = rows.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
-        return _fit(rows if spread is None else spread, spec, options, label, classes)
+        return _fit(rows, spec, options, label, classes)
     finally:
         rows.unpersist()
-        if spread is not None:
-            spread.unpersist()
 
 
 def _fit(
@@ -59,7 +57,7 @@ def _fit(
         maxIter=options.max_iter, tol=options.tol,
     )
     weighted = df.withColumns({"__weight": weight, "__label": col(label).cast("double")})
-    return Pipeline(stages=[*feature_stages(fit), classifier]).fit(weighted)
+    return Pipeline(stages=[*feature_stages(fit, df.schema), classifier]).fit(weighted)
 
 
 def score(

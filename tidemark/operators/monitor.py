@@ -332,8 +332,13 @@ def retraining_decisions(
             }
         )
     cooldown = options.cooldown_minutes * 60_000_000
-    missing_target = "misconfigured" if not options.workflow_id else TRIGGERED
-    result = outcome if outcome is not None else F.lit(missing_target)
+    # the backend and its configuration come before what a delivery would answer
+    if options.backend == "disabled":
+        result = F.lit("disabled")
+    elif not options.workflow_id:
+        result = F.lit("misconfigured")
+    else:
+        result = outcome if outcome is not None else F.lit(TRIGGERED)
     timed = changes.withColumns(
         {"t": F.unix_micros("evaluated_at"), "__outcome": result.cast("string")}
     )
@@ -440,6 +445,11 @@ def drift_events(
         F.struct(
             "status", F.col("window_rows").alias("observed_sample_size"), "drifted_feature_count",
             "warning_feature_count", "max_feature_psi", "feature_results",
+            at.alias("evaluated_at_utc"),
+            F.lit(options.min_samples).alias("min_samples"),
+            F.lit(options.window_size).alias("window_size"),
+            F.lit(options.warning_threshold).alias("warning_threshold"),
+            F.lit(options.drift_threshold).alias("drift_threshold"),
         ).alias("evaluation"),
         F.when(F.col("trigger_status").isNotNull(), trigger).alias("retraining_trigger"),
     )

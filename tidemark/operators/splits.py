@@ -3,53 +3,61 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col
 from tidemark.options import SplitOptions
-from tidemark.plans.local import small_table
-from tidemark.plans.ordered import running
+from tidemark.plans.lookup import lookup_join
+from tidemark.plans.ordered import positions, running
+from tidemark.session import cut_lineage
 
-MAX_CLASSES = 10_000
 ROWS_PER_CELL = 200_000
 MAX_DIGITS = 6
 CELLS_PER_BLOCK = 65_536
 
 
-def _train_share(counts: Mapping, draws: int) -> dict:
-    """Largest-remainder shares of ``draws`` over the classes; ties go to the smaller class."""
-    total = sum(counts.values())
-    share = {c: n * draws // total for c, n in counts.items()}
-    by_remainder = sorted(counts, key=lambda c: (-(counts[c] * draws % total), c))
-    for c in by_remainder[: draws - sum(share.values())]:
-        share[c] += 1
-    return share
-
+def _held_out(classes: DataFrame, fraction: float, what: str) -> DataFrame:
+    """``label, held``: rows of each class that are held out of a split.
 
-def _held_out(counts: Mapping, fraction: float, what: str) -> dict:
-    total = sum(counts.values())
+    The rows kept are dealt by largest remainders, ties to the smaller class.
+    ``classes`` is ``label, n``; only totals come to the driver.
+    """
+    seen = classes.agg(F.sum("n").alias("rows"), F.count("n").alias("classes"), F.min("n").alias("least")).first()
+    total = seen["rows"] or 0
     held = math.ceil(total * fraction)
     kept = total - held
-    stratified = len(counts) > 1
     if held < 1 or kept < 1 or (
-        stratified and (min(counts.values()) < 2 or held < len(counts) or kept < len(counts))
+        seen["classes"] > 1
+        and (seen["least"] < 2 or held < seen["classes"] or kept < seen["classes"])
     ):
         raise ValueError(f"cannot take the {what} split: a class has too few rows")
-    train = _train_share(counts, kept)
-    return {c: counts[c] - train[c] for c in counts}
+    wide = "CAST(n AS DECIMAL(38, 0)) * CAST(%d AS DECIMAL(38, 0))" % kept
+    shares = classes.withColumns(
+        {
+            "share": F.expr(f"({wide}) div {total}").cast("bigint"),
+            "order": -F.expr(f"({wide}) % {total}").cast("bigint"),
+        }
+    )
+    left = kept - shares.agg(F.sum("share")).first()[0]
+    ranked = positions(shares, [], "order", "place", ties=["label"])
+    extra = (F.col("place") <= left).cast("bigint")
+    return ranked.select("label", (F.col("n") - F.col("share") - extra).alias("held"))
 
 
-def split_quotas(counts: Mapping, options: SplitOptions) -> dict:
-    """Class -> (test rows, validation rows)."""
-    test = _held_out(counts, options.test_size, "test")
+def split_quotas(classes: DataFrame, options: SplitOptions) -> DataFrame:
+    """``label, n, test, validation`` rows per class, from ``label, n``."""
+    test = _held_out(classes, options.test_size, "test")
+    quotas = classes.join(test.withColumnRenamed("held", "test"), "label")
     if options.validation_size == 0:
-        return {c: (test[c], 0) for c in counts}
-    pool = {c: counts[c] - test[c] for c in counts if counts[c] > test[c]}
-    validation = _held_out(pool, options.validation_size / (1 - options.test_size), "validation")
-    return {c: (test[c], validation.get(c, 0)) for c in counts}
+        return quotas.withColumn("validation", F.lit(0).cast("bigint"))
+    quotas = cut_lineage(quotas)
+    pool = quotas.filter(F.col("n") > F.col("test")).select("label", (F.col("n") - F.col("test")).alias("n"))
+    share = options.validation_size / (1 - options.test_size)
+    validation = _held_out(pool, share, "validation").withColumnRenamed("held", "validation")
+    return quotas.join(validation, "label", "left").withColumn(
+        "validation", F.coalesce("validation", F.lit(0).cast("bigint"))
+    )
 
 
 def _named(rank: Column, test: Column, validation: Column) -> Column:
@@ -74,52 +82,52 @@ def assign_splits(
     boundary cells of its class is decided by comparing digits, without any
     shuffle of rows; only boundary cells are ranked.
     """
-    counted = df.groupBy(col(label)).count().limit(MAX_CLASSES + 1).collect()
-    if len(counted) > MAX_CLASSES:
-        raise ValueError("too many classes to stratify by")
-    if not counted:
+    classes = cut_lineage(df.groupBy(col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")))
+    if classes.isEmpty():
         raise ValueError("cannot split an empty table")
-    quotas = split_quotas({r[0]: r["count"] for r in counted}, options)
-    largest = max(r["count"] for r in counted)
+    quotas = cut_lineage(split_quotas(classes, options))
+    sizes = quotas.agg(F.max("n").alias("largest"), F.count(F.lit(1)).alias("classes")).first()
     digits = 0
-    while digits < MAX_DIGITS and largest > rows_per_cell * 16**digits:
+    while digits < MAX_DIGITS and sizes["largest"] > rows_per_cell * 16**digits:
         digits += 1
 
-    spark = df.sparkSession
-    kind = df.schema[label].dataType.simpleString()
     hashed = df.withColumn(
         "__hash", F.md5(F.concat(F.lit(f"{options.seed}|"), col(row_id).cast("string")))
     ).withColumn("__cell", F.conv(F.substring("__hash", 1, digits), 16, 10).cast("bigint")
                  if digits else F.lit(0).cast("bigint"))
 
-    boundaries = {c: {} for c in quotas}
+    zero = F.lit(0).cast("bigint")
+    plan = quotas.select(
+        F.col("label").alias("__label"), F.col("test").alias("__test"), F.col("validation").alias("__val"),
+        (F.col("test") + F.col("validation")).alias("__both"),
+    )
     if digits:
         cells = hashed.groupBy(col(label).alias("label"), "__cell").agg(F.count(F.lit(1)).alias("n"))
         # hashes are uniform, so even steps over the cell numbers are even blocks
         steps = [float(c) for c in range(CELLS_PER_BLOCK, 16**digits, CELLS_PER_BLOCK)]
         upto = running(cells, ["label"], "__cell", {"upto": ("sum", "n")}, edges=steps)
-        limits = small_table(
-            spark, [(c, q) for c, (t, v) in quotas.items() for q in {t, t + v}], f"label {kind}, quota bigint"
+        wanted = quotas.select(
+            "label", F.explode(F.array_distinct(F.array(F.col("test"), F.col("test") + F.col("validation")))).alias("quota")
         )
-        # the quota table has two rows per class
-        hit = upto.join(F.broadcast(limits), "label").filter(
-            (F.col("quota") <= F.col("upto")) & (F.col("quota") > F.col("upto") - F.col("n"))
+        hit = cut_lineage(
+            lookup_join(upto, wanted, ["label"], spread_by=["__cell"], at_most=2 * sizes["classes"]).filter(
+                (F.col("quota") <= F.col("upto")) & (F.col("quota") > F.col("upto") - F.col("n"))
+            ).select("label", "quota", "__cell", (F.col("upto") - F.col("n")).alias("below"))
         )
-        for r in hit.collect():
-            boundaries[r["label"]][r["quota"]] = (r["__cell"], r["upto"] - r["n"])
-
-    rows = []
-    for c, (test, validation) in quotas.items():
-        first = boundaries[c].get(test, (-1, 0)) if digits else (0, 0)
-        second = boundaries[c].get(test + validation, (-1, 0)) if digits else (0, 0)
-        rows.append((c, test, validation, first[0], first[1], second[0], second[1]))
-    plan = small_table(
-        spark, rows,
-        f"__label {kind}, __test bigint, __val bigint, __c1 bigint, __b1 bigint, __c2 bigint, "
-        "__b2 bigint",
-    )
-    # one row per class, at most MAX_CLASSES
-    planned = hashed.join(F.broadcast(plan), col(label).eqNullSafe(F.col("__label")))
+        for k, quota in ((1, "__test"), (2, "__both")):
+            edge = hit.select(
+                F.col("label").alias("__l"), F.col("quota").alias("__q"),
+                F.col("__cell").alias(f"__c{k}"), F.col("below").alias(f"__b{k}"),
+            )
+            plan = plan.join(
+                edge, F.col("__label").eqNullSafe(F.col("__l")) & (F.col(quota) == F.col("__q")), "left"
+            ).drop("__l", "__q").withColumns(
+                {f"__c{k}": F.coalesce(f"__c{k}", F.lit(-1).cast("bigint")), f"__b{k}": F.coalesce(f"__b{k}", zero)}
+            )
+    else:
+        plan = plan.withColumns({"__c1": zero, "__b1": zero, "__c2": zero, "__b2": zero})
+    keyed = hashed.withColumn("__label", col(label))
+    planned = lookup_join(keyed, plan.drop("__both"), ["__label"], spread_by=["__hash"], at_most=sizes["classes"])
     cell = F.col("__cell")
     on_edge = (cell == F.col("__c1")) | (cell == F.col("__c2"))
     out = [col(c) for c in df.columns]

@@ -10,8 +10,9 @@ from pyspark.ml import Transformer
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.functions.columns import col
+from tidemark.functions.columns import col, numeric_sql
 from tidemark.operators.baseline import numeric_value
 from tidemark.options import FeatureSpec
 from tidemark.plans.quantiles import exact_quantiles
@@ -142,12 +143,18 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def feature_stages(fit: FeatureFit, output: str = "features") -> list[Transformer]:
-    """The fitted transform as ordinary pipeline stages, so it is saved with the model."""
+def feature_stages(
+    fit: FeatureFit, schema: T.StructType, output: str = "features"
+) -> list[Transformer]:
+    """The fitted transform as ordinary pipeline stages, so it is saved with the model.
+
+    ``schema`` is that of the rows the fit has seen: numbers are read by the same
+    rule when scoring.
+    """
     stages: list[Transformer] = []
     exprs, inputs = [], []
     for i, f in enumerate(fit.numeric):
-        value = f"nanvl(try_cast({_quoted(f.name)} AS DOUBLE), CAST(NULL AS DOUBLE))"
+        value = numeric_sql(f.name, schema[f.name].dataType)
         exprs.append(
             f"(coalesce({value}, {f.median!r}D) - ({f.mean!r}D)) / {f.divisor!r}D AS __num_{i}"
         )

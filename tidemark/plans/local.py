@@ -15,17 +15,17 @@ MAX_ROWS = 200_000
 def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
     """Table of a few rows that is part of the plan itself, so reading it takes no task.
 
-    For class counts, cut points and the like; refuses what has grown beyond that.
+    For class counts, cut points and the like; what has grown beyond that is dealt
+    out to tasks instead.
     """
-    if len(rows) > MAX_ROWS:
-        raise ValueError(f"{len(rows)} rows are not a small table")
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
     columns = [
         pa.array([_plain(r[i], f.dataType) for r in rows], type=arrow.field(i).type)
         for i, f in enumerate(kind.fields)
     ]
-    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema=kind)
+    table = spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema=kind)
+    return table if len(rows) <= MAX_ROWS else table.repartition(-(-len(rows) // MAX_ROWS))
 
 
 def _plain(value, kind: T.DataType):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,21 +30,13 @@ def build_session(app: str, master: str | None = None, shuffle_partitions: int |
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it.
-
-    Only a local master, where driver and executors share one machine, falls
-    back to a folder of its own; a cluster without the setting is an error.
-    """
+    """Folder every executor can reach, as the session names it; there is no other."""
     named = spark.conf.get(SHARED_DIR_SETTING, None) or spark.sparkContext.getConf().get(
         SHARED_DIR_SETTING, None
     )
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise RuntimeError(f"set {SHARED_DIR_SETTING} to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set(SHARED_DIR_SETTING, folder)
-    return folder
+    return named.rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -28,7 +29,9 @@ TRUE_WORDS = ("True", "TRUE", "true")
 FALSE_WORDS = ("False", "FALSE", "false")
 # ----------------------------------------------------------------------------
 
-CSV_SETTINGS = {"quote": '"', "escape": '"', "encoding": "UTF-8"}
+# an empty field is a value here, so that an empty field too many is seen
+CSV_SETTINGS = {"quote": '"', "escape": '"', "encoding": "UTF-8", "nullValue": "\x00", "mode": "PERMISSIVE"}
+OVERFLOW = "__overflow"
 
 
 def normalize_header(names: Sequence[str], renames: Mapping[str, str]) -> list[str]:
@@ -37,31 +40,81 @@ def normalize_header(names: Sequence[str], renames: Mapping[str, str]) -> list[s
     return [renames.get(n, n) for n in clean]
 
 
-def read_text_table(
-    spark: SparkSession, path: str, options: DatasetOptions, multiline: bool = False
-) -> DataFrame:
-    """Every column as text with missing tokens as null.
+def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files by their header line, read as text; the names are as written."""
+    first = F.min_by("value", "place")
+    lines = (
+        spark.read.text(path)
+        .select(
+            "value", F.col("_metadata.file_path").alias("file"),
+            F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
+        )
+        .filter(strip("value") != "")
+        .groupBy("file").agg(first.alias("header"))
+    )
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in lines.orderBy("file").collect():  # one row per file
+        names = next(csv.reader([row["header"].replace(BYTE_ORDER_MARK, "")]))
+        found.setdefault(tuple(names), []).append(row["file"])
+    return found
 
-    ``multiline`` allows line breaks inside quotes, at the price of files that
-    cannot be split between tasks.
-    """
-    settings = {**CSV_SETTINGS, "multiLine": str(multiline).lower()}
+
+def _checked_names(names: Sequence[str], renames: Mapping[str, str]) -> list[str]:
+    clean = normalize_header(names, renames)
+    repeated = sorted({n for n in clean if clean.count(n) > 1})
+    if repeated:
+        raise ContractError(f"column names repeat after normalization: {', '.join(repeated)}")
+    return clean
+
+
+def _text_rows(spark: SparkSession, path: str, options: DatasetOptions, multiline: bool) -> DataFrame:
+    """All files under the names of their own headers, with what exceeds the header in ``OVERFLOW``."""
+    settings = {**CSV_SETTINGS, "multiLine": str(multiline).lower(), "header": "true"}
     try:
-        first = spark.read.options(**settings).csv(path).head(1)
+        headers = _headers(spark, path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(f"dataset not found: {path}") from error
         raise
-    if not first:
+    if not headers:
         raise ContractError("the dataset is empty")
-    names = normalize_header(["" if v is None else v for v in first[0]], options.renames)
-    repeated = sorted({n for n in names if names.count(n) > 1})
-    if repeated:
-        raise ContractError(f"column names repeat after normalization: {', '.join(repeated)}")
-    # read by position, so the header as written plays no part
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    rows = spark.read.options(header="true", **settings).schema(schema).csv(path).toDF(*names)
-    return mark_missing(rows, options)
+    tables, columns = [], None
+    for written, files in headers.items():
+        names = _checked_names(written, options.renames)
+        columns = columns or names
+        if sorted(names) != sorted(columns):
+            raise ContractError(f"'{files[0]}' has other columns than the files before it")
+        # read by position, so the header as written plays no part
+        fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)]
+        rows = spark.read.options(**settings).schema(T.StructType(fields))
+        tables.append(rows.csv(path if len(headers) == 1 else files).toDF(*names, OVERFLOW))
+    whole = tables[0]
+    for table in tables[1:]:
+        whole = whole.unionByName(table)
+    return whole
+
+
+def oversized_rows(
+    spark: SparkSession, path: str, options: DatasetOptions, multiline: bool = True
+) -> DataFrame:
+    """Rows that have more fields than their header has names."""
+    return _text_rows(spark, path, options, multiline).filter(F.col(OVERFLOW).isNotNull()).drop(OVERFLOW)
+
+
+def read_text_table(
+    spark: SparkSession, path: str, options: DatasetOptions, multiline: bool = True
+) -> DataFrame:
+    """Every column as text with missing tokens as null.
+
+    Each file is read under its own header; files may order their columns
+    differently. A row with more fields than names is an error. Line breaks in
+    quotes are part of a value; ``multiline=False`` is for files known to have
+    none, and lets tasks share a file.
+    """
+    rows = _text_rows(spark, path, options, multiline)
+    if rows.filter(F.col(OVERFLOW).isNotNull()).limit(1).count():
+        raise ContractError(f"a row has more than {len(rows.columns) - 1} fields")
+    return mark_missing(rows.drop(OVERFLOW), options)
 
 
 def mark_missing(df: DataFrame, options: DatasetOptions) -> DataFrame:
@@ -113,7 +166,7 @@ def apply_types(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
 
 
 def read_dataset(
-    spark: SparkSession, path: str, options: DatasetOptions, multiline: bool = False
+    spark: SparkSession, path: str, options: DatasetOptions, multiline: bool = True
 ) -> DataFrame:
     """Delimited file with normalized names, missing tokens as null and inferred types."""
     text = read_text_table(spark, path, options, multiline)

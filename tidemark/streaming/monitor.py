@@ -59,12 +59,21 @@ class MonitorStream:
         df.write.mode("overwrite").parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
+    def _before(self, spark, table: str, batch: int) -> DataFrame | None:
+        """What the previous micro-batch wrote; only the first one starts without."""
+        if batch == 0:
+            return None
+        found = read_if_present(spark, self._path(table, batch - 1))
+        if found is None:
+            raise FileNotFoundError(f"{self._path(table, batch - 1)} is lost; monitors cannot go on without it")
+        return found
+
     def process(self, rows: DataFrame, batch: int) -> None:
         """Handle one micro-batch; also callable by hand on a batch table."""
         spark = rows.sparkSession
         names = [KEY, BATCH, SEQ, AT, *[c for c in self.spec.all if c in rows.columns]]
-        window = read_if_present(spark, self._path("window", batch - 1)) if batch > 0 else None
-        state = read_if_present(spark, self._path("state", batch - 1)) if batch > 0 else None
+        window = self._before(spark, "window", batch)
+        state = self._before(spark, "state", batch)
         known = self.baselines.select(KEY).distinct()
         fresh = lookup_join(rows.select(*names), known, [KEY], "left_semi").persist()
         try:

@@ -243,18 +243,15 @@ def _aliases(registered):
 @query(
     "new_versions",
     f"""WITH {_VERSIONS}, last AS (SELECT model_name, max(version) AS v FROM versions GROUP BY 1),
-        best AS (SELECT * FROM promoted WHERE status = 'registered'
-                 QUALIFY row_number() OVER (PARTITION BY model_name ORDER BY run_id) = 1)
-    SELECT b.model_name, coalesce(v, 0) + 1 AS version, run_id, 'f1' AS metric_name, 'validation' AS metric_split,
+        best AS (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY run_id) AS place
+                 FROM promoted WHERE status = 'registered')
+    SELECT b.model_name, coalesce(v, 0) + place AS version, run_id, 'f1' AS metric_name, 'validation' AS metric_split,
            round(candidate_metric, 6) AS candidate_metric
     FROM best b LEFT JOIN last l ON l.model_name = b.model_name""",
 )
 def new_versions(spark, sf):
-    """The first promoted run of every model becomes its next version."""
-    promoted = _promoted(spark, sf).filter("registered")
-    first = promoted.groupBy("model_name").agg(F.min("run_id").alias("run_id"))
-    chosen = promoted.join(first, ["model_name", "run_id"], "left_semi")
-    return lg.new_versions(chosen, versions(spark, sf), REGISTRY).withColumn(
+    """All promoted runs of a model become its next versions, one after the other."""
+    return lg.new_versions(_promoted(spark, sf), versions(spark, sf), REGISTRY).withColumn(
         "candidate_metric", F.round("candidate_metric", 6)
     )
 
@@ -265,24 +262,31 @@ def new_versions(spark, sf):
     + """, al AS (SELECT model_name, 'live' AS alias, max(version) AS version FROM reg GROUP BY 1
                   UNION ALL SELECT model_name, 'first', min(version) FROM reg GROUP BY 1),
          rq AS (SELECT DISTINCT model_name, 'live' AS alias, CAST(NULL AS BIGINT) AS pinned_version FROM runs
-                UNION ALL SELECT DISTINCT model_name, NULL, CAST(2 AS BIGINT) FROM runs)
+                UNION ALL SELECT DISTINCT model_name, 'absent', CAST(NULL AS BIGINT) FROM runs
+                UNION ALL SELECT DISTINCT model_name, NULL, CAST(2 AS BIGINT) FROM runs
+                UNION ALL SELECT DISTINCT model_name, NULL, CAST(1000000 AS BIGINT) FROM runs)
          SELECT rq.model_name, rq.alias, rq.pinned_version, reg.version, reg.run_id,
-                'models:/' || rq.model_name || CASE WHEN rq.alias IS NOT NULL THEN '@' || rq.alias
-                  ELSE '/' || rq.pinned_version END AS model_uri
+                CASE WHEN reg.version IS NOT NULL THEN
+                  'models:/' || rq.model_name || CASE WHEN rq.alias IS NOT NULL THEN '@' || rq.alias
+                  ELSE '/' || rq.pinned_version END END AS model_uri,
+                reg.version IS NOT NULL AS found
          FROM rq LEFT JOIN al ON al.model_name = rq.model_name AND al.alias = rq.alias
-         JOIN reg ON reg.model_name = rq.model_name AND reg.version = coalesce(rq.pinned_version, al.version)""",
+         LEFT JOIN reg ON reg.model_name = rq.model_name AND reg.version = coalesce(rq.pinned_version, al.version)""",
 )
 def resolve_model(spark, sf):
+    """Requests by alias and by version; some name nothing that is registered."""
     registered = _registered(spark, sf)
     names = runs(spark, sf).select("model_name").distinct()
     kinds = F.explode(
         F.array(
             F.struct(F.lit("live").alias("alias"), F.lit(None).cast("bigint").alias("pinned_version")),
+            F.struct(F.lit("absent").alias("alias"), F.lit(None).cast("bigint").alias("pinned_version")),
             F.struct(F.lit(None).cast("string").alias("alias"), F.lit(2).cast("bigint").alias("pinned_version")),
+            F.struct(F.lit(None).cast("string").alias("alias"), F.lit(1000000).cast("bigint").alias("pinned_version")),
         )
     )
     requests = names.withColumn("r", kinds).select("model_name", "r.*")
-    return lg.resolve_models(requests, registered, _aliases(registered))
+    return lg.resolve_models(requests, registered, _aliases(registered), strict=False)
 
 
 def _models(spark, sf):
@@ -305,22 +309,29 @@ def latest_run(spark, sf):
     """
     WITH k AS (SELECT DISTINCT s_nationkey AS nation FROM supplier),
     b AS (SELECT c_nationkey AS nation, count(*) AS sample_size, max(c_acctbal) AS max_value FROM customer
-          WHERE c_nationkey < 20 GROUP BY 1)
-    SELECT 'run_' || k.nation AS monitor_key, b.sample_size, b.max_value
-    FROM k LEFT JOIN b ON b.nation = k.nation
+          WHERE c_nationkey < 15 GROUP BY 1),
+    t AS (SELECT c_nationkey AS nation, count(*) AS sample_size, min(c_acctbal) AS max_value FROM customer
+          WHERE c_nationkey BETWEEN 10 AND 19 GROUP BY 1)
+    SELECT 'run_' || k.nation AS monitor_key, CASE WHEN b.nation IS NULL THEN t.sample_size ELSE b.sample_size END AS sample_size,
+           CASE WHEN b.nation IS NULL THEN t.max_value ELSE b.max_value END AS max_value,
+           CASE WHEN b.nation IS NOT NULL THEN 'local' WHEN t.nation IS NOT NULL THEN 'tracked' END AS baseline_source
+    FROM k LEFT JOIN b ON b.nation = k.nation LEFT JOIN t ON t.nation = k.nation
     """,
 )
 def baseline_lookup(spark, sf):
+    """Local baselines first, then tracked ones, then none."""
     key = F.concat(F.lit("run_"), F.col("nation").cast("string"))
     models = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation")).distinct()
-    stats = (
-        table(spark, sf, "customer").filter(F.col("c_nationkey") < 20)
-        .groupBy(F.col("c_nationkey").alias("nation"))
-        .agg(F.count(F.lit(1)).alias("sample_size"), F.max("c_acctbal").alias("max_value"))
-    )
+    customer = table(spark, sf, "customer").withColumn("nation", F.col("c_nationkey"))
+
+    def stats(rows, value):
+        found = rows.groupBy("nation").agg(F.count(F.lit(1)).alias("sample_size"), value.alias("max_value"))
+        return found.select(key.alias("monitor_key"), "sample_size", "max_value")
+
     return lg.baseline_for_models(
         models.select(key.alias("monitor_key")),
-        stats.select(key.alias("monitor_key"), "sample_size", "max_value"), ["monitor_key"],
+        stats(customer.filter("nation < 15"), F.max("c_acctbal")), ["monitor_key"],
+        stats(customer.filter("nation BETWEEN 10 AND 19"), F.min("c_acctbal")),
     )
 
 
