@@ -118,11 +118,14 @@ def contract_violations(df: DataFrame, options: DatasetOptions) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("label").isNull(), F.col("row_count"))), F.lit(0)).alias("missing"),
         F.coalesce(F.sum("row_count"), F.lit(0)).alias("rows"),
     )
+    def broken(rule: str, when: Column, detail: str | Column) -> Column:
+        text = F.lit(detail) if isinstance(detail, str) else detail.cast("string")
+        return F.when(when, F.struct(F.lit(rule).alias("rule"), text.alias("detail")))
+
     rules = [
-        F.when(F.col("rows") == 0, F.struct(F.lit("empty").alias("rule"), F.lit("0").alias("detail"))),
-        F.when(F.col("missing") > 0, F.struct(F.lit("missing_target"), F.col("missing").cast("string"))),
-        F.when((F.col("rows") > 0) & (F.col("classes") < 2),
-               F.struct(F.lit("two_classes"), F.col("classes").cast("string"))),
+        broken("empty", F.col("rows") == 0, "0"),
+        broken("missing_target", F.col("missing") > 0, F.col("missing")),
+        broken("two_classes", (F.col("rows") > 0) & (F.col("classes") < 2), F.col("classes")),
     ]
     of_target = seen.select(F.inline(F.array_compact(F.array(*rules)))).select(
         F.lit("data.target_column").alias("section"), "rule", "detail"

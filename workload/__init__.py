@@ -39,6 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def load_all() -> None:
     from workload import (  # noqa: F401
         drift_queries,
+        edge_queries,
         ledger_queries,
         model_queries,
         monitor_queries,
