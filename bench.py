@@ -20,7 +20,8 @@ HEADLINE = (
     "impute_onehot", "auc_ap", "classification_metrics", "cut_points", "baseline_numeric",
     "baseline_categorical", "drift_report", "drift_status", "rolling_window", "monitor_evaluations",
     "monitor_events", "request_counts", "latency_p95", "request_rate", "probability_rate",
-    "promotion_history", "train_score",
+    "promotion_history", "train_score", "split_assign_many_classes", "auc_ap_blocks",
+    "retraining_decisions_blocks", "monitor_stream", "request_rate_stream",
 )
 
 

@@ -320,17 +320,19 @@ def retraining_failures(spark, sf):
 
 
 def run_monitor_stream(spark, sf, chunks=3, **settings):
-    """Stream the observations in ``chunks`` files through the monitor; returns its folder."""
+    """Stream the observations in ``chunks`` appends through the monitor; returns its folder."""
     source, root = new_folder(spark, "observations"), new_folder(spark, "monitor")
     rows = observations(spark, sf)
     last = rows.agg(F.max(BATCH).alias("b")).first()["b"]
     step = -(-(last + 1) // chunks)
+    monitor = MonitorStream(root, baselines(spark, sf), SPEC, OPTIONS, RETRAINING, **settings)
+    progress = new_folder(spark, "stream-checkpoint")
     for i in range(chunks):
         part = rows.filter((F.col(BATCH) >= i * step) & (F.col(BATCH) < (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(source)
-    monitor = MonitorStream(root, baselines(spark, sf), SPEC, OPTIONS, RETRAINING, **settings)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    monitor.start(stream, new_folder(spark, "stream-checkpoint")).awaitTermination()
+        part.write.mode("append").parquet(source)
+        # the stream takes all that is new as one micro-batch and goes on from where it was
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        monitor.start(stream, progress).awaitTermination()
     return root
 
 
