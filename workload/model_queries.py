@@ -298,3 +298,63 @@ def document_quality_model(spark, sf):
     return score(model, split).select(
         "doc_id", "split", "label", "predicted_class", F.round("probability", 6).alias("probability")
     )
+
+
+_NEWTON_SQL = """
+    WITH RECURSIVE y AS (
+      SELECT l_quantity, CAST(l_extendedprice * (1 - l_discount) > 45000 AS INT) AS y FROM lineitem),
+    s AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS sd, CAST(count(*) AS DOUBLE) AS total,
+                 CAST(sum(y) AS DOUBLE) AS positive FROM y),
+    g AS (SELECT l_quantity, (l_quantity - any_value(m)) / any_value(sd) AS z, count(*) AS row_count,
+                 sum(y) AS positives,
+                 sum(y) * any_value(total) / (2 * any_value(positive)) AS a,
+                 sum(1 - y) * any_value(total) / (2 * (any_value(total) - any_value(positive))) AS b
+          FROM y, s GROUP BY l_quantity),
+    n AS (
+      SELECT 0 AS i, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1
+      UNION ALL
+      SELECT i + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01),
+             b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+      FROM (SELECT i, b0, b1, sum((a + b) * p - a) AS g0, sum(((a + b) * p - a) * z) + b1 AS g1,
+                   sum((a + b) * p * (1 - p)) AS h00, sum((a + b) * p * (1 - p) * z) AS h01,
+                   sum((a + b) * p * (1 - p) * z * z) + 1 AS h11
+            FROM (SELECT i, b0, b1, a, b, z, 1 / (1 + exp(-(b0 + b1 * z))) AS p FROM n, g) GROUP BY i, b0, b1)
+      WHERE i < 25),
+    f AS (SELECT l_quantity, row_count, positives, 1 / (1 + exp(-(b0 + b1 * z))) AS p FROM g, n WHERE i = 25)
+"""
+
+
+def _quantity_model(spark, sf):
+    """A classifier of one feature, which SQL can solve by Newton steps."""
+    lines = _returned_lines(spark, sf).select("l_quantity", "label")
+    options = ModelOptions(tol=1e-10)
+    return score(train(lines, FeatureSpec(("l_quantity",), ()), options), lines, options)
+
+
+@query(
+    "trained_probabilities",
+    _NEWTON_SQL
+    + """SELECT l_quantity, row_count, round(p, 3) AS probability, CAST(p > 0.5 AS INT) AS predicted_class FROM f""",
+)
+def trained_probabilities(spark, sf):
+    scored = _quantity_model(spark, sf)
+    return scored.groupBy("l_quantity", "predicted_class").agg(
+        F.count(F.lit(1)).alias("row_count"), F.round(F.max("probability"), 3).alias("probability")
+    )
+
+
+@query(
+    "trained_confusion",
+    _NEWTON_SQL
+    + """, c AS (SELECT sum(row_count) AS n, sum(positives) FILTER (p > 0.5) AS tp,
+                        sum(row_count - positives) FILTER (p > 0.5) AS fp,
+                        sum(positives) FILTER (p <= 0.5) AS fn, sum(row_count - positives) FILTER (p <= 0.5) AS tn FROM f)
+         SELECT 'all' AS split, CAST(n AS BIGINT) AS support, CAST(tn AS BIGINT) AS true_negatives,
+                CAST(fp AS BIGINT) AS false_positives, CAST(fn AS BIGINT) AS false_negatives,
+                CAST(tp AS BIGINT) AS true_positives, round((tp + tn) / n, 9) AS accuracy,
+                round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall,
+                round(2 * tp / (2 * tp + fp + fn), 9) AS f1 FROM c""",
+)
+def trained_confusion(spark, sf):
+    scored = _quantity_model(spark, sf).withColumn("split", F.lit("all"))
+    return _rounded(confusion_metrics(scored, ["split"]), _RATIOS)
