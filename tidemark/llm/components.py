@@ -9,31 +9,32 @@ from tidemark.session import cut_lineage
 
 
 def _any(df: DataFrame) -> bool:
-    return bool(df.take(1))
+    return df.limit(1).count() > 0
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``id, component`` of every end of an edge: the smallest id it reaches.
 
-    ``edges`` has the long columns ``a`` and ``b``; order, repeats and loops do
-    not matter. Every node hooks to its smallest neighbour, pointer jumping
+    ``edges`` is a stored table with the long columns ``a`` and ``b``; order,
+    repeats and loops do not matter. Every node hooks to its smallest neighbour, pointer jumping
     flattens the trees, the edges between trees are the next level. A level
     with edges left at least halves the trees that have any, so the number of
     joins grows with the logarithm of the nodes. No group is gathered: only
     minima are taken, and the joins can be split where a hub is hot.
     """
-    edges = cut_lineage(edges.filter("a <> b").select("a", "b").distinct())
+    edges = edges.filter("a <> b").select("a", "b")
     levels: list[DataFrame] = []
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = cut_lineage(
             both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least"))
             .select("id", F.least("id", "least").alias("up")))
-        while True:
-            above = parent.select(F.col("id").alias("up"), F.col("up").alias("top"))
-            moved = cut_lineage(parent.join(above, "up").select("id", "up", "top"))
+        while True:  # two jumps at a time
+            above = parent.select(F.col("id").alias("up"), F.col("up").alias("high"))
+            higher = parent.select(F.col("id").alias("high"), F.col("up").alias("top"))
+            moved = cut_lineage(parent.join(above, "up").join(higher, "high").select("id", "high", "top"))
             parent = moved.select("id", F.col("top").alias("up"))
-            if not _any(moved.filter("up <> top")):
+            if not _any(moved.filter("high <> top")):
                 break
         levels.append(parent)
         root_a = parent.select(F.col("id").alias("a"), F.col("up").alias("ra"))
@@ -48,4 +49,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         below = levels.pop()
         upper = found.select(F.col("id").alias("up"), F.col("up").alias("root"))
         found = below.join(upper, "up", "left").select("id", F.coalesce("root", "up").alias("up"))
-    return cut_lineage(found.select("id", F.col("up").alias("component")))
+    return found.select("id", F.col("up").alias("component"))

@@ -3,18 +3,20 @@
 Shingles are runs of five words. A shingle weighs its count in the text times
 the mean inverse document frequency of its words; document frequencies are
 counted over all documents, in a table of 65,536 hashed words whose size does
-not grow. Each text gets 42 weighted samples; 14 bands of three samples
-propose pairs, and a pair is linked when the weighted Jaccard similarity of
-its shingles, computed from the whole texts, is 0.8 or more. A pair of that
-similarity shares no band with probability (1 - 0.8^3)^14 < 5e-5.
+not grow. Each text gets 72 weighted samples; 18 bands of four samples group
+texts, and a pair is linked when the weighted Jaccard similarity of its
+shingles, computed from the whole texts, is 0.8 or more. A pair of that
+similarity shares no band with probability (1 - 0.8^4)^18 < 1e-4.
 
 Texts with the same words in the same order are one class from the start and
-stand in for each other. In a band, members are compared with one leader, the
-ones that stay apart with a second, and then every pair of members that are
-still in different groups is compared, whatever their number: copies of one
-text cost a comparison each, and no link between groups is left untested.
-Pairs whose 42 samples agree in fewer than 21 places are not computed: at a
-similarity of 0.8 that happens with probability below 1e-5.
+stand in for each other. Inside a band the samples of all members are compared
+in tasks, in blocks that meet in pairs, so a large group is spread and no pair
+leaves a task without need. Pairs are then computed in two rounds: for each
+member the most similar one before it in its band, and then every pair whose
+ends are not connected by that, whatever their number. Pairs whose
+samples agree in fewer than 46 of 72 places are not computed: at a similarity
+of 0.8 that happens with probability below 1e-3, and only matters where no
+other link connects the two.
 
 Defined results: a text of one to four words is a single shingle; null texts
 and texts without words link with nothing. Rows that share an id are one
@@ -33,19 +35,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MIX_A, MIX_B, mix64, pieces, signed, written
+from tidemark.llm.common import MIX_A, meet_in_blocks, mix64, pairs_in_runs, pieces, signed, written
 from tidemark.llm.components import connected_components
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-BANDS = 14
-ROWS = 3
+BANDS = 18
+ROWS = 4
 SAMPLES = BANDS * ROWS
 #: Samples that must agree before a pair is computed exactly.
-LEAST_AGREEING = SAMPLES // 2
+LEAST_AGREEING = 46
+BLOCK_ROWS = 1024
+SHARD_ROWS = 20_000
 WORD_BUCKETS = 1 << 16
 #: Words a task remembers the hash of; beyond it the memory starts anew.
 REMEMBERED_WORDS = 1 << 19
+#: Shingles of texts a task remembers while it compares them.
+REMEMBERED_SHINGLES = 1 << 22
 _WORD = re.compile(r"\w+")
 _STEP = 4096
 
@@ -120,13 +126,13 @@ class _Draws:
 
 
 def _draws() -> _Draws:
-    # quantiles of Gamma(2, 1) by Newton steps on 1 - (1 + x) exp(-x)
-    share = (np.arange(4096) + 0.5) / 4096
-    x = np.full(4096, 1.5)
+    # quantiles of Gamma(2, 1) by damped Newton steps on 1 - (1 + x) exp(-x)
+    share = (np.arange(1024) + 0.5) / 1024
+    x = np.full(1024, 1.5)
     for _ in range(200):
         x = np.clip(x - (1 - (1 + x) * np.exp(-x) - share) / np.maximum(x * np.exp(-x), 1e-12) * 0.5, 1e-4, 40)
-    odd = mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(MIX_A)) | np.uint64(1)
-    return _Draws(x.astype(np.float32), np.log(x).astype(np.float32), odd)
+    odd = mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(MIX_A)) >> np.uint64(32)
+    return _Draws(x.astype(np.float32), np.log(x).astype(np.float32), odd.astype(np.uint32)[:, None] | np.uint32(1))
 
 
 _DRAWS = _draws()
@@ -134,27 +140,29 @@ _DRAWS = _draws()
 
 def weighted_samples(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """One 64-bit value per hash function; equal with the probability of the weighted Jaccard similarity."""
-    log_weight = np.log(weights.astype(np.float64)).astype(np.float32)[:, None]
+    log_weight = np.log(weights.astype(np.float64)).astype(np.float32)
     best = np.full(SAMPLES, np.inf, np.float32)
     drawn = np.zeros(SAMPLES, np.uint64)
-    column = np.arange(SAMPLES)
+    row = np.arange(SAMPLES)
     for start in range(0, len(shingles), _STEP):
         part = shingles[start : start + _STEP]
-        with np.errstate(over="ignore"):
-            z = part[:, None] * _DRAWS.odd[None, :]
-            z ^= z >> np.uint64(29)
-            z *= np.uint64(MIX_B)
-        r = _DRAWS.gamma[(z >> np.uint64(52)).astype(np.int64)]
-        log_c = _DRAWS.log_gamma[((z >> np.uint64(40)) & np.uint64(4095)).astype(np.int64)]
-        beta = (z & np.uint64(0xFFFFFF)).astype(np.float32) * np.float32(2**-24)
+        # 32 fresh bits per hash function and shingle: 10 choose r, 10 choose c, 12 are beta
+        z = _DRAWS.odd * (part >> np.uint64(32)).astype(np.uint32)
+        z ^= z >> np.uint32(15)
+        z *= np.uint32(0x2C1B3C6D)
+        z ^= z >> np.uint32(12)
+        r = _DRAWS.gamma.take((z >> np.uint32(22)).astype(np.intp), mode="clip")
+        log_c = _DRAWS.log_gamma.take(((z >> np.uint32(12)) & np.uint32(1023)).astype(np.intp), mode="clip")
+        beta = (z & np.uint32(4095)).astype(np.float32) * np.float32(2**-12)
         t = np.floor(log_weight[start : start + _STEP] / r + beta)
-        rank = log_c - r * (t - beta) - r
-        at = rank.argmin(axis=0)
-        value = rank[at, column]
+        # ln a = ln c - r (t - beta) - r
+        rank = (beta - t - np.float32(1)) * r + log_c
+        at = rank.argmin(axis=1)
+        value = rank[row, at]
         better = value < best
         best[better] = value[better]
         with np.errstate(over="ignore"):
-            key = mix64(part[at] ^ (t[at, column].astype(np.int64).view(np.uint64) * np.uint64(MIX_A)))
+            key = mix64(part[at] ^ (t[row, at].astype(np.int64).view(np.uint64) * np.uint64(MIX_A)))
         drawn[better] = key[better]
     return drawn
 
@@ -199,30 +207,73 @@ def _signatures(texts: DataFrame, idf) -> DataFrame:
     return texts.mapInPandas(run, "id long, class_key binary, samples array<int>, bands array<long>")
 
 
-def _agreeing(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
-    """The pairs whose samples agree often enough to be worth computing."""
-    x = drawn.select(F.col("id").alias("x"), F.col("samples").alias("sx"))
-    y = drawn.select(F.col("id").alias("y"), F.col("samples").alias("sy"))
-    same = F.size(F.filter(F.zip_with("sx", "sy", lambda p, q: p == q), lambda e: e))
-    return pairs.join(x, "x").join(y, "y").filter(same >= LEAST_AGREEING).select("x", "y")
+def _proposed(rows: pd.DataFrame, how: str) -> pd.DataFrame:
+    """Pairs of a shard whose samples agree often enough and whose components differ.
+
+    ``how`` is ``earlier`` (for each member the best of those before it) or ``all``.
+    """
+    rows = rows.sort_values(["key", "one", "two", "id"])
+    ids, at = np.unique(rows["id"].to_numpy(), return_inverse=True)
+    first = np.zeros(len(ids), np.int64)
+    first[at[::-1]] = np.arange(len(rows))[::-1]
+    samples = np.array(rows["samples"].iloc[first].tolist(), np.int32).reshape(-1, SAMPLES)
+    component = rows["component"].to_numpy()[first]
+    group = rows.groupby(["key", "one", "two"], sort=False).ngroup().to_numpy()
+    side = np.where(rows["one"] != rows["two"], rows["mine"], -1)
+    band = rows["band"].to_numpy()
+    out = []
+    for p, q in pairs_in_runs(group, side):
+        i, j = at[p], at[q]
+        apart = component[i] != component[j]
+        i, j = i[apart], j[apart]
+        equal = samples[i] == samples[j]
+        agree = equal.sum(axis=1)
+        enough = agree >= LEAST_AGREEING
+        if how == "all":  # the first band that two texts share speaks for them
+            enough &= equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[p[apart]]
+        out.append(_best(pd.DataFrame({"x": ids[i[enough]], "y": ids[j[enough]], "agree": agree[enough]}), how))
+    found = _best(pd.concat(out), how) if out else pd.DataFrame(columns=["x", "y"], dtype="int64")
+    return found[["x", "y"]].drop_duplicates()
+
+
+def _best(found: pd.DataFrame, how: str) -> pd.DataFrame:
+    if how == "all":
+        return found
+    return found.sort_values(["agree", "x", "y"], ascending=[False, True, True]).drop_duplicates(["y"])
+
+
+def _propose(met: DataFrame, rooted: DataFrame | None, how: str) -> DataFrame:
+    """Distinct pairs ``x`` < ``y`` out of all bands, of members that are not connected yet."""
+    if rooted is None:
+        placed = met.withColumn("component", F.col("id"))
+    else:
+        placed = met.join(rooted, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
+            .filter("lo < hi").select("key")
+        placed = placed.join(mixed, "key", "left_semi")
+    shards = F.lit(max(1, -(-met.count() // SHARD_ROWS)))
+    return placed.groupBy(F.pmod(F.xxhash64("key", "one", "two"), shards).alias("shard")).applyInPandas(
+        lambda rows: _proposed(rows, how), "x long, y long").distinct()
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
     """The pairs whose weighted Jaccard similarity is at least ``similarity``, as ``a, b``."""
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    needed = written(texts.join(ends, "id", "left_semi"), "near-texts")
-    first = needed.select(F.col("id").alias("x"), F.col("text").alias("tx"))
-    second = needed.select(F.col("id").alias("y"), F.col("text").alias("ty"))
+    first = texts.select(F.col("id").alias("x"), F.col("text").alias("tx"))
+    second = texts.select(F.col("id").alias("y"), F.col("text").alias("ty"))
 
     def run(batches):
         weights = idf.value
         remembered: dict[int, tuple] = {}
+        held = 0
 
         def vector(key: int, text: str):
+            nonlocal held
             if key not in remembered:
-                if len(remembered) >= 64:
+                if held >= REMEMBERED_SHINGLES:
                     remembered.clear()
+                    held = 0
                 remembered[key] = shingle_weights(word_codes(text), weights)
+                held += len(remembered[key][0])
             return remembered[key]
 
         for batch in pieces(batches):
@@ -246,46 +297,25 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, similarity: float =
     exact = written(
         signed_rows.filter("class_key is not null").groupBy("class_key").agg(F.min("id").alias("rep")),
         "near-exact")
-    members = written(
-        signed_rows.select("id", "class_key").join(exact, "class_key", "left")
-        .select("id", F.coalesce("rep", "id").alias("rep")), "near-members")
+    members = signed_rows.select("id", "class_key").join(exact, "class_key", "left") \
+        .select("id", F.coalesce("rep", "id").alias("rep"))
     drawn = written(
         signed_rows.join(exact, "class_key").filter("id = rep").dropDuplicates(["id", "class_key"])
         .select("id", "samples", "bands"), "near-drawn")
-    banded = drawn.select("id", F.explode("bands").alias("key"))
-    shared = written(
-        banded.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n"))
-        .filter("n > 1").select("key", "leader"), "near-bands")
-    grouped = written(banded.join(shared, "key").select("key", "id", "leader"), "near-banded")
-
-    star = written(_agreeing(
-        grouped.filter("id <> leader").select(F.col("leader").alias("x"), F.col("id").alias("y")).distinct(),
-        drawn), "near-pairs")
-    links = _linked(star, texts, idf, similarity)
-    rooted = connected_components(links)
-    for last in (False, True):
-        placed = grouped.select("key", "id").join(rooted, "id", "left") \
-            .select("key", "id", F.coalesce("component", "id").alias("component"))
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
-            .filter("lo < hi").select("key")
-        placed = written(placed.join(written(open_keys, "near-open"), "key", "left_semi"), "near-placed")
-        sizes = placed.groupBy("key", "component").agg(
-            F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id"), "id")).alias("second"))
-        main = written(sizes.groupBy("key").agg(
-            F.max_by("component", F.struct("n", "component")).alias("main"),
-            F.max_by("second.id", F.struct("n", "component")).alias("second")), "near-main")
-        minor = placed.join(main, "key").filter("component <> main")
-        if last:
-            other = placed.select("key", F.col("id").alias("other"), F.col("component").alias("theirs"))
-            apart = minor.select("key", "id", "component").join(other, "key").filter("component <> theirs")
-        else:
-            apart = minor.select("id", F.col("second").alias("other"))
-        pairs = apart.select(F.least("id", "other").alias("x"), F.greatest("id", "other").alias("y")).distinct()
-        more = _linked(written(_agreeing(pairs, drawn).join(star, ["x", "y"], "left_anti"), "near-pairs"),
-                       texts, idf, similarity)
-        links = links.unionByName(more)
-        rooted = connected_components(links)
-
+    banded = drawn.select("id", F.posexplode("bands").alias("band", "key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = meet_in_blocks(banded.join(shared, "key"), "n", "id", BLOCK_ROWS).select(
+        "key", "band", "id", "mine", "one", "two")
+    met = written(met.join(drawn.select("id", "samples"), "id"), "near-met")
+    # a text that repeats under its id is needed once
+    bound = written(texts.join(met.select("id").distinct(), "id", "left_semi").groupBy("id").agg(
+        F.collect_set("text").alias("texts")).select("id", F.explode("texts").alias("text")), "near-texts")
+
+    pairs = written(_propose(met, None, "earlier"), "near-pairs")
+    links = _linked(pairs, bound, idf, similarity)
+    rest = _propose(met, connected_components(links), "all").join(pairs, ["x", "y"], "left_anti")
+    more = _linked(written(rest, "near-pairs"), bound, idf, similarity)
+    rooted = connected_components(links.unionByName(more))
     root = rooted.select(F.col("id").alias("rep"), "component")
     return (members.join(root, "rep", "left").groupBy("id")
             .agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
