@@ -11,9 +11,10 @@ similarity shares no band with probability (1 - 0.8^4)^18 < 1e-4.
 Texts with the same words in the same order are one class from the start and
 stand in for each other. Inside a band the samples of all members are compared
 in tasks, in blocks that meet in pairs, so a large group is spread and no pair
-leaves a task without need. Pairs are then computed in two rounds: for each
-member the most similar one before it in its band, and then every pair whose
-ends are not connected by that, whatever their number. Pairs whose
+leaves a task without need. Pairs are then computed in three rounds: for each
+member the most similar one before it in its band; for each member the most
+similar one it is not connected with; and then every pair whose ends are not
+connected by that, whatever their number. Pairs whose
 samples agree in fewer than 46 of 72 places are not computed: at a similarity
 of 0.8 that happens with probability below 1e-3, and only matters where no
 other link connects the two.
@@ -210,7 +211,8 @@ def _signatures(texts: DataFrame, idf) -> DataFrame:
 def _proposed(rows: pd.DataFrame, how: str) -> pd.DataFrame:
     """Pairs of a shard whose samples agree often enough and whose components differ.
 
-    ``how`` is ``earlier`` (for each member the best of those before it) or ``all``.
+    ``how`` is ``earlier`` (for each member the best of those before it), ``best`` (for
+    each member the best of all) or ``all``.
     """
     rows = rows.sort_values(["key", "one", "two", "id"])
     ids, at = np.unique(rows["id"].to_numpy(), return_inverse=True)
@@ -239,7 +241,10 @@ def _proposed(rows: pd.DataFrame, how: str) -> pd.DataFrame:
 def _best(found: pd.DataFrame, how: str) -> pd.DataFrame:
     if how == "all":
         return found
-    return found.sort_values(["agree", "x", "y"], ascending=[False, True, True]).drop_duplicates(["y"])
+    ranked = found.sort_values(["agree", "x", "y"], ascending=[False, True, True])
+    if how == "earlier":
+        return ranked.drop_duplicates(["y"])
+    return pd.concat([ranked.drop_duplicates(["x"]), ranked.drop_duplicates(["y"])])
 
 
 def _propose(met: DataFrame, rooted: DataFrame | None, how: str) -> DataFrame:
@@ -311,11 +316,14 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, similarity: float =
     bound = written(texts.join(met.select("id").distinct(), "id", "left_semi").groupBy("id").agg(
         F.collect_set("text").alias("texts")).select("id", F.explode("texts").alias("text")), "near-texts")
 
-    pairs = written(_propose(met, None, "earlier"), "near-pairs")
-    links = _linked(pairs, bound, idf, similarity)
-    rest = _propose(met, connected_components(links), "all").join(pairs, ["x", "y"], "left_anti")
-    more = _linked(written(rest, "near-pairs"), bound, idf, similarity)
-    rooted = connected_components(links.unionByName(more))
+    tested = written(_propose(met, None, "earlier"), "near-pairs")
+    links = _linked(tested, bound, idf, similarity)
+    for how in ("best", "all"):
+        pairs = written(_propose(met, connected_components(links), how).join(tested, ["x", "y"], "left_anti"),
+                        "near-pairs")
+        links = links.unionByName(_linked(pairs, bound, idf, similarity))
+        tested = tested.unionByName(pairs)
+    rooted = connected_components(links)
     root = rooted.select(F.col("id").alias("rep"), "component")
     return (members.join(root, "rep", "left").groupBy("id")
             .agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
