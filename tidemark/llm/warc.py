@@ -144,18 +144,19 @@ def _candidates(spark: SparkSession, path: str) -> DataFrame:
 
 def _reachable(candidates: DataFrame) -> DataFrame:
     """``file, start`` of the candidates on the chain from offset 0 of their file."""
-    jump = cut_lineage(candidates.filter("start >= 0").select("file", "start", F.col("next").alias("to")))
-    reached = jump.filter("start = 0").select("file", "start")
-    longest = jump.groupBy("file").count().agg(F.max("count")).first()[0] or 0
-    rounds = max(1, longest.bit_length())
-    for _ in range(rounds):
-        ahead = reached.join(jump, ["file", "start"]).select("file", F.col("to").alias("start"))
-        real = ahead.join(jump.select("file", "start"), ["file", "start"], "left_semi")
-        reached = cut_lineage(reached.unionByName(real))  # the doubled steps never meet twice
-        target = jump.select("file", F.col("start").alias("to"), F.col("to").alias("further"))
-        jump = cut_lineage(jump.join(target, ["file", "to"], "left").select(
-            "file", "start", F.col("further").alias("to")))
-    return reached
+    state = cut_lineage(candidates.filter("start >= 0").select(
+        "file", "start", F.col("next").alias("to"), (F.col("start") == 0).alias("real")))
+    longest = state.groupBy("file").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(max(1, longest.bit_length())):
+        # after k rounds ``to`` is 2^k records ahead, and so many from the start are real
+        ahead = state.filter(F.col("real") & F.col("to").isNotNull()).select(
+            "file", F.col("to").alias("start"), F.lit(True).alias("hit"))
+        hop = state.select("file", F.col("start").alias("to"), F.col("to").alias("further"))
+        state = cut_lineage(
+            state.join(ahead, ["file", "start"], "left").join(hop, ["file", "to"], "left").select(
+                "file", "start", F.col("further").alias("to"),
+                (F.col("real") | F.coalesce("hit", F.lit(False))).alias("real")))
+    return state.filter("real").select("file", "start")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
