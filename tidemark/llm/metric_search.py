@@ -44,7 +44,7 @@ from tidemark.llm.common import written
 MAX_PIVOTS = 1024
 ROWS_PER_PIVOT = 1024
 TREE_ROWS = 8192
-PAGE = 64
+PAGE = 256
 QUERY_BLOCK = 4096
 SLACK = 1e-9
 EXACT_BELOW = float(1 << 52)
@@ -92,13 +92,14 @@ def build_tree(points: np.ndarray, rows: np.ndarray, centre: np.ndarray) -> Node
     to_centre = _distances(points, centre)
     if len(points) <= PAGE:
         return Node(points, to_centre, rows=rows)
-    spread = np.argsort(to_centre, kind="stable")[np.linspace(0, len(points) - 1, 16).astype(int)]
+    ways = min(16, 2 * -(-len(points) // PAGE))  # children are about half full
+    spread = np.argsort(to_centre, kind="stable")[np.linspace(0, len(points) - 1, ways).astype(int)]
     routes = points[spread]
     between = np.stack([_distances(points, r) for r in routes], axis=1)
     nearest = between.argmin(axis=1)
     used = np.unique(nearest)
     if len(used) == 1:  # no direction separates them: cut by order
-        nearest = np.arange(len(points)) * 16 // len(points)
+        nearest = np.arange(len(points)) * ways // len(points)
         used = np.unique(nearest)
     parts = [np.flatnonzero(nearest == u) for u in used]
     radii = np.array([between[p, u].max() for p, u in zip(parts, used, strict=True)])
@@ -129,13 +130,16 @@ def search_tree(tree: Node, centre: np.ndarray, ids: list, query: np.ndarray, ow
         # the stored parent distances rule entries out before any computation
         gap = np.abs(node.to_parent - to_parent)
         if node.rows is not None:
-            at = np.flatnonzero(gap <= limit)
-            scores = node.vectors[at] @ query
-            for i in np.argsort(-scores, kind="stable"):
+            near = gap <= limit
+            rows, vectors = (node.rows, node.vectors) if near.all() else (node.rows[near], node.vectors[near])
+            scores = vectors @ query
+            # what can still be among the first k, best first
+            able = np.flatnonzero(scores >= (max(worst, best[0][0]) if len(best) == k else worst) - 0.5)
+            for i in able[np.argsort(-scores[able], kind="stable")]:
                 score = round(float(scores[i]))
                 if len(best) == k and score < best[0][0] or score < worst:
                     break
-                for one in ids[node.rows[at[i]]]:
+                for one in ids[rows[i]]:
                     if one == own:
                         continue
                     if len(best) < k:
