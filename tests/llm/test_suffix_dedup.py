@@ -87,6 +87,8 @@ def test_suffix_arrays_and_prefixes():
         want = sorted(range(len(text)), key=lambda i: text[i:].tolist())
         sa = suffix_array(text, k + 1)
         assert sa.tolist() == want
+        near = suffix_array(text, k + 1, 6)
+        assert [text[i : i + 6].tolist() for i in near] == [text[i : i + 6].tolist() for i in want]
         padded = np.append(text, np.zeros(12, int))
         got = common_prefixes(padded, sa, np.arange(len(text) - 1), 8)
         for rank in range(1, len(sa)):

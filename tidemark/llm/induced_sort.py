@@ -2,10 +2,10 @@
 
 Positions are classed S (smaller than the suffix to their right) or L; the
 leftmost S positions (LMS) cut the text into substrings, which an induction
-pass sorts. Their names form a text of at most half the length, which is
-sorted recursively until all names differ, and a last pass induces the whole
-array. On the bytes of the shard the passes work on whole buckets in numpy;
-on the shorter texts of names they are plain loops. Both are linear.
+pass sorts and names. Names of neighbouring substrings are joined recursively
+to longer ones, until all differ or they reach as far as is asked, which sorts
+the LMS suffixes. A last pass induces the whole array from these. The passes
+are linear and work on whole buckets in numpy.
 """
 
 from __future__ import annotations
@@ -84,38 +84,6 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int)
     return sa
 
 
-def _induce_names(text: list[int], small: list[bool], lms: list[int], symbols: int) -> list[int]:
-    n = len(text)
-    counts = [0] * symbols
-    for c in text:
-        counts[c] += 1
-    start, end, total = [0] * symbols, [0] * symbols, 0
-    for c, k in enumerate(counts):
-        start[c] = total
-        total += k
-        end[c] = total
-    sa = [-1] * n
-    tail = end[:]
-    for i in reversed(lms):
-        c = text[i]
-        tail[c] -= 1
-        sa[tail[c]] = i
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not small[j]:
-            c = text[j]
-            sa[start[c]] = j
-            start[c] += 1
-    tail = end
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and small[j]:
-            c = text[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
-    return sa
-
-
 def _names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
     """Names of the LMS substrings in text order, by their sorted order."""
     limit = np.append(lms[1:], len(text) - 1)
@@ -136,22 +104,40 @@ def _names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.n
     return name[lms], int((~same).sum()) + 1
 
 
-def suffix_array(text: np.ndarray, symbols: int, level: int = 0) -> np.ndarray:
-    """``text`` ends with its only 0, the smallest symbol; symbols are below ``symbols``."""
+def _order_names(names: np.ndarray, distinct: int, reach: int | None) -> np.ndarray:
+    """Order of the suffixes of a text of names.
+
+    Names of neighbours are joined to names twice as long, recursively, until
+    all differ or they reach far enough; a name stands for two symbols at least.
+    """
+    joined = 1
+    while distinct < len(names) and (reach is None or 2 * joined < reach):
+        after = np.zeros_like(names)
+        after[:-joined] = names[joined:] + 1
+        pairs = names * np.int64(len(names) + 1) + after
+        order = np.argsort(pairs, kind="stable")
+        new = np.r_[False, pairs[order][1:] != pairs[order][:-1]]
+        names = np.empty_like(names)
+        names[order] = np.cumsum(new)
+        distinct = int(new.sum()) + 1
+        joined *= 2
+    return np.argsort(names, kind="stable")
+
+
+def suffix_array(text: np.ndarray, symbols: int, reach: int | None = None) -> np.ndarray:
+    """``text`` ends with its only 0, the smallest symbol; symbols are below ``symbols``.
+
+    With ``reach``, suffixes that share so many symbols may stand in any order.
+    """
     if len(text) < 3:
         return np.arange(len(text) - 1, -1, -1)
     small = _classes(text)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    induce = _induce if level == 0 else lambda t, s, m, k: np.array(
-        _induce_names(t.tolist(), s.tolist(), m.tolist(), k), np.int64)
-    rough = induce(text, small, lms, symbols)
+    rough = _induce(text, small, lms, symbols)
     is_lms = np.zeros(len(text), bool)
     is_lms[lms] = True
-    ordered = rough[is_lms[rough]]
-    names, distinct = _names(text, lms, ordered)
-    if distinct < len(lms):
-        ordered = lms[suffix_array(names, distinct, level + 1)]
-    return induce(text, small, ordered, symbols)
+    names, distinct = _names(text, lms, rough[is_lms[rough]])
+    return _induce(text, small, lms[_order_names(names, distinct, reach)], symbols)
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, starts: np.ndarray, cap: int) -> np.ndarray:

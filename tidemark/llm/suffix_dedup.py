@@ -1,11 +1,11 @@
 """Removal of every byte that a repeated string of 200 bytes covers.
 
-Where can such a string be? Every string of 200 bytes holds a run of 64 bytes
-whose hash is the least of its 137 runs, at the same place wherever the string
-occurs. These runs are the anchors. Only anchors that occur more than once can
-lie in repeated strings, and every string that has such an anchor as its least
-run lies within the anchor's context: 136 bytes before its start to 200 bytes
-after it.
+Where can such a string be? Every string of 200 bytes holds 169 runs of 32
+bytes; the run whose hash is the least is its anchor, at the same place
+wherever the string occurs. So equal strings have equal anchors, and only
+anchors that occur more than once matter. The context of an anchor is made of
+the neighbouring strings that have it as theirs, about 285 bytes; every string
+is in one context.
 
 Occurrences of an anchor with equal contexts repeat every string in them.
 Where contexts of one anchor differ, the distinct ones go to shards, by
@@ -36,13 +36,13 @@ from tidemark.llm.common import MIX_A, MIX_B, MIX_C, mix64, pieces, signed, writ
 from tidemark.llm.induced_sort import common_prefixes, suffix_array
 
 LENGTH = 200
-RUN = 64
+RUN = 32
 BEFORE = LENGTH - RUN
 #: Texts are scanned in parts of this many bytes.
 PART = 1 << 20
 SHARD_BYTES = 2_000_000
 #: Distinct contexts of one anchor that a shard takes.
-SHARD_CONTEXTS = 8_192
+SHARD_CONTEXTS = 16_384
 NULL_ID = -(1 << 63)
 
 _ODD = (MIX_A, MIX_C)
@@ -97,23 +97,25 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
     found: list[tuple[np.ndarray, ...]] = []
     n = len(data)
     for core in range(0, n, PART):
-        lo, hi = max(0, core - LENGTH - BEFORE), min(n, core + PART + LENGTH + BEFORE)
-        part = data[lo:hi]
+        part = data[core : min(n, core + PART + LENGTH - 1)]
         if len(part) < LENGTH:
             continue
         ranges = _Hashes(part, _ODD[0])
         at = np.arange(len(part) - RUN + 1)
         runs = ranges.of(at, at + RUN)
-        least = _sliding(runs, BEFORE + 1, np.minimum)
-        edge = np.zeros(BEFORE, np.uint64)
-        chosen = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), BEFORE + 1, np.maximum) == runs)
-        chosen = chosen[(chosen + lo >= core) & (chosen + lo < core + PART)]
-        left = np.minimum(chosen, BEFORE)
-        right = np.minimum(len(part) - chosen, LENGTH)
-        context = _Hashes(part, _ODD[1]).of(chosen - left, chosen + right)
+        # the low bits are the place, so the least value of a string tells which run it is
+        marked = (runs & ~np.uint64(0xFFFF)) | (at & 0xFFFF).astype(np.uint64)
+        least = (_sliding(marked, BEFORE + 1, np.minimum) & np.uint64(0xFFFF)).astype(np.int64)
+        string = at[: len(least)]
+        chosen = string + ((least - string) & 0xFFFF)
+        first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
+        last = np.r_[first[1:], len(chosen)] - 1
+        chosen = chosen[first]
+        left, end = chosen - first, last + LENGTH
+        context = _Hashes(part, _ODD[1]).of(first, end)
         with np.errstate(over="ignore"):
-            context ^= mix64(left.astype(np.uint64) * np.uint64(MIX_B) + right.astype(np.uint64))
-        found.append((chosen + lo, runs[chosen], context, left, right))
+            context ^= mix64(left.astype(np.uint64) * np.uint64(MIX_B) + (end - chosen).astype(np.uint64))
+        found.append((chosen + core, runs[chosen], context, left, end - chosen))
     if not found:
         return tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
@@ -159,7 +161,7 @@ def _repeated_in_shard(rows: pd.DataFrame) -> pd.DataFrame:
     text = np.concatenate([np.frombuffer(b"\x00".join(rows["bytes"]) + b"\x00\x00", np.uint8).astype(np.int64) + 2])
     text[starts + sizes] = 1
     text[-1] = 0
-    sa = suffix_array(text, 258)
+    sa = suffix_array(text, 258, LENGTH)
     strings = np.maximum(sizes - LENGTH + 1, 0)
     owner = np.repeat(np.arange(len(rows)), strings)
     offset = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
