@@ -71,3 +71,18 @@ def test_awkward_rows(spark):
     assert len(got) == len(rows)
     assert got == expected(rows)
     assert lc.dedup_line_chunks(docs.limit(0), "doc_id", "text", report=True).count() == 0
+
+
+def test_texts_under_one_id_lose_only_their_own_repeats(spark):
+    shared = "\n".join(f"shared line {i}" for i in range(30))
+    texts = [shared + "\nfirst end", shared + "\nother end"]
+    texts += ["\n".join(f"own {k} line {i}" for i in range(30)) for k in range(4)]
+    for key in (None, 7):
+        rows = [(key, t) for t in texts] + [(9, texts[0])]
+        got = Counter(tuple(r) for r in lc.dedup_line_chunks(
+            spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text").collect())
+        # a text that occurs once stays whole, whatever other texts of its id lose
+        assert all(got[(key, t)] == 1 for t in texts[2:])
+        # and each repeated passage stays in one document only
+        left = Counter("\n".join(c) for (_, t), n in got.items() for c in chunks(t) * n if len(c) >= lc.LEAST_LINES)
+        assert all(left["\n".join(c)] == 1 for c in chunks(shared)[:-1] if len(c) >= lc.LEAST_LINES)

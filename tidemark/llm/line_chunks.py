@@ -4,7 +4,8 @@ A document's lines are hashed; a rolling hash over ``WINDOW`` line hashes ends
 a chunk after a line when it is 0 modulo ``DIVISOR``, so chunk ends move with
 the content and an inserted line only disturbs the chunks around it. A chunk
 of two lines or more whose bytes occur more than once in the corpus stays
-where it comes first (smallest id, then place) and goes everywhere else.
+where it comes first (smallest id, then text, then place) and goes everywhere
+else. Texts of one id are ordered by their hash.
 Chunks are grouped by their whole text, so equal means equal bytes.
 
 DataFrame functions only. The occurrences of a frequent chunk are counted per
@@ -12,8 +13,9 @@ task before they meet, and the join that finds them can be split by Spark.
 
 Defined results: a null text stays null and has no lines; an empty text is one
 empty line. A text whose chunks all go becomes empty. Rows that repeat an id
-count as one document for "first" and lose the same chunks. A null id is an id
-like another and comes first. Other columns stay as they are; empty tables
+and its text count as one document for "first" and lose the same chunks; other
+texts under that id are documents of their own. A null id is an id like another
+and comes first. Other columns stay as they are; empty tables
 stay empty.
 """
 
@@ -62,31 +64,37 @@ def chunk_list(text: Column) -> Column:
     return F.when(text.isNotNull(), F.element_at(F.transform(with_ends, cut), 1))
 
 
+def _text_key(text: Column) -> Column:
+    return F.md5(text)
+
+
 def _chunk_rows(keyed: DataFrame) -> DataFrame:
-    return (keyed.select("__id", F.posexplode("__chunks").alias("__k", "__c"))
+    return (keyed.select("__id", "__text", F.posexplode("__chunks").alias("__k", "__c"))
             .filter(F.col("__c.lines") >= LEAST_LINES)
-            .select("__id", F.col("__k").alias("__k"), F.col("__c.chunk").alias("__chunk")))
+            .select("__id", "__text", F.col("__k").alias("__k"), F.col("__c.chunk").alias("__chunk")))
 
 
 def removed_chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document that loses chunks: ``__rid`` and the places ``__gone``."""
-    keyed = df.select(F.col(id_col).alias("__id"), chunk_list(F.col(text_col)).alias("__chunks"))
+    """One row per document that loses chunks: ``__rid``, ``__rtext`` and the places ``__gone``."""
+    keyed = df.select(F.col(id_col).alias("__id"), _text_key(F.col(text_col)).alias("__text"),
+                      chunk_list(F.col(text_col)).alias("__chunks"))
     rows = _chunk_rows(keyed)
+    # a null id is the least in a struct too
+    document = F.struct("__id", "__text")
     repeated = written(
-        rows.groupBy("__chunk").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"),
-                                    F.max(F.col("__id").isNull()).alias("__null_first"))
+        rows.groupBy("__chunk").agg(F.count("*").alias("__n"), F.min(document).alias("__first"))
         .filter(F.col("__n") > 1)
-        .select(F.col("__chunk").alias("__same"), "__first", "__null_first"), "line-chunks")
-    home = F.when(F.col("__null_first"), F.col("__id").isNull()).otherwise(
-        F.col("__id").eqNullSafe(F.col("__first")))
+        .select(F.col("__chunk").alias("__same"), "__first"), "line-chunks")
+    home = F.col("__id").eqNullSafe(F.col("__first.__id")) & (F.col("__text") == F.col("__first.__text"))
     found = rows.join(repeated, F.col("__chunk") == F.col("__same")).select(
-        "__id", "__k", home.alias("__home"), F.when(home, F.col("__chunk")).alias("__chunk"))
+        "__id", "__text", "__k", home.alias("__home"), F.when(home, F.col("__chunk")).alias("__chunk"))
     # in its home document the chunk's first place stays
-    stays = (found.filter("__home").groupBy("__id", "__chunk").agg(F.min("__k").alias("__k"))
-             .select("__id", "__k", F.lit(True).alias("__stay")))
-    places = (found.select("__id", "__k", F.lit(False).alias("__stay")).unionByName(stays)
-              .groupBy("__id", "__k").agg(F.max("__stay").alias("__stay")).filter(~F.col("__stay")))
-    return places.groupBy(F.col("__id").alias("__rid")).agg(F.collect_set("__k").alias("__gone"))
+    stays = (found.filter("__home").groupBy("__id", "__text", "__chunk").agg(F.min("__k").alias("__k"))
+             .select("__id", "__text", "__k", F.lit(True).alias("__stay")))
+    places = (found.select("__id", "__text", "__k", F.lit(False).alias("__stay")).unionByName(stays)
+              .groupBy("__id", "__text", "__k").agg(F.max("__stay").alias("__stay")).filter(~F.col("__stay")))
+    return places.groupBy(F.col("__id").alias("__rid"), F.col("__text").alias("__rtext")).agg(
+        F.collect_set("__k").alias("__gone"))
 
 
 def dedup_line_chunks(df: DataFrame, id_col: str, text_col: str, *, report: bool = False) -> DataFrame:
@@ -96,7 +104,8 @@ def dedup_line_chunks(df: DataFrame, id_col: str, text_col: str, *, report: bool
     and ``n_removed_lines`` are added.
     """
     gone = written(removed_chunks(df, id_col, text_col), "line-chunk-places")
-    joined = df.join(gone, F.col(id_col).eqNullSafe(F.col("__rid")), "left")
+    joined = df.join(gone, F.col(id_col).eqNullSafe(F.col("__rid"))
+                     & (_text_key(F.col(text_col)) == F.col("__rtext")), "left")
     chunks = chunk_list(F.col(text_col))
     out_of = F.coalesce(F.col("__gone"), F.array().cast("array<int>"))
     placed = joined.withColumn("__chunks", F.when(F.col("__gone").isNotNull() | F.lit(report), chunks))
