@@ -76,6 +76,21 @@ def test_awkward_rows(spark):
     assert kept[100] == b"" and kept[102] == b""
 
 
+def test_least_runs_are_the_leftmost():
+    runs = np.random.default_rng(1).integers(0, 40, 140_000).astype(np.uint64) << np.uint64(20)
+    windows = np.lib.stride_tricks.sliding_window_view(runs, sd.BEFORE + 1)
+    assert (sd._least_runs(runs) == windows.argmin(axis=1) + np.arange(len(windows))).all()
+
+
+@pytest.mark.parametrize("contexts", [sd.SHARD_CONTEXTS, 0])
+def test_stretch_over_a_multiple_of_65536(spark, monkeypatch, contexts):
+    monkeypatch.setattr(sd, "SHARD_CONTEXTS", contexts)
+    rng = random.Random(12)
+    rows = [(1, words(rng, 30_000)[: 65_536 - 110] + "a" * 250 + words(rng, 60)),
+            (2, words(rng, 30_000)[: 65_536 - 120] + "xyz" * 90 + words(rng, 60))]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 def test_suffix_arrays_and_prefixes():
     rng = random.Random(1)
     for t in range(400):

@@ -92,6 +92,19 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
     return best(values[: len(values) - rest], values[rest:]) if rest else values
 
 
+def _least_runs(runs: np.ndarray) -> np.ndarray:
+    """Place of the least run of every string; of equal runs the leftmost."""
+    found = []
+    step = (1 << 16) - BEFORE
+    for start in range(0, len(runs) - BEFORE, step):
+        own = runs[start : start + step + BEFORE]
+        # the low bits are the place in this block, which has no more than they can tell
+        marked = (own & ~np.uint64(0xFFFF)) | np.arange(len(own), dtype=np.uint64)
+        least = _sliding(marked, BEFORE + 1, np.minimum) & np.uint64(0xFFFF)
+        found.append(least.astype(np.int64) + start)
+    return np.concatenate(found)
+
+
 def anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
     """Starts of the anchors of a text, their hashes, the hashes and both sizes of their contexts."""
     found: list[tuple[np.ndarray, ...]] = []
@@ -103,11 +116,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
         ranges = _Hashes(part, _ODD[0])
         at = np.arange(len(part) - RUN + 1)
         runs = ranges.of(at, at + RUN)
-        # the low bits are the place, so the least value of a string tells which run it is
-        marked = (runs & ~np.uint64(0xFFFF)) | (at & 0xFFFF).astype(np.uint64)
-        least = (_sliding(marked, BEFORE + 1, np.minimum) & np.uint64(0xFFFF)).astype(np.int64)
-        string = at[: len(least)]
-        chosen = string + ((least - string) & 0xFFFF)
+        chosen = _least_runs(runs)
         first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
         last = np.r_[first[1:], len(chosen)] - 1
         chosen = chosen[first]
