@@ -14,7 +14,7 @@ from tidemark.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_agrees_with_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "benchmark", "labels"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got, want = queries.QUERIES[name](spark, SF), con.sql(queries.SQL[name])
     assert sorted(got.columns) == sorted(want.columns)

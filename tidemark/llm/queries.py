@@ -179,6 +179,134 @@ def vector_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumnRenamed("id", "vec_id")
 
 
+@_query("op11_ranked_search", r"""
+WITH t AS (SELECT rid, doc_id, term, count(*) AS tf
+           FROM (SELECT row_number() OVER () AS rid, doc_id,
+                        unnest(regexp_extract_all(
+                            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                 FROM documents)
+           GROUP BY ALL),
+d AS (SELECT rid, doc_id, CAST(sum(tf) AS BIGINT) AS n FROM t GROUP BY ALL),
+c AS (SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS terms FROM d),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+      FROM t, c GROUP BY term, documents),
+m AS (SELECT rid, doc_id, 100 - 50 + ((50 * n * documents) // terms) AS m FROM d, c),
+i AS (SELECT DISTINCT item_id, text, unnest(regexp_extract_all(
+                 translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+      FROM benchmark),
+s AS (SELECT i.item_id, i.text, t.rid, t.doc_id,
+             CAST(sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 20 * m.m))) AS BIGINT) AS score
+      FROM i JOIN t ON i.term = t.term JOIN w ON w.term = t.term JOIN m ON m.rid = t.rid
+      GROUP BY ALL HAVING score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s)
+WHERE rank <= 50""")
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents of every benchmark item."""
+    from tidemark.llm.lexical_search import ranked_documents
+
+    return ranked_documents(_table(spark, sf_dir, "documents"), "doc_id", "text",
+                            _table(spark, sf_dir, "benchmark"), "item_id", "text", 50)
+
+
+@_query("op12_spelling_variants", r"""
+WITH RECURSIVE
+-- the CRC of each byte value, eight steps each
+b AS (SELECT i::UBIGINT AS i, i::UBIGINT AS c, 0 AS step FROM range(256) t(i)
+      UNION ALL
+      SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, step + 1 FROM b WHERE step < 8),
+crc AS MATERIALIZED (SELECT i, c FROM b WHERE step = 8),
+o AS MATERIALIZED (
+  SELECT doc_id, run, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all(
+                 translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+        FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL),
+k AS MATERIALIZED (SELECT row_number() OVER () AS rid, run, times,
+                          hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS bytes FROM o),
+h AS (SELECT rid, 4294967295::UBIGINT AS c, bytes AS left_over FROM k
+      UNION ALL
+      SELECT h.rid, xor(h.c >> 8, crc.c), substr(h.left_over, 3)
+      FROM h JOIN crc ON crc.i = xor(h.c & 255, ('0x' || substr(h.left_over, 1, 2))::UBIGINT)
+      WHERE h.left_over <> ''),
+x AS (SELECT rid, xor(c, 4294967295::UBIGINT)::BIGINT AS h FROM h WHERE left_over = ''),
+w AS MATERIALIZED (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+                    ELSE run END AS word, times FROM k JOIN x USING (rid))
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+-- what is left of a word without one letter
+v AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+                   FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS MATERIALIZED (
+  SELECT DISTINCT * FROM (
+    SELECT a.word, a.n, c.word AS near, c.n AS near_n FROM v a JOIN v c ON a.i = c.i AND a.rest = c.rest AND a.word <> c.word
+    UNION ALL SELECT a.word, a.n, w.word, w.n FROM v a JOIN w ON a.rest = w.word
+    UNION ALL SELECT w.word, w.n, a.word, a.n FROM v a JOIN w ON a.rest = w.word)),
+f AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(q.n_near, 0) AS n_near,
+         CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+  FROM w LEFT JOIN (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near,
+                           row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM p) q
+    ON w.word = q.word AND q.place = 1),
+r AS (SELECT word, word AS root FROM f
+      UNION ALL SELECT r.word, f.form FROM r JOIN f ON r.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, form, r.root, f.n, CAST(n_near AS BIGINT) AS n_near, form_n
+FROM f JOIN r ON f.word = r.word
+WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.word = r.root AND g.form IS NOT NULL)""")
+def spelling_variant_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    from tidemark.llm.spelling import spelling_variants
+
+    return spelling_variants(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@_query("op13_source_mix", r"""
+WITH q AS (SELECT doc_id, avg(quality) AS quality FROM labels GROUP BY doc_id),
+d AS (SELECT d.doc_id, d.source, md5(d.text) AS mark,
+             CAST(coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+             CASE WHEN q.doc_id IS NULL THEN 1 WHEN q.quality IS NULL THEN 2 WHEN q.quality >= 0.5 THEN 4 ELSE 1 END AS weight,
+             (('0x' || substr(md5('0|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' ||
+                                  coalesce(md5(d.text), '')), 1, 13))::BIGINT + 0.5::DOUBLE) / (2.0::DOUBLE ^ 52) AS u
+      FROM documents d LEFT JOIN q ON d.doc_id = q.doc_id),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+             1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight
+      FROM d GROUP BY source),
+-- the sources with the least words for their weight stop first
+o AS (SELECT *, row_number() OVER w AS k,
+             sum(3 * source_size) OVER w AS stopped, sum(weight) OVER w AS gone,
+             sum(source_size) OVER () AS total, sum(weight) OVER () AS weights
+      FROM s WINDOW w AS (ORDER BY source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT coalesce(max(k) FILTER (WHERE 3 * source_size * (weights - gone + weight)
+                                           < weight * (total - stopped + 3 * source_size)), 0) AS n FROM o),
+a AS (SELECT (SELECT sum(source_size) FROM s) - coalesce(sum(3 * source_size) FILTER (WHERE k <= n), 0) AS words,
+             sum(weight) FILTER (WHERE k > n) AS weights FROM o, l),
+t AS (SELECT source, source_size,
+             CASE WHEN k <= n THEN CAST(3 * source_size AS DOUBLE)
+                  ELSE CAST(weight * words AS DOUBLE) / CAST(a.weights AS DOUBLE) END AS target,
+             CASE WHEN k <= n THEN 3 * source_size ELSE (weight * words) // a.weights END AS budget
+      FROM o, l, a),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM t),
+r AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.epochs, b.budget - b.epochs * b.source_size AS rest,
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(d.u) / d.weight, d.doc_id, d.mark
+                               ROWS UNBOUNDED PRECEDING) AS upto
+      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target,
+       CAST(epochs * size + greatest(0, least(size, rest - (upto - size))) AS BIGINT) AS taken
+FROM r""")
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document in a mix of the sources; better labelled documents are likelier."""
+    from tidemark.llm.mixing import mix_sources
+
+    rated = F.avg("quality")
+    quality = _table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(
+        F.when(rated >= 0.5, 4.0).when(rated < 0.5, 1.0).otherwise(2.0).alias("weight"))
+    mixed = mix_sources(_table(spark, sf_dir, "documents"), "doc_id", "text", "source", quality)
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over the documents."""
