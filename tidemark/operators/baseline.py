@@ -23,7 +23,7 @@ from tidemark.functions.columns import (
 from tidemark.functions.distributions import numeric_bucket
 from tidemark.options import DriftOptions, FeatureSpec
 from tidemark.plans.local import small_table
-from tidemark.plans.quantiles import exact_quantiles, quantiles_of_counts
+from tidemark.plans.quantiles import exact_quantiles, quantiles_of_counts, sketch_quantiles
 
 SALTS = 64
 EMPTY = "cannot build a drift baseline from an empty table"
@@ -160,13 +160,8 @@ def cut_points(
         counts = {n: profile[n]["value_count"] for n in many}
         edges |= exact_quantiles(df, values, dict.fromkeys(many, shares), counts, **quantile_settings)
     elif many:
-        row = df.agg(
-            *[
-                F.percentile_approx(values[n], [float(s) for s in shares], 10_000).alias(f"q{i}")
-                for i, n in enumerate(many)
-            ]
-        ).first()
-        edges |= {n: [float(v) for v in row[f"q{i}"]] for i, n in enumerate(many)}
+        found, _ = sketch_quantiles(df, [(values[n], [float(s) for s in shares]) for n in many])
+        edges |= dict(zip(many, found, strict=True))
     # duplicate edges collapse first, only then the outer two are cut off
     return {n: sorted(set(edges.get(n, [])))[1:-1] for n in features}
 

@@ -16,30 +16,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col
+from tidemark.plans.quantiles import sketch_quantiles
 
 ROWS_PER_BLOCK = 500_000
 MAX_BLOCKS = 8_192
+#: Blocks that one small sketch can tell apart; beyond, a large one is made.
+FIRST_BLOCKS = 512
+LARGEST_K = 65_535
 BLOCK = "__block"
 
 _AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def block_edges(
-    df: DataFrame, order: str | Column, rows_per_block: int = ROWS_PER_BLOCK
+    df: DataFrame, order: str | Column, rows_per_block: int = ROWS_PER_BLOCK, at_most: int | None = None
 ) -> list[float]:
     """Inner edges that cut the rows into blocks of about ``rows_per_block``.
 
-    One pass over the order column; at most ``MAX_BLOCKS`` numbers come back.
-    An empty list means one block is enough.
+    One job counts and sketches the order column; at most ``MAX_BLOCKS`` numbers
+    come back. An empty list means one block is enough; ``at_most``, a number of
+    rows the caller knows not to be exceeded, may tell so without reading.
     """
-    total = df.count()
-    blocks = min(MAX_BLOCKS, -(-total // rows_per_block))
+    if at_most is not None and at_most <= rows_per_block:
+        return []
+    key = col(order).cast("double")
+    finite = F.when(~F.isnan(key) & (F.abs(key) != float("inf")), key)
+    step = 1 / FIRST_BLOCKS
+    (edges,), (total,) = sketch_quantiles(
+        df.select(finite.alias("key")), [(F.col("key"), [i * step for i in range(1, FIRST_BLOCKS)])], also=[F.count(F.lit(1))])
+    blocks = min(MAX_BLOCKS, -(-(total or 0) // rows_per_block))
     if blocks <= 1:
         return []
+    if blocks <= FIRST_BLOCKS:
+        # every so many edges of the even ones
+        return sorted({edges[round(i * FIRST_BLOCKS / blocks) - 1] for i in range(1, blocks)} if edges else set())
     shares = [i / blocks for i in range(1, blocks)]
-    key = col(order).cast("double")
-    edges = df.agg(F.percentile_approx(key, shares, max(10_000, 4 * blocks)).alias("e")).first()["e"]
-    return sorted({e for e in edges or [] if e is not None and abs(e) != float("inf")})
+    (edges,), _ = sketch_quantiles(df.select(finite.alias("key")), [(F.col("key"), shares)], k=LARGEST_K)
+    return sorted(set(edges))
 
 
 def with_block(df: DataFrame, order: str | Column, edges: Sequence[float]) -> DataFrame:
