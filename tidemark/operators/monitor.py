@@ -45,7 +45,7 @@ OUTCOMES = ("triggered", "disabled", "misconfigured", "http_error", "request_err
 # ----------------------------------------------------------------------------
 
 STATE_SCHEMA = (
-    "monitor_key string, previous_status string, current_window_rows bigint, "
+    "monitor_key string, model_source string, previous_status string, current_window_rows bigint, "
     "last_evaluated_at timestamp, last_event_id string, last_triggered_at timestamp, "
     "last_triggered_event_id string"
 )
@@ -113,11 +113,13 @@ def evaluate_history(
     options: DriftOptions,
     carried: DataFrame | None = None,
     rows_per_block: int = ROWS_PER_BLOCK,
+    at_most: int | None = None,
 ) -> DataFrame:
     """One row per (monitor, batch): window rows and, past ``min_samples``, the evaluation.
 
-    ``seq`` orders the rows of a monitor and must not go back between batches.
-    ``carried`` holds window rows from before, with the same columns.
+    ``seq`` orders the rows of a monitor and must not go back between batches
+    (see ``arrival_order``). ``carried`` holds window rows from before, with the
+    same columns; ``at_most`` is a number of rows known not to be exceeded.
     """
     names = [KEY, BATCH, SEQ, AT, *spec.all]
     if not options.enabled:
@@ -133,19 +135,26 @@ def evaluate_history(
     ).first()
     buckets = known["buckets"] or 1
 
-    seq_edges = block_edges(rows, SEQ, rows_per_block)
+    seq_edges = block_edges(rows, SEQ, rows_per_block, at_most)
     batch_edges = block_edges(rows, BATCH, rows_per_block) if seq_edges else []
-    placed = positions(_bucketed(rows, baselines, spec, known["rows"]), [KEY], SEQ, "pos", edges=seq_edges)
-
+    bucketed = _bucketed(rows, baselines, spec, known["rows"])
     # the row at pos + N pushes out the row at pos
-    slim = lookup_join(
-        rows.select(KEY, BATCH, SEQ), baselines.select(KEY).distinct(), [KEY], "left_semi",
-        at_most=known["rows"],
-    )
-    pushed = positions(slim, [KEY], SEQ, "pos", edges=seq_edges).select(
-        KEY, (F.col("pos") - options.window_size).alias("pos"), F.col(BATCH).alias("leaves")
-    )
-    flow = placed.join(pushed.filter(F.col("pos") > 0), [KEY, "pos"], "left")
+    if seq_edges:
+        placed = positions(bucketed, [KEY], SEQ, "pos", edges=seq_edges)
+        slim = lookup_join(
+            rows.select(KEY, BATCH, SEQ), baselines.select(KEY).distinct(), [KEY], "left_semi",
+            at_most=known["rows"],
+        )
+        pushed = positions(slim, [KEY], SEQ, "pos", edges=seq_edges).select(
+            KEY, (F.col("pos") - options.window_size).alias("pos"), F.col(BATCH).alias("leaves")
+        )
+        flow = placed.join(pushed.filter(F.col("pos") > 0), [KEY, "pos"], "left")
+    else:  # few rows in all: the window that ranks them looks ahead as well
+        order = Window.partitionBy(KEY).orderBy(SEQ)
+        flow = bucketed.withColumns({
+            "pos": F.row_number().over(order).cast("bigint"),
+            "leaves": F.lead(BATCH, options.window_size).over(order),
+        })
     enters = F.struct(F.col(BATCH).alias("batch"), F.lit(1).alias("change"))
     leaves = F.struct(F.col("leaves").alias("batch"), F.lit(-1).alias("change"))
     moves = flow.select(KEY, "pos", AT, "cells", F.inline(F.array(enters, leaves))).filter(
@@ -220,6 +229,29 @@ def evaluate_history(
     )
 
 
+def arrival_order(rows: DataFrame, carried: DataFrame | None = None, edges: Sequence[float] = ()) -> DataFrame:
+    """Rows whose ``seq`` follows their arrival: by batch, then ``seq``, after all carried rows.
+
+    Each batch of a monitor is moved behind its predecessors as a whole, so only
+    one row per (monitor, batch) is ordered. A batch at or before the last
+    carried one fails the query: it would change what was already evaluated.
+    """
+    spans = rows.groupBy(KEY, BATCH).agg(F.min(SEQ).alias("low"), (F.max(SEQ) - F.min(SEQ) + 1).alias("width"))
+    if carried is None:
+        spans = spans.withColumns({"last": F.lit(-1).cast("bigint"), "done": F.lit(None).cast("bigint")})
+    else:
+        before = carried.groupBy(KEY).agg(F.max(SEQ).alias("last"), F.max(BATCH).alias("done"))
+        spans = spans.join(before, KEY, "left").withColumn("last", F.coalesce("last", F.lit(-1).cast("bigint")))
+    moved = running(spans, [KEY], BATCH, {"upto": ("sum", "width")}, edges=edges)
+    shift = F.col("last") + 1 + F.col("upto") - F.col("width") - F.col("low")
+    late = F.raise_error(F.concat(F.lit("batch "), BATCH, F.lit(" of monitor "), KEY, F.lit(" goes back behind batch "), "done"))
+    # the check is part of the number every later step needs
+    checked = F.when(F.col("done") >= F.col(BATCH), late.cast("bigint")).otherwise(shift)
+    shifts = moved.select(F.col(KEY).alias("__key"), F.col(BATCH).alias("__batch"), checked.alias("__shift"))
+    return (rows.join(shifts, (F.col(KEY) == F.col("__key")) & (F.col(BATCH) == F.col("__batch")))
+            .withColumn(SEQ, F.col(SEQ) + F.col("__shift")).drop("__key", "__batch", "__shift"))
+
+
 def status_changes(evaluations: DataFrame, state: DataFrame | None = None,
                    edges: Sequence[float] | None = None) -> DataFrame:
     """Evaluated batches with the status before them; a monitor starts out stable."""
@@ -282,7 +314,7 @@ def _chain_by_doubling(sessions: DataFrame, cooldown: int, rows_per_block: int)
 
 
 def _trigger_batches(
-    attempts: DataFrame, cooldown: int, fold_limit: int, rows_per_block: int
+    attempts: DataFrame, cooldown: int, fold_limit: int, rows_per_block: int, at_most: int | None
 ) -> DataFrame:
     """(monitor, time) of the triggers among evaluations that would succeed.
 
@@ -290,7 +322,7 @@ def _trigger_batches(
     came before, so the chain splits into independent sessions there.
     """
     times = attempts.select(KEY, "t").distinct()
-    edges = block_edges(times, "t", rows_per_block)
+    edges = block_edges(times, "t", rows_per_block, at_most)
     lagged = previous(times, [KEY], "t", "t", "before", edges=edges)
     head = F.coalesce(F.col("t") - F.col("before") >= cooldown, F.lit(True)).cast("bigint")
     sessions = running(
@@ -315,12 +347,14 @@ def retraining_decisions(
     outcome: Column | None = None,
     fold_limit: int = FOLD_LIMIT,
     rows_per_block: int = ROWS_PER_BLOCK,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Add the retraining decision to every evaluation.
 
     Only detected drift asks for retraining. A request is attempted when the
     last successful one is at least a cooldown ago; failed requests do not start
-    a cooldown. ``outcome`` is the result an attempt gives (default: triggered).
+    a cooldown. ``outcome`` is the result an attempt gives (default: triggered);
+    ``at_most`` is a number of evaluations and states known not to be exceeded.
     """
     if not options.enabled:
         return changes.withColumns(
@@ -355,7 +389,7 @@ def retraining_decisions(
         attempts = able.select(KEY, "t")
         if known is not None:
             attempts = attempts.unionByName(known.select(KEY, F.col("__started").alias("t")))
-        triggers = _trigger_batches(attempts, cooldown, fold_limit, rows_per_block)
+        triggers = _trigger_batches(attempts, cooldown, fold_limit, rows_per_block, at_most)
         firsts = able.groupBy(KEY, "t").agg(F.min(BATCH).alias(BATCH))
         taken = firsts.join(triggers, [KEY, "t"]).select(KEY, BATCH)
         if known is not None:
@@ -372,7 +406,7 @@ def retraining_decisions(
     started = running(
         marked.withColumn("__at", F.when(F.col("__hit"), F.col("t"))), [KEY], BATCH,
         {"__last": ("max", "__at")}, inclusive=False,
-        edges=block_edges(marked, BATCH, rows_per_block),
+        edges=block_edges(marked, BATCH, rows_per_block, at_most),
     ).select(KEY, BATCH, "__last")
     joined = timed.join(started, [KEY, BATCH], "left")
     last = F.col("__last")
@@ -399,12 +433,20 @@ def decide(
     retraining: RetrainingOptions,
     state: DataFrame | None = None,
     outcome: Column | None = None,
+    stored: bool = False,
     **limits: int,
 ) -> DataFrame:
-    """Status changes and retraining decisions; evaluations are materialized once."""
-    kept = cut_lineage(evaluations)
+    """Status changes and retraining decisions; evaluations are materialized once.
+
+    ``stored`` says that they are already; ``at_most`` is a number of evaluations
+    and states known not to be exceeded.
+    """
+    kept = evaluations if stored else cut_lineage(evaluations)
     rows_per_block = limits.get("rows_per_block", ROWS_PER_BLOCK)
-    changes = status_changes(kept, state, block_edges(kept, BATCH, rows_per_block))
+    edges = block_edges(kept, BATCH, rows_per_block, limits.get("at_most"))
+    if not edges and state is None:  # what follows only has fewer rows
+        limits["at_most"] = rows_per_block
+    changes = status_changes(kept, state, edges)
     decided = retraining_decisions(changes, retraining, state, outcome, **limits)
     return decided.withColumn(
         "event_id", F.when(F.col("write_event"), event_id("evaluated_at", "status"))
@@ -486,9 +528,12 @@ def retraining_requests(
 
 
 def monitor_states(
-    evaluations: DataFrame, decisions: DataFrame, state: DataFrame | None = None
+    evaluations: DataFrame, decisions: DataFrame, state: DataFrame | None = None, models: DataFrame | None = None
 ) -> DataFrame:
-    """State of every monitor after its last batch, carried on from an earlier state."""
+    """State of every monitor after its last batch, carried on from an earlier state.
+
+    ``models`` names what a monitor watches; its ``source_type`` is the state's ``model_source``.
+    """
     rows = evaluations.groupBy(KEY).agg(
         F.max_by("window_rows", BATCH).alias("current_window_rows")
     )
@@ -500,13 +545,17 @@ def monitor_states(
         F.max_by("event_id", F.when(F.col("triggered"), F.col(BATCH))).alias("last_triggered_event_id"),
     )
     fresh = rows.join(seen, [KEY], "left")
+    if models is None:
+        fresh = fresh.withColumn("model_source", F.lit(None).cast("string"))
+    else:
+        fresh = fresh.join(models.select(KEY, F.col("source_type").alias("model_source")), [KEY], "left")
     fields = [f.split()[0] for f in STATE_SCHEMA.split(", ")][1:]
     if state is None:
         merged = fresh
     else:
-        old = state.select(KEY, *[F.col(f).alias(f"__{f}") for f in fields])
+        old = state.select(KEY, *[F.col(f).alias(f"__{f}") for f in fields if f in state.columns])
         merged = fresh.join(old, [KEY], "full").withColumns(
-            {f: F.coalesce(F.col(f), F.col(f"__{f}")) for f in fields}
+            {f: F.coalesce(F.col(f), F.col(f"__{f}")) for f in fields if f in state.columns}
         )
     return merged.withColumn(
         "previous_status", F.coalesce("previous_status", F.lit(INITIAL_STATUS))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED_DIR_SETTING = "spark.checkpoint.dir"
+_SCOPE = threading.local()
 
 
 def build_session(app: str, master: str | None = None, shuffle_partitions: int | None = None,
@@ -50,4 +54,40 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    cut = df.checkpoint()
+    held = getattr(_SCOPE, "files", None)
+    if held is not None:
+        file = cut._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            held.append(file.get())
+    return cut
+
+
+@contextmanager
+def checkpoints_removed(spark: SparkSession) -> Iterator[None]:
+    """Remove the checkpoints this thread makes inside, once their results are written."""
+    outer = getattr(_SCOPE, "files", None)
+    _SCOPE.files = []
+    try:
+        yield
+    finally:
+        made, _SCOPE.files = _SCOPE.files, outer
+        for file in made:
+            remove_folder(spark, file)
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of this library's own making, wherever it is stored."""
+    target, system = _file_system(spark, path)
+    system.delete(target, True)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if it does not exist."""
+    target, system = _file_system(spark, path)
+    return [f.getPath().getName() for f in system.listStatus(target)] if system.exists(target) else []

@@ -21,6 +21,7 @@ from tidemark.operators.monitor import (
 )
 from tidemark.options import DriftOptions, FeatureSpec, RetrainingOptions
 from tidemark.session import cut_lineage, new_folder
+from tidemark.sources.commit_log import CommitLog
 from tidemark.streaming.monitor import MonitorStream, read_monitor_table
 from workload import query, table
 from workload.drift_queries import bucket_sql, edges_sql
@@ -229,13 +230,7 @@ def _event_rows(events):
 )
 def event_payloads(spark, sf):
     """Events read back from their JSON documents."""
-    models = baselines(spark, sf).groupBy(KEY).agg(F.lit("run_table").alias("source_type")).select(
-        KEY, F.concat(F.lit("m-"), F.col(KEY)).alias("model_name"), "source_type",
-        F.concat(F.lit("runs:/"), F.col(KEY), F.lit("/model")).alias("source_uri"),
-        F.substring(KEY, 5, 100).alias("training_run_id"),
-        F.lit(None).cast("string").alias("registered_model_name"),
-        F.lit(None).cast("string").alias("registered_model_version"),
-    )
+    models = watched_models(spark, sf)
     events = drift_events(_decisions(spark, sf), OPTIONS, RETRAINING, models)
 
     def at(path):
@@ -257,6 +252,17 @@ _REQUESTS = """SELECT monitor_key, 'drift__' || strftime(evaluated_at, '%Y%m%dT%
     FROM decisions WHERE attempted"""
 
 
+def watched_models(spark, sf):
+    """What each monitor watches, as a table."""
+    return baselines(spark, sf).groupBy(KEY).agg(F.lit("run_table").alias("source_type")).select(
+        KEY, F.concat(F.lit("m-"), F.col(KEY)).alias("model_name"), "source_type",
+        F.concat(F.lit("runs:/"), F.col(KEY), F.lit("/model")).alias("source_uri"),
+        F.substring(KEY, 5, 100).alias("training_run_id"),
+        F.lit(None).cast("string").alias("registered_model_name"),
+        F.lit(None).cast("string").alias("registered_model_version"),
+    )
+
+
 @query("retraining_requests", _DECISIONS + _REQUESTS)
 def retraining_requests_query(spark, sf):
     return _request_rows(retraining_requests(_decisions(spark, sf), RETRAINING))
@@ -270,7 +276,8 @@ def _request_rows(requests):
 
 
 _STATES = f"""
-    SELECT b.monitor_key, b.current_window_rows, coalesce(d.previous_status, 'stable') AS previous_status,
+    SELECT b.monitor_key, 'run_table' AS model_source, b.current_window_rows,
+           coalesce(d.previous_status, 'stable') AS previous_status,
            d.last_evaluated_at, d.last_event_id, d.last_triggered_event_id
     FROM (SELECT monitor_key, max_by(window_rows, batch_id) AS current_window_rows FROM evaluations GROUP BY 1) b
     LEFT JOIN (SELECT monitor_key, max_by(status, batch_id) AS previous_status,
@@ -284,12 +291,13 @@ _STATES = f"""
 @query("monitor_states", _DECISIONS + _STATES)
 def monitor_states_query(spark, sf):
     found = cut_lineage(_evaluations(spark, sf))
-    return _state_rows(monitor_states(found, decide(found, RETRAINING)))
+    models = watched_models(spark, sf)
+    return _state_rows(monitor_states(found, decide(found, RETRAINING, stored=True), models=models))
 
 
 def _state_rows(states):
     return states.select(
-        KEY, "current_window_rows", "previous_status",
+        KEY, "model_source", "current_window_rows", "previous_status",
         _text("last_evaluated_at").alias("last_evaluated_at"), "last_event_id",
         "last_triggered_event_id",
     )
@@ -319,10 +327,10 @@ def retraining_failures(spark, sf):
     return decided.select(KEY, BATCH, "attempted", "triggered", "trigger_status")
 
 
-def run_monitor_stream(spark, sf, chunks=3, **settings):
-    """Stream the observations in ``chunks`` appends through the monitor; returns its folder."""
+def run_monitor_stream(spark, sf, rows=None, chunks=3, **settings):
+    """Stream the observations in ``chunks`` appends through the monitor, which is returned."""
     source, root = new_folder(spark, "observations"), new_folder(spark, "monitor")
-    rows = observations(spark, sf)
+    rows = observations(spark, sf) if rows is None else rows
     last = rows.agg(F.max(BATCH).alias("b")).first()["b"]
     step = -(-(last + 1) // chunks)
     monitor = MonitorStream(root, baselines(spark, sf), SPEC, OPTIONS, RETRAINING, **settings)
@@ -333,7 +341,7 @@ def run_monitor_stream(spark, sf, chunks=3, **settings):
         # the stream takes all that is new as one micro-batch and goes on from where it was
         stream = spark.readStream.schema(rows.schema).parquet(source)
         monitor.start(stream, progress).awaitTermination()
-    return root
+    return monitor
 
 
 @query(
@@ -344,4 +352,37 @@ def run_monitor_stream(spark, sf, chunks=3, **settings):
           FROM decisions WHERE attempted OR status <> previous_status""",
 )
 def monitor_stream(spark, sf):
-    return _event_rows(read_monitor_table(spark, run_monitor_stream(spark, sf), "events"))
+    return _event_rows(read_monitor_table(spark, run_monitor_stream(spark, sf).root, "events"))
+
+
+@query("monitor_stream_late", _DECISIONS + _STATES)
+def monitor_stream_late(spark, sf):
+    """States after a stream whose later batches bring smaller ``seq``: the order of arrival counts."""
+    rows = observations(spark, sf)
+    last = rows.agg(F.max(BATCH).alias("b")).first()["b"]
+    late = rows.withColumn(SEQ, F.col(SEQ) % 100 + 100 * (F.lit(last) - F.col(BATCH)))
+    monitor = run_monitor_stream(spark, sf, late, chunks=2, models=watched_models(spark, sf))
+    return _state_rows(monitor.latest(spark))
+
+
+@query(
+    "state_log",
+    """SELECT user_id, CAST(max(event_id) AS BIGINT) AS event_id,
+              max_by(event_type, event_id) AS event_type, CAST(max(event_id) // s AS BIGINT) AS written
+       FROM events, (SELECT (max(event_id) + 20) // 20 AS s FROM events) GROUP BY user_id, s""",
+)
+def state_log(spark, sf):
+    """The last event of every user, kept by twenty micro-batches that each touch some users."""
+    events = table(spark, sf, "events").select("user_id", "event_id", "event_type")
+    step = (events.agg(F.max("event_id").alias("m")).first()["m"] + 20) // 20
+    log = CommitLog(spark, new_folder(spark, "state-log"), "user_id", buckets=16, compact_after=4)
+    live = {}
+    for version in range(20):
+        part = events.filter(F.floor(F.col("event_id") / step) == version)
+        last = cut_lineage(part.groupBy("user_id").agg(
+            F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"),
+        ).withColumn("written", F.lit(version).cast("bigint")))
+        touched = last.agg(F.collect_set(log.bucket()).alias("b")).first()["b"]
+        live = {**live, **log.write("last_event", version, last, live, touched)}
+        log.commit(version, live)
+    return log.read("last_event", log.live(log.newest()))
