@@ -5,7 +5,6 @@ from dataclasses import replace
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.errors import PySparkException
 
 from tidemark.operators import ledger as lg
 from tidemark.operators.baseline import build_baseline
@@ -101,8 +100,13 @@ def test_resolution(spark):
     found = {r["model_uri"]: r["run_id"] for r in lg.resolve_models(asked, versions, moved).collect()}
     assert found == {"models:/m@champion": "r2", "models:/m/1": "r1"}
     for bad in ([("m", "champion", 1)], [("m", None, None)]):
-        with pytest.raises(PySparkException, match="either an alias or a version"):
-            lg.resolve_models(spark.createDataFrame(bad, schema), versions, moved).collect()
+        with pytest.raises(LookupError, match="either an alias or a version"):
+            lg.resolve_models(spark.createDataFrame(bad, schema), versions, moved)
+    lost = spark.createDataFrame([("m", "champion", None), ("m", None, 99)], schema)
+    with pytest.raises(LookupError, match="models:/m/99"):
+        lg.resolve_models(lost, versions, moved)
+    kept = lg.resolve_models(lost, versions, moved, strict=False)
+    assert {(r["found"], r["run_id"]) for r in kept.collect()} == {(False, None), (True, "r2")}
 
 
 def test_latest_run(spark):

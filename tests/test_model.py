@@ -11,6 +11,8 @@ from tidemark.operators.model import prediction_rows, score, train
 from tidemark.operators.splits import assign_splits, split_quotas, split_sizes
 from tidemark.operators.transforms import (
     feature_stages,
+    category_dictionary,
+    encode_sparse,
     fit_categories,
     fit_features,
     fit_medians,
@@ -96,6 +98,21 @@ def test_mode_ties_and_unseen_values(spark):
         fit_categories(train_rows, ["c"], max_categories=1)
 
 
+@pytest.mark.parametrize("rows_per_part", [3, 100_000])
+def test_sparse_rows_are_the_dense_columns(spark, rows_per_part):
+    rows = [(i, None if i % 9 == 0 else f"v{i % 13}", ["b", "a", "é", None][i % 4]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, p string, q string")
+    seen = df.filter("id < 150 AND p <> 'v12'")
+    dictionary = category_dictionary(seen, ["p", "q"], rows_per_part)
+    order = [(r["feature"], r["value"]) for r in dictionary.orderBy("index").collect()]
+    assert order == sorted(order) and [r["index"] for r in dictionary.orderBy("index").collect()] == list(range(len(order)))
+    dense = impute_onehot(df, fit_categories(seen, ["p", "q"])).orderBy("id").toPandas()
+    want = {(r["id"], j) for _, r in dense.iterrows() for j, (f, v) in enumerate(order) if r[f"{f}_{v}"] == 1}
+    got = encode_sparse(df, ["p", "q"], dictionary, ["id"]).collect()
+    assert {(r["id"], r["index"]) for r in got} == want and len(got) == len(want)
+    assert category_dictionary(df.limit(0), ["p"]).count() == 0
+
+
 def _matrix(df):
     fit = fit_features(df, SPEC)
     wide = impute_onehot(impute_scale(df, fit.numeric), fit.categorical).orderBy("id")

@@ -22,7 +22,7 @@ REPORT_SCHEMA = T.StructType(
         T.StructField("row_count", T.LongType()),
         T.StructField("column_count", T.IntegerType()),
         T.StructField("validated_columns", T.ArrayType(T.StringType())),
-        T.StructField("target_distribution", T.MapType(T.StringType(), T.LongType())),
+        T.StructField("class_count", T.LongType()),
     ]
 )
 
@@ -70,21 +70,20 @@ def target_distribution(df: DataFrame, options: DatasetOptions) -> DataFrame:
     return (
         df.groupBy(target.alias("label"))
         .agg(F.count(F.lit(1)).alias("row_count"))
-        .orderBy("label")
     )
 
 
 def contract_report(df: DataFrame, options: DatasetOptions) -> DataFrame:
     """Check the table and summarize it in one row; a broken contract raises.
 
-    All counts come from one aggregation on the target column; the classes
-    themselves stay in Spark, however many there are.
+    Rows per class are ``target_distribution``, a table however many classes
+    there are; the totals come from one aggregation of it.
     """
     check_columns(df.columns, options)
-    classes = target_distribution(df, options)
-    seen = classes.agg(
+    seen = target_distribution(df, options).agg(
         F.count("label").alias("classes"),
         F.count_if(F.col("label").isNull()).alias("missing"),
+        F.sum("row_count").alias("rows"),
     ).first()
     if seen["missing"]:
         raise ContractError("the target column has missing values")
@@ -92,13 +91,8 @@ def contract_report(df: DataFrame, options: DatasetOptions) -> DataFrame:
         raise ContractError("the table has no rows")
     if seen["classes"] < 2:
         raise ContractError("the target column needs at least two classes")
-    report = classes.agg(
-        F.sum("row_count").alias("row_count"),
-        F.lit(len(df.columns)).alias("column_count"),
-        F.array(*[F.lit(c) for c in sorted(df.columns)]).alias("validated_columns"),
-        F.map_from_entries(F.collect_list(F.struct("label", "row_count"))).alias("target_distribution"),
-    )
-    return report.select(*[F.col(f.name).cast(f.dataType) for f in REPORT_SCHEMA.fields])
+    row = (seen["rows"], len(df.columns), sorted(df.columns), seen["classes"])
+    return small_table(df.sparkSession, [row], REPORT_SCHEMA)
 
 
 def contract_violations(df: DataFrame, options: DatasetOptions) -> DataFrame:

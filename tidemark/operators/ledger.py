@@ -12,6 +12,7 @@ from tidemark.functions.columns import col
 from tidemark.options import RegistryOptions
 from tidemark.plans.lookup import lookup_join
 from tidemark.plans.ordered import block_edges, running
+from tidemark.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 STATUSES = ("disabled", "metric_unavailable", "not_best", "registered")
@@ -202,16 +203,13 @@ def resolve_models(
 ) -> DataFrame:
     """Version and location of requested models, by alias or by pinned version.
 
-    A request that names both or neither is an error, and so is one that finds
-    no version; without ``strict`` the latter is a row with ``found`` = false.
+    A request that names both or neither is a LookupError here, and so is one that
+    finds no version; without ``strict`` the latter is a row with ``found`` = false.
     """
-    both = F.col("alias").isNotNull() == F.col("pinned_version").isNotNull()
-    checked = requests.withColumn(
-        "alias",
-        F.when(both, F.raise_error(F.lit("give either an alias or a version")).cast("string"))
-        .otherwise(F.col("alias")),
-    )
-    named = checked.join(
+    unclear = requests.filter(F.col("alias").isNotNull() == F.col("pinned_version").isNotNull()).limit(1).collect()
+    if unclear:
+        raise LookupError(f"give either an alias or a version of model '{unclear[0]['model_name']}'")
+    named = requests.join(
         aliases.withColumnRenamed("version", "__alias_version"), ["model_name", "alias"], "left"
     ).withColumn("version", F.coalesce("pinned_version", "__alias_version"))
     found = versions.select("model_name", "version", "run_id", F.lit(True).alias("found"))
@@ -224,8 +222,11 @@ def resolve_models(
     joined = named.join(found, ["model_name", "version"], "left")
     has = F.coalesce(F.col("found"), F.lit(False))
     if strict:
-        absent = F.raise_error(F.concat(F.lit("no registered model at "), uri)).cast("string")
-        joined = joined.withColumn("model_name", F.when(has, F.col("model_name")).otherwise(absent))
+        # asked here, as a check inside a column goes with the column when a plan is pruned
+        joined = cut_lineage(joined)
+        lost = joined.filter(~has).select(uri.alias("uri")).limit(1).collect()
+        if lost:
+            raise LookupError(f"no registered model at {lost[0]['uri']}")
         return joined.select(
             "model_name", "alias", "pinned_version", "version", "run_id", uri.alias("model_uri")
         )

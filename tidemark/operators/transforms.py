@@ -15,7 +15,10 @@ from pyspark.sql import types as T
 from tidemark.functions.columns import col, numeric_sql
 from tidemark.operators.baseline import numeric_value
 from tidemark.options import FeatureSpec
+from tidemark.plans.lookup import lookup_join
+from tidemark.plans.ordered import ROWS_PER_BLOCK, range_positions
 from tidemark.plans.quantiles import exact_quantiles
+from tidemark.session import cut_lineage
 
 # One-hot columns become model coefficients, which live on the driver.
 MAX_CATEGORIES = 100_000
@@ -103,7 +106,8 @@ def fit_categories(
         return ()
     rows = value_counts(df, features).limit(max_categories + 1).collect()
     if len(rows) > max_categories:
-        raise ValueError(f"more than {max_categories} categories; these columns are not categorical")
+        raise ValueError(
+            f"more than {max_categories} categories are too many for columns of their own; see encode_sparse")
     fits = []
     for n in features:
         found = {r["value"]: r["row_count"] for r in rows if r["feature"] == n}
@@ -139,6 +143,39 @@ def impute_onehot(df: DataFrame, fits: Sequence[CategoryFit]) -> DataFrame:
     return df.withColumns(encoded).drop(*[f.name for f in fits])
 
 
+def category_dictionary(df: DataFrame, features: Sequence[str], rows_per_part: int = ROWS_PER_BLOCK) -> DataFrame:
+    """``feature, value, row_count, index``: categories in their order, numbered over all features.
+
+    The number is the column a category has in the one-hot encoding, and as many
+    columns are possible as there are categories: the table stays in Spark.
+    Features follow each other in the given order.
+    """
+    place = F.array_position(F.array(*[F.lit(n) for n in features]), F.col("feature"))
+    counts = cut_lineage(value_counts(df, features).withColumn("__place", place))
+    numbered = range_positions(counts, [F.col("__place"), F.col("value")], "index", counts.count(), rows_per_part)
+    return numbered.select("feature", "value", "row_count", "index")
+
+
+def encode_sparse(df: DataFrame, features: Sequence[str], dictionary: DataFrame, row: Sequence[str]) -> DataFrame:
+    """``row, feature, index, value`` of the ones in the one-hot encoding of every row.
+
+    A missing value takes its feature's mode; an unseen one has no row. Only the
+    modes, one per feature, are part of the plan; categories are joined, and a
+    category that holds a large share of the rows is spread.
+    """
+    stored = cut_lineage(dictionary)
+    mode = {r["feature"]: r["mode"] for r in modes(stored).collect()}
+    cells = [
+        F.struct(F.lit(n).alias("feature"),
+                 F.coalesce(col(n).cast("string"), F.lit(mode.get(n))).alias("category"))
+        for n in features
+    ]
+    long = df.select(*[col(c) for c in row], F.inline(F.array(*cells))).filter(F.col("category").isNotNull())
+    known = stored.select("feature", F.col("value").alias("category"), "index")
+    found = lookup_join(long, known, ["feature", "category"], spread_by=list(row))
+    return found.select(*[col(c) for c in row], "feature", "index", F.lit(1.0).alias("value"))
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col
 from tidemark.plans.quantiles import sketch_quantiles
+from tidemark.session import cut_lineage
 
 ROWS_PER_BLOCK = 500_000
 MAX_BLOCKS = 8_192
@@ -134,6 +135,26 @@ def _combine(fn: str, carried: Column, inner: Column) -> Column:
     return F.greatest(carried, inner) if fn == "max" else F.least(carried, inner)
 
 
+def range_positions(
+    df: DataFrame, order: Sequence[Column], name: str, rows: int, rows_per_part: int = ROWS_PER_BLOCK
+) -> DataFrame:
+    """Position of every row from 0, in an order of any type, by range partitions.
+
+    ``rows`` is a number of rows not to be exceeded. The dealt rows are stored,
+    as a partition computed again could get other rows.
+    """
+    parts = max(1, -(-rows // rows_per_part))
+    dealt = cut_lineage(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("__part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
+    inner = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    # one row per range partition
+    return (dealt.withColumn("__inner", inner).join(F.broadcast(before), "__part")
+            .withColumn(name, (F.col("__before") + F.col("__inner") - 1).cast("bigint"))
+            .drop("__part", "__inner", "__before"))
+
+
 def positions(
     df: DataFrame,
     keys: Sequence[str],

@@ -29,6 +29,9 @@ CONTRACT = DatasetOptions(
     UNION ALL SELECT 'empty', section, 'absent', detail FROM
       (VALUES ('data.id_columns', 'absent_id'), ('data.required_columns', 'absent_column')) v(section, detail)
     UNION ALL SELECT 'empty', 'data.target_column', 'empty', '0'
+    UNION ALL SELECT 'repeated', section, rule, detail FROM
+      (VALUES ('data.id_columns', 'absent', 'absent_id'), ('data.required_columns', 'absent', 'absent_column'),
+              ('columns', 'repeated', 'o_custkey')) v(section, rule, detail)
     UNION ALL SELECT 'one_class', section, 'absent', detail FROM
       (VALUES ('data.id_columns', 'absent_id'), ('data.required_columns', 'absent_column')) v(section, detail)
     UNION ALL SELECT 'one_class', 'data.target_column', 'two_classes', CAST(count(DISTINCT o_orderstatus) AS VARCHAR)
@@ -52,6 +55,7 @@ def contract_violations_query(spark, sf):
         "one_class": orders.filter(status == "F"),
         "missing": orders.withColumn("o_orderstatus", F.when(status != "P", status)),
         "no_target": orders.drop("o_orderstatus"),
+        "repeated": orders.select("*", F.col("o_orderkey").alias("o_custkey")),
     }
     found = None
     for name, df in cases.items():
@@ -161,9 +165,9 @@ def csv_extra_fields(spark, sf):
     extra = F.when(F.col("o_orderkey") % 100 == 0, F.lit(",EXTRA")).otherwise(F.lit(""))
     lines = table(spark, sf, "orders").select(
         F.concat(F.col("o_orderkey").cast("string"), F.lit(","), "o_orderstatus", extra).alias("value"))
-    head = spark.range(1).select(F.lit("o_orderkey,o_orderstatus").alias("value"))
-    # a single file, as its one header stands in its first line
-    head.unionByName(lines).coalesce(1).write.text(folder)
+    # every task writes a file of its own, and each has its header in the first line
+    named = lines.withColumnRenamed("value", "o_orderkey,o_orderstatus")
+    named.write.option("header", "true").option("quote", "").option("escapeQuotes", "false").option("sep", "\u0001").csv(folder)
     return oversized_rows(spark, folder, _orders_options())
 
 

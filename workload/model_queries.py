@@ -13,6 +13,8 @@ from tidemark.operators.evaluate import (
 from tidemark.operators.model import prediction_rows, score, train
 from tidemark.operators.splits import assign_splits, split_sizes
 from tidemark.operators.transforms import (
+    category_dictionary,
+    encode_sparse,
     fit_categories,
     fit_numeric,
     impute_onehot,
@@ -140,6 +142,34 @@ def modes_query(spark, sf):
     return modes(value_counts(table(spark, sf, "part"), ["p_brand", "p_type"]))
 
 
+@query(
+    "onehot_many_categories",
+    """
+    WITH l AS (SELECT l_orderkey, l_linenumber,
+                      CASE WHEN l_linenumber <> 7 THEN l_orderkey || '-' || l_linenumber END AS line,
+                      l_partkey || '-' || l_suppkey || '-' || l_orderkey AS place FROM lineitem),
+    c AS (SELECT f, v, count(*) AS n FROM (SELECT 1 AS f, line AS v FROM l UNION ALL SELECT 2, place FROM l)
+          WHERE v IS NOT NULL GROUP BY ALL),
+    d AS (SELECT *, row_number() OVER (ORDER BY f, v) - 1 AS index,
+                 row_number() OVER (PARTITION BY f ORDER BY n DESC, v) = 1 AS mode FROM c)
+    SELECT l_orderkey, l_linenumber, 'line' AS feature, index, 1.0::DOUBLE AS value
+    FROM l JOIN d ON d.f = 1 AND d.v = coalesce(line, (SELECT v FROM d WHERE f = 1 AND mode))
+    UNION ALL SELECT l_orderkey, l_linenumber, 'place', index, 1.0::DOUBLE FROM l JOIN d ON d.f = 2 AND d.v = place
+    """,
+)
+def onehot_many_categories(spark, sf):
+    """Two columns with about as many categories as rows, as sparse rows."""
+    key = F.col("l_orderkey").cast("string")
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        F.when(F.col("l_linenumber") != 7, F.concat_ws("-", key, "l_linenumber")).alias("line"),
+        F.concat_ws("-", "l_partkey", "l_suppkey", key).alias("place"),
+    )
+    features = ["line", "place"]
+    dictionary = category_dictionary(lines, features)
+    return encode_sparse(lines, features, dictionary, ["l_orderkey", "l_linenumber"])
+
+
 @query(
     "impute_onehot",
     """
