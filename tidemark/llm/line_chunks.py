@@ -1,127 +1,164 @@
 """Removal of repeated passages of several lines, cut where the content says.
 
-A document's lines are hashed; a rolling hash over ``WINDOW`` line hashes ends
-a chunk after a line when it is 0 modulo ``DIVISOR``, so chunk ends move with
-the content and an inserted line only disturbs the chunks around it. A chunk
-of two lines or more whose bytes occur more than once in the corpus stays
-where it comes first (smallest id, then text, then place) and goes everywhere
-else. Texts of one id are ordered by their hash.
-Chunks are grouped by their whole text, so equal means equal bytes.
-
-DataFrame functions only. The occurrences of a frequent chunk are counted per
-task before they meet, and the join that finds them can be split by Spark.
+A rolling hash runs over the hashes of ``WINDOW`` lines. Where it is smaller
+than before and no greater than after, a chunk ends; chunk ends move with the
+content, an inserted line only disturbs the chunks around it, and no chunk has
+fewer than two lines unless its document has. A chunk that also stands earlier
+in the corpus (smaller id, then text hash, then line) is a match. A match grows
+line by line to both sides, as long as the next pair of lines stands earlier
+too, so passages go up to their last line and not only to the ends of their
+chunks. Pairs of lines without a matched chunk beside them stay.
+
+Chunks and pairs of lines meet by the MD5 hashes of their lines, a few bytes
+for each; texts stay where they are. Then all lines of the corpus whose hash is
+in a pair that stands earlier are compared by bytes: pairs with a hash that
+stands for two different lines are no repeats.
+
+DataFrame functions only. Spans are counted per task before they meet, and the
+joins that find their occurrences can be split by Spark.
 
 Defined results: a null text stays null and has no lines; an empty text is one
-empty line. A text whose chunks all go becomes empty. Rows that repeat an id
-and its text count as one document for "first" and lose the same chunks; other
-texts under that id are documents of their own. A null id is an id like another
-and comes first. Other columns stay as they are; empty tables
-stay empty.
+empty line. A text whose lines all go becomes empty. Rows that repeat an id and
+its text are one document and lose the same lines; other texts under that id
+are documents of their own. A null id is an id like another and comes first.
+Texts of any length are cut whole. A line that goes is equal to one that stays.
+Other columns stay as they are, whatever their names; empty tables stay empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import col
 from tidemark.llm.common import written
 
 WINDOW = 2
-DIVISOR = 3
-#: Weight of the older line in the rolling hash.
+#: Weight of the older line in the rolling hash, and its modulus (a prime).
 FACTOR = 31
-LEAST_LINES = 2
+MODULUS = 65_521
 
 
-def line_hash(line: Column) -> Column:
-    return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("bigint")
+def line_hash(mark: Column) -> Column:
+    """Number from the first 32 bits of a line's MD5."""
+    return F.conv(F.substring(mark, 1, 8), 16, 10).cast("bigint")
 
 
-def chunk_list(text: Column) -> Column:
-    """Array of (lines, text) in document order; null for a null text."""
-    lines = F.split(text, "\n", -1)
-    marked = F.transform(lines, lambda line: F.struct(line.alias("line"), line_hash(line).alias("h")))
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
-    def ends(m: Column) -> Column:
-        last = F.size(m)
-        return F.filter(
-            F.sequence(F.lit(1), last),
-            lambda i: (i == last) | (F.pmod(
-                F.element_at(m, i)["h"] + FACTOR * F.when(i > 1, F.element_at(m, F.greatest(i - 1, F.lit(1)))["h"])
-                .otherwise(F.lit(0)), F.lit(DIVISOR)) == 0))
 
-    def cut(s: Column) -> Column:
-        return F.transform(s["ends"], lambda end, k: F.struct(
-            (end - F.when(k > 0, F.element_at(s["ends"], F.greatest(k, F.lit(1)))).otherwise(F.lit(0))).alias("lines"),
-            F.array_join(F.transform(
-                F.slice(s["m"],
-                        F.when(k > 0, F.element_at(s["ends"], F.greatest(k, F.lit(1)))).otherwise(F.lit(0)) + 1,
-                        end - F.when(k > 0, F.element_at(s["ends"], F.greatest(k, F.lit(1)))).otherwise(F.lit(0))),
-                lambda x: x["line"]), "\n").alias("chunk")))
+def _indexes(first: int, last: Column) -> Column:
+    """The numbers from ``first`` to ``last``; none if there are none."""
+    return F.when(last >= first, F.sequence(F.lit(first), F.greatest(last, F.lit(first)))).otherwise(
+        F.array().cast("array<int>"))
 
-    # arrays of one element carry an intermediate result into the next expression
-    with_ends = F.transform(F.array(marked), lambda m: F.struct(m.alias("m"), ends(m).alias("ends")))
-    return F.when(text.isNotNull(), F.element_at(F.transform(with_ends, cut), 1))
 
+def chunked(df: DataFrame, text: Column) -> DataFrame:
+    """Add ``marks``, the lines' hashes, and ``ends``, the last line of every chunk."""
+    marked = df.withColumn("marks", F.transform(_lines(text), lambda line: F.md5(line))).withColumn("n", F.size("marks"))
+    hashed = marked.withColumn("numbers", F.transform("marks", line_hash))
+    rolled = hashed.withColumn("rolling", F.transform(_indexes(1, F.col("n") - 1), lambda i: F.pmod(
+        FACTOR * F.element_at("numbers", i) + F.element_at("numbers", i + 1), F.lit(MODULUS))))
+    least = F.filter(_indexes(2, F.col("n") - 2), lambda i: (
+        F.element_at("rolling", i) < F.element_at("rolling", i - 1))
+        & (F.element_at("rolling", i) <= F.element_at("rolling", i + 1)))
+    return rolled.withColumn("ends", F.concat(least, F.array("n"))).drop("numbers", "rolling")
 
-def _text_key(text: Column) -> Column:
-    return F.md5(text)
 
+def _spans(chunks: DataFrame) -> DataFrame:
+    """``id, text, first, last, chunk, h``: every chunk and every pair of lines.
 
-def _chunk_rows(keyed: DataFrame) -> DataFrame:
-    return (keyed.select("__id", "__text", F.posexplode("__chunks").alias("__k", "__c"))
-            .filter(F.col("__c.lines") >= LEAST_LINES)
-            .select("__id", "__text", F.col("__k").alias("__k"), F.col("__c.chunk").alias("__chunk")))
+    A pair is known by both its hashes, a chunk by the hash of all of its own.
+    """
+    starts = F.transform("ends", lambda e, k: F.when(k > 0, F.element_at("ends", F.greatest(k, F.lit(1))) + 1).otherwise(F.lit(1)))
+    whole = F.transform(F.arrays_zip(starts.alias("first"), F.col("ends").alias("last")), lambda s: F.struct(
+        s["first"].alias("first"), s["last"].alias("last"), F.lit(True).alias("chunk"),
+        F.unhex(F.md5(F.array_join(F.slice("marks", s["first"], s["last"] - s["first"] + 1), ""))).alias("h")))
+    pairs = F.transform(_indexes(1, F.col("n") - 1), lambda i: F.struct(
+        i.alias("first"), (i + 1).alias("last"), F.lit(False).alias("chunk"),
+        F.unhex(F.concat(F.element_at("marks", i), F.element_at("marks", i + 1))).alias("h")))
+    return chunks.filter("n > 1").select("id", "text", F.inline(F.concat(whole, pairs)))
 
 
-def removed_chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document that loses chunks: ``__rid``, ``__rtext`` and the places ``__gone``."""
-    keyed = df.select(F.col(id_col).alias("__id"), _text_key(F.col(text_col)).alias("__text"),
-                      chunk_list(F.col(text_col)).alias("__chunks"))
-    rows = _chunk_rows(keyed)
-    # a null id is the least in a struct too
-    document = F.struct("__id", "__text")
-    repeated = written(
-        rows.groupBy("__chunk").agg(F.count("*").alias("__n"), F.min(document).alias("__first"))
-        .filter(F.col("__n") > 1)
-        .select(F.col("__chunk").alias("__same"), "__first"), "line-chunks")
-    home = F.col("__id").eqNullSafe(F.col("__first.__id")) & (F.col("__text") == F.col("__first.__text"))
-    found = rows.join(repeated, F.col("__chunk") == F.col("__same")).select(
-        "__id", "__text", "__k", home.alias("__home"), F.when(home, F.col("__chunk")).alias("__chunk"))
-    # in its home document the chunk's first place stays
-    stays = (found.filter("__home").groupBy("__id", "__text", "__chunk").agg(F.min("__k").alias("__k"))
-             .select("__id", "__text", "__k", F.lit(True).alias("__stay")))
-    places = (found.select("__id", "__text", "__k", F.lit(False).alias("__stay")).unionByName(stays)
-              .groupBy("__id", "__text", "__k").agg(F.max("__stay").alias("__stay")).filter(~F.col("__stay")))
-    return places.groupBy(F.col("__id").alias("__rid"), F.col("__text").alias("__rtext")).agg(
-        F.collect_set("__k").alias("__gone"))
-
-
-def dedup_line_chunks(df: DataFrame, id_col: str, text_col: str, *, report: bool = False) -> DataFrame:
-    """The rows with repeated chunks taken out of the text.
-
-    With ``report``, the columns ``n_lines``, ``n_chunks``, ``n_removed_chunks``
-    and ``n_removed_lines`` are added.
+def _pair_marks(h: Column) -> Column:
+    return F.array(F.substring(h, 1, 16), F.substring(h, 17, 16))
+
+
+def _ambiguous(bodies: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``mark`` of the lines in ``pairs`` whose hash stands for different bytes in the corpus."""
+    asked = written(pairs.select(F.explode(_pair_marks(F.col("h"))).alias("mark")).distinct(), "line-marks")
+    lines = bodies.select(F.explode(_lines(F.col("body"))).alias("line")).withColumn("mark", F.unhex(F.md5("line")))
+    same = lines.join(asked, "mark", "left_semi").groupBy("mark").agg(F.min("line").alias("least"), F.max("line").alias("most"))
+    return written(same.filter("least <> most").select("mark"), "line-ambiguous")
+
+
+def repeated_runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, text, runs`` of the documents that lose lines: arrays of (first, last), not touching.
+
+    ``text`` is the text's hash.
     """
-    gone = written(removed_chunks(df, id_col, text_col), "line-chunk-places")
-    joined = df.join(gone, F.col(id_col).eqNullSafe(F.col("__rid"))
-                     & (_text_key(F.col(text_col)) == F.col("__rtext")), "left")
-    chunks = chunk_list(F.col(text_col))
-    out_of = F.coalesce(F.col("__gone"), F.array().cast("array<int>"))
-    placed = joined.withColumn("__chunks", F.when(F.col("__gone").isNotNull() | F.lit(report), chunks))
-    kept = F.filter(F.col("__chunks"), lambda c, k: ~F.array_contains(out_of, k))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.transform(kept, lambda c: c["chunk"]), "\n"))
-    added = {}
-    if report:
-        lines = lambda a: F.aggregate(a, F.lit(0), lambda n, c: n + c["lines"])
-        none = F.lit(0).cast("bigint")
-        added = {
-            "n_lines": F.coalesce(lines(F.col("__chunks")).cast("bigint"), none),
-            "n_chunks": F.coalesce(F.size("__chunks").cast("bigint"), none),
-            "n_removed_chunks": F.size(out_of).cast("bigint"),
-            "n_removed_lines": F.coalesce(
-                (lines(F.col("__chunks")) - lines(kept)).cast("bigint"), none),
-        }
-        placed = placed.withColumns(added)
-    return placed.withColumn(text_col, text).select(*[F.col(c) for c in df.columns], *added)
+    keyed = df.select(col(id_col).alias("id"), F.md5(col(text_col)).alias("text"), col(text_col).alias("body")) \
+        .filter(F.col("body").isNotNull())
+    chunks = chunked(keyed, F.col("body")).drop("body")
+    spans = written(_spans(chunks), "line-spans")
+    # a null id is the least in a struct too
+    place = F.struct("id", "text", "first")
+    earliest = spans.groupBy("chunk", "h").agg(F.count("*").alias("times"), F.min(place).alias("home")) \
+        .filter("times > 1").drop("times")
+    home = F.col("id").eqNullSafe(F.col("home.id")) & (F.col("text") == F.col("home.text")) \
+        & (F.col("first") == F.col("home.first"))
+    later = written(spans.join(earliest, ["chunk", "h"]).filter(~home)
+                    .select("id", "text", "first", "last", "chunk", "h").distinct(), "line-later")
+    different = _ambiguous(keyed, later.filter("NOT chunk"))
+    if not different.isEmpty():  # pairs only, as a run is made of pairs
+        for half in (0, 1):
+            later = later.join(different, ~F.col("chunk") & (_pair_marks(F.col("h"))[half] == F.col("mark")), "left_anti")
+    # the pairs of a matched chunk stand earlier as well; the chunk marks the run it starts in
+    order = Window.partitionBy("id", "text").orderBy("first", "chunk")
+    pair_end = F.when(~F.col("chunk"), F.col("last"))
+    reached = F.max(pair_end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = later.withColumn("opens", (~F.col("chunk") & F.coalesce(F.col("first") > reached, F.lit(True))).cast("int"))
+    runs = opened.withColumn("run", F.sum("opens").over(order)).groupBy("id", "text", "run").agg(
+        F.min(F.when(~F.col("chunk"), F.col("first"))).alias("first"), F.max(pair_end).alias("last"),
+        F.bool_or("chunk").alias("matched"))
+    return runs.filter("matched AND first IS NOT NULL").groupBy("id", "text").agg(
+        F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+
+
+def _with_runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row``, all columns of a row in one, and its ``runs``."""
+    gone = written(repeated_runs(df, id_col, text_col), "line-runs")
+    rows = df.select(F.struct(*[col(c) for c in df.columns]).alias("row"))
+    keyed = rows.select("row", F.col("row")[id_col].alias("rid"), F.md5(F.col("row")[text_col]).alias("mark"))
+    return keyed.join(gone, F.col("rid").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("text")), "left") \
+        .select("row", "runs")
+
+
+def _kept(body: Column) -> Column:
+    def stays(line: Column, k: Column) -> Column:
+        return ~F.exists("runs", lambda r: (k + 1 >= r["first"]) & (k + 1 <= r["last"]))
+
+    return F.when(F.col("runs").isNull(), body).otherwise(F.array_join(F.filter(_lines(body), stays), "\n"))
+
+
+def dedup_line_chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows with repeated passages taken out of the text."""
+    body = F.col("row")[text_col]
+    return _with_runs(df, id_col, text_col).select(
+        *[(_kept(body) if c == text_col else F.col("row")[c]).alias(c) for c in df.columns])
+
+
+def line_report(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, n_lines, n_chunks, n_removed_runs, n_removed_lines, kept`` of every row."""
+    found = _with_runs(df.select(col(id_col), col(text_col)), id_col, text_col) \
+        .withColumn("body", F.col("row")[text_col])
+    none = F.lit(0).cast("bigint")
+    lost = F.aggregate("runs", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1).cast("bigint")
+    given = F.col("body").isNotNull()
+    return chunked(found, F.col("body")).select(
+        F.col("row")[id_col].alias("id"),
+        F.when(given, F.col("n").cast("bigint")).otherwise(none).alias("n_lines"),
+        F.when(given, F.size("ends").cast("bigint")).otherwise(none).alias("n_chunks"),
+        F.coalesce(F.size("runs").cast("bigint"), none).alias("n_removed_runs"),
+        F.coalesce(lost, none).alias("n_removed_lines"), _kept(F.col("body")).alias("kept"))

@@ -52,38 +52,41 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("op8_line_chunks", r"""
-WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
-h AS (SELECT doc_id, lines,
-             list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS hs FROM l),
-e AS (SELECT doc_id, lines,
-             list_filter(range(1, len(lines) + 1),
-                         lambda i: i = len(lines) OR
-                           (hs[i] + CASE WHEN i > 1 THEN 31 * hs[i - 1] ELSE 0 END) % 3 = 0) AS ends
-      FROM h),
-c AS (SELECT doc_id, k, ends[k] - CASE WHEN k > 1 THEN ends[k - 1] ELSE 0 END AS n,
-             array_to_string(lines[(CASE WHEN k > 1 THEN ends[k - 1] ELSE 0 END) + 1 : ends[k]],
-                             chr(10)) AS chunk
-      FROM (SELECT doc_id, lines, ends, unnest(range(1, len(ends) + 1)) AS k FROM e)),
-r AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY chunk, n >= 2 ORDER BY doc_id, k) > 1 AS gone
-      FROM c),
-d AS (SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed_chunks,
-             sum(n) FILTER (gone) AS n_removed_lines,
-             coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT gone), '') AS kept
-      FROM r GROUP BY doc_id)
-SELECT l.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines,
-       CAST(coalesce(n_chunks, 0) AS BIGINT) AS n_chunks,
-       CAST(coalesce(n_removed_chunks, 0) AS BIGINT) AS n_removed_chunks,
-       CAST(coalesce(n_removed_lines, 0) AS BIGINT) AS n_removed_lines,
-       CASE WHEN lines IS NOT NULL THEN sha256(kept) END AS kept_sha256
-FROM l LEFT JOIN d ON l.doc_id = d.doc_id""")
+WITH t AS (SELECT DISTINCT doc_id, md5(text) AS k, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+h AS (SELECT *, len(l) AS n, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM t),
+r AS (SELECT *, list_transform(range(1, n), lambda i: (31 * h[i] + h[i + 1]) % 65521) AS r FROM h),
+e AS (SELECT doc_id, k, l, n,
+             list_append(list_filter(range(2, n - 1), lambda i: r[i] < r[i - 1] AND r[i] <= r[i + 1]), n) AS ends FROM r),
+c AS (SELECT doc_id, k, l, last, coalesce(lag(last) OVER (PARTITION BY doc_id, k ORDER BY last), 0) + 1 AS first
+      FROM (SELECT doc_id, k, l, unnest(ends) AS last FROM e)),
+s AS (SELECT doc_id, k, first, last, true AS chunk, array_to_string(l[first : last], chr(10)) AS bytes FROM c WHERE last > first
+      UNION ALL
+      SELECT doc_id, k, first, first + 1, false, l[first] || chr(10) || l[first + 1]
+      FROM (SELECT doc_id, k, l, unnest(range(1, n)) AS first FROM e)),
+later AS (SELECT doc_id, k, first, last, chunk
+          FROM (SELECT *, row_number() OVER (PARTITION BY chunk, bytes ORDER BY doc_id NULLS FIRST, k, first) AS place FROM s)
+          WHERE place > 1),
+o AS (SELECT *, NOT chunk AND coalesce(first > max(last) FILTER (NOT chunk) OVER (
+                  PARTITION BY doc_id, k ORDER BY first, chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS opens
+      FROM later),
+g AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY doc_id, k ORDER BY first, chunk ROWS UNBOUNDED PRECEDING) AS run FROM o),
+u AS (SELECT doc_id, k, run, min(first) FILTER (NOT chunk) AS first, max(last) FILTER (NOT chunk) AS last
+      FROM g GROUP BY ALL HAVING bool_or(chunk)),
+d AS (SELECT doc_id, k, count(*) AS runs, flatten(list(range(first, last + 1))) AS gone FROM u GROUP BY ALL)
+SELECT x.doc_id, CAST(coalesce(e.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(len(e.ends), 0) AS BIGINT) AS n_chunks,
+       CAST(coalesce(d.runs, 0) AS BIGINT) AS n_removed_runs, CAST(coalesce(len(d.gone), 0) AS BIGINT) AS n_removed_lines,
+       CASE WHEN d.gone IS NULL THEN sha256(x.text)
+            ELSE sha256(array_to_string(list_transform(
+              list_filter(range(1, e.n + 1), lambda i: NOT list_contains(d.gone, i)), lambda i: e.l[i]), chr(10))) END AS kept_sha256
+FROM documents x LEFT JOIN e ON e.doc_id IS NOT DISTINCT FROM x.doc_id AND e.k = md5(x.text)
+LEFT JOIN d ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.k = md5(x.text)""")
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to repeated passages of lines."""
-    from tidemark.llm.line_chunks import dedup_line_chunks
+    from tidemark.llm.line_chunks import line_report
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_line_chunks(docs, "doc_id", "text", report=True).select(
-        "doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines",
-        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    found = line_report(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_chunks", "n_removed_runs", "n_removed_lines",
+                        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 @_query("op3_near_classes")
