@@ -45,7 +45,7 @@ def removed(rows):
         run: list[int] = []
         for a in [*pairs, None]:
             if run and (a is None or a > run[-1] + 1):
-                if starts & set(run):
+                if starts & set(run) or len(run) + 1 >= lc.LEAST_RUN:
                     gone.setdefault(key, set()).update(range(run[0], run[-1] + 2))
                 run = []
             run.append(a)

@@ -7,7 +7,9 @@ fewer than two lines unless its document has. A chunk that also stands earlier
 in the corpus (smaller id, then text hash, then line) is a match. A match grows
 line by line to both sides, as long as the next pair of lines stands earlier
 too, so passages go up to their last line and not only to the ends of their
-chunks. Pairs of lines without a matched chunk beside them stay.
+chunks. Passages are often shorter than the chunks they are cut into: a run of
+``LEAST_RUN`` lines whose pairs all stand earlier goes without a matched chunk
+in it; of runs of two lines only those that are a chunk go.
 
 Chunks and pairs of lines meet by the MD5 hashes of their lines, a few bytes
 for each; texts stay where they are. Then all lines of the corpus whose hash is
@@ -37,6 +39,8 @@ WINDOW = 2
 #: Weight of the older line in the rolling hash, and its modulus (a prime).
 FACTOR = 31
 MODULUS = 65_521
+#: Lines of a run that need no matched chunk.
+LEAST_RUN = 3
 
 
 def line_hash(mark: Column) -> Column:
@@ -122,7 +126,8 @@ def repeated_runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     runs = opened.withColumn("run", F.sum("opens").over(order)).groupBy("id", "text", "run").agg(
         F.min(F.when(~F.col("chunk"), F.col("first"))).alias("first"), F.max(pair_end).alias("last"),
         F.bool_or("chunk").alias("matched"))
-    return runs.filter("matched AND first IS NOT NULL").groupBy("id", "text").agg(
+    goes = F.col("matched") | (F.col("last") - F.col("first") + 1 >= LEAST_RUN)
+    return runs.filter(goes & F.col("first").isNotNull()).groupBy("id", "text").agg(
         F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 

@@ -71,7 +71,7 @@ o AS (SELECT *, NOT chunk AND coalesce(first > max(last) FILTER (NOT chunk) OVER
       FROM later),
 g AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY doc_id, k ORDER BY first, chunk ROWS UNBOUNDED PRECEDING) AS run FROM o),
 u AS (SELECT doc_id, k, run, min(first) FILTER (NOT chunk) AS first, max(last) FILTER (NOT chunk) AS last
-      FROM g GROUP BY ALL HAVING bool_or(chunk)),
+      FROM g GROUP BY ALL HAVING bool_or(chunk) OR max(last) FILTER (NOT chunk) - min(first) FILTER (NOT chunk) >= 2),
 d AS (SELECT doc_id, k, count(*) AS runs, flatten(list(range(first, last + 1))) AS gone FROM u GROUP BY ALL)
 SELECT x.doc_id, CAST(coalesce(e.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(len(e.ends), 0) AS BIGINT) AS n_chunks,
        CAST(coalesce(d.runs, 0) AS BIGINT) AS n_removed_runs, CAST(coalesce(len(d.gone), 0) AS BIGINT) AS n_removed_lines,
