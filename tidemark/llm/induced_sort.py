@@ -36,8 +36,11 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int)
     by_symbol = lms[order]
     limits = np.searchsorted(first[order], np.arange(symbols + 1))
 
+    # numpy sorts 16-bit keys by radix
+    keys = text.astype(np.uint16) if symbols <= 1 << 16 else text
+
     def append(found: np.ndarray) -> None:
-        marks = text[found]
+        marks = keys[found]
         order = np.argsort(marks, kind="stable")
         marks, found = marks[order], found[order]
         many = np.bincount(marks, minlength=symbols)
@@ -60,7 +63,7 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int)
     tail = end.copy()
 
     def prepend(found: np.ndarray) -> None:
-        marks = text[found]
+        marks = keys[found]
         order = np.argsort(marks, kind="stable")
         marks, found = marks[order], found[order]
         many = np.bincount(marks, minlength=symbols)

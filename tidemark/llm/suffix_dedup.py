@@ -134,11 +134,6 @@ def _bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8"), np.uint8)
 
 
-def _anchor_hashes(batches):
-    for batch in pieces(batches):
-        yield pd.DataFrame({"a": np.concatenate([signed(anchors(_bytes(t))[1]) for t in batch["text"]])})
-
-
 def _anchor_rows(batches):
     for batch in pieces(batches):
         parts = []
@@ -182,8 +177,8 @@ def _repeated_in_shard(rows: pd.DataFrame) -> pd.DataFrame:
     ordered = which[sa]
     ordered = ordered[ordered >= 0]
     # neighbours that share a whole string form a class; it repeats if it holds two places
-    place = pd.factorize(pd.MultiIndex.from_arrays([
-        rows["id"].to_numpy()[owner], rows["mark"].to_numpy()[owner], rows["start"].to_numpy()[owner] + offset]))[0]
+    document = pd.factorize(pd.MultiIndex.from_arrays([rows["id"].to_numpy(), rows["mark"].to_numpy()]))[0]
+    place = (document.astype(np.int64) << 40)[owner] + rows["start"].to_numpy()[owner] + offset
     repeated = np.zeros(len(position), bool)
     if len(ordered):
         first = np.flatnonzero(np.r_[True, shared[ordered][1:] < LENGTH])
@@ -224,11 +219,9 @@ def _string_hashes(batches):
 
 def repeated_ranges(texts: DataFrame) -> DataFrame:
     """``id, mark, ranges``: covered byte ranges (unmerged) of the texts that have any."""
-    counted = texts.select("text").mapInPandas(_anchor_hashes, "a long") \
-        .groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
-    often = written(counted, "suffix-anchors")
-    rows = texts.mapInPandas(_anchor_rows, "id long, mark long, a long, c long, at long")
-    rows = written(rows.join(often, "a").select("a", "c", "id", "mark", "at"), "suffix-rows")
+    every = written(texts.mapInPandas(_anchor_rows, "id long, mark long, a long, c long, at long"), "suffix-anchors")
+    often = written(every.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "suffix-often")
+    rows = written(every.join(often, "a").select("a", "c", "id", "mark", "at"), "suffix-rows")
     forms = written(
         rows.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "at")).alias("one")).select("a", "c", "n", "one.*"), "suffix-forms")
     mixed = written(forms.groupBy("a").agg(F.count("*").alias("forms"), F.min("n").alias("rarest")) \
