@@ -81,3 +81,10 @@ def test_bounds_spare_computations():
     want = sorted(((int(s), i) for i, s in enumerate(scores)), key=lambda e: (-e[0], e[1]))[:5]
     assert sorted(got, key=lambda e: (-e[0], e[1])) == want
     assert len(seen) < 300 and original is ms._distances
+
+
+def test_null_ids_take_no_place(spark):
+    rows = [(None, [1, 1]), *[(i, [1, 1]) for i in range(9)], (50, [1, 0])]
+    df = spark.createDataFrame(rows, "id long, v array<long>")
+    got = ms.top_products(df, 3, F.col("id") == 0).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1, 1, 2), (0, 2, 2, 2), (0, 3, 3, 2)]

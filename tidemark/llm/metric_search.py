@@ -18,7 +18,7 @@ Equal vectors are one entry with their k + 1 smallest ids; no more can be
 among k results. Queries meet trees in blocks of bounded size on both sides.
 
 Defined results: vectors that are null or hold null or non-finite components
-take no part, as queries or candidates. Only vectors of one length are
+take no part, as queries or candidates; neither do rows with a null id. Only vectors of one length are
 compared. Rows that repeat an id and a vector count once; rows that share the
 query's id are its own; an id with several vectors as queries gets one list of
 all their products. Fewer than k candidates give fewer rows. Products must
@@ -168,7 +168,8 @@ def _all_scores(vectors: np.ndarray, ids: list, query: np.ndarray, own: int, k:
 def top_products(rows: DataFrame, k: int, is_query: Column) -> DataFrame:
     """``query_id, rank, vec_id, score`` for rows of ``id`` (long) and ``v`` (array of long)."""
     spark = rows.sparkSession
-    rows = written(rows.select("id", "v", is_query.alias("query")).dropDuplicates(["id", "v"]), "search-rows")
+    rows = written(rows.filter("id IS NOT NULL").select("id", "v", is_query.alias("query"))
+                   .dropDuplicates(["id", "v"]), "search-rows")
     first = Window.partitionBy("v").orderBy("id")
     distinct = written(
         rows.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k + 1)
