@@ -6,6 +6,8 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 
+from pyspark.sql import functions as F
+
 from helpers import awkward_documents, document_table, words
 from tidemark.llm import near_dedup as nd
 from tidemark.llm.components import connected_components
@@ -113,3 +115,12 @@ def test_components_of_paths_and_stars(spark):
     got = connected_components(spark.createDataFrame(edges, "a long, b long"))
     assert {r["id"]: r["component"] for r in got.collect()} == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_clashing_names_do_not_matter(spark):
+    docs = document_table(spark, awkward_documents())
+    for name in ("__gone", "row", "rep", "class_id", "kept"):
+        docs = docs.withColumn(name, F.lit(7))
+    out = nd.drop_near_copies(docs, "doc_id", "text")
+    assert out.columns == docs.columns
+    assert {r["__gone"] for r in out.collect()} == {7}

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(run: Callable[[Iterator], Iterator], *forget: Callable[[], None]) -> Callable[[Iterator], Iterator]:
+    """``run`` as a task that leaves no memory behind.
+
+    Python workers serve task after task of all stages. ``forget`` are functions
+    of modules, so that they empty what this worker remembers; then what the
+    allocators hold in reserve goes back to the machine.
+    """
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for empty in forget:
+                empty()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU C library only
+            if trim is not None:
+                trim(0)
+
+    return task
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash; ``x`` is uint64."""
     with np.errstate(over="ignore"):

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import arrow_pieces, pieces, replaced, written
+from tidemark.llm.common import arrow_pieces, freed, pieces, replaced, written
 from tidemark.plans.lookup import lookup_join
 
 #: Rows per language that a fit may use: the bound of the training sample.
@@ -216,7 +216,7 @@ def predict_language(df: DataFrame, model: LanguageModel, id_col: str, text_col:
             yield replaced(batch, "text", lang_pred=pa.array([f[0] for f in found], pa.string()),
                            score=pa.array([f[1] for f in found], pa.float64()))
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(freed(run), schema)
 
 
 def keep_identified(df: DataFrame, model: LanguageModel, text_col: str, least_score: float) -> DataFrame:
@@ -229,7 +229,7 @@ def keep_identified(df: DataFrame, model: LanguageModel, text_col: str, least_sc
             found = [predict_text(t, fitted) for t in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(freed(run), df.schema)
 
 
 def held_out(id_column: str | Column) -> Column:

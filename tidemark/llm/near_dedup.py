@@ -36,7 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MIX_A, meet_in_blocks, mix64, pairs_in_runs, pieces, signed, written
+from tidemark.functions.columns import col
+from tidemark.llm.common import MIX_A, freed, meet_in_blocks, mix64, pairs_in_runs, pieces, signed, written
 from tidemark.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -68,6 +69,10 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def forget_words() -> None:
+    _HASHES.clear()
+
+
 def word_codes(text: str | None) -> np.ndarray:
     """64-bit hash of each word of the lower-cased text."""
     words = _WORD.findall(text.lower()) if text else []
@@ -91,7 +96,7 @@ def _count_words(batches):
 
 def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     """1 + ln((1 + documents) / (1 + documents with the word)) per word bucket."""
-    rows = texts.select("text").mapInPandas(_count_words, "bucket long, n long") \
+    rows = texts.select("text").mapInPandas(freed(_count_words, forget_words), "bucket long, n long") \
         .groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # 65,537 rows at most
     counts = np.zeros(WORD_BUCKETS + 1)
     for row in rows:
@@ -205,7 +210,7 @@ def _signatures(texts: DataFrame, idf) -> DataFrame:
                     bands.append(None)
             yield pd.DataFrame({"id": batch["id"], "class_key": keys, "samples": samples, "bands": bands})
 
-    return texts.mapInPandas(run, "id long, class_key binary, samples array<int>, bands array<long>")
+    return texts.mapInPandas(freed(run, forget_words), "id long, class_key binary, samples array<int>, bands array<long>")
 
 
 def _proposed(rows: pd.DataFrame, how: str) -> pd.DataFrame:
@@ -287,7 +292,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataF
             yield pd.DataFrame({"a": batch["x"][near], "b": batch["y"][near]})
 
     return written(pairs.join(second, "y").join(first, "x").select("x", "y", "tx", "ty")
-                   .mapInPandas(run, "a long, b long"), "near-links")
+                   .mapInPandas(freed(run, forget_words), "a long, b long"), "near-links")
 
 
 def near_classes(df: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
@@ -332,7 +337,7 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, similarity: float =
 
 def drop_near_copies(df: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``df`` whose document stands for its class; rows with a null id stay."""
-    gone = near_classes(df, id_col, text_col, similarity).filter(~F.col("kept")).select(
-        F.col("id").alias("__gone"))
-    gone = written(gone, "near-gone")
-    return df.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    gone = written(near_classes(df, id_col, text_col, similarity).filter(~F.col("kept")).select("id"), "near-gone")
+    rows = df.select(F.struct(*[col(c) for c in df.columns]).alias("row"))
+    kept = rows.join(gone, F.col("row")[id_col].cast("long") == F.col("id"), "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in df.columns])

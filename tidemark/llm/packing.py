@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.bpe_merges import PairTable, merge_words
-from tidemark.llm.common import arrow_pieces, replaced, written
+from tidemark.llm.common import arrow_pieces, freed, replaced, written
 
 CAPACITY = 4096
 CLOSING_ID = 1
@@ -146,6 +146,12 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
+def forget_runs() -> None:
+    """The tables of a vocabulary stay, the runs of texts go."""
+    for tokenizer in _TOKENIZERS.values():
+        tokenizer.known.clear()
+
+
 def token_pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str,
                  capacity: int = CAPACITY) -> DataFrame:
     """``id, piece, start, length, ids_crc32`` of each piece of each document."""
@@ -170,7 +176,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str,
                  *(pa.array(made[c], pa.int64()) for c in ("start", "length", "ids_crc32"))],
                 names=["id", "piece", "start", "length", "ids_crc32"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(freed(run, forget_runs), schema)
 
 
 Plan = list[tuple[int, tuple[int, ...]]]
