@@ -17,7 +17,8 @@ in a pair that stands earlier are compared by bytes: pairs with a hash that
 stands for two different lines are no repeats.
 
 DataFrame functions only. Spans are counted per task before they meet, and the
-joins that find their occurrences can be split by Spark.
+joins that find their occurrences can be split by Spark; they are merge joins at
+every size, as all their sides grow with the corpus.
 
 Defined results: a null text stays null and has no lines; an empty text is one
 empty line. A text whose lines all go becomes empty. Rows that repeat an id and
@@ -93,7 +94,7 @@ def _ambiguous(bodies: DataFrame, pairs: DataFrame) -> DataFrame:
     """``mark`` of the lines in ``pairs`` whose hash stands for different bytes in the corpus."""
     asked = written(pairs.select(F.explode(_pair_marks(F.col("h"))).alias("mark")).distinct(), "line-marks")
     lines = bodies.select(F.explode(_lines(F.col("body"))).alias("line")).withColumn("mark", F.unhex(F.md5("line")))
-    same = lines.join(asked, "mark", "left_semi").groupBy("mark").agg(F.min("line").alias("least"), F.max("line").alias("most"))
+    same = lines.join(asked.hint("merge"), "mark", "left_semi").groupBy("mark").agg(F.min("line").alias("least"), F.max("line").alias("most"))
     return written(same.filter("least <> most").select("mark"), "line-ambiguous")
 
 
@@ -112,7 +113,7 @@ def repeated_runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .filter("times > 1").drop("times")
     home = F.col("id").eqNullSafe(F.col("home.id")) & (F.col("text") == F.col("home.text")) \
         & (F.col("first") == F.col("home.first"))
-    later = written(spans.join(earliest, ["chunk", "h"]).filter(~home)
+    later = written(spans.join(earliest.hint("merge"), ["chunk", "h"]).filter(~home)
                     .select("id", "text", "first", "last", "chunk", "h").distinct(), "line-later")
     different = _ambiguous(keyed, later.filter("NOT chunk"))
     if not different.isEmpty():  # pairs only, as a run is made of pairs
@@ -136,7 +137,7 @@ def _with_runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     gone = written(repeated_runs(df, id_col, text_col), "line-runs")
     rows = df.select(F.struct(*[col(c) for c in df.columns]).alias("row"))
     keyed = rows.select("row", F.col("row")[id_col].alias("rid"), F.md5(F.col("row")[text_col]).alias("mark"))
-    return keyed.join(gone, F.col("rid").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("text")), "left") \
+    return keyed.join(gone.hint("merge"), F.col("rid").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("text")), "left") \
         .select("row", "runs")
 
 
