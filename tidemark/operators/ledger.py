@@ -14,10 +14,6 @@ from tidemark.plans.lookup import lookup_join
 from tidemark.plans.ordered import block_edges, running
 from tidemark.session import cut_lineage
 
-# --- fixed values -----------------------------------------------------------
-STATUSES = ("disabled", "metric_unavailable", "not_best", "registered")
-# ----------------------------------------------------------------------------
-
 
 def _leaves(kind: T.DataType, value: Column, path: str) -> list[Column]:
     """Arrays of (key, value) for every leaf below a column, keys joined by dots."""

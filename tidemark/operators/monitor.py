@@ -41,7 +41,6 @@ INITIAL_STATUS = "stable"
 DRIFTED = "drift_detected"
 TRIGGERED = "triggered"
 COOLDOWN = "cooldown_active"
-OUTCOMES = ("triggered", "disabled", "misconfigured", "http_error", "request_error")
 # ----------------------------------------------------------------------------
 
 STATE_SCHEMA = (
