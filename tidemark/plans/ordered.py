@@ -34,22 +34,23 @@ def block_edges(
 ) -> list[float]:
     """Inner edges that cut the rows into blocks of about ``rows_per_block``.
 
-    One job counts and sketches the order column; at most ``MAX_BLOCKS`` numbers
-    come back. An empty list means one block is enough; ``at_most``, a number of
-    rows the caller knows not to be exceeded, may tell so without reading.
+    One job counts, a second sketches the order column where more blocks than one
+    are needed; at most ``MAX_BLOCKS`` numbers come back. An empty list means one
+    block is enough; ``at_most``, a number of rows the caller knows not to be
+    exceeded, may tell so without reading.
     """
     if at_most is not None and at_most <= rows_per_block:
         return []
+    blocks = min(MAX_BLOCKS, -(-df.count() // rows_per_block))
+    if blocks <= 1:
+        return []
     key = col(order).cast("double")
     finite = F.when(~F.isnan(key) & (F.abs(key) != float("inf")), key)
     step = 1 / FIRST_BLOCKS
-    (edges,), (total,) = sketch_quantiles(
-        df.select(finite.alias("key")), [(F.col("key"), [i * step for i in range(1, FIRST_BLOCKS)])], also=[F.count(F.lit(1))])
-    blocks = min(MAX_BLOCKS, -(-(total or 0) // rows_per_block))
-    if blocks <= 1:
-        return []
     if blocks <= FIRST_BLOCKS:
         # every so many edges of the even ones
+        (edges,), _ = sketch_quantiles(
+            df.select(finite.alias("key")), [(F.col("key"), [i * step for i in range(1, FIRST_BLOCKS)])])
         return sorted({edges[round(i * FIRST_BLOCKS / blocks) - 1] for i in range(1, blocks)} if edges else set())
     shares = [i / blocks for i in range(1, blocks)]
     (edges,), _ = sketch_quantiles(df.select(finite.alias("key")), [(F.col("key"), shares)], k=LARGEST_K)
