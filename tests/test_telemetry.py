@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import telemetry as tm
 from tidemark.session import new_folder
-from tidemark.streaming.telemetry import stream_rate, write_closed, write_current
+from tidemark.streaming.telemetry import current_rate, stream_rate, stream_step_counts, write_closed, write_steps
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 LOG = "ts timestamp, method string, route string, status_code int, duration_s double"
@@ -84,8 +84,18 @@ def test_streamed_rates_equal_batch_rates(spark, log):
 
     batch = sorted(tm.request_rate(log).collect())
     path = new_folder(spark, "current")
-    write_current(stream_rate(stream(), ["route"]), path, new_folder(spark, "cp")).awaitTermination()
-    assert sorted(spark.read.parquet(path).collect()) == batch
+    checkpoint = new_folder(spark, "cp")
+    write_steps(stream_step_counts(stream(), ["route"]), path, checkpoint).awaitTermination()
+    assert sorted(current_rate(spark, path, ["route"]).collect()) == batch
+    # rows that arrive later change their steps only
+    before = spark.read.parquet(path)
+    held = before.count()
+    log.filter((bound >= 3900) & (bound < 4000)).coalesce(1).write.mode("append").parquet(source)
+    write_steps(stream_step_counts(stream(), ["route"]), path, checkpoint).awaitTermination()
+    assert 0 < spark.read.parquet(path).count() - held <= 6
+    late = log.unionByName(log.filter((bound >= 3900) & (bound < 4000)))
+    batch = sorted(tm.request_rate(late).collect())
+    assert sorted(current_rate(spark, path, ["route"]).collect()) == batch
 
     path = new_folder(spark, "closed")
     write_closed(stream_rate(stream(), ["route"]), path, new_folder(spark, "cp")).awaitTermination()

@@ -6,7 +6,7 @@ import math
 from collections.abc import Mapping, Sequence
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,7 @@ from tidemark.functions.distributions import numeric_bucket
 from tidemark.options import DriftOptions, FeatureSpec
 from tidemark.plans.local import small_table
 from tidemark.plans.quantiles import exact_quantiles, quantiles_of_counts, sketch_quantiles
+from tidemark.session import cut_lineage
 
 SALTS = 64
 EMPTY = "cannot build a drift baseline from an empty table"
@@ -230,32 +231,41 @@ def category_counts(
 def category_profile(counts: DataFrame, top_k: int) -> DataFrame:
     """Sample size, missing rate, distinct values and most frequent values per feature.
 
-    A feature may have a huge number of values, so they are ranked inside salts
-    first; at most ``top_k`` candidates of each salt meet per feature. Ties go
-    to the smaller value.
+    No window sorts the distinct values. They are dealt to salts by hash, and
+    the ``top_k``-th best of the salts' best values bounds the ``top_k``-th best
+    of all from below; what reaches the bound is little more than ``top_k``
+    values and decides exactly. Counts give a first bound without touching the
+    values, so that these are compared only among the ties at that count. Ties
+    go to the smaller value.
     """
+    salts = max(SALTS, 8 * top_k)
     special = F.col("value").isin(MISSING, OTHER)
-    salted = counts.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)))
-    rank = Window.partitionBy("feature_pos", "salt").orderBy(
-        special, F.col("row_count").desc(), F.col("value")
+    # read three times: as a table of distinct values, not as the rows below it
+    salted = cut_lineage(counts.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int")))
+    per_salt = salted.groupBy("feature_pos", "salt").agg(
+        F.sum("row_count").alias("rows"),
+        F.count(F.lit(1)).alias("values"),
+        F.sum(F.when(F.col("value") == MISSING, F.col("row_count"))).alias("missing"),
+        F.max(F.when(~special, F.col("row_count"))).alias("most"),
     )
-    entry = F.struct((-F.col("row_count")).alias("neg"), F.col("value"))
-    per_salt = (
-        salted.withColumn("rn", F.row_number().over(rank))
-        .groupBy("feature_pos", "salt")
-        .agg(
-            F.sum("row_count").alias("rows"),
-            F.count(F.lit(1)).alias("values"),
-            F.sum(F.when(F.col("value") == MISSING, F.col("row_count"))).alias("missing"),
-            F.collect_list(F.when((F.col("rn") <= top_k) & ~special, entry)).alias("best"),
-        )
-    )
-    merged = per_salt.groupBy("feature_pos").agg(
+    totals = cut_lineage(per_salt.groupBy("feature_pos").agg(
         F.sum("rows").alias("sample_size"),
         F.sum("values").alias("unique_value_count"),
         F.coalesce(F.sum("missing"), F.lit(0)).alias("missing"),
-        F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, top_k).alias("best"),
-    )
+        # one entry per salt
+        F.get(F.sort_array(F.collect_list("most"), asc=False), F.lit(top_k - 1)).alias("least"),
+    ))
+    entry = F.struct((-F.col("row_count")).alias("neg"), F.col("value"))
+    frequent = salted.filter(~special).join(F.broadcast(totals.select("feature_pos", "least")), "feature_pos") \
+        .filter(F.col("least").isNull() | (F.col("row_count") >= F.col("least"))) \
+        .select("feature_pos", "salt", entry.alias("entry"))
+    bound = frequent.groupBy("feature_pos", "salt").agg(F.min("entry").alias("first")) \
+        .groupBy("feature_pos").agg(F.get(F.sort_array(F.collect_list("first")), F.lit(top_k - 1)).alias("last"))
+    best = frequent.join(F.broadcast(bound), "feature_pos") \
+        .filter(F.col("last").isNull() | (F.col("entry") <= F.col("last"))) \
+        .groupBy("feature_pos").agg(F.slice(F.sort_array(F.collect_list("entry")), 1, top_k).alias("best"))
+    none = F.array().cast("array<struct<neg: bigint, value: string>>")
+    merged = totals.join(F.broadcast(best), "feature_pos", "left").withColumn("best", F.coalesce("best", none))
     return merged.select(
         "feature_pos",
         "sample_size",

@@ -173,20 +173,42 @@ def _slide(
     Only the per-step sums are repeated for the ranges that contain them, not
     the log rows.
     """
-    if range_seconds % step_seconds:
-        raise ValueError("the range must be a whole number of steps")
-    step, span = f"{step_seconds} seconds", f"{range_seconds} seconds"
+    _check_range(range_seconds, step_seconds)
     labels = [col(c) for c in by]
-    per_step = df.groupBy(F.window(col(ts), step).alias("__step"), *labels).agg(*sums)
+    step = F.window(col(ts), f"{step_seconds} seconds")
+    per_step = df.groupBy(step.alias("__step"), *labels).agg(*sums)
     names = [c for c in per_step.columns if c not in (*by, "__step")]
-    sliding = F.window(F.col("__step.start"), span, step)
+    return _ranges_of_steps(per_step, F.col("__step.start"), by, names, range_seconds, step_seconds)
+
+
+def _check_range(range_seconds: int, step_seconds: int) -> None:
+    if range_seconds % step_seconds:
+        raise ValueError("the range must be a whole number of steps")
+
+
+def _ranges_of_steps(
+    per_step: DataFrame, start: Column, by: Sequence[str], names: Sequence[str], range_seconds: int, step_seconds: int
+) -> DataFrame:
+    sliding = F.window(start, f"{range_seconds} seconds", f"{step_seconds} seconds")
     return (
-        per_step.groupBy(sliding.alias("__range"), *labels)
+        per_step.groupBy(sliding.alias("__range"), *[col(c) for c in by])
         .agg(*[F.sum(n).alias(n) for n in names])
         .select(F.col("__range.start").alias("window_start"), *by, *names)
     )
 
 
+def rate_of_steps(
+    steps: DataFrame,
+    by: Sequence[str],
+    range_seconds: int = RATE_RANGE_SECONDS,
+    step_seconds: int = RATE_STEP_SECONDS,
+) -> DataFrame:
+    """Events per second over sliding ranges, from ``step_start, row_count`` per step."""
+    _check_range(range_seconds, step_seconds)
+    counted = _ranges_of_steps(steps, F.col("step_start"), by, ["row_count"], range_seconds, step_seconds)
+    return counted.select("window_start", *by, (F.col("row_count") / F.lit(float(range_seconds))).alias("rate"))
+
+
 def rate(
     df: DataFrame,
     by: Sequence[str],

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import telemetry as tm
 from tidemark.session import new_folder
-from tidemark.streaming.telemetry import stream_rate, write_closed, write_current
+from tidemark.streaming.telemetry import current_rate, stream_rate, stream_step_counts, write_closed, write_steps
 from workload import query, table
 
 
@@ -263,9 +263,9 @@ def _event_stream(spark, sf):
 )
 def request_rate_stream(spark, sf):
     path = new_folder(spark, "rates")
-    rates = stream_rate(_event_stream(spark, sf), ["route"])
-    write_current(rates, path, new_folder(spark, "rates-checkpoint")).awaitTermination()
-    return _rated(spark.read.parquet(path))
+    steps = stream_step_counts(_event_stream(spark, sf), ["route"])
+    write_steps(steps, path, new_folder(spark, "rates-checkpoint")).awaitTermination()
+    return _rated(current_rate(spark, path, ["route"]))
 
 
 @query(
