@@ -41,6 +41,7 @@ INITIAL_STATUS = "stable"
 DRIFTED = "drift_detected"
 TRIGGERED = "triggered"
 COOLDOWN = "cooldown_active"
+MISCONFIGURED = "misconfigured"
 # ----------------------------------------------------------------------------
 
 STATE_SCHEMA = (
@@ -369,7 +370,7 @@ def retraining_decisions(
     if options.backend == "disabled":
         result = F.lit("disabled")
     elif not options.workflow_id:
-        result = F.lit("misconfigured")
+        result = F.lit(MISCONFIGURED)
     else:
         result = outcome if outcome is not None else F.lit(TRIGGERED)
     timed = changes.withColumns(
@@ -458,7 +459,10 @@ def drift_events(
     retraining: RetrainingOptions,
     models: DataFrame | None = None,
 ) -> DataFrame:
-    """One event per status change or attempted retraining, with its JSON payload."""
+    """One event per status change or attempted retraining, with its JSON payload.
+
+    Decisions that carry a ``delivery`` (``outbox``) pass on what it answered.
+    """
     events = decisions.filter("write_event")
     reference = ("model_name", "source_type", "source_uri", "training_run_id",
                  "registered_model_name", "registered_model_version")
@@ -467,9 +471,20 @@ def drift_events(
     else:
         events = lookup_join(events, models.select(KEY, *reference), [KEY], "left", spread_by=[BATCH])
     at = F.date_format("evaluated_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    answered = "delivery" in decisions.columns
+    sent = F.col("attempted") & (F.col("trigger_status") != MISCONFIGURED)
+
+    def answer(field: str, kind: str) -> Column:
+        return F.when(sent, F.col(f"delivery.{field}")) if answered else F.lit(None).cast(kind)
+
     trigger = F.struct(
         "attempted", "triggered", F.col("trigger_status").alias("status"),
         F.lit(retraining.backend).alias("backend"), F.lit(retraining.workflow_id).alias("workflow_id"),
+        F.when(sent, request_run_id()).alias("run_id"),
+        answer("request_url", "string").alias("request_url"),
+        answer("status_code", "int").alias("response_status_code"),
+        F.when(F.col("trigger_status") == MISCONFIGURED, "no workflow is configured")
+        .otherwise(answer("detail", "string")).alias("detail"),
     )
     payload = F.struct(
         "event_id",
@@ -501,10 +516,14 @@ def drift_events(
     )
 
 
+def request_run_id() -> Column:
+    return F.concat(F.lit("drift__"), stamp("evaluated_at"))
+
+
 def retraining_requests(
     decisions: DataFrame, retraining: RetrainingOptions, models: DataFrame | None = None
 ) -> DataFrame:
-    """One request row per attempted retraining."""
+    """One request row per attempted retraining, under a key that is the same whenever it is decided."""
     asked = decisions.filter("attempted")
     reference = ("source_type", "training_run_id", "registered_model_name", "registered_model_version")
     if models is None:
@@ -519,7 +538,8 @@ def retraining_requests(
     )
     return asked.select(
         KEY, BATCH,
-        F.concat(F.lit("drift__"), stamp("evaluated_at")).alias("request_run_id"),
+        F.sha2(F.concat_ws("|", KEY, "event_id"), 256).alias("request_key"),
+        request_run_id().alias("request_run_id"),
         F.lit(retraining.workflow_id).alias("workflow_id"),
         F.col("trigger_status").alias("outcome"),
         F.to_json(conf, {"ignoreNullFields": "false"}).alias("conf"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import event_id
 from tidemark.operators.baseline import attach_baseline, build_baseline
 from tidemark.operators.monitor import (
     AT,
@@ -19,6 +20,7 @@ from tidemark.operators.monitor import (
     rolling_window,
     status_changes,
 )
+from tidemark.operators.outbox import decide_with_deliveries, request_key
 from tidemark.options import DriftOptions, FeatureSpec, RetrainingOptions
 from tidemark.session import cut_lineage, new_folder
 from tidemark.sources.commit_log import CommitLog
@@ -220,33 +222,6 @@ def _event_rows(events):
     )
 
 
-@query(
-    "event_payloads",
-    _DECISIONS
-    + f"""SELECT {_ID} AS event_id, monitor_key, status, window_rows AS observed_sample_size,
-                 round(psi, 6) AS max_feature_psi, 'm-' || monitor_key AS model_name, trigger_status,
-                 '0.2' AS drift_threshold
-          FROM decisions WHERE attempted OR status <> previous_status""",
-)
-def event_payloads(spark, sf):
-    """Events read back from their JSON documents."""
-    models = watched_models(spark, sf)
-    events = drift_events(_decisions(spark, sf), OPTIONS, RETRAINING, models)
-
-    def at(path):
-        return F.get_json_object("payload", path)
-
-    return events.select(
-        at("$.event_id").alias("event_id"), at("$.monitor_key").alias(KEY),
-        at("$.evaluation.status").alias("status"),
-        at("$.evaluation.observed_sample_size").cast("bigint").alias("observed_sample_size"),
-        F.round(at("$.evaluation.max_feature_psi").cast("double"), 6).alias("max_feature_psi"),
-        at("$.model.model_name").alias("model_name"),
-        at("$.retraining_trigger.status").alias("trigger_status"),
-        at("$.thresholds.drift_threshold").alias("drift_threshold"),
-    )
-
-
 _REQUESTS = """SELECT monitor_key, 'drift__' || strftime(evaluated_at, '%Y%m%dT%H%M%S%fZ') AS request_run_id,
     'model_training' AS workflow_id, 'triggered' AS outcome, window_rows AS observed_sample_size
     FROM decisions WHERE attempted"""
@@ -386,3 +361,77 @@ def state_log(spark, sf):
         live = {**live, **log.write("last_event", version, last, live, touched)}
         log.commit(version, live)
     return log.read("last_event", log.live(log.newest()))
+
+
+_DELIVERED = _FAILING + f""", answers AS (
+      SELECT *, {_ID} AS event_id, attempted AND batch_id % 3 <> 0 AS triggered,
+             CASE WHEN attempted AND batch_id % 3 = 0 THEN 'http_error' ELSE trigger_status END AS answer
+      FROM decisions)
+"""
+
+
+def _delivered(spark, sf):
+    """Decisions after deliveries: every third batch is refused twice, others answer the second attempt.
+
+    Attempts stand twice in the table, as from a sender that was killed.
+    """
+    found = cut_lineage(_evaluations(spark, sf))
+    refused = F.col(BATCH) % 3 == 0
+    second = F.col("attempt") == 2
+    sent = found.filter(F.col("status") == "drift_detected").select(
+        BATCH, request_key(event_id("evaluated_at", "status")).alias("request_key"), "evaluated_at",
+        F.explode(F.array(F.lit(1), F.lit(2), F.lit(2))).alias("attempt"),
+    ).select(
+        "request_key", "attempt", (F.col("evaluated_at") + F.make_interval(mins="attempt")).alias("delivered_at"),
+        F.concat(F.lit("https://workflows.example/"), "attempt").alias("request_url"),
+        F.when(refused, F.lit(503)).when(second, F.lit(201)).alias("status_code"),
+        F.when(refused, "busy").when(second, "started").otherwise("timed out").alias("detail"),
+    )
+    return decide_with_deliveries(found, RETRAINING, sent)
+
+
+@query(
+    "delivery_results",
+    _DELIVERED
+    + """SELECT monitor_key, batch_id, attempted, triggered, answer AS trigger_status,
+                sha256(monitor_key || '|' || event_id) AS request_key FROM answers""",
+)
+def delivery_results_query(spark, sf):
+    """Decisions with the answers of an outbox: requests that were refused start no cooldown."""
+    return _delivered(spark, sf).select(KEY, BATCH, "attempted", "triggered", "trigger_status", "request_key")
+
+
+@query(
+    "event_payloads",
+    _DELIVERED
+    + """SELECT event_id, monitor_key, status, window_rows AS observed_sample_size,
+                round(psi, 6) AS max_feature_psi, 'm-' || monitor_key AS model_name, '0.2' AS drift_threshold,
+                CASE WHEN answer IS NOT NULL THEN attempted::VARCHAR END AS attempted,
+                CASE WHEN answer IS NOT NULL THEN triggered::VARCHAR END AS triggered, answer AS trigger_status,
+                CASE WHEN answer IS NOT NULL THEN 'request_table' END AS backend,
+                CASE WHEN answer IS NOT NULL THEN 'model_training' END AS workflow_id,
+                CASE WHEN attempted THEN 'drift__' || strftime(evaluated_at, '%Y%m%dT%H%M%S%fZ') END AS run_id,
+                CASE WHEN attempted THEN 'https://workflows.example/2' END AS request_url,
+                CASE WHEN attempted THEN CASE WHEN batch_id % 3 = 0 THEN 503 ELSE 201 END END AS response_status_code,
+                CASE WHEN attempted THEN CASE WHEN batch_id % 3 = 0 THEN 'busy' ELSE 'started' END END AS detail
+         FROM answers WHERE attempted OR status <> previous_status""",
+)
+def event_payloads(spark, sf):
+    """Events read back from their JSON documents, with every field of the trigger."""
+    events = drift_events(_delivered(spark, sf), OPTIONS, RETRAINING, watched_models(spark, sf))
+
+    def at(path):
+        return F.get_json_object("payload", path)
+
+    trigger = ("attempted", "triggered", "backend", "workflow_id", "run_id", "request_url", "detail")
+    return events.select(
+        at("$.event_id").alias("event_id"), at("$.monitor_key").alias(KEY),
+        at("$.evaluation.status").alias("status"),
+        at("$.evaluation.observed_sample_size").cast("bigint").alias("observed_sample_size"),
+        F.round(at("$.evaluation.max_feature_psi").cast("double"), 6).alias("max_feature_psi"),
+        at("$.model.model_name").alias("model_name"),
+        at("$.thresholds.drift_threshold").alias("drift_threshold"),
+        at("$.retraining_trigger.status").alias("trigger_status"),
+        at("$.retraining_trigger.response_status_code").cast("int").alias("response_status_code"),
+        *[at(f"$.retraining_trigger.{f}").alias(f) for f in trigger],
+    )

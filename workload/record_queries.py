@@ -27,6 +27,7 @@ from tidemark.operators.contract import (
     target_distribution,
     valid_records,
 )
+from tidemark.operators.envelopes import check_requests, request_records
 from tidemark.operators.features import align_schema, normalize_categories, prepare
 from tidemark.options import DatasetOptions
 from tidemark.sources.delimited import apply_types, inferred_types, read_parquet_dataset
@@ -218,6 +219,96 @@ def request_sizes_query(spark, sf):
     return request_sizes(log, "request_id", maximum=600)
 
 
+ENVELOPE_RULES = [
+    RecordRule("customer", "integer", minimum=0),
+    RecordRule("priority", "text"),
+    RecordRule("status", "choice", choices=("F", "O")),
+    RecordRule("total", "number", minimum=0, optional=True),
+]
+
+
+def _request_bodies(spark, sf):
+    """Request bodies out of orders: empty lists, unknown keys, odd records and broken texts among them."""
+    key = F.col("o_orderkey")
+    total = F.when(key % 11 == 0, '"n/a"').when(key % 11 == 1, '" "').when(key % 11 == 2, "null").otherwise(
+        F.concat(F.lit('"'), key.cast("string"), F.lit('"')))
+    record = F.concat(
+        F.lit('{"customer": '), F.col("o_custkey").cast("string"), F.lit(', "priority": "'), F.col("o_orderpriority"),
+        F.lit('", "status": "'), F.col("o_orderstatus"), F.lit('", "total": '), total,
+        F.when(key % 13 == 0, ', "note": 1').otherwise(""), F.lit("}"))
+    records = F.array_join(F.array_repeat(record, (key % 7).cast("int")), ", ")
+    listed = F.concat(F.lit('"instances": ['), records, F.lit("]"))
+    body = (
+        F.when(key % 10 == 0, F.concat(F.lit('{"trace": 1, '), listed, F.lit("}")))
+        .when(key % 10 == 1, F.concat(F.lit("{"), listed))
+        .when(key % 10 == 2, F.lit('{"rows": []}'))
+        .when(key % 10 == 3, F.concat(F.lit('{"instances": '), record, F.lit("}")))
+        .when(key % 10 == 4, F.lit('{"instances": [1, null]}'))
+        .otherwise(F.concat(F.lit("{"), listed, F.lit("}")))
+    )
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("request_id"), body.alias("body"))
+
+
+_BODIES_SQL = """
+    WITH t AS (SELECT *, CASE o_orderkey % 11 WHEN 0 THEN '"n/a"' WHEN 1 THEN '" "' WHEN 2 THEN 'null'
+                              ELSE '"' || o_orderkey || '"' END AS total FROM orders),
+    r AS (SELECT o_orderkey AS request_id, '{"customer": ' || o_custkey || ', "priority": "' || o_orderpriority
+                 || '", "status": "' || o_orderstatus || '", "total": ' || total
+                 || CASE WHEN o_orderkey % 13 = 0 THEN ', "note": 1' ELSE '' END || '}' AS record FROM t),
+    l AS (SELECT *, '"instances": [' || array_to_string([record FOR i IN range(request_id % 7)], ', ') || ']' AS listed
+          FROM r),
+    b AS (SELECT request_id, CASE request_id % 10 WHEN 0 THEN '{"trace": 1, ' || listed || '}' WHEN 1 THEN '{' || listed
+                 WHEN 2 THEN '{"rows": []}' WHEN 3 THEN '{"instances": ' || record || '}'
+                 WHEN 4 THEN '{"instances": [1, null]}' ELSE '{' || listed || '}' END AS body FROM l),
+    p AS (SELECT request_id, json_valid(body) AS valid, CASE WHEN json_valid(body) THEN body END::JSON AS body FROM b),
+    k AS (SELECT *, list_sort(json_keys(body)) AS keys, json_type(body, '$.instances') AS kind,
+                 coalesce(json_array_length(body, '$.instances'), 0) AS n FROM p),
+    x AS (SELECT request_id, unnest(json_extract(body, '$.instances[*]')) AS record,
+                 generate_subscripts(json_extract(body, '$.instances[*]'), 1) - 1 AS pos FROM k WHERE kind = 'ARRAY')
+"""
+
+
+@query(
+    "request_envelopes",
+    _BODIES_SQL
+    + """,
+    f AS (SELECT request_id, pos, record, json_type(record) AS kind, trim(record->>'customer') AS customer,
+                 trim(record->>'priority') AS priority, trim(record->>'status') AS status,
+                 nullif(trim(record->>'total'), '') AS total FROM x),
+    v AS (SELECT request_id, pos, CASE WHEN kind <> 'OBJECT' THEN ['record:object'] ELSE [y FOR y IN [
+            CASE WHEN coalesce(try_cast(customer AS DOUBLE) >= 0, false) THEN NULL ELSE 'customer:integer' END,
+            CASE WHEN coalesce(priority, '') = '' THEN 'priority:text' END,
+            CASE WHEN coalesce(status, '') NOT IN ('F', 'O') THEN 'status:choice' END,
+            CASE WHEN total IS NOT NULL AND coalesce(try_cast(total AS DOUBLE) < 0, true) THEN 'total:number' END,
+            CASE WHEN list_contains(json_keys(record), 'note') THEN 'note:extra' END] IF y IS NOT NULL] END AS errors
+          FROM f),
+    w AS (SELECT request_id, string_agg('instances.' || pos || '.' || error, ',' ORDER BY pos, nth) AS errors
+          FROM (SELECT request_id, pos, unnest(errors) AS error, generate_subscripts(errors, 1) AS nth FROM v) GROUP BY 1),
+    e AS (SELECT request_id, n, CASE WHEN NOT valid THEN 'body:json' ELSE concat_ws(',',
+            CASE WHEN NOT list_contains(keys, 'instances') THEN 'instances:missing' WHEN kind <> 'ARRAY' THEN 'instances:array'
+                 WHEN n < 1 THEN 'instances:too_short' WHEN n > 5 THEN 'instances:too_long' END,
+            nullif(array_to_string([y || ':extra' FOR y IN keys IF y <> 'instances'], ','), ''), w.errors) END AS errors
+          FROM k LEFT JOIN w USING (request_id))
+    SELECT request_id, CAST(n AS INT) AS record_count, errors, errors = '' AS accepted FROM e
+    """,
+)
+def request_envelopes(spark, sf):
+    """Requests as they come, checked whole: empty ones and unknown keys are seen."""
+    checked = check_requests(_request_bodies(spark, sf), "body", ENVELOPE_RULES, maximum=5)
+    return checked.select("request_id", "record_count", F.array_join("errors", ",").alias("errors"), "accepted")
+
+
+@query(
+    "request_records",
+    _BODIES_SQL
+    + """SELECT request_id, CAST(pos AS INT) AS record_pos, record->>'customer' AS customer,
+                record->>'priority' AS priority, record->>'total' AS total FROM x""",
+)
+def request_records_query(spark, sf):
+    """The records of all requests that have a list of them."""
+    return request_records(_request_bodies(spark, sf), "body", ["customer", "priority", "total"]).drop("record")
+
+
 @query(
     "coerce_numeric",
     r"""
