@@ -148,6 +148,31 @@ def test_coefficients_match_newton(mixed):
     classifier = model.stages[-1]
     found = np.append(classifier.coefficients.toArray(), classifier.intercept)
     assert np.allclose(found, beta, atol=1e-5)
+    linear = train(mixed, SPEC, ModelOptions(solver="newton")).stages[-2]
+    found = np.append(linear.coefficients.toArray(), linear.intercept)
+    assert np.allclose(found, beta, atol=1e-6)  # a flat feature keeps the Gram matrix singular
+    narrow = FeatureSpec(("x", "z"), ("c", "d"))
+    linear = train(mixed, narrow, ModelOptions(solver="newton")).stages[-2]
+    found = np.append(linear.coefficients.toArray(), linear.intercept)
+    assert np.allclose(found, np.delete(beta, 2), atol=1e-10)
+
+
+def test_newton_model_is_stored_whole(mixed, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    options = ModelOptions(solver="newton", C=0.3)
+    model = train(mixed, SPEC, options)
+    rows = score(model, mixed, options).orderBy("id").collect()
+    model.write().save(str(tmp_path / "m"))
+    again = score(PipelineModel.load(str(tmp_path / "m")), mixed, options).orderBy("id").collect()
+    assert again == rows
+    other = score(train(mixed, SPEC, ModelOptions(C=0.3, tol=1e-12)), mixed).orderBy("id").collect()
+    assert np.allclose([r["probability"] for r in rows], [r["probability"] for r in other], atol=1e-5)
+    assert [r["predicted_class"] for r in rows] == [r["predicted_class"] for r in other]
+    with pytest.raises(ValueError, match="solver"):
+        ModelOptions(solver="sag")
+    with pytest.raises(ArithmeticError, match="steps"):
+        train(mixed, SPEC, ModelOptions(solver="newton", max_iter=2))
 
 
 def test_scoring_echoes_the_threshold(spark, mixed, tmp_path):

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -25,6 +29,9 @@ def train(
     The penalty is ``1 / (C * rows)`` because the loss is a weighted mean here
     and a weighted sum in the objective that ``C`` belongs to; balanced weights
     add up to the number of rows.
+
+    The solver ``newton`` reaches the same optimum to the last digits by
+    reweighted least squares, for at most 4,096 feature columns.
     """
     rows = df.select(*[col(c) for c in spec.all], col(label))
     cores = rows.sparkSession.sparkContext.defaultParallelism
@@ -50,14 +57,64 @@ def _fit(
         by_class = {r["y"]: total / (2.0 * r["count"]) for r in classes}
         weight = F.when(col(label) == 1, F.lit(by_class[1])).otherwise(F.lit(by_class[0]))
     fit = fit_features(df, spec)
+    weighted = df.withColumns({"__weight": weight, "__label": col(label).cast("double")})
+    stages = feature_stages(fit, df.schema)
+    if options.solver == "newton":
+        prepared = Pipeline(stages=stages).fit(weighted)
+        rows = prepared.transform(weighted).select("features", "__label", "__weight")
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            link = "SELECT *, 1D / (1D + exp(-__eta)) AS __positive, CAST(__eta > 0 AS DOUBLE) AS __prediction FROM __THIS__"
+            return PipelineModel([*prepared.stages, _newton(rows, options), SQLTransformer(statement=link)])
+        finally:
+            rows.unpersist()
     classifier = LogisticRegression(
         featuresCol="features", labelCol="__label", weightCol="__weight",
         predictionCol="__prediction", probabilityCol="__probability", rawPredictionCol="__raw",
         regParam=1.0 / (options.C * total), elasticNetParam=0.0, standardization=False,
         maxIter=options.max_iter, tol=options.tol,
     )
-    weighted = df.withColumns({"__weight": weight, "__label": col(label).cast("double")})
-    return Pipeline(stages=[*feature_stages(fit, df.schema), classifier]).fit(weighted)
+    return Pipeline(stages=[*stages, classifier]).fit(weighted)
+
+
+def _newton(rows: DataFrame, options: ModelOptions) -> LinearRegressionModel:
+    """Linear predictor of the penalized optimum, by reweighted least squares.
+
+    A step is one weighted regression on the working response, solved from the
+    Gram matrix that tasks add up. The penalty is a sum and a regression's loss
+    a weighted mean of the response in its standard deviations, so its strength
+    changes with the working weights and responses.
+    """
+    penalty = 1.0 / options.C
+    solver = LinearRegression(
+        featuresCol="features", labelCol="__target", weightCol="__step", predictionCol="__eta",
+        solver="normal", elasticNetParam=0.0, standardization=False, tol=1e-14, maxIter=1000,
+    )
+    eta, y, w = F.col("__eta"), F.col("__label"), F.col("__weight")
+    p = 1 / (1 + F.exp(-eta))
+    # the floor changes the path only: weight times residual stays weight * (y - p)
+    v = F.greatest(p * (1 - p), F.lit(1e-10))
+    margin = F.when(y == 1, eta).otherwise(-eta)
+    loss = w * (F.greatest(-margin, F.lit(0.0)) + F.log1p(F.exp(-F.abs(margin))))
+    at, found, last = rows.withColumn("__eta", F.lit(0.0)), None, float("inf")
+    for _ in range(options.max_iter):
+        step = at.select("features", (eta + (y - p) / v).alias("__target"), (w * v).alias("__step"), loss.alias("__loss"))
+        weight, target = F.col("__step"), F.col("__target")
+        seen = step.agg(
+            F.sum(weight).alias("weight"), F.sum("__loss").alias("loss"),
+            (F.sum(weight * target) / F.sum(weight)).alias("mean"),
+            (F.sum(weight * target * target) / F.sum(weight)).alias("square"),
+        ).first()
+        objective = seen["loss"] + (0 if found is None else penalty / 2 * float(found[:-1] @ found[:-1]))
+        if not objective <= last * (1 + 1e-9):
+            raise ArithmeticError("Newton steps do not lead down; use the solver 'lbfgs'")
+        spread = math.sqrt(max(seen["square"] - seen["mean"] ** 2, 0.0))
+        model = solver.setRegParam(penalty / seen["weight"] * spread).fit(step)
+        now = np.append(model.coefficients.toArray(), model.intercept)
+        if found is not None and np.abs(now - found).max() <= options.tol * max(1.0, np.abs(now).max()):
+            return model
+        found, last, at = now, objective, model.transform(rows)
+    raise ArithmeticError(f"no optimum within {options.max_iter} steps")
 
 
 def score(
@@ -71,7 +128,9 @@ def score(
     The class is decided at 0.5; the configured threshold is only reported,
     unless ``apply_threshold`` asks for it.
     """
-    scored = model.transform(df).withColumn("probability", vector_to_array("__probability")[1])
+    scored = model.transform(df)
+    positive = F.col("__positive") if "__positive" in scored.columns else vector_to_array("__probability")[1]
+    scored = scored.withColumn("probability", positive)
     decided = (
         (F.col("probability") >= options.decision_threshold).cast("int")
         if apply_threshold

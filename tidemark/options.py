@@ -84,12 +84,15 @@ class ModelOptions:
     max_iter: int = 1000
     tol: float = 1e-8
     decision_threshold: float = 0.5
+    solver: str = "lbfgs"
 
     def __post_init__(self) -> None:
         if self.name != "logistic_regression":
             raise ValueError("only 'logistic_regression' is supported as model name")
         if self.C <= 0:
             raise ValueError("C must be positive")
+        if self.solver not in ("lbfgs", "newton"):
+            raise ValueError("solver must be 'lbfgs' or 'newton'")
         if not 0 <= self.decision_threshold <= 1:
             raise ValueError("decision_threshold must lie in [0, 1]")
 

@@ -199,10 +199,7 @@ def _scored_orders(spark, sf):
     )
 
 
-_SCORED_SQL = """
-    WITH s AS (SELECT o_orderpriority AS split, CAST(o_orderstatus = 'F' AS INT) AS y,
-                      round(o_totalprice / 500000, 2) AS score FROM orders),
-    q AS (SELECT *, CAST(score >= CAST(0.5 AS DOUBLE) AS INT) AS p FROM s),
+_METRICS = """
     c AS (SELECT split, count(*) AS support, count(*) FILTER (y = 0 AND p = 0) AS tn,
                  count(*) FILTER (y = 0 AND p = 1) AS fp, count(*) FILTER (y = 1 AND p = 0) AS fn,
                  count(*) FILTER (y = 1 AND p = 1) AS tp FROM q GROUP BY 1),
@@ -217,6 +214,10 @@ _SCORED_SQL = """
                  round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall,
                  round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1 FROM c)
 """
+_SCORED_SQL = """
+    WITH s AS (SELECT o_orderpriority AS split, CAST(o_orderstatus = 'F' AS INT) AS y,
+                      round(o_totalprice / 500000, 2) AS score FROM orders),
+    q AS (SELECT *, CAST(score >= CAST(0.5 AS DOUBLE) AS INT) AS p FROM s),""" + _METRICS
 _RATIOS = ("accuracy", "precision", "recall", "f1")
 _RANKS = ("roc_auc", "average_precision")
 
@@ -225,6 +226,14 @@ def _rounded(df, names):
     return df.withColumns({n: F.round(n, 9) for n in names})
 
 
+_LONG = ", x AS (SELECT m.*, roc_auc, average_precision FROM m JOIN a USING (split)) " + " UNION ALL ".join(
+    f"SELECT split, '{n}' AS metric, CAST({n} AS DOUBLE) AS value FROM x"
+    for n in (
+        *_RATIOS, *_RANKS, "support", "true_negatives", "false_positives", "false_negatives", "true_positives",
+    )
+)
+
+
 @query("confusion_metrics", _SCORED_SQL + "SELECT * FROM m")
 def confusion_metrics_query(spark, sf):
     return _rounded(confusion_metrics(_scored_orders(spark, sf), ["split"]), _RATIOS)
@@ -249,14 +258,7 @@ def classification_metrics_query(spark, sf):
 @query(
     "metrics_long",
     _SCORED_SQL
-    + ", x AS (SELECT m.*, roc_auc, average_precision FROM m JOIN a USING (split)) "
-    + " UNION ALL ".join(
-        f"SELECT split, '{n}' AS metric, CAST({n} AS DOUBLE) AS value FROM x"
-        for n in (
-            *_RATIOS, *_RANKS, "support", "true_negatives", "false_positives", "false_negatives",
-            "true_positives",
-        )
-    ),
+    + _LONG,
 )
 def metrics_long_query(spark, sf):
     return metrics_long(classification_metrics_query(spark, sf))
@@ -273,49 +275,149 @@ def _returned_lines(spark, sf):
         "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_partkey",
         "l_quantity",
         F.when(F.col("l_tax") > 0, F.col("l_extendedprice")).alias("l_extendedprice"),
-        "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+        "l_discount", "l_tax", "l_returnflag", "l_linestatus", F.col("l_extendedprice").alias("l_price"),
         F.when(F.col("l_returnflag") != "A", F.month("l_shipdate").cast("string")).alias("l_shipmonth"),
         (F.col("l_extendedprice") * (1 - F.col("l_discount")) > 45000).cast("int").alias("label"),
     ).withColumn(
         # the table has no key of its own; equal rows are equal in every feature
         "row_key",
-        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-                   "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"),
-    )
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                    F.date_format("l_shipdate", "yyyyMMdd"),
+                    *[F.floor(F.col(c) * 100) for c in ("l_quantity", "l_price", "l_discount", "l_tax")]),
+    ).drop("l_price")
+
+
+LINE_MODEL = ModelOptions(decision_threshold=0.4, solver="newton")
 
 
 def trained_lines(spark, sf):
     split = assign_splits(_returned_lines(spark, sf), "label", "row_key", SPLIT)
-    model = train(split.filter(F.col("split") == "train"), LINE_SPEC)
-    return model, score(model, split, ModelOptions(decision_threshold=0.4))
+    model = train(split.filter(F.col("split") == "train"), LINE_SPEC, LINE_MODEL)
+    return model, score(model, split, LINE_MODEL)
+
 
+def fitted_sql(rows: str, key: str, numeric: list[str], categories: dict[str, list[str]], steps: int = 14) -> str:
+    """CTEs from rows with ``label`` and a key to ``fitted``: their split and the probability of a trained model.
 
-@query("train_score")
+    Splits, medians, modes and scaling as the library defines them; then Newton
+    steps on the penalized, class-balanced objective. The Hessian and the gradient
+    of a step are one flat list, solved by elimination in a recursion over pivots.
+    """
+    hot = [(c, v) for c, values in categories.items() for v in values]
+    size = len(numeric) + len(hot) + 1
+    wide, columns = size + 1, range(1, size + 1)
+    medians = ", ".join(f"median({n}) AS md_{n}" for n in numeric)
+    modes_of = ", ".join(
+        f"(SELECT {c} FROM tr WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, {c} LIMIT 1) AS mo_{c}"
+        for c in categories)
+    filled = ", ".join([f"coalesce({n}, md_{n}) AS f_{n}" for n in numeric]
+                       + [f"coalesce({c}, mo_{c}) AS f_{c}" for c in categories])
+    moments = ", ".join(f"avg(f_{n}) AS a_{n}, stddev_pop(f_{n}) AS s_{n}" for n in numeric)
+    cells = [f"(f_{n} - a_{n}) / CASE WHEN s_{n} > 0 THEN s_{n} ELSE 1 END" for n in numeric]
+    cells += [f"CAST(f_{c} = '{v}' AS DOUBLE)" for c, v in hot] + ["CAST(1 AS DOUBLE)"]
+    design = ", ".join(f"{c} AS x{i}" for i, c in zip(columns, cells))
+    line = " + ".join(f"beta[{i}] * x{i}" for i in columns)
+    sums = ", ".join(f"sum(v * x{i} * x{j}) AS h{i}_{j}" for i in columns for j in columns if i <= j)
+    flat = ", ".join(
+        ", ".join([f"h{min(i, j)}_{max(i, j)}" + (" + 1" if i == j < size else "") for j in columns]
+                  + [f"u{i}" + (f" - beta[{i}]" if i < size else "")])
+        for i in columns)
+    text = f"""
+    o AS ({rows}), counts AS (SELECT label, count(*) AS n FROM o GROUP BY 1), {quotas_sql('0.2', '0.1')},
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || {key}), {key}) AS rn FROM o),
+    sp AS (SELECT r.*, CASE WHEN rn <= test THEN 'test' WHEN rn <= test + validation THEN 'validation'
+                            ELSE 'train' END AS split FROM ranked r JOIN quotas z ON z.label = r.label),
+    tr AS (SELECT * FROM sp WHERE split = 'train'),
+    im AS (SELECT sp.*, {filled} FROM sp, (SELECT {medians} FROM tr), (SELECT {modes_of})),
+    st AS (SELECT {moments}, count(*) AS total, sum(label) AS positive FROM im WHERE split = 'train'),
+    dm AS MATERIALIZED (SELECT im.*, {design}, CASE WHEN label = 1 THEN total / (2 * positive)
+                               ELSE total / (2 * (total - positive)) END AS wt FROM im, st),
+    b0 AS (SELECT [CAST(0 AS DOUBLE) FOR t IN range({size})] AS beta)"""
+    for k in range(steps):
+        text += f""",
+    g{k} AS MATERIALIZED (
+      SELECT any_value(beta) AS beta, {sums}, {", ".join(f"sum(u * x{i}) AS u{i}" for i in columns)}
+      FROM (SELECT *, wt * p * (1 - p) AS v, wt * (label - p) AS u
+            FROM (SELECT *, 1 / (1 + exp(-({line}))) AS p FROM dm, b{k} WHERE split = 'train'))),
+    e{k}(i, beta, m) AS (
+      SELECT 0, beta, [{flat}] FROM g{k}
+      UNION ALL
+      SELECT i + 1, beta, [CASE WHEN t // {wide} = i THEN m[t + 1] / m[i * {wide} + i + 1]
+          ELSE m[t + 1] - m[(t // {wide}) * {wide} + i + 1] * m[i * {wide} + t % {wide} + 1] / m[i * {wide} + i + 1]
+          END FOR t IN range({size * wide})] FROM e{k} WHERE i < {size}),
+    b{k + 1} AS MATERIALIZED (
+      SELECT [beta[t] + m[t * {wide}] FOR t IN range(1, {size + 1})] AS beta FROM e{k} WHERE i = {size})"""
+    return text + f""",
+    fitted AS (SELECT dm.*, 1 / (1 + exp(-({line}))) AS p FROM dm, b{steps})"""
+
+
+_LINES_SQL = "WITH RECURSIVE " + fitted_sql(
+    """SELECT *, CASE WHEN l_tax > 0 THEN l_extendedprice END AS price, l_quantity AS quantity,
+              l_discount AS discount, l_tax AS tax, l_linestatus AS line_status,
+              CASE WHEN l_returnflag <> 'A' THEN CAST(month(l_shipdate) AS VARCHAR) END AS ship_month,
+              CAST(l_extendedprice * (1 - l_discount) > 45000 AS INT) AS label,
+              concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d'),
+                        CAST(floor(l_quantity * 100) AS BIGINT), CAST(floor(l_extendedprice * 100) AS BIGINT),
+                        CAST(floor(l_discount * 100) AS BIGINT), CAST(floor(l_tax * 100) AS BIGINT)) AS row_key
+       FROM lineitem""",
+    "row_key", ["quantity", "price", "discount", "tax"],
+    {"line_status": ["F", "O"], "ship_month": [str(m) for m in range(1, 13)]},
+)
+
+
+@query(
+    "train_score",
+    _LINES_SQL
+    + """SELECT row_key, split, label, CAST(p > 0.5 AS INT) AS predicted_class, p > 0.5 AS predicted_positive,
+                round(p, 5) AS probability, CAST(0.4 AS DOUBLE) AS decision_threshold FROM fitted""",
+)
 def train_score(spark, sf):
+    """A model of six features, to the digits an independent solution gives."""
     _, scored = trained_lines(spark, sf)
     return scored.select(
         "row_key", "split", "label", "predicted_class", "predicted_positive",
-        F.round("probability", 6).alias("probability"), "decision_threshold",
+        F.round("probability", 5).alias("probability"), "decision_threshold",
     )
 
 
-@query("trained_metrics")
+@query(
+    "trained_metrics",
+    _LINES_SQL
+    + ", q AS (SELECT split, label AS y, round(p, 7) AS score, CAST(p > 0.5 AS INT) AS p FROM fitted),"
+    + _METRICS + _LONG,
+)
 def trained_metrics(spark, sf):
     _, scored = trained_lines(spark, sf)
-    long = metrics_long(classification_metrics(scored))
-    return long.withColumn("value", F.round("value", 6))
+    ranked = scored.withColumn("probability", F.round("probability", 7))
+    return metrics_long(_rounded(classification_metrics(ranked), (*_RATIOS, *_RANKS)))
 
 
-@query("prediction_rows")
+@query(
+    "prediction_rows",
+    _LINES_SQL
+    + """SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY row_key) - 1 AS index,
+                CAST(p > 0.5 AS INT) AS predicted_class, p > 0.5 AS predicted_positive, round(p, 5) AS probability,
+                CAST(0.4 AS DOUBLE) AS decision_threshold, 'logistic_regression' AS model_name,
+                'run_table' AS source_type, '20240101T000000000000Z' AS training_run_id FROM fitted""",
+)
 def prediction_rows_query(spark, sf):
     _, scored = trained_lines(spark, sf)
     reference = {"model_name": "logistic_regression", "source_type": "run_table",
                  "training_run_id": "20240101T000000000000Z"}
     rows = prediction_rows(scored, "l_suppkey", "row_key", reference)
-    return rows.withColumn("probability", F.round("probability", 6))
+    return rows.withColumn("probability", F.round("probability", 5)).select("*", "model.*").drop("model")
 
 
-@query("document_quality_model")
+@query(
+    "document_quality_model",
+    "WITH RECURSIVE " + fitted_sql(
+        """SELECT doc_id, quality AS label, CAST(n_chars AS DOUBLE) AS n_chars, lang, source
+           FROM labels JOIN documents USING (doc_id)""",
+        "doc_id", ["n_chars"], {"lang": ["de", "en", "es", "fr"], "source": [f"src{i}" for i in range(20)]},
+    )
+    + """SELECT doc_id, split, label, CAST(p > 0.5 AS INT) AS predicted_class, round(p, 5) AS probability
+         FROM fitted""",
+)
 def document_quality_model(spark, sf):
     """Quality of documents from their length, language and source."""
     labelled = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
@@ -324,9 +426,10 @@ def document_quality_model(spark, sf):
         "lang", "source",
     )
     split = assign_splits(prepared, "label", "doc_id", SPLIT)
-    model = train(split.filter(F.col("split") == "train"), FeatureSpec(("n_chars",), ("lang", "source")))
-    return score(model, split).select(
-        "doc_id", "split", "label", "predicted_class", F.round("probability", 6).alias("probability")
+    options = ModelOptions(solver="newton")
+    model = train(split.filter(F.col("split") == "train"), FeatureSpec(("n_chars",), ("lang", "source")), options)
+    return score(model, split, options).select(
+        "doc_id", "split", "label", "predicted_class", F.round("probability", 5).alias("probability")
     )
 
 
