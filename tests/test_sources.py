@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators.contract import ContractError
-from tidemark.options import DatasetOptions
+from tidemark.options import DatasetOptions, FeatureSpec, SplitOptions
 from tidemark.sources.delimited import load_dataset, read_dataset, read_text_table
-from tidemark.sources.store import RunStore, safe_run_id
+from tidemark.sources.store import RunStore, files_key, safe_run_id, settings_key
 
 
 def _write(tmp_path, text):
@@ -82,3 +83,40 @@ def test_stage_is_built_once(spark, tmp_path):
 def test_run_id_is_made_safe(spark):
     assert safe_run_id(spark, "2026-03-30T00:00:00+00:00") == "2026-03-30T00_00_00_00_00"
     assert safe_run_id(spark, "..//..") == "run"
+
+
+def test_stage_follows_its_inputs(spark, tmp_path):
+    store, calls, data = RunStore(spark, str(tmp_path / "store")), [], str(tmp_path / "data")
+
+    def run(seed=1):
+        def build():
+            calls.append(seed)
+            return spark.read.parquet(data).withColumn("seed", F.lit(seed))
+
+        raw = store.stage("ingestion", "r1", lambda: spark.read.parquet(data), [files_key(spark, data)])
+        key = store.stage_key("ingestion", "r1")
+        return raw.count(), store.stage("preprocessing", "r1", build, [key], SplitOptions(seed=seed)).first()["seed"]
+
+    spark.range(5).write.parquet(data)
+    assert run() == (5, 1) and run() == (5, 1) and calls == [1]
+    assert run(2) == (5, 2) and calls == [1, 2]
+    spark.range(3).write.mode("append").parquet(data)
+    assert run(2) == (8, 2) and calls == [1, 2, 2] and run(2) == (8, 2) and len(calls) == 3
+    # killed while it was building: the old output has lost its key, so it is not taken
+    with pytest.raises(ZeroDivisionError):
+        store.stage("preprocessing", "r1", lambda: 1 / 0, ["other"])
+    assert store.stage_key("preprocessing", "r1") is None
+    assert run(2) == (8, 2) and len(calls) == 4
+    assert settings_key({"a": 1, "b": 2}) == settings_key({"b": 2, "a": 1}) != settings_key({"a": 1, "b": 3})
+
+
+def test_summary_with_splits_and_features(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path))
+    df = spark.range(7).select("id", F.when(F.col("id") < 2, "test").otherwise("train").alias("split"))
+    row = store.summarize_stage("preprocessing", "r", df, "split", FeatureSpec(("id",))).first()
+    assert (row["row_count"], row["split_sizes"]) == (7, {"test": 2, "train": 5})
+    assert (row["numeric_features"], row["categorical_features"]) == (["id"], [])
+    plain = store.summarize_stage("ingestion", "r", df.limit(0)).first()
+    assert (plain["row_count"], plain["split_sizes"], plain["numeric_features"]) == (0, None, None)
+    empty = store.summarize_stage("evaluation", "r", df.limit(0), "split").first()
+    assert (empty["row_count"], empty["split_sizes"]) == (0, {})

@@ -6,7 +6,9 @@ micro-batch leaves the same result as a single one.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import hashlib
+import json
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, is_dataclass
 
 from pyspark.errors import AnalysisException
@@ -15,7 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import sanitize_key
+from tidemark.options import FeatureSpec
 from tidemark.plans.local import small_table
+from tidemark.session import remove_folder
 
 # --- fixed values -----------------------------------------------------------
 STAGES = ("ingestion", "validation", "preprocessing", "training", "evaluation", "registration")
@@ -41,6 +45,26 @@ def safe_run_id(spark: SparkSession, run_id: str) -> str:
     return spark.range(1).select(sanitize_key(F.lit(run_id), "run").alias("k")).first()["k"]
 
 
+def files_key(spark: SparkSession, path: str) -> str:
+    """Key of the files of a dataset: other names, sizes or times give another one; contents are not read.
+
+    Files are listed and folded into one row by tasks, however many there are.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    mark = F.xxhash64("path", "length", "modificationTime")
+    seen = files.select(mark.alias("mark"), "length").agg(
+        F.count("mark").alias("files"), F.sum("length").alias("bytes"), F.bit_xor("mark").alias("xor"),
+        F.sum(F.pmod("mark", F.lit(1 << 31))).alias("sum"),
+    ).first()
+    return settings_key({"path": path, **seen.asDict()})
+
+
+def settings_key(*settings: object) -> str:
+    """Key of settings, option classes included; the order of names does not matter."""
+    flat = [sorted((k, repr(v)) for k, v in _flat(s)) for s in settings]
+    return hashlib.sha256(json.dumps(flat).encode()).hexdigest()
+
+
 class RunStore:
     """Tables of a training history below one root, one partition per run."""
 
@@ -64,21 +88,73 @@ class RunStore:
         """The table over all runs; partition pruning applies to ``run_id``."""
         return read_if_present(self.spark, f"{self.root}/{table}")
 
-    def stage(self, stage: str, run_id: str, build) -> DataFrame:
-        """Output of a stage: read if the run already has it, else built and kept."""
+    def stage_key(self, stage: str, run_id: str) -> str | None:
+        """What the kept output of a stage was made of; none if there is no complete one."""
+        found = read_if_present(self.spark, self.path(f"stage_keys/{stage}", run_id))
+        row = None if found is None else found.first()
+        return None if row is None else row["stage_key"]
+
+    def _kept(self, stage: str, run_id: str, key: str) -> bool:
         if stage not in STAGES:
             raise ValueError(f"unknown stage '{stage}'")
-        kept = self.read_run(f"stages/{stage}", run_id)
-        return kept if kept is not None else self.write(f"stages/{stage}", run_id, build())
+        if self.stage_key(stage, run_id) == key:
+            return True
+        # the key goes first and comes back last: an output without one counts for nothing
+        remove_folder(self.spark, self.path(f"stage_keys/{stage}", run_id))
+        return False
+
+    def _keep(self, stage: str, run_id: str, key: str) -> None:
+        self.write(f"stage_keys/{stage}", run_id, small_table(self.spark, [(key,)], "stage_key string"))
+
+    def stage(self, stage: str, run_id: str, build: Callable[[], DataFrame],
+              inputs: Sequence[str | None] = (), options: object = None) -> DataFrame:
+        """Output of a stage: read if the run has one of the same inputs and options, else built and kept.
 
-    def summarize_stage(self, stage: str, run_id: str, df: DataFrame) -> DataFrame:
-        """Row and column counts of a stage output, kept next to it."""
+        ``inputs`` are keys: ``files_key`` of datasets, ``stage_key`` of the
+        stages before. A stage that was killed has no key and is built again.
+        """
+        key = settings_key({"stage": stage, "inputs": list(inputs)}, {"options": options})
+        if self._kept(stage, run_id, key):
+            return self.read_run(f"stages/{stage}", run_id)
+        built = self.write(f"stages/{stage}", run_id, build())
+        self._keep(stage, run_id, key)
+        return built
+
+    def model_stage(self, run_id: str, build: Callable[[], PipelineModel],
+                    inputs: Sequence[str | None] = (), options: object = None) -> PipelineModel:
+        """The model of a run, fitted again only if its inputs or options have changed."""
+        key = settings_key({"stage": "training", "inputs": list(inputs)}, {"options": options})
+        if not self._kept("training", run_id, key):
+            build().write().overwrite().save(self.path("models", run_id))
+            self._keep("training", run_id, key)
+        return self.load_model(run_id)
+
+    def summarize_stage(self, stage: str, run_id: str, df: DataFrame, split: str | None = None,
+                        spec: FeatureSpec | None = None) -> DataFrame:
+        """Row and column counts of a stage output, kept next to it.
+
+        With ``split`` also the rows per split, with ``spec`` the feature lists.
+        """
         names = [c for c in df.columns if c != "run_id"]
-        summary = df.agg(F.count(F.lit(1)).alias("row_count")).select(
+        n = F.count(F.lit(1))
+        if split is None:
+            counted = df.agg(n.alias("row_count")).withColumn("split_sizes", F.lit(None).cast("map<string,bigint>"))
+        else:  # train, validation, test
+            entries = F.sort_array(F.collect_list(F.struct(F.col("split"), F.col("n"))))
+            counted = df.groupBy(F.col(split).alias("split")).agg(n.alias("n")).agg(
+                F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.map_from_entries(entries).alias("split_sizes"))
+        features = {
+            f"{kind}_features": F.lit(None).cast("array<string>") if spec is None
+            else F.array(*[F.lit(c) for c in getattr(spec, kind)]).cast("array<string>")
+            for kind in ("numeric", "categorical")
+        }
+        summary = counted.select(
             F.lit(stage).alias("stage"),
             F.lit(len(names)).alias("column_count"),
             "row_count",
             F.array(*[F.lit(c) for c in names]).alias("columns"),
+            "split_sizes",
+            *[c.alias(name) for name, c in features.items()],
         )
         return self.write(f"stage_summary/{stage}", run_id, summary)
 

@@ -8,14 +8,23 @@ from tidemark.functions.columns import feature_list, negative_label
 from tidemark.operators import ledger as lg
 from tidemark.operators.baseline import build_baseline
 from tidemark.operators.contract import contract_report
+from tidemark.operators.evaluate import confusion_metrics, metrics_long
+from tidemark.operators.model import score, train
 from tidemark.operators.splits import assign_splits, split_sizes
-from tidemark.options import DatasetOptions, DriftOptions, FeatureSpec, RegistryOptions, SplitOptions
+from tidemark.options import DatasetOptions, DriftOptions, FeatureSpec, ModelOptions, RegistryOptions, SplitOptions
 from tidemark.session import new_folder
 from tidemark.sources.delimited import load_dataset
-from tidemark.sources.store import RunStore
+from tidemark.sources.store import RunStore, files_key
 from workload import query, table
-from workload.model_queries import _RATIOS, _SCORED_SQL, _SPLIT_SQL, confusion_metrics_query
-from workload.model_queries import _labelled_orders
+from workload.model_queries import (
+    _NEWTON_SQL,
+    _RATIOS,
+    _SCORED_SQL,
+    _SPLIT_SQL,
+    _labelled_orders,
+    _returned_lines,
+    confusion_metrics_query,
+)
 
 REGISTRY = RegistryOptions(metric="f1", split="validation", alias="live")
 
@@ -391,6 +400,83 @@ def stage_summary(spark, sf):
     return merged.select("stage", "column_count", "row_count", F.array_join("columns", ",").alias("columns"))
 
 
+@query(
+    "stage_reuse",
+    _SPLIT_SQL
+    + """, z AS (SELECT count(*) AS n, count(*) FILTER (split = 'test') AS test,
+                        count(*) FILTER (split = 'validation') AS validation FROM s),
+         w AS (SELECT CAST(1 AS INT) AS run, true AS built UNION ALL SELECT 2, false UNION ALL SELECT 3, true)
+         SELECT run, 'ingestion' AS stage, run = 1 AS built, n AS row_count, NULL::BIGINT AS test_rows,
+                NULL AS numeric_features FROM w, z
+         UNION ALL SELECT run, 'preprocessing', built, n,
+                CASE WHEN run < 3 THEN test ELSE CAST(ceil(n * CAST(0.3 AS DOUBLE)) AS BIGINT) END, 'o_totalprice'
+         FROM w, z""",
+)
+def stage_reuse(spark, sf):
+    """Stages run three times, the last time with a larger test split: what has not changed is read, not built."""
+    store, run_id = RunStore(spark, new_folder(spark, "stages")), "20240101T000000000000Z"
+    found = None
+    for run, options in ((1, SPLIT), (2, SPLIT), (3, SplitOptions(test_size=0.3, validation_size=0.1, seed=42))):
+        built = []
+
+        def build(stage, rows):
+            built.append(stage)
+            return rows
+
+        raw = store.stage(
+            "ingestion", run_id, lambda: build("ingestion", _labelled_orders(spark, sf)),
+            [files_key(spark, f"{sf}/orders.parquet")])
+        split = store.stage(
+            "preprocessing", run_id, lambda: build("preprocessing", assign_splits(raw, "label", "o_orderkey", options)),
+            [store.stage_key("ingestion", run_id)], options)
+        parts = [
+            store.summarize_stage("ingestion", f"{run_id}-{run}", raw),
+            store.summarize_stage("preprocessing", f"{run_id}-{run}", split, "split", FeatureSpec(("o_totalprice",))),
+        ]
+        for part in parts:
+            row = part.select(
+                F.lit(run).alias("run"), "stage", F.col("stage").isin(*built).alias("built"), "row_count",
+                F.col("split_sizes")["test"].alias("test_rows"),
+                F.array_join("numeric_features", ",").alias("numeric_features"))
+            found = row if found is None else found.unionByName(row)
+    return found
+
+
+@query(
+    "bundle_model",
+    _NEWTON_SQL
+    + """, c AS (SELECT sum(row_count) AS n, sum(positives) FILTER (p > 0.5) AS tp,
+                        sum(row_count - positives) FILTER (p <= 0.5) AS tn FROM f)
+         SELECT '20240101T000000000000Z' AS run_id, l_quantity, row_count, round(p, 6) AS probability,
+                CAST(p > 0.5 AS INT) AS predicted_class, round((tp + tn) / n, 9) AS accuracy FROM f, c""",
+)
+def bundle_model(spark, sf):
+    """A published model is read back and scores; so are its metrics. Training again finds the model."""
+    store, run_id = RunStore(spark, new_folder(spark, "bundle")), "20240101T000000000000Z"
+    options, spec = ModelOptions(solver="newton"), FeatureSpec(("l_quantity",))
+    lines = _returned_lines(spark, sf).select("l_quantity", "label")
+    inputs = [files_key(spark, f"{sf}/lineitem.parquet")]
+    for _ in range(2):
+        model = store.model_stage(run_id, lambda: train(lines, spec, options), inputs, options)
+    scored = score(model, lines, options).withColumn("split", F.lit("all"))
+    store.write_bundle(
+        run_id,
+        baseline=build_baseline(lines, spec, DriftOptions()),
+        metrics=metrics_long(confusion_metrics(scored, ["split"])),
+        report=contract_report(lines, DatasetOptions(target="label", positive_class="1")),
+        split_sizes=split_sizes(scored),
+        settings={"model": options},
+        generated_at="2024-01-01T00:00:00+00:00",
+        model=model,
+    )
+    accuracy = store.read("metrics").filter("metric = 'accuracy'").select(
+        "run_id", F.round("value", 9).alias("accuracy"))
+    again = score(store.load_model(run_id), lines, options).groupBy("l_quantity", "predicted_class").agg(
+        F.count(F.lit(1)).alias("row_count"), F.round(F.max("probability"), 6).alias("probability"))
+    published = store.read("runs").select("run_id").join(accuracy, "run_id")  # one row
+    return again.withColumn("run_id", F.lit(run_id)).join(F.broadcast(published), "run_id")
+
+
 @query(
     "bundle_roundtrip",
     """
