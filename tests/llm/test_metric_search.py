@@ -69,18 +69,28 @@ def test_bounds_spare_computations():
     seen = []
     original = ms._distances
     ids = [[i] for i in range(3000)]
-    query = np.append(points[17], 0.0)
 
     class Counting(list):
         def __getitem__(self, i):
             seen.append(i)
             return list.__getitem__(self, i)
 
-    got = ms.search_tree(tree, lifted[0], Counting(ids), query, -1, 5, largest, -np.inf)
-    scores = points @ points[17]
-    want = sorted(((int(s), i) for i, s in enumerate(scores)), key=lambda e: (-e[0], e[1]))[:5]
-    assert sorted(got, key=lambda e: (-e[0], e[1])) == want
+    def searched(rows, worst):
+        queries = np.column_stack([points[rows], np.zeros(len(rows))])
+        return ms.search_tree(tree, lifted[0], Counting(ids), queries, np.full(len(rows), -1), 5, largest, worst)
+
+    def best(row):
+        scores = points @ points[row]
+        return sorted(((int(s), i) for i, s in enumerate(scores)), key=lambda e: (-e[0], e[1]))[:5]
+
+    [got] = searched([17], np.array([-np.inf]))
+    assert sorted(got, key=lambda e: (-e[0], e[1])) == best(17)
     assert len(seen) < 300 and original is ms._distances
+    # queries that walk together find what each finds alone; what is below ``worst`` does not count
+    rows = list(range(0, 3000, 7))
+    worst = np.array([-np.inf if r % 2 else best(r)[2][0] for r in rows])
+    for row, least, got in zip(rows, worst, searched(rows, worst), strict=True):
+        assert sorted(got, key=lambda e: (-e[0], e[1])) == [e for e in best(row) if e[0] >= least]
 
 
 def test_null_ids_take_no_place(spark):

@@ -10,7 +10,8 @@ salted, and each (pivot, salt) is an M-tree of its own: paged nodes whose
 entries hold their covering radius and the distance to their parent. A query
 first searches the tree of its nearest pivot. The score it has then rules out
 every cell, node and entry whose bound is worse, mostly by stored distances
-alone; the rest is searched best first. Bounds are loosened by a relative 1e-9
+alone; the rest is searched best first, by blocks of queries that walk a tree
+together. Bounds are loosened by a relative 1e-9
 against rounding, scores are exact integers, and equal bounds are followed, so
 ties go to the smaller id.
 
@@ -40,12 +41,14 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.common import written
 
-#: Bounds of the pivots, of a tree, of a node, and of the queries that meet a tree at once.
+#: Bounds of the pivots, of a tree, of a node, of the queries that meet a tree in one task, and of
+#: those that walk it together.
 MAX_PIVOTS = 1024
 ROWS_PER_PIVOT = 1024
 TREE_ROWS = 8192
 PAGE = 256
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 32_768
+QUERIES_AT_ONCE = 2048
 SLACK = 1e-9
 EXACT_BELOW = float(1 << 52)
 
@@ -107,55 +110,84 @@ def build_tree(points: np.ndarray, rows: np.ndarray, centre: np.ndarray) -> Node
     return Node(routes[used], to_centre[spread[used]], radii, children)
 
 
-def search_tree(tree: Node, centre: np.ndarray, ids: list, query: np.ndarray, own: int, k: int,
-                largest: float, worst: float) -> list[tuple[int, int]]:
-    """Best (score, id) pairs of a tree: those of score ``worst`` or more that can be among the first k.
+def search_tree(tree: Node, centre: np.ndarray, ids: list, queries: np.ndarray, own: np.ndarray, k: int,
+                largest: float, worst: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Best (score, id) pairs of a tree for each query: those that can be among its first k.
 
-    ``tree`` holds lifted points, ``query`` is lifted with 0.
+    ``tree`` holds lifted points, ``queries`` are lifted with 0, ``worst`` is the least
+    score that counts for each. The queries walk the tree together: the page that is
+    nearest to any of them comes first, with the queries whose bounds still reach it.
+    What the stored distances leave of a page is one product of matrices.
     """
-    square = float((query * query).sum()) + largest
+    square = (queries * queries).sum(axis=1) + largest
     slack = SLACK * (square + 1.0)
 
-    def reach(score: float) -> float:
-        return np.sqrt(max(square - 2 * score, 0.0) + slack) * (1 + SLACK)
+    def reach(scores, at):
+        return np.sqrt(np.maximum(square[at] - 2 * scores, 0.0) + slack[at]) * (1 + SLACK)
 
-    best: list[tuple[int, int]] = []  # heap: worst first, of (score, -id)
-    limit = reach(worst) if np.isfinite(worst) else np.inf
-    queue: list[tuple[float, int, Node, float]] = [(0.0, 0, tree, float(np.sqrt(((query - centre) ** 2).sum())))]
+    best: list[list[tuple[int, int]]] = [[] for _ in queries]  # heaps: worst first, of (score, -id)
+    floor = np.array(worst, np.float64)
+    limit = np.full(len(queries), np.inf)
+    known = np.isfinite(floor)
+    limit[known] = reach(floor[known], known)
+    every = np.arange(len(queries))
+    queue: list[tuple] = [(0.0, 0, tree, every, np.zeros(len(queries)), _between(queries, centre[None])[:, 0])]
     pushed = 0
     while queue:
-        bound, _, node, to_parent = heapq.heappop(queue)
-        if bound > limit:
-            break
+        _, _, node, at, low, to_parent = heapq.heappop(queue)
+        reached = low <= limit[at]
+        at, to_parent = at[reached], to_parent[reached]
+        if not len(at):
+            continue
         # the stored parent distances rule entries out before any computation
-        gap = np.abs(node.to_parent - to_parent)
+        gap = np.abs(node.to_parent - to_parent[:, None])
         if node.rows is not None:
-            near = gap <= limit
-            rows, vectors = (node.rows, node.vectors) if near.all() else (node.rows[near], node.vectors[near])
-            scores = vectors @ query
-            # what can still be among the first k, best first
-            able = np.flatnonzero(scores >= (max(worst, best[0][0]) if len(best) == k else worst) - 0.5)
-            for i in able[np.argsort(-scores[able], kind="stable")]:
-                score = round(float(scores[i]))
-                if len(best) == k and score < best[0][0] or score < worst:
-                    break
-                for one in ids[rows[i]]:
-                    if one == own:
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, (score, -one))
-                    elif (score, -one) > best[0]:
-                        heapq.heapreplace(best, (score, -one))
-            if len(best) == k:
-                limit = min(limit, reach(best[0][0]))
+            near = gap <= limit[at][:, None]
+            used = np.flatnonzero(near.any(axis=0))
+            scores = queries[at] @ node.vectors[used].T
+            able = near[:, used] & (scores >= floor[at][:, None] - 0.5)
+            for i in np.flatnonzero(able.any(axis=1)):
+                _keep(best[at[i]], scores[i], np.flatnonzero(able[i]), node.rows[used], ids, own[at[i]], k, floor[at[i]])
+                if len(best[at[i]]) == k:
+                    floor[at[i]] = max(floor[at[i]], best[at[i]][0][0])
+            full = np.isfinite(floor[at])
+            limit[at[full]] = np.minimum(limit[at[full]], reach(floor[at[full]], at[full]))
         else:
-            at = np.flatnonzero(gap - node.radii <= limit)
-            away = _distances(node.vectors[at], query)
-            low = np.maximum(away - node.radii[at], 0.0)
-            for i in np.flatnonzero(low <= limit):
+            open_ = gap - node.radii <= limit[at][:, None]
+            used = np.flatnonzero(open_.any(axis=0))
+            away = _between(queries[at], node.vectors[used])
+            low = np.maximum(away - node.radii[used], 0.0)
+            open_ = open_[:, used] & (low <= limit[at][:, None])
+            for j in np.flatnonzero(open_.any(axis=0)):
+                some = open_[:, j]
                 pushed += 1
-                heapq.heappush(queue, (float(low[i]), pushed, node.children[at[i]], float(away[i])))
-    return [(s, -i) for s, i in best]
+                heapq.heappush(queue, (float(low[some, j].min()), pushed, node.children[used[j]], at[some],
+                                       low[some, j], away[some, j]))
+    return [[(s, -i) for s, i in held] for held in best]
+
+
+def _between(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Distances of queries and points, without the cancellation of expanded squares."""
+    out = np.empty((len(queries), len(points)))
+    for j, point in enumerate(points):
+        out[:, j] = _distances(queries, point)
+    return out
+
+
+def _keep(best: list, scores: np.ndarray, able: np.ndarray, rows: np.ndarray, ids: list, own: int, k: int,
+          floor: float) -> None:
+    """Put what can still be among the first k of one query into its heap, best first."""
+    for i in able[np.argsort(-scores[able], kind="stable")]:
+        score = round(float(scores[i]))
+        if score < floor or len(best) == k and score < best[0][0]:
+            break
+        for one in ids[rows[i]]:
+            if one == own:
+                continue
+            if len(best) < k:
+                heapq.heappush(best, (score, -one))
+            elif (score, -one) > best[0]:
+                heapq.heapreplace(best, (score, -one))
 
 
 def _all_scores(vectors: np.ndarray, ids: list, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
@@ -239,13 +271,16 @@ def top_products(rows: DataFrame, k: int, is_query: Column) -> DataFrame:
         if len(held):
             most = shared.value[1]
             tree = pickle.loads(held["tree"].iloc[0])
-            for own, vector, worst in zip(queries["id"], queries["v"], queries["worst"], strict=True):
+            for start in range(0, len(queries), QUERIES_AT_ONCE):
+                part = queries.iloc[start : start + QUERIES_AT_ONCE]
+                own = part["id"].to_numpy()
+                vectors = np.array(part["v"].tolist(), np.int64).reshape(len(part), key[0])
                 if exact:
-                    lifted = np.append(np.array(vector, np.float64), 0.0)
-                    found = search_tree(tree[0], tree[1], tree[2], lifted, own, k, most, worst)
+                    lifted = np.column_stack([vectors.astype(np.float64), np.zeros(len(part))])
+                    found = search_tree(*tree, lifted, own, k, most, part["worst"].to_numpy())
                 else:
-                    found = _all_scores(tree[0], tree[1], np.array(vector, np.int64), own, k)
-                out.extend((own, one, score) for score, one in found)
+                    found = [_all_scores(tree[0], tree[1], v, i, k) for v, i in zip(vectors, own, strict=True)]
+                out.extend((i, one, score) for i, held_by in zip(own, found, strict=True) for score, one in held_by)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
 
     def route(far: bool):
@@ -254,27 +289,34 @@ def top_products(rows: DataFrame, k: int, is_query: Column) -> DataFrame:
             held, most = shared.value
             radius = bounds.value
             for batch in batches:
-                out = []
-                for own, vector, block, worst in zip(batch["id"], batch["v"], batch["block"], batch["worst"], strict=True):
-                    dim = len(vector)
-                    query = np.append(np.array(vector, np.float64), 0.0)
-                    mine = sorted(c for d, c in radius if d == dim)
-                    if not mine:
+                for dim in sorted(batch["dim"].unique()):
+                    mine = np.array(sorted(c for d, c in radius if d == dim), np.int64)
+                    if not len(mine):
                         continue
-                    away = {c: float(np.sqrt(((held[dim][c] - query) ** 2).sum())) if c >= 0 else 0.0 for c in mine}
-                    nearest = min(mine, key=lambda c: (away[c], c))
+                    part = batch[batch["dim"] == dim]
+                    queries = np.column_stack([np.array(part["v"].tolist(), np.float64).reshape(len(part), dim),
+                                               np.zeros(len(part))])
+                    away = np.zeros((len(part), len(mine)))
+                    if mine[0] >= 0:  # else the one cell of a length without pivots
+                        away = _between(queries, held[dim][mine])
+                    nearest = away.argmin(axis=1)
                     if not far:
-                        out.append((own, vector, block, -np.inf, dim, nearest))
+                        yield part.assign(worst=-np.inf, cell=mine[nearest])
                         continue
-                    square = float((query * query).sum()) + most
-                    limit = np.inf if not np.isfinite(worst) or not exact else \
-                        np.sqrt(max(square - 2 * worst, 0.0) + SLACK * (square + 1)) * (1 + SLACK)
-                    out.extend((own, vector, block, worst, dim, c) for c in mine
-                               if c != nearest and away[c] - radius[dim, c] <= limit)
-                yield pd.DataFrame(out, columns=["id", "v", "block", "worst", "dim", "cell"])
+                    worst = part["worst"].to_numpy()
+                    square = (queries * queries).sum(axis=1) + most
+                    limit = np.full(len(part), np.inf)
+                    if exact:
+                        known = np.isfinite(worst)
+                        limit[known] = np.sqrt(np.maximum(square - 2 * worst, 0.0)[known]
+                                               + (SLACK * (square + 1))[known]) * (1 + SLACK)
+                    reached = away - np.array([radius[dim, c] for c in mine]) <= limit[:, None]
+                    reached[np.arange(len(part)), nearest] = False
+                    for j in np.flatnonzero(reached.any(axis=0)):
+                        yield part[reached[:, j]].assign(cell=mine[j])
         return run
 
-    asked = rows.filter("query").select("id", "v")
+    asked = rows.filter("query").select("id", "v", F.size("v").alias("dim"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
 
@@ -286,7 +328,7 @@ def top_products(rows: DataFrame, k: int, is_query: Column) -> DataFrame:
         return spread.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(
             search, "query_id long, vec_id long, score long")
 
-    form = "id long, v array<long>, block long, worst double, dim int, cell long"
+    form = "id long, v array<long>, dim int, block long, worst double, cell long"
     near = written(searched(asked.withColumn("worst", F.lit(float("-inf"))).mapInPandas(route(False), form)), "search-near")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k) \
