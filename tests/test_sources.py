@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.contract import ContractError
 from tidemark.options import DatasetOptions, FeatureSpec, SplitOptions
-from tidemark.sources.delimited import load_dataset, read_dataset, read_text_table
+from tidemark.sources.delimited import _headers, inferred_types, load_dataset, read_dataset, read_text_table
 from tidemark.sources.store import RunStore, files_key, safe_run_id, settings_key
 
 
@@ -65,6 +65,44 @@ def test_tokens_and_types(spark, tmp_path):
     assert rows[2] == (3, None, True, None, None, None)
 
 
+def test_headers_are_read_alone(spark, tmp_path):
+    import gzip
+
+    folder = tmp_path / "many files"
+    folder.mkdir()
+    (folder / "a%20.csv").write_text("\n  \n\ufeffa,\"b, c\"\n1,x\n", encoding="utf-8")
+    with gzip.open(folder / "b.csv.gz", "wt", encoding="utf-8") as f:
+        f.write("\"b, c\",a\ny,2\n,3\n")
+    (folder / "c.csv").write_text("")
+    (folder / "_hidden.csv").write_text("other\n1\n")
+    df = read_dataset(spark, str(folder), DatasetOptions(target="a"), multiline=False)
+    assert df.dtypes == [("a", "bigint"), ("b, c", "string")]
+    assert sorted(tuple(r) for r in df.collect()) == [(1, "x"), (2, "y"), (3, None)]
+
+
+def test_too_many_fields_are_seen_with_the_types(spark, tmp_path):
+    path = _write(tmp_path, "a,b\n1,2\n3,4,5\n")
+    for read in (read_dataset, read_text_table):
+        with pytest.raises(ContractError, match="more than 2 fields"):
+            read(spark, path, DatasetOptions(target="a"))
+
+
+def test_headers_and_checks_take_one_scan(spark, tmp_path):
+    path = _write(tmp_path, "a,b\n1,2\n3,4\n")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    try:
+        spark.sparkContext.setJobGroup("headers", "")
+        assert len(_headers(spark, path)) == 1 and not jobs("headers")
+        spark.sparkContext.setJobGroup("types", "")
+        inferred_types(spark.read.option("header", True).csv(path)).collect()
+        spark.sparkContext.setJobGroup("dataset", "")
+        assert read_dataset(spark, path, DatasetOptions(target="a")).dtypes == [("a", "bigint"), ("b", "bigint")]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # beside the test of the types there is no job; the first reader has one that looks for its header
+    assert len(jobs("dataset")) <= len(jobs("types"))
+
+
 def test_stage_is_built_once(spark, tmp_path):
     store, calls = RunStore(spark, str(tmp_path)), []
 

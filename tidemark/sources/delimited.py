@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +30,11 @@ TRUE_WORDS = ("True", "TRUE", "true")
 FALSE_WORDS = ("False", "FALSE", "false")
 # ----------------------------------------------------------------------------
 
-# an empty field is a value here, so that an empty field too many is seen
+# a quoted empty field is a value here, so that one too many is seen; Spark reads an unquoted one as null
 CSV_SETTINGS = {"quote": '"', "escape": '"', "encoding": "UTF-8", "nullValue": "\x00", "mode": "PERMISSIVE"}
 OVERFLOW = "__overflow"
+#: Files whose first line is read at the same time.
+HEADERS_AT_ONCE = 32
 
 
 def normalize_header(names: Sequence[str], renames: Mapping[str, str]) -> list[str]:
@@ -40,22 +43,35 @@ def normalize_header(names: Sequence[str], renames: Mapping[str, str]) -> list[s
     return [renames.get(n, n) for n in clean]
 
 
+def _first_line(spark: SparkSession, file: str) -> str | None:
+    """The first line of a file that is not blank; only the bytes up to its end are read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        plain = codec.createInputStream(stream) if codec else stream
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, CSV_SETTINGS["encoding"]))
+        line = lines.readLine()
+        while line is not None and not line.replace(BYTE_ORDER_MARK, "").strip():
+            line = lines.readLine()
+        return line
+    finally:
+        stream.close()
+
+
 def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """Files by their header line, read as text; the names are as written."""
-    first = F.min_by("value", "place")
-    lines = (
-        spark.read.text(path)
-        .select(
-            "value", F.col("_metadata.file_path").alias("file"),
-            F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
-        )
-        .filter(strip("value") != "")
-        .groupBy("file").agg(first.alias("header"))
-    )
+    """Files by their header line; the names are as written. No data are read."""
+    files = sorted(spark.read.text(path).inputFiles())  # the list that every scan of them has
+    with ThreadPool(HEADERS_AT_ONCE) as pool:
+        lines = pool.map(lambda file: _first_line(spark, file), files)
     found: dict[tuple[str, ...], list[str]] = {}
-    for row in lines.orderBy("file").collect():  # one row per file
-        names = next(csv.reader([row["header"].replace(BYTE_ORDER_MARK, "")]))
-        found.setdefault(tuple(names), []).append(row["file"])
+    for file, line in zip(files, lines, strict=True):
+        if line is not None:
+            names = next(csv.reader([line.replace(BYTE_ORDER_MARK, "")]))
+            # the list is of addresses, readers take names
+            name = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file)).toString()
+            found.setdefault(tuple(names), []).append(name)
     return found
 
 
@@ -94,6 +110,10 @@ def _text_rows(spark: SparkSession, path: str, options: DatasetOptions, multilin
     return whole
 
 
+def _too_many_fields(names: int) -> ContractError:
+    return ContractError(f"a row has more than {names} fields")
+
+
 def oversized_rows(
     spark: SparkSession, path: str, options: DatasetOptions, multiline: bool = True
 ) -> DataFrame:
@@ -113,13 +133,14 @@ def read_text_table(
     """
     rows = _text_rows(spark, path, options, multiline)
     if rows.filter(F.col(OVERFLOW).isNotNull()).limit(1).count():
-        raise ContractError(f"a row has more than {len(rows.columns) - 1} fields")
+        raise _too_many_fields(len(rows.columns) - 1)
     return mark_missing(rows.drop(OVERFLOW), options)
 
 
-def mark_missing(df: DataFrame, options: DatasetOptions) -> DataFrame:
+def mark_missing(df: DataFrame, options: DatasetOptions, keep: Sequence[str] = ()) -> DataFrame:
+    """Missing tokens as null in the text columns that are not in ``keep``."""
     tokens = tuple(dict.fromkeys((*DEFAULT_NA_TOKENS, *options.na_values)))
-    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in keep]
     return df.withColumns({n: blank_to_null(n, tokens) for n in text}) if text else df
 
 
@@ -168,9 +189,18 @@ def apply_types(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
 def read_dataset(
     spark: SparkSession, path: str, options: DatasetOptions, multiline: bool = True
 ) -> DataFrame:
-    """Delimited file with normalized names, missing tokens as null and inferred types."""
-    text = read_text_table(spark, path, options, multiline)
-    kinds = {r["column"]: r["inferred_type"] for r in inferred_types(text).collect()}
+    """Delimited file with normalized names, missing tokens as null and inferred types.
+
+    One scan tests the types and whether a row has too many fields; the scan
+    that uses the rows is the second.
+    """
+    rows = _text_rows(spark, path, options, multiline)
+    text = mark_missing(rows.drop(OVERFLOW), options)
+    beyond = F.when(F.col(OVERFLOW).isNotNull(), F.lit("beyond")).alias(OVERFLOW)
+    tested = mark_missing(rows, options, keep=(OVERFLOW,)).select(*[col(c) for c in text.columns], beyond)
+    kinds = {r["column"]: r["inferred_type"] for r in inferred_types(tested).collect()}
+    if kinds.pop(OVERFLOW) == "string":  # a column without values is double
+        raise _too_many_fields(len(text.columns))
     return apply_types(text, kinds)
 
 
