@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.evaluate import classification_metrics, metrics_long, ranking_metrics
 from tidemark.operators.features import prepare
 from tidemark.operators.model import prediction_rows, score, train
+from tidemark.operators import splits
 from tidemark.operators.splits import assign_splits, split_quotas, split_sizes
 from tidemark.operators.transforms import (
     feature_stages,
@@ -51,6 +52,17 @@ def test_cells_do_not_change_the_split(spark, options):
         assert got[y, "test"] == test and got.get((y, "validation"), 0) == validation
 
 
+@pytest.mark.parametrize("options", [SplitOptions(0.2, 0.1), SplitOptions(0.3, 0), SplitOptions(0.07, 0.41, 5)])
+def test_quotas_of_few_and_of_many_classes_agree(spark, monkeypatch, options):
+    rng = np.random.default_rng(2)
+    sizes = [(f"c{i}", int(n)) for i, n in enumerate(rng.integers(2, 60, 150))] + [("é", 5), ("Z", 5), ("", 5)]
+    classes = spark.createDataFrame(sizes, "label string, n long")
+    few = split_quotas(classes, options)
+    monkeypatch.setattr(splits, "FEW_CLASSES", 10)
+    many = split_quotas(classes, options).select(few.columns)
+    assert few.dtypes == many.dtypes and sorted(few.collect()) == sorted(many.collect())
+
+
 def test_too_few_rows_to_split(spark):
     df = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "id int, y int")
     with pytest.raises(ValueError, match="too few rows"):

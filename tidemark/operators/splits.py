@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.columns import col
 from tidemark.options import SplitOptions
+from tidemark.plans.local import small_table
 from tidemark.plans.lookup import lookup_join
 from tidemark.plans.ordered import positions, running
 from tidemark.session import cut_lineage
@@ -15,6 +17,27 @@ from tidemark.session import cut_lineage
 ROWS_PER_CELL = 200_000
 MAX_DIGITS = 6
 CELLS_PER_BLOCK = 65_536
+#: Classes whose counts the driver takes.
+FEW_CLASSES = 10_000
+
+
+def _sizes(total: int, classes: int, least: int, fraction: float, what: str) -> tuple[int, int]:
+    """Rows held out of a split and rows kept; an error where a class would get none."""
+    held = math.ceil(total * fraction)
+    kept = total - held
+    if held < 1 or kept < 1 or (classes > 1 and (least < 2 or held < classes or kept < classes)):
+        raise ValueError(f"cannot take the {what} split: a class has too few rows")
+    return held, kept
+
+
+def _held_out_few(counts: list[int], fraction: float, what: str) -> list[int]:
+    """``_held_out`` for counts in the order of their classes."""
+    total = sum(counts)
+    _, kept = _sizes(total, len(counts), min(counts, default=0), fraction, what)
+    shares = [n * kept // total for n in counts]
+    by_rest = sorted(range(len(counts)), key=lambda i: (-(counts[i] * kept % total), i))
+    first = set(by_rest[: kept - sum(shares)])
+    return [n - share - (i in first) for i, (n, share) in enumerate(zip(counts, shares, strict=True))]
 
 
 def _held_out(classes: DataFrame, fraction: float, what: str) -> DataFrame:
@@ -25,13 +48,7 @@ def _held_out(classes: DataFrame, fraction: float, what: str) -> DataFrame:
     """
     seen = classes.agg(F.sum("n").alias("rows"), F.count("n").alias("classes"), F.min("n").alias("least")).first()
     total = seen["rows"] or 0
-    held = math.ceil(total * fraction)
-    kept = total - held
-    if held < 1 or kept < 1 or (
-        seen["classes"] > 1
-        and (seen["least"] < 2 or held < seen["classes"] or kept < seen["classes"])
-    ):
-        raise ValueError(f"cannot take the {what} split: a class has too few rows")
+    _, kept = _sizes(total, seen["classes"], seen["least"], fraction, what)
     wide = "CAST(n AS DECIMAL(38, 0)) * CAST(%d AS DECIMAL(38, 0))" % kept
     shares = classes.withColumns(
         {
@@ -46,18 +63,39 @@ def _held_out(classes: DataFrame, fraction: float, what: str) -> DataFrame:
 
 
 def split_quotas(classes: DataFrame, options: SplitOptions) -> DataFrame:
-    """``label, n, test, validation`` rows per class, from ``label, n``."""
+    """``label, n, test, validation`` rows per class, from ``label, n``.
+
+    Up to ``FEW_CLASSES`` classes are a list, whose quotas take no job; more stay a table.
+    """
+    few = classes.select("label", "n").orderBy("label").limit(FEW_CLASSES + 1).collect()
+    if len(few) > FEW_CLASSES:
+        return _quota_table(classes, options)
+    counts = [r["n"] for r in few]
+    test = _held_out_few(counts, options.test_size, "test")
+    validation = [0] * len(few)
+    if options.validation_size:
+        pool = [i for i, n in enumerate(counts) if n > test[i]]
+        share = options.validation_size / (1 - options.test_size)
+        held = _held_out_few([counts[i] - test[i] for i in pool], share, "validation")
+        for i, n in zip(pool, held, strict=True):
+            validation[i] = n
+    fields = [classes.schema["label"], *(T.StructField(n, T.LongType()) for n in ("n", "test", "validation"))]
+    rows = [(r["label"], *sizes) for r, *sizes in zip(few, counts, test, validation, strict=True)]
+    return small_table(classes.sparkSession, rows, T.StructType(fields))
+
+
+def _quota_table(classes: DataFrame, options: SplitOptions) -> DataFrame:
     test = _held_out(classes, options.test_size, "test")
     quotas = classes.join(test.withColumnRenamed("held", "test"), "label")
     if options.validation_size == 0:
-        return quotas.withColumn("validation", F.lit(0).cast("bigint"))
+        return cut_lineage(quotas.withColumn("validation", F.lit(0).cast("bigint")))
     quotas = cut_lineage(quotas)
     pool = quotas.filter(F.col("n") > F.col("test")).select("label", (F.col("n") - F.col("test")).alias("n"))
     share = options.validation_size / (1 - options.test_size)
     validation = _held_out(pool, share, "validation").withColumnRenamed("held", "validation")
-    return quotas.join(validation, "label", "left").withColumn(
+    return cut_lineage(quotas.join(validation, "label", "left").withColumn(
         "validation", F.coalesce("validation", F.lit(0).cast("bigint"))
-    )
+    ))
 
 
 def _named(rank: Column, test: Column, validation: Column) -> Column:
@@ -85,7 +123,7 @@ def assign_splits(
     classes = cut_lineage(df.groupBy(col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")))
     if classes.isEmpty():
         raise ValueError("cannot split an empty table")
-    quotas = cut_lineage(split_quotas(classes, options))
+    quotas = split_quotas(classes, options)
     sizes = quotas.agg(F.max("n").alias("largest"), F.count(F.lit(1)).alias("classes")).first()
     digits = 0
     while digits < MAX_DIGITS and sizes["largest"] > rows_per_cell * 16**digits:
