@@ -67,6 +67,23 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert got == {0}
 
 
+def test_group_around_the_similarity(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(nd, "TEXT_ROWS", 6)
+    rng = random.Random(8)
+    base = words(rng, 200).split()
+    rows = []
+    for k in range(70):
+        copy = list(base)
+        for place in rng.sample(range(5, 195), 2 + k % 3):
+            copy[place] = f"edit{k}"
+        rows.append((k, " ".join(copy)))
+    got = {r["id"]: r["class_id"] for r in nd.near_classes(
+        spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    want = classes(rows)
+    assert got == want and 1 < len(set(want.values())) < 70
+
+
 def test_awkward_rows(spark):
     rows = awkward_documents()
     docs = document_table(spark, rows)

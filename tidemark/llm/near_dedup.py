@@ -14,7 +14,8 @@ in tasks, in blocks that meet in pairs, so a large group is spread and no pair
 leaves a task without need. Pairs are then computed in three rounds: for each
 member the most similar one before it in its band; for each member the most
 similar one it is not connected with; and then every pair whose ends are not
-connected by that, whatever their number. Pairs whose
+connected by that, whatever their number; these are compared where blocks of
+members meet with their texts, and are never rows. Pairs whose
 samples agree in fewer than 46 of 72 places are not computed: at a similarity
 of 0.8 that happens with probability below 1e-3, and only matters where no
 other link connects the two.
@@ -33,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col
@@ -49,6 +50,8 @@ SAMPLES = BANDS * ROWS
 LEAST_AGREEING = 46
 BLOCK_ROWS = 1024
 SHARD_ROWS = 20_000
+#: Rows of a block whose texts are compared in one task.
+TEXT_ROWS = 256
 WORD_BUCKETS = 1 << 16
 #: Words a task remembers the hash of; beyond it the memory starts anew.
 REMEMBERED_WORDS = 1 << 19
@@ -213,59 +216,142 @@ def _signatures(texts: DataFrame, idf) -> DataFrame:
     return texts.mapInPandas(freed(run, forget_words), "id long, class_key binary, samples array<int>, bands array<long>")
 
 
-def _proposed(rows: pd.DataFrame, how: str) -> pd.DataFrame:
-    """Pairs of a shard whose samples agree often enough and whose components differ.
+def _ends(rows: pd.DataFrame, side: np.ndarray, group: np.ndarray):
+    """Pairs of rows of a group whose samples agree often enough and whose components differ.
 
-    ``how`` is ``earlier`` (for each member the best of those before it), ``best`` (for
-    each member the best of all) or ``all``.
+    Yields places in ``rows``, how many samples agree, and whether the rows' band is
+    the first that the two share: that one speaks for the pair. ``rows`` are in the
+    order of ``group``.
     """
-    rows = rows.sort_values(["key", "one", "two", "id"])
     ids, at = np.unique(rows["id"].to_numpy(), return_inverse=True)
     first = np.zeros(len(ids), np.int64)
     first[at[::-1]] = np.arange(len(rows))[::-1]
     samples = np.array(rows["samples"].iloc[first].tolist(), np.int32).reshape(-1, SAMPLES)
     component = rows["component"].to_numpy()[first]
-    group = rows.groupby(["key", "one", "two"], sort=False).ngroup().to_numpy()
-    side = np.where(rows["one"] != rows["two"], rows["mine"], -1)
     band = rows["band"].to_numpy()
-    out = []
     for p, q in pairs_in_runs(group, side):
-        i, j = at[p], at[q]
-        apart = component[i] != component[j]
-        i, j = i[apart], j[apart]
-        equal = samples[i] == samples[j]
+        apart = component[at[p]] != component[at[q]]
+        p, q = p[apart], q[apart]
+        equal = samples[at[p]] == samples[at[q]]
         agree = equal.sum(axis=1)
         enough = agree >= LEAST_AGREEING
-        if how == "all":  # the first band that two texts share speaks for them
-            enough &= equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[p[apart]]
-        out.append(_best(pd.DataFrame({"x": ids[i[enough]], "y": ids[j[enough]], "agree": agree[enough]}), how))
+        p, q, equal, agree = p[enough], q[enough], equal[enough], agree[enough]
+        yield p, q, agree, equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[p]
+
+
+def _meetings(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """Rows by meeting, the side of each (negative where all pairs count) and its meeting."""
+    rows = rows.sort_values(["key", "one", "two", "id"])
+    group = rows.groupby(["key", "one", "two"], sort=False).ngroup().to_numpy()
+    return rows, np.where(rows["one"] != rows["two"], rows["mine"], -1), group
+
+
+def _proposed(rows: pd.DataFrame, how: str) -> pd.DataFrame:
+    """Pairs of a shard, for each member the best of those before it (``earlier``) or of all (``best``)."""
+    rows, side, group = _meetings(rows)
+    ids = rows["id"].to_numpy()
+    out = [_best(pd.DataFrame({"x": ids[p], "y": ids[q], "agree": agree}), how)
+           for p, q, agree, _ in _ends(rows, side, group)]
     found = _best(pd.concat(out), how) if out else pd.DataFrame(columns=["x", "y"], dtype="int64")
     return found[["x", "y"]].drop_duplicates()
 
 
+def _with_partners(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rows that are an end of any pair of a shard."""
+    rows, side, group = _meetings(rows)
+    ends = np.zeros(len(rows), bool)
+    for p, q, _, speaks in _ends(rows, side, group):
+        ends[p[speaks]] = ends[q[speaks]] = True
+    return rows[ends]
+
+
+def _joined_in(rows: pd.DataFrame, weights: np.ndarray, similarity: float) -> pd.DataFrame:
+    """Links of a shard whose rows bring their texts; pairs that its links connect already need no test."""
+    try:
+        rows = rows.sort_values(["key", "half", "other_half", "one", "two", "id"])
+        group = rows.groupby(["key", "half", "other_half", "one", "two"], sort=False).ngroup().to_numpy()
+        across = np.where(rows["one"] != rows["two"], rows["mine"], -1)
+        halves = np.where(rows["half"] != rows["other_half"], rows["side"], -1)
+        ids, texts, component = rows["id"].to_numpy(), rows["text"].to_numpy(), rows["component"].to_numpy()
+        up: dict[int, int] = {}
+        remembered: dict[str, tuple] = {}
+        held, out = 0, []
+
+        def root(x: int) -> int:
+            while (above := up.get(x, x)) != x:
+                up[x] = up.get(above, above)
+                x = above
+            return x
+
+        def vector(text: str):
+            nonlocal held
+            if text not in remembered:
+                if held >= REMEMBERED_SHINGLES:
+                    remembered.clear()
+                    held = 0
+                remembered[text] = shingle_weights(word_codes(text), weights)
+                held += len(remembered[text][0])
+            return remembered[text]
+
+        for p, q, _, speaks in _ends(rows, across, group):
+            speaks &= (halves[p] < 0) | (halves[p] != halves[q])
+            for i, j in zip(p[speaks].tolist(), q[speaks].tolist(), strict=True):
+                a, b = root(component[i]), root(component[j])
+                if a != b and weighted_jaccard(vector(texts[i]), vector(texts[j])) >= similarity - 1e-9:
+                    up[a] = b
+                    out.append((ids[i], ids[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    finally:
+        forget_words()
+
+
 def _best(found: pd.DataFrame, how: str) -> pd.DataFrame:
-    if how == "all":
-        return found
     ranked = found.sort_values(["agree", "x", "y"], ascending=[False, True, True])
     if how == "earlier":
         return ranked.drop_duplicates(["y"])
     return pd.concat([ranked.drop_duplicates(["x"]), ranked.drop_duplicates(["y"])])
 
 
+def _placed(met: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows with their ``component``, of keys that hold more than one."""
+    placed = met.join(rooted, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
+        .filter("lo < hi").select("key")
+    return placed.join(mixed, "key", "left_semi")
+
+
+def _shard(met: DataFrame) -> Column:
+    shards = F.lit(max(1, -(-met.count() // SHARD_ROWS)))
+    return F.pmod(F.xxhash64("key", "one", "two"), shards).alias("shard")
+
+
 def _propose(met: DataFrame, rooted: DataFrame | None, how: str) -> DataFrame:
     """Distinct pairs ``x`` < ``y`` out of all bands, of members that are not connected yet."""
-    if rooted is None:
-        placed = met.withColumn("component", F.col("id"))
-    else:
-        placed = met.join(rooted, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
-            .filter("lo < hi").select("key")
-        placed = placed.join(mixed, "key", "left_semi")
-    shards = F.lit(max(1, -(-met.count() // SHARD_ROWS)))
-    return placed.groupBy(F.pmod(F.xxhash64("key", "one", "two"), shards).alias("shard")).applyInPandas(
+    placed = met.withColumn("component", F.col("id")) if rooted is None else _placed(met, rooted)
+    return placed.groupBy(_shard(met)).applyInPandas(
         lambda rows: _proposed(rows, how), "x long, y long").distinct()
 
 
+def _remaining_links(met: DataFrame, rooted: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
+    """Links among all pairs whose ends are not connected, whatever their number.
+
+    Such pairs are never rows: the members that have any partner meet again in
+    blocks, with their texts, and are compared in the tasks.
+    """
+    placed = _placed(met, rooted).select("key", "band", "id", "mine", "one", "two", "samples", "component")
+    schema = placed.schema
+    ends = written(placed.groupBy(_shard(met)).applyInPandas(_with_partners, schema), "near-ends") \
+        .withColumnsRenamed({"mine": "side", "one": "half", "two": "other_half"})
+    meeting = ["key", "half", "other_half"]
+    sizes = ends.groupBy(*meeting).agg(F.count("*").alias("n"))
+    rows = sizes.agg(F.sum(F.col("n") * F.ceil(F.col("n") / TEXT_ROWS))).first()[0] or 0
+    blocks = meet_in_blocks(ends.join(sizes, meeting), "n", "id", TEXT_ROWS)
+    shard = F.pmod(F.xxhash64(*meeting, "one", "two"), F.lit(max(1, -(-rows // (4 * TEXT_ROWS)))))
+    return written(
+        blocks.join(texts, "id").groupBy(shard.alias("shard")).applyInPandas(
+            lambda held: _joined_in(held, idf.value, similarity), "a long, b long"), "near-links")
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
     """The pairs whose weighted Jaccard similarity is at least ``similarity``, as ``a, b``."""
     first = texts.select(F.col("id").alias("x"), F.col("text").alias("tx"))
@@ -323,11 +409,10 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, similarity: float =
 
     tested = written(_propose(met, None, "earlier"), "near-pairs")
     links = _linked(tested, bound, idf, similarity)
-    for how in ("best", "all"):
-        pairs = written(_propose(met, connected_components(links), how).join(tested, ["x", "y"], "left_anti"),
-                        "near-pairs")
-        links = links.unionByName(_linked(pairs, bound, idf, similarity))
-        tested = tested.unionByName(pairs)
+    pairs = written(_propose(met, connected_components(links), "best").join(tested, ["x", "y"], "left_anti"),
+                    "near-pairs")
+    links = links.unionByName(_linked(pairs, bound, idf, similarity))
+    links = links.unionByName(_remaining_links(met, connected_components(links), bound, idf, similarity))
     rooted = connected_components(links)
     root = rooted.select(F.col("id").alias("rep"), "component")
     return (members.join(root, "rep", "left").groupBy("id")
