@@ -7,8 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.plans.lookup import lookup_join
-from tidemark.plans.ordered import block_edges, positions, previous, running
+from tidemark.plans import lookup
+from tidemark.plans.lookup import heavy_keys, lookup_join
+from tidemark.plans.ordered import block_edges, positions, previous, range_positions, running
 from tidemark.plans.quantiles import exact_quantiles, quantiles_of_counts
 
 
@@ -84,3 +85,27 @@ def test_lookup_join_beyond_the_broadcast_bound(spark, hot):
         near = lookup_join(facts, dims, ["k"], how, ["t"])
         far = lookup_join(facts, dims, ["k"], how, ["t"], broadcast_rows=1)
         assert sorted(map(tuple, near.collect()), key=str) == sorted(map(tuple, far.collect()), key=str)
+
+
+def test_only_heavy_keys_are_repeated(spark, hot, monkeypatch):
+    monkeypatch.setattr(lookup, "HEAVY_ROWS", 1_500)
+    facts = spark.createDataFrame(hot).withColumn("k", F.when(F.col("t") % 10 != 0, F.col("k")))
+    assert [tuple(r) for r in heavy_keys(facts, ["k"]).collect()] == [("hot",)]
+    names = ["hot", "a", "z", None, *map(str, range(500))]
+    dims = spark.createDataFrame([(k, i) for i, k in enumerate(names)], "k string, d int")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    # a number per salt tells how often a row of the dimension is there
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        near = lookup_join(facts, dims, ["k"], how, ["t"])
+        far = lookup_join(facts, dims, ["k"], how, ["t"], broadcast_rows=1)
+        assert sorted(map(tuple, near.collect()), key=str) == sorted(map(tuple, far.collect()), key=str)
+    joined = lookup_join(facts.filter("k = 'a'"), dims, ["k"], "right", ["t"], broadcast_rows=1)
+    # with nothing heavy every row of the dimension is there once
+    joined.select("d").mapInPandas(counted, "d int").count()
+    assert seen.value == (hot.k[hot.t % 10 != 0] == "a").sum() + len(names) - 1

@@ -18,7 +18,7 @@ from tidemark.options import FeatureSpec
 from tidemark.plans.lookup import lookup_join
 from tidemark.plans.ordered import ROWS_PER_BLOCK, range_positions
 from tidemark.plans.quantiles import exact_quantiles
-from tidemark.session import cut_lineage
+from tidemark.session import stored
 
 # One-hot columns become model coefficients, which live on the driver.
 MAX_CATEGORIES = 100_000
@@ -151,7 +151,7 @@ def category_dictionary(df: DataFrame, features: Sequence[str], rows_per_part: i
     Features follow each other in the given order.
     """
     place = F.array_position(F.array(*[F.lit(n) for n in features]), F.col("feature"))
-    counts = cut_lineage(value_counts(df, features).withColumn("__place", place))
+    counts = stored(value_counts(df, features).withColumn("__place", place), "categories")
     numbered = range_positions(counts, [F.col("__place"), F.col("value")], "index", counts.count(), rows_per_part)
     return numbered.select("feature", "value", "row_count", "index")
 
@@ -163,15 +163,14 @@ def encode_sparse(df: DataFrame, features: Sequence[str], dictionary: DataFrame,
     modes, one per feature, are part of the plan; categories are joined, and a
     category that holds a large share of the rows is spread.
     """
-    stored = cut_lineage(dictionary)
-    mode = {r["feature"]: r["mode"] for r in modes(stored).collect()}
+    mode = {r["feature"]: r["mode"] for r in modes(dictionary).collect()}
     cells = [
         F.struct(F.lit(n).alias("feature"),
                  F.coalesce(col(n).cast("string"), F.lit(mode.get(n))).alias("category"))
         for n in features
     ]
     long = df.select(*[col(c) for c in row], F.inline(F.array(*cells))).filter(F.col("category").isNotNull())
-    known = stored.select("feature", F.col("value").alias("category"), "index")
+    known = dictionary.select("feature", F.col("value").alias("category"), "index")
     found = lookup_join(long, known, ["feature", "category"], spread_by=list(row))
     return found.select(*[col(c) for c in row], "feature", "index", F.lit(1.0).alias("value"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col
 from tidemark.plans.quantiles import sketch_quantiles
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, stored
 
 ROWS_PER_BLOCK = 500_000
 MAX_BLOCKS = 8_192
@@ -141,21 +141,30 @@ def range_positions(
 ) -> DataFrame:
     """Position of every row from 0, in an order of any type, by range partitions.
 
-    ``rows`` is a number of rows not to be exceeded. The dealt rows are stored,
-    as a partition computed again could get other rows.
+    ``rows`` is a number of rows not to be exceeded. The dealt rows are stored in
+    their order, as a partition computed again could get other rows.
     """
-    parts = max(1, -(-rows // rows_per_part))
-    dealt = cut_lineage(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    dealt = _dealt(df, order, rows, rows_per_part)
     counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("__part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
-    inner = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     # one row per range partition
-    return (dealt.withColumn("__inner", inner).join(F.broadcast(before), "__part")
-            .withColumn(name, (F.col("__before") + F.col("__inner") - 1).cast("bigint"))
+    return (dealt.join(F.broadcast(before), "__part")
+            .withColumn(name, (F.col("__before") + F.col("__inner")).cast("bigint"))
             .drop("__part", "__inner", "__before"))
 
 
+def _dealt(df: DataFrame, order: Sequence[Column], rows: int, rows_per_part: int) -> DataFrame:
+    """The rows with the range partition they are in and their place there, from 0."""
+    parts = max(1, -(-rows // rows_per_part))
+    # the number of a task's row: the task above bit 33, the row's place below
+    numbered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(
+        "__id", F.monotonically_increasing_id())
+    place = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return stored(numbered, "dealt").withColumns(
+        {"__part": F.shiftright("__id", 33).cast("int"), "__inner": place}).drop("__id")
+
+
 def positions(
     df: DataFrame,
     keys: Sequence[str],

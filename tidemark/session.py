@@ -63,6 +63,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return cut
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Large intermediate as Parquet below the shared folder; takes a part of a checkpoint's space."""
+    spark = df.sparkSession
+    path = new_folder(spark, label)
+    df.write.parquet(path)
+    held = getattr(_SCOPE, "files", None)
+    if held is not None:
+        held.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def checkpoints_removed(spark: SparkSession) -> Iterator[None]:
     """Remove the checkpoints this thread makes inside, once their results are written."""
