@@ -109,3 +109,23 @@ def test_only_heavy_keys_are_repeated(spark, hot, monkeypatch):
     # with nothing heavy every row of the dimension is there once
     joined.select("d").mapInPandas(counted, "d int").count()
     assert seen.value == (hot.k[hot.t % 10 != 0] == "a").sum() + len(names) - 1
+
+
+@pytest.mark.parametrize("rows_per_block", [10_000, 150])
+def test_positions_in_an_order_of_text(spark, hot, rows_per_block):
+    text = hot.assign(s=[f"{v}-{t}" for v, t in zip(hot.v, hot.t)])
+    df = spark.createDataFrame(text).withColumn("k", F.when(F.col("k") != "b", F.col("k")))
+    got = positions(df, ["k"], "s", "pos", rows_per_block=rows_per_block).toPandas()
+    want = got.sort_values("s").groupby("k", dropna=False).cumcount() + 1
+    assert len(got) == len(hot) and (got.pos == want.reindex(got.index)).all()
+    every = positions(df.select("s"), [], "s", "pos", rows_per_block=rows_per_block)
+    assert [r["pos"] for r in every.orderBy("s").collect()] == list(range(1, len(hot) + 1))
+    ranged = range_positions(df, [F.col("s")], "at", len(hot), rows_per_block)
+    assert [r["at"] for r in ranged.orderBy("s").collect()] == list(range(len(hot)))
+
+
+def test_positions_of_more_rows_than_a_block_in_an_order_of_text(spark):
+    df = spark.range(500_100).select((F.col("id") % 3).alias("k"), F.concat_ws("-", "id", F.lit("x")).alias("s"))
+    got = positions(df, ["k"], "s", "pos").agg(F.max("pos"), F.sum("pos"), F.count("pos")).first()
+    n = 166_700
+    assert tuple(got) == (n, 3 * n * (n + 1) // 2, 3 * n)

@@ -9,11 +9,14 @@ block summaries of a key meet in one task, and their number is limited by
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.columns import col
 from tidemark.plans.quantiles import sketch_quantiles
@@ -165,6 +168,43 @@ def _dealt(df: DataFrame, order: Sequence[Column], rows: int, rows_per_part: int
         {"__part": F.shiftright("__id", 33).cast("int"), "__inner": place}).drop("__id")
 
 
+def _positions_of_any(
+    df: DataFrame, keys: Sequence[str], order: str, name: str, ties: Sequence[str], rows_per_block: int
+) -> DataFrame:
+    """``positions`` in an order of any type: only keys with many rows are dealt to range partitions."""
+    sort = [col(order).asc(), *[col(t).asc() for t in ties]]
+    window = Window.partitionBy(*[col(k) for k in keys]).orderBy(*sort)
+    plain = F.row_number().over(window).cast("bigint")
+    sizes = df.groupBy(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("__n"))
+    large = cut_lineage(sizes.filter(F.col("__n") > rows_per_block))
+    rows = large.agg(F.sum("__n")).first()[0]
+    if not rows:
+        return df.withColumn(name, plain)
+
+    def same(others: DataFrame) -> Column:
+        return functools.reduce(
+            operator.and_, [col(k).eqNullSafe(others[f"__k{i}"]) for i, k in enumerate(keys)], F.lit(True))
+
+    marks = F.broadcast(large.drop("__n"))
+    light = df.join(marks, same(marks), "left_anti").withColumn(name, plain)
+    dealt = _dealt(df.join(marks, same(marks), "left_semi"), [*[col(k).asc() for k in keys], *sort], rows, rows_per_block)
+    # a row per key and range partition; a partition holds its keys one after the other
+    counts = dealt.groupBy(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p")).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__inner").alias("__first"))
+    ahead = Window.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy("__p").rowsBetween(
+        Window.unboundedPreceding, -1)
+    before = F.broadcast(counts.withColumn("__before", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).drop("__n"))
+    placed = dealt.join(before, same(before) & (F.col("__part") == F.col("__p"))).withColumn(
+        name, (F.col("__before") + F.col("__inner") - F.col("__first") + 1).cast("bigint"))
+    return light.unionByName(placed.select(*[col(c) for c in light.columns]))
+
+
+def _blocks_fit(df: DataFrame, order: str) -> bool:
+    """Whether edges of blocks, which are doubles, can cut the order column."""
+    kind = df.schema[order].dataType
+    return isinstance(kind, (T.NumericType, T.TimestampType))
+
+
 def positions(
     df: DataFrame,
     keys: Sequence[str],
@@ -173,8 +213,11 @@ def positions(
     *,
     ties: Sequence[str] = (),
     edges: Sequence[float] | None = None,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """Dense 1-based position of each row inside its key."""
+    """Dense 1-based position of each row inside its key; the order may be of any type."""
+    if edges is None and not _blocks_fit(df, order):
+        return _positions_of_any(df, keys, order, name, ties, rows_per_block)
     one = df.withColumn("__one", F.lit(1).cast("bigint"))
     return running(one, keys, order, {name: ("sum", "__one")}, ties=ties, edges=edges).drop("__one")
 
