@@ -149,3 +149,13 @@ def test_unlabelled_candidates_count_as_right_where_they_look_like_it():
     assert 0.4 < pii._unlabelled_threshold(known, junk) <= 0.5
     assert pii._unlabelled_threshold(known, np.linspace(0.3, 0.9, 500)) > 0.85
     assert pii._unlabelled_threshold(known[:0], junk) == 2.0
+
+
+def test_every_text_is_learned_from(spark):
+    rng = random.Random(5)
+    texts = [f"{words(rng, 3)} order #{_number(rng, 10)} was sent, number {i}" for i in range(21_000)]
+    rows = pii._all_examples(spark.createDataFrame([(t,) for t in texts + texts[:500]], "text string"))
+    assert rows.filter("kind = 3").count() == sum(s[0] == 3 for t in texts for s in pii.candidate_spans(t))
+    # one copy of a text is as good as many, in any order
+    fewer = pii._all_examples(spark.createDataFrame([(t,) for t in texts[::-1]], "text string"))
+    assert rows.exceptAll(fewer).isEmpty() and fewer.exceptAll(rows).isEmpty()

@@ -5,7 +5,7 @@ card numbers and phone numbers. The base patterns below decide by themselves.
 Besides, generators with loose patterns propose candidate spans (numbers
 written with other separators or without prefix, addresses spelled out) that
 may overlap; gradient-boosted trees score them by format and context, without
-the checks of the base patterns. The trees learn on a bounded sample of texts:
+the checks of the base patterns. The trees learn on all different texts:
 base spans rewritten in each of their kind's disguises, in their place, are the
 positive examples; candidates that overlap no base span of their kind are
 unlabelled. For each kind the threshold is the lowest score at which, in texts
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import arrow_pieces, freed, pieces, replaced, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Texts that a fit may use: the bound of the training sample.
-MAX_TEXTS = 20_000
+#: Least number of partitions of the examples; larger tables have more.
+PARTS = 64
 #: Trees of a model.
 ROUNDS = 15
 #: Steps of the scores that thresholds are chosen from.
@@ -219,10 +219,10 @@ def all_spans(text: str | None, model: Trees) -> tuple[list[Span], list[Span]]:
 def _examples(batches):
     """Disguised base spans (label 1), and what no base span of its kind overlaps (label 0: unlabelled)."""
     for batch in pieces(batches):
-        rows = []
-        for text, part in zip(batch["text"], batch["part"], strict=True):
+        every = []
+        for text, part, draw in zip(batch["text"], batch["part"], batch["draw"], strict=True):
             base = base_spans(text)
-            rows.extend((features(text, c), 0.0, c[0], part) for c in candidate_spans(text) if not _overlaps(c, base))
+            rows = [(features(text, c), 0.0, c[0], part) for c in candidate_spans(text) if not _overlaps(c, base)]
             for kind, a, b in base:
                 before, after = text[max(0, a - AROUND) : a], text[b : b + AROUND]
                 for inside in disguises(kind, text[a:b]):
@@ -233,7 +233,8 @@ def _examples(batches):
                             # another kind's candidate at this place is wrong, but it stands in no text
                             if c[0] == kind or part:
                                 rows.append((features(window, c), float(c[0] == kind), c[0], part))
-        yield pd.DataFrame(rows, columns=["x", "label", "kind", "part"])
+            every.extend((*row, draw, i) for i, row in enumerate(rows))
+        yield pd.DataFrame(every, columns=["x", "label", "kind", "part", "draw", "place"])
 
 
 def _tree(node) -> tuple | float:
@@ -291,29 +292,26 @@ def _unlabelled_threshold(known: np.ndarray, unlabelled: np.ndarray, n_known: np
                       np.r_[weight * one, one])
 
 
-def _sampled(texts: DataFrame, max_texts: int) -> DataFrame:
-    """At most ``max_texts`` different texts, those of the smallest hashes.
+def _all_examples(texts: DataFrame) -> DataFrame:
+    """Examples of all different texts; copies of a text are one row before anything is shuffled.
 
-    Copies of a text are one row before anything is shuffled; only hashes are sorted.
+    They are dealt and sorted by a hash of their text, so that fits agree whatever task was first.
     """
-    drawn = texts.withColumn("draw", F.xxhash64("text", F.lit(11)).bitwiseAND(F.lit((1 << 62) - 1)))
-    about = drawn.agg(F.approx_count_distinct("draw")).first()[0]
-    bound = int(min(1.0, 1.3 * max_texts / max(1, about)) * (1 << 62))
-    some = written(drawn.filter(F.col("draw") < bound).groupBy("draw").agg(F.min("text").alias("text")), "pii-texts")
-    last = some.select("draw").orderBy("draw").limit(max_texts).agg(F.max("draw")).first()[0]
-    return some.filter(F.col("draw") <= F.lit(-1 if last is None else last))
+    parts = max(PARTS, 4 * texts.rdd.getNumPartitions())
+    draw = F.xxhash64("text", F.lit(11)).bitwiseAND(F.lit((1 << 62) - 1))
+    part = F.pmod(F.xxhash64("text", F.lit(13)), F.lit(3)).cast("int")
+    return written(
+        texts.distinct().select("text", part.alias("part"), draw.alias("draw"))
+        .mapInPandas(_examples, "x array<double>, label double, kind int, part int, draw long, place int")
+        .repartition(parts, "draw").sortWithinPartitions("draw", "place").drop("draw", "place"), "pii-examples")
 
 
-def fit_trees(df: DataFrame, text_col: str, max_texts: int = MAX_TEXTS) -> Trees:
-    """Fit on candidates of at most ``max_texts`` different texts, chosen by a hash of the text."""
+def fit_trees(df: DataFrame, text_col: str) -> Trees:
+    """Fit on the candidates of all different texts; a third of the texts is kept for the thresholds."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    texts = df.select(F.col(text_col).alias("text")).filter(F.col("text").rlike(_MAY_HOLD))
-    sample = _sampled(texts, max_texts).withColumn("part", F.pmod(F.xxhash64("text", F.lit(13)), F.lit(3)).cast("int"))
-    # in an order of its own, so that fits agree whatever task was first
-    rows = written(sample.repartition(64, "draw").sortWithinPartitions("draw").select("text", "part").mapInPandas(
-        _examples, "x array<double>, label double, kind int, part int"), "pii-examples")
+    rows = _all_examples(df.select(F.col(text_col).alias("text")).filter(F.col("text").rlike(_MAY_HOLD)))
     sides = {r["label"] for r in rows.filter("part > 0").select("label").distinct().collect()}
     if len(sides) < 2:
         return Trees()
