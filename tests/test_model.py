@@ -248,3 +248,23 @@ def test_metrics_without_values(spark):
     assert long.filter("metric = 'support' and split = 'gap'").first()["value"] == 2.0
     # one class: AUC; no positives: AUC and AP; no scores: AUC and AP
     assert long.filter("value is null").count() == 5
+
+
+def _watched(spark, rows, schema):
+    """A table and the number of rows that were read from it so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    return spark.createDataFrame(rows, schema).mapInPandas(passed, schema), seen
+
+
+def test_metrics_read_scores_once(spark):
+    rows = [("ab"[i % 2], i % 3 % 2, i % 7 / 7, int(i % 7 > 3)) for i in range(300)]
+    scored, seen = _watched(spark, rows, "split string, label int, probability double, predicted_class int")
+    got = {r["split"]: r for r in classification_metrics(scored).collect()}
+    assert seen.value == len(rows)
+    assert got["a"]["support"] == 150 and 0 < got["a"]["roc_auc"] < 1

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import col
 from tidemark.plans.ordered import block_edges, running
+from tidemark.session import stored
 
 # --- fixed values -----------------------------------------------------------
 METRICS = (
@@ -97,9 +98,10 @@ def classification_metrics(
     predicted: str = "predicted_class",
     score: str = "probability",
 ) -> DataFrame:
-    """All metrics, one row per split."""
-    return confusion_metrics(df, by, label, predicted).join(
-        ranking_metrics(df, by, label, score), list(by), "left"
+    """All metrics, one row per split; scores, which take a model to make, are made once and stored."""
+    kept = stored(df.select(*[col(c) for c in dict.fromkeys((*by, label, predicted, score))]), "scores")
+    return confusion_metrics(kept, by, label, predicted).join(
+        ranking_metrics(kept, by, label, score), list(by), "left"
     )
 
 
