@@ -268,3 +268,12 @@ def test_metrics_read_scores_once(spark):
     got = {r["split"]: r for r in classification_metrics(scored).collect()}
     assert seen.value == len(rows)
     assert got["a"]["support"] == 150 and 0 < got["a"]["roc_auc"] < 1
+
+
+def test_splits_of_large_classes_read_rows_twice(spark):
+    df, seen = _watched(spark, [(i, i % 2) for i in range(2_000)], "id long, label int")
+    split = assign_splits(df, "label", "id", SplitOptions(test_size=0.2, validation_size=0.1, seed=1), rows_per_cell=50)
+    sizes = [{r["split"]: r["count"] for r in split.groupBy("split").count().collect()} for _ in range(2)]
+    assert sizes == [{"train": 1400, "validation": 200, "test": 400}] * 2
+    # for the counts of the classes and for the cells; not again by what uses the splits
+    assert seen.value == 4_000

@@ -20,6 +20,9 @@ from tidemark.operators.transforms import feature_stages, fit_features
 from tidemark.options import FeatureSpec, ModelOptions
 from tidemark.plans.ordered import positions
 
+#: Relative improvement at which the start of the Newton steps is good enough.
+START_TOL = 1e-9
+
 
 def train(
     df: DataFrame, spec: FeatureSpec, options: ModelOptions = ModelOptions(), label: str = "label"
@@ -65,7 +68,8 @@ def _fit(
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             link = "SELECT *, 1D / (1D + exp(-__eta)) AS __positive, CAST(__eta > 0 AS DOUBLE) AS __prediction FROM __THIS__"
-            return PipelineModel([*prepared.stages, _newton(rows, options), SQLTransformer(statement=link)])
+            found = _newton(rows, options, total)
+            return PipelineModel([*prepared.stages, found, SQLTransformer(statement=link)])
         finally:
             rows.unpersist()
     classifier = LogisticRegression(
@@ -77,10 +81,11 @@ def _fit(
     return Pipeline(stages=[*stages, classifier]).fit(weighted)
 
 
-def _newton(rows: DataFrame, options: ModelOptions) -> LinearRegressionModel:
+def _newton(rows: DataFrame, options: ModelOptions, total: int) -> LinearRegressionModel:
     """Linear predictor of the penalized optimum, by reweighted least squares.
 
-    A step is one weighted regression on the working response, solved from the
+    It starts where ``lbfgs`` ends on the same rows, whose steps read blocks of rows
+    and take a part of the time; what is returned comes from the steps here. A step is one weighted regression on the working response, solved from the
     Gram matrix that tasks add up. The penalty is a sum and a regression's loss
     a weighted mean of the response in its standard deviations, so its strength
     changes with the working weights and responses.
@@ -96,7 +101,12 @@ def _newton(rows: DataFrame, options: ModelOptions) -> LinearRegressionModel:
     v = F.greatest(p * (1 - p), F.lit(1e-10))
     margin = F.when(y == 1, eta).otherwise(-eta)
     loss = w * (F.greatest(-margin, F.lit(0.0)) + F.log1p(F.exp(-F.abs(margin))))
-    at, found, last = rows.withColumn("__eta", F.lit(0.0)), None, float("inf")
+    start = LogisticRegression(
+        featuresCol="features", labelCol="__label", weightCol="__weight", rawPredictionCol="__raw",
+        regParam=penalty / total, elasticNetParam=0.0, standardization=False, tol=START_TOL,
+    ).fit(rows)
+    found, last = np.append(start.coefficients.toArray(), start.intercept), float("inf")
+    at = start.transform(rows).withColumn("__eta", vector_to_array("__raw")[1])
     for _ in range(options.max_iter):
         step = at.select("features", (eta + (y - p) / v).alias("__target"), (w * v).alias("__step"), loss.alias("__loss"))
         weight, target = F.col("__step"), F.col("__target")
@@ -105,13 +115,13 @@ def _newton(rows: DataFrame, options: ModelOptions) -> LinearRegressionModel:
             (F.sum(weight * target) / F.sum(weight)).alias("mean"),
             (F.sum(weight * target * target) / F.sum(weight)).alias("square"),
         ).first()
-        objective = seen["loss"] + (0 if found is None else penalty / 2 * float(found[:-1] @ found[:-1]))
+        objective = seen["loss"] + penalty / 2 * float(found[:-1] @ found[:-1])
         if not objective <= last * (1 + 1e-9):
             raise ArithmeticError("Newton steps do not lead down; use the solver 'lbfgs'")
         spread = math.sqrt(max(seen["square"] - seen["mean"] ** 2, 0.0))
         model = solver.setRegParam(penalty / seen["weight"] * spread).fit(step)
         now = np.append(model.coefficients.toArray(), model.intercept)
-        if found is not None and np.abs(now - found).max() <= options.tol * max(1.0, np.abs(now).max()):
+        if np.abs(now - found).max() <= options.tol * max(1.0, np.abs(now).max()):
             return model
         found, last, at = now, objective, model.transform(rows)
     raise ArithmeticError(f"no optimum within {options.max_iter} steps")

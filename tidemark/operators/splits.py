@@ -12,7 +12,7 @@ from tidemark.options import SplitOptions
 from tidemark.plans.local import small_table
 from tidemark.plans.lookup import lookup_join
 from tidemark.plans.ordered import positions, running
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, stored
 
 ROWS_PER_CELL = 200_000
 MAX_DIGITS = 6
@@ -118,7 +118,8 @@ def assign_splits(
     The first hash digits cut a class into cells of equal expected size. Cell
     counts tell where the quotas fall, so every row outside the one or two
     boundary cells of its class is decided by comparing digits, without any
-    shuffle of rows; only boundary cells are ranked.
+    shuffle of rows; only boundary cells are ranked. Rows of large classes are
+    stored with their cells once.
     """
     classes = cut_lineage(df.groupBy(col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")))
     if classes.isEmpty():
@@ -129,10 +130,13 @@ def assign_splits(
     while digits < MAX_DIGITS and sizes["largest"] > rows_per_cell * 16**digits:
         digits += 1
 
-    hashed = df.withColumn(
-        "__hash", F.md5(F.concat(F.lit(f"{options.seed}|"), col(row_id).cast("string")))
-    ).withColumn("__cell", F.conv(F.substring("__hash", 1, digits), 16, 10).cast("bigint")
-                 if digits else F.lit(0).cast("bigint"))
+    digest = F.md5(F.concat(F.lit(f"{options.seed}|"), col(row_id).cast("string")))
+    if digits:
+        # everything after reads the rows with their cells; digests are made again in boundary cells only
+        hashed = stored(
+            df.withColumn("__cell", F.conv(F.substring(digest, 1, digits), 16, 10).cast("bigint")), "cells")
+    else:
+        hashed = df.withColumn("__cell", F.lit(0).cast("bigint"))
 
     zero = F.lit(0).cast("bigint")
     plan = quotas.select(
@@ -165,7 +169,7 @@ def assign_splits(
     else:
         plan = plan.withColumns({"__c1": zero, "__b1": zero, "__c2": zero, "__b2": zero})
     keyed = hashed.withColumn("__label", col(label))
-    planned = lookup_join(keyed, plan.drop("__both"), ["__label"], spread_by=["__hash"], at_most=sizes["classes"])
+    planned = lookup_join(keyed, plan.drop("__both"), ["__label"], spread_by=[row_id], at_most=sizes["classes"])
     cell = F.col("__cell")
     on_edge = (cell == F.col("__c1")) | (cell == F.col("__c2"))
     out = [col(c) for c in df.columns]
@@ -178,7 +182,7 @@ def assign_splits(
         .alias("split"),
     )
     rank = F.row_number().over(
-        Window.partitionBy(col(label), "__cell").orderBy("__hash", col(row_id))
+        Window.partitionBy(col(label), "__cell").orderBy(digest, col(row_id))
     ) + F.when(cell == F.col("__c1"), F.col("__b1")).otherwise(F.col("__b2"))
     ranked = planned.filter(on_edge).select(
         *out, _named(rank, F.col("__test"), F.col("__val")).alias("split")

@@ -291,7 +291,8 @@ LINE_MODEL = ModelOptions(decision_threshold=0.4, solver="newton")
 
 
 def trained_lines(spark, sf):
-    split = assign_splits(_returned_lines(spark, sf), "label", "row_key", SPLIT)
+    lines = _returned_lines(spark, sf).select("row_key", "l_suppkey", "label", *LINE_SPEC.all)
+    split = assign_splits(lines, "label", "row_key", SPLIT)
     model = train(split.filter(F.col("split") == "train"), LINE_SPEC, LINE_MODEL)
     return model, score(model, split, LINE_MODEL)
 
