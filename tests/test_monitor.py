@@ -22,6 +22,7 @@ from tidemark.operators.monitor import (
     rolling_window,
 )
 from tidemark.options import DriftOptions, FeatureSpec, RetrainingOptions
+from tidemark.plans.ordered import positions
 from tidemark.session import new_folder
 from tidemark.streaming.monitor import MonitorStream, read_monitor_table
 
@@ -106,6 +107,24 @@ def test_history_equals_rebuilt_windows(rows, baselines, history, rows_per_block
     assert {r["status"] for r in found} >= {"drift_detected", None}
 
 
+def test_blocks_follow_the_largest_monitor(spark, rows, baselines, history, monkeypatch):
+    """Many monitors of few rows need no blocks, however many rows there are in all."""
+    most = int(history.groupby(KEY).size().max())
+    found, made = {}, []
+
+    def counted(*args, **kwargs):
+        made.append(args[3])
+        return positions(*args, **kwargs)
+
+    monkeypatch.setattr("tidemark.operators.monitor.positions", counted)
+    for limit in (most, most - 1):
+        found[limit] = evaluate_history(rows, baselines, SPEC, OPTIONS, rows_per_block=limit).select(
+            KEY, BATCH, "window_rows", "status", F.round("max_feature_psi", 9)).collect()
+        assert bool(made) == (limit < most)
+    assert most < len(history)
+    assert sorted(map(str, found[most])) == sorted(map(str, found[most - 1]))
+
+
 def test_monitors_without_baseline_are_ignored(rows, baselines):
     found = evaluate_history(rows, baselines.filter(F.col(KEY) != "m1"), SPEC, OPTIONS)
     assert {r[KEY] for r in found.select(KEY).distinct().collect()} == {"hot", "m2"}

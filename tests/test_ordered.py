@@ -45,6 +45,14 @@ def test_running_and_previous(spark, hot, rows_per_block):
     assert (got.rest == g.transform("sum") - g.cumsum() + want.v).all()
 
 
+def test_blocks_are_made_for_large_keys_only(spark, hot):
+    df = spark.createDataFrame(hot)
+    most = int(hot.groupby("k").size().max())
+    assert block_edges(df, "t", most, keys=["k"]) == []
+    assert len(block_edges(df, "t", most - 1, keys=["k"])) >= 1
+    assert block_edges(df.filter("false"), "t", 1, keys=["k"]) == block_edges(df, "t", 150, at_most=100) == []
+
+
 @pytest.mark.parametrize("limit", [1_000_000, 300, 20, 2])
 def test_quantiles_are_exact_however_they_are_found(spark, limit):
     rng = np.random.default_rng(1)

@@ -119,7 +119,8 @@ def evaluate_history(
 
     ``seq`` orders the rows of a monitor and must not go back between batches
     (see ``arrival_order``). ``carried`` holds window rows from before, with the
-    same columns; ``at_most`` is a number of rows known not to be exceeded.
+    same columns; ``at_most`` is a number of a monitor's rows known not to be exceeded.
+    Blocks are made only if a monitor has more than ``rows_per_block`` rows.
     """
     names = [KEY, BATCH, SEQ, AT, *spec.all]
     if not options.enabled:
@@ -135,7 +136,7 @@ def evaluate_history(
     ).first()
     buckets = known["buckets"] or 1
 
-    seq_edges = block_edges(rows, SEQ, rows_per_block, at_most)
+    seq_edges = block_edges(rows, SEQ, rows_per_block, at_most, [KEY])
     batch_edges = block_edges(rows, BATCH, rows_per_block) if seq_edges else []
     bucketed = _bucketed(rows, baselines, spec, known["rows"])
     # the row at pos + N pushes out the row at pos
@@ -149,7 +150,7 @@ def evaluate_history(
             KEY, (F.col("pos") - options.window_size).alias("pos"), F.col(BATCH).alias("leaves")
         )
         flow = placed.join(pushed.filter(F.col("pos") > 0), [KEY, "pos"], "left")
-    else:  # few rows in all: the window that ranks them looks ahead as well
+    else:  # few rows of each monitor: the window that ranks them looks ahead as well
         order = Window.partitionBy(KEY).orderBy(SEQ)
         flow = bucketed.withColumns({
             "pos": F.row_number().over(order).cast("bigint"),
@@ -255,6 +256,7 @@ def arrival_order(rows: DataFrame, carried: DataFrame | None = None, edges: Sequ
 def status_changes(evaluations: DataFrame, state: DataFrame | None = None,
                    edges: Sequence[float] | None = None) -> DataFrame:
     """Evaluated batches with the status before them; a monitor starts out stable."""
+    edges = block_edges(evaluations, BATCH, keys=[KEY]) if edges is None else edges
     lagged = previous(
         evaluations.filter("evaluated"), [KEY], BATCH, "status", "previous_status", edges=edges
     )
@@ -354,7 +356,7 @@ def retraining_decisions(
     Only detected drift asks for retraining. A request is attempted when the
     last successful one is at least a cooldown ago; failed requests do not start
     a cooldown. ``outcome`` is the result an attempt gives (default: triggered);
-    ``at_most`` is a number of evaluations and states known not to be exceeded.
+    ``at_most`` is a number of a monitor's evaluations and states known not to be exceeded.
     """
     if not options.enabled:
         return changes.withColumns(
@@ -438,12 +440,12 @@ def decide(
 ) -> DataFrame:
     """Status changes and retraining decisions; evaluations are materialized once.
 
-    ``stored`` says that they are already; ``at_most`` is a number of evaluations
-    and states known not to be exceeded.
+    ``stored`` says that they are already; ``at_most`` is a number of a monitor's
+    evaluations and states known not to be exceeded.
     """
     kept = evaluations if stored else cut_lineage(evaluations)
     rows_per_block = limits.get("rows_per_block", ROWS_PER_BLOCK)
-    edges = block_edges(kept, BATCH, rows_per_block, limits.get("at_most"))
+    edges = block_edges(kept, BATCH, rows_per_block, limits.get("at_most"), [KEY])
     if not edges and state is None:  # what follows only has fewer rows
         limits["at_most"] = rows_per_block
     changes = status_changes(kept, state, edges)

@@ -33,18 +33,25 @@ _AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def block_edges(
-    df: DataFrame, order: str | Column, rows_per_block: int = ROWS_PER_BLOCK, at_most: int | None = None
+    df: DataFrame, order: str | Column, rows_per_block: int = ROWS_PER_BLOCK, at_most: int | None = None,
+    keys: Sequence[str] = (),
 ) -> list[float]:
     """Inner edges that cut the rows into blocks of about ``rows_per_block``.
 
     One job counts, a second sketches the order column where more blocks than one
     are needed; at most ``MAX_BLOCKS`` numbers come back. An empty list means one
-    block is enough; ``at_most``, a number of rows the caller knows not to be
+    block is enough: none of ``keys`` holds more rows than that, however many keys
+    there are. ``at_most``, a number of a key's rows the caller knows not to be
     exceeded, may tell so without reading.
     """
     if at_most is not None and at_most <= rows_per_block:
         return []
-    blocks = min(MAX_BLOCKS, -(-df.count() // rows_per_block))
+    # one row per key and task is moved
+    sizes = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
+    rows, most = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.max("__n"), F.lit(0))).first()
+    if most <= rows_per_block:
+        return []
+    blocks = min(MAX_BLOCKS, -(-rows // rows_per_block))
     if blocks <= 1:
         return []
     key = col(order).cast("double")

@@ -101,16 +101,16 @@ class MonitorStream:
         try:
             # one row per touched monitor
             touched = cut_lineage(fresh.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")))
-            seen = touched.agg(F.collect_set(log.bucket()).alias("buckets"), F.sum("n").alias("rows"),
+            seen = touched.agg(F.collect_set(log.bucket()).alias("buckets"), F.max("n").alias("most"),
                                F.count("n").alias("monitors")).first()
-            buckets, count = seen["buckets"], seen["monitors"]
+            buckets, count, rows_most = seen["buckets"], seen["monitors"], seen["most"] or 0
             window, state = (log.read(table, live, buckets) for table in LOGGED)
             if state is not None:
                 state = lookup_join(state, touched.select(KEY), [KEY], "left_semi", at_most=count)
                 window = lookup_join(window, touched.select(KEY), [KEY], "left_semi", at_most=count)
-            most = (seen["rows"] or 0) + (count * self.options.window_size if window is not None else 0)
+            most = rows_most + (self.options.window_size if window is not None else 0)
             ordered = cut_lineage(arrival_order(
-                fresh, window, block_edges(fresh, BATCH, self.rows_per_block, seen["rows"] or 0)))
+                fresh, window, block_edges(fresh, BATCH, self.rows_per_block, rows_most, [KEY])))
             found = cut_lineage(
                 evaluate_history(
                     ordered, self.baselines, self.spec, self.options, window, self.rows_per_block, most
@@ -119,7 +119,7 @@ class MonitorStream:
             decisions = self._write(
                 "decisions", batch,
                 decide(found, self.retraining, state, self.outcome, stored=True,
-                       rows_per_block=self.rows_per_block, at_most=(seen["rows"] or 0) + count),
+                       rows_per_block=self.rows_per_block, at_most=rows_most + 1),
             )
             self._write(
                 "events", batch, drift_events(decisions, self.options, self.retraining, self.models)
