@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -141,3 +142,37 @@ def test_clashing_names_do_not_matter(spark):
     out = nd.drop_near_copies(docs, "doc_id", "text")
     assert out.columns == docs.columns
     assert {r["__gone"] for r in out.collect()} == {7}
+
+
+def _peak_mb(run) -> float:
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_task_holds_little_memory_however_many_words_and_pairs():
+    texts = [" ".join(f"w{i}" for i in range(k, k + 20_000)) for k in range(0, 400_000, 20_000)]
+
+    def read():
+        for text in texts:
+            nd.word_codes(text)
+
+    try:
+        assert _peak_mb(read) < 25
+    finally:
+        nd.forget_words()
+    n = 600  # members of a block that are all alike
+    rows = pd.DataFrame({"key": 1, "one": 0, "two": 0, "mine": 0, "band": 0, "id": range(n), "component": range(n),
+                         "samples": [np.zeros(nd.SAMPLES, np.int32)] * n})
+    held, side, group = nd._meetings(rows)
+    count = 0
+
+    def compare():
+        nonlocal count
+        count = sum(len(p) for p, *_ in nd._ends(held, side, group))
+
+    assert _peak_mb(compare) < 25
+    assert count == n * (n - 1) // 2

@@ -53,10 +53,12 @@ SHARD_ROWS = 20_000
 #: Rows of a block whose texts are compared in one task.
 TEXT_ROWS = 256
 WORD_BUCKETS = 1 << 16
-#: Words a task remembers the hash of; beyond it the memory starts anew.
-REMEMBERED_WORDS = 1 << 19
-#: Shingles of texts a task remembers while it compares them.
-REMEMBERED_SHINGLES = 1 << 22
+#: Words a task remembers the hash of (about 20 MB); beyond it the memory starts anew.
+REMEMBERED_WORDS = 1 << 17
+#: Shingles of texts a task remembers while it compares them (about 12 MB).
+REMEMBERED_SHINGLES = 1 << 20
+#: Pairs whose samples a task compares at a time (about 10 MB).
+PAIRS_AT_ONCE = 1 << 14
 _WORD = re.compile(r"\w+")
 _STEP = 4096
 
@@ -229,7 +231,7 @@ def _ends(rows: pd.DataFrame, side: np.ndarray, group: np.ndarray):
     samples = np.array(rows["samples"].iloc[first].tolist(), np.int32).reshape(-1, SAMPLES)
     component = rows["component"].to_numpy()[first]
     band = rows["band"].to_numpy()
-    for p, q in pairs_in_runs(group, side):
+    for p, q in pairs_in_runs(group, side, PAIRS_AT_ONCE):
         apart = component[at[p]] != component[at[q]]
         p, q = p[apart], q[apart]
         equal = samples[at[p]] == samples[at[q]]
