@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from helpers import SF, awkward_documents, document_table
@@ -50,3 +53,17 @@ def test_sample_is_bounded(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("text", "lang")
     sizes = la.sample_rows(docs, 10).groupBy("lang").count().collect()
     assert all(r["count"] <= 10 for r in sizes)
+
+
+def test_a_machine_is_trained_beside_one_copy_of_its_rows():
+    rng = np.random.default_rng(2)
+    x = rng.random((400, la.DIMENSIONS + 1)).astype(np.float32)
+    y = np.where(x[:, 0] > 0.5, 1.0, -1.0)
+    tracemalloc.start()
+    try:
+        line = la.train_line(x, y, rounds=3)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < x.nbytes / 4
+    assert line.dtype == np.float32 and line.any()

@@ -73,20 +73,23 @@ def profile(text: str) -> np.ndarray:
 
 
 def train_line(x: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 30) -> np.ndarray:
-    """Linear support vector machine by dual coordinate descent (squared hinge loss)."""
+    """Linear support vector machine by dual coordinate descent (squared hinge loss).
+
+    One row of ``x`` at a time is held in double precision.
+    """
     w = np.zeros(x.shape[1])
-    x = x.astype(np.float64)
     alpha = np.zeros(len(y))
-    diagonal = (x * x).sum(axis=1) + 0.5 / cost
+    diagonal = np.array([np.square(row, dtype=np.float64).sum() for row in x]) + 0.5 / cost
     order = np.random.default_rng(0)
     for _ in range(rounds):
         worst = 0.0
         for i in order.permutation(len(y)):
-            gradient = y[i] * (x[i] @ w) - 1 + alpha[i] * 0.5 / cost
+            row = x[i].astype(np.float64)
+            gradient = y[i] * (row @ w) - 1 + alpha[i] * 0.5 / cost
             step = max(alpha[i] - gradient / diagonal[i], 0.0) - alpha[i]
             if step:
                 alpha[i] += step
-                w += step * y[i] * x[i]
+                w += step * y[i] * row
                 worst = max(worst, abs(step))
         if worst < 1e-4:
             break
