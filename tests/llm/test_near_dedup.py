@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 import tracemalloc
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import xxhash
 
 from pyspark.sql import functions as F
 
@@ -176,3 +179,38 @@ def test_a_task_holds_little_memory_however_many_words_and_pairs():
 
     assert _peak_mb(compare) < 25
     assert count == n * (n - 1) // 2
+
+
+def test_words_have_the_hash_of_their_letters():
+    rng = random.Random(12)
+    alphabet = [chr(c) for a, b in ((32, 127), (160, 384), (880, 1280), (0x3040, 0x30FF), (0x1D400, 0x1D410), (0x1F600, 0x1F610))
+                for c in range(a, b)]
+    texts = [None, "", " ", "a", "x" * 31, "x" * 32 + " " + "y" * 100, "\n\nb\x00c\x85d _1", "\u0130 \u03a3\u0391\u03a3.\u03a3 \udc80e"]
+    texts += ["".join(rng.choices(alphabet, k=rng.randrange(300))) for _ in range(300)]
+    texts += ["word " * 60_000, None, "last"]  # more than is read at a time
+    try:
+        found = list(nd.codes_of_texts(texts))
+        assert len(found) == len(texts)
+        for text, codes in zip(texts, found, strict=True):
+            want = [xxhash.xxh64_intdigest(w.encode()) for w in re.findall(r"\w+", (text or "").lower())]
+            assert codes.dtype == np.uint64 and codes.tolist() == want
+            assert nd.word_codes(text).tolist() == want
+    finally:
+        nd.forget_words()
+
+
+def _least_seconds(run) -> float:
+    took = []
+    for _ in range(3):
+        start = time.process_time()
+        run()
+        took.append(time.process_time() - start)
+    return min(took)
+
+
+def test_hashing_words_takes_less_than_cutting_them_out_one_by_one():
+    rng = random.Random(13)
+    words = ["".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(2, 10))) for _ in range(20_000)]
+    text = " ".join(rng.choices(words, k=200_000))
+    nd.word_codes("warm")
+    assert _least_seconds(lambda: nd.word_codes(text)) < _least_seconds(lambda: re.findall(r"\w+", text.lower()))

@@ -28,8 +28,12 @@ are ignored. Empty tables give empty results.
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -53,21 +57,30 @@ SHARD_ROWS = 20_000
 #: Rows of a block whose texts are compared in one task.
 TEXT_ROWS = 256
 WORD_BUCKETS = 1 << 16
-#: Words a task remembers the hash of (about 20 MB); beyond it the memory starts anew.
+#: Long words a task remembers the hash of (about 20 MB); beyond it the memory starts anew.
 REMEMBERED_WORDS = 1 << 17
 #: Shingles of texts a task remembers while it compares them (about 12 MB).
 REMEMBERED_SHINGLES = 1 << 20
+#: Pairs whose texts a task reads at a time.
+PAIRS_READ = 32
 #: Pairs whose samples a task compares at a time (about 10 MB).
 PAIRS_AT_ONCE = 1 << 14
+#: Characters whose words a task finds at a time (about 8 MB); a longer text is taken whole.
+CHARS_AT_ONCE = 1 << 18
 _WORD = re.compile(r"\w+")
-_STEP = 4096
+#: Shingles whose samples are drawn at a time: what a step holds stays in a core's cache.
+_STEP = 512
+#: Constants of xxh64, and the length from which it works in stripes.
+_PRIMES = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63,
+                                  0x27D4EB2F165667C5)]
+_STRIPE = 32
 
 
 class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED_WORDS:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
+        value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
 
@@ -78,10 +91,78 @@ def forget_words() -> None:
     _HASHES.clear()
 
 
+@functools.cache
+def _in_word() -> np.ndarray:
+    """For each code point, whether it belongs to words."""
+    every = np.arange(sys.maxunicode + 1, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    table = np.zeros(len(every), bool)
+    for run in _WORD.finditer(every):
+        table[run.start() : run.end()] = True
+    return table
+
+
+def _hashed(data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """xxh64 of the words of ``data`` that begin at ``start`` and have ``size`` bytes."""
+    p1, p2, p3, p4, p5 = _PRIMES
+    padded = data + bytes(8)
+    eights, fours, ones = (np.ndarray(len(data) + 1, kind, padded, strides=(1,)) for kind in ("<u8", "<u4", "u1"))
+
+    def turned(x: np.ndarray, bits: int) -> np.ndarray:
+        return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+    h = size.astype(np.uint64) + p5
+    for done in range(0, min(int(size.max(initial=0)), _STRIPE) - 7, 8):
+        at = (size >= done + 8).nonzero()[0]
+        h[at] = turned(h[at] ^ (turned(eights[start[at] + done] * p2, 31) * p1), 27) * p1 + p4
+    at = (size & 4).nonzero()[0]
+    h[at] = turned(h[at] ^ (fours[start[at] + (size[at] & ~7)] * p1), 23) * p2 + p3
+    for done in range(3):
+        at = ((size & 3) > done).nonzero()[0]
+        h[at] = turned(h[at] ^ (ones[start[at] + (size[at] & ~3) + done] * p5), 11) * p1
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    h ^= h >> np.uint64(32)
+    for k in (size >= _STRIPE).nonzero()[0].tolist():
+        h[k] = _HASHES[data[start[k] : start[k] + size[k]]]
+    return h
+
+
+def _codes_of(lowered: list[str]) -> list[np.ndarray]:
+    ends = np.cumsum([len(text) + 1 for text in lowered])
+    # line breaks before, between and after the texts, so that every word has a beginning and an end
+    chars = np.frombuffer("\n".join(["", *lowered, ""]).encode("utf-32-le", "replace"), "<u4")
+    inside = _in_word().take(chars, mode="clip")
+    edges = (inside[1:] != inside[:-1]).nonzero()[0]
+    first, last = edges[::2], edges[1::2]
+    kept = chars[inside]
+    data = kept.tobytes().decode("utf-32-le").encode()
+    stop = (last - first).cumsum()
+    if len(data) > len(kept):
+        width = np.ones(len(kept), np.int8)
+        for wider in (0x80, 0x800, 0x10000):
+            width += kept >= wider
+        stop = width.cumsum(dtype=np.int64)[stop - 1]
+    start = np.r_[0, stop[:-1]]
+    codes, cuts = _hashed(data, start, stop - start), first.searchsorted(ends).tolist()
+    return [codes[a:b] for a, b in pairwise([0, *cuts])]
+
+
+def codes_of_texts(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """``word_codes`` of each text, found for many texts at a time."""
+    held, chars = [], 0
+    for text in texts:
+        held.append(text.lower() if text else "")
+        chars += len(held[-1])
+        if chars >= CHARS_AT_ONCE:
+            yield from _codes_of(held)
+            held, chars = [], 0
+    if held:
+        yield from _codes_of(held)
+
+
 def word_codes(text: str | None) -> np.ndarray:
     """64-bit hash of each word of the lower-cased text."""
-    words = _WORD.findall(text.lower()) if text else []
-    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+    return next(codes_of_texts([text]))
 
 
 def _bucket(codes: np.ndarray) -> np.ndarray:
@@ -91,8 +172,7 @@ def _bucket(codes: np.ndarray) -> np.ndarray:
 def _count_words(batches):
     counts = np.zeros(WORD_BUCKETS + 1, dtype=np.int64)
     for batch in pieces(batches):
-        for text in batch["text"]:
-            codes = word_codes(text)
+        for codes in codes_of_texts(batch["text"]):
             counts[np.unique(_bucket(codes))] += 1
             counts[WORD_BUCKETS] += 1
     seen = np.flatnonzero(counts)
@@ -123,8 +203,11 @@ def shingle_weights(codes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.
             hashes = (hashes ^ codes[i : i + n]) * np.uint64(MIX_A)
             hashes ^= hashes >> np.uint64(32)
             share += words[i : i + n]
-    found, first, times = np.unique(hashes, return_index=True, return_counts=True)
-    return found, (share[first] / np.float32(width)) * times.astype(np.float32)
+    order = hashes.argsort()
+    hashes = hashes[order]
+    first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+    times = np.diff(first, append=n)
+    return hashes[first], (share[order[first]] / np.float32(width)) * times.astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -164,10 +247,17 @@ def weighted_samples(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
         z ^= z >> np.uint32(12)
         r = _DRAWS.gamma.take((z >> np.uint32(22)).astype(np.intp), mode="clip")
         log_c = _DRAWS.log_gamma.take(((z >> np.uint32(12)) & np.uint32(1023)).astype(np.intp), mode="clip")
-        beta = (z & np.uint32(4095)).astype(np.float32) * np.float32(2**-12)
-        t = np.floor(log_weight[start : start + _STEP] / r + beta)
+        z &= np.uint32(4095)
+        beta = z.astype(np.float32)
+        beta *= np.float32(2**-12)
+        t = log_weight[start : start + _STEP] / r
+        t += beta
+        np.floor(t, out=t)
         # ln a = ln c - r (t - beta) - r
-        rank = (beta - t - np.float32(1)) * r + log_c
+        rank = np.subtract(beta, t, out=beta)
+        rank -= np.float32(1)
+        rank *= r
+        rank += log_c
         at = rank.argmin(axis=1)
         value = rank[row, at]
         better = value < best
@@ -179,11 +269,12 @@ def weighted_samples(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
-    parts = samples.reshape(BANDS, ROWS)
+    """A key for each band of the samples of a text, or of many texts."""
+    parts = samples.reshape(*samples.shape[:-1], BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(ROWS):
-            key = mix64((key * np.uint64(MIX_A)) ^ parts[:, i])
+            key = mix64((key * np.uint64(MIX_A)) ^ parts[..., i])
     return key
 
 
@@ -201,18 +292,14 @@ def _signatures(texts: DataFrame, idf) -> DataFrame:
     def run(batches):
         weights = idf.value
         for batch in pieces(batches):
-            keys, samples, bands = [], [], []
-            for text in batch["text"]:
-                codes = word_codes(text)
+            keys, drawn = [], []
+            for codes in codes_of_texts(batch["text"]):
+                keys.append(xxhash.xxh3_128_digest(codes.tobytes()) if len(codes) else None)
                 if len(codes):
-                    drawn = weighted_samples(*shingle_weights(codes, weights))
-                    keys.append(xxhash.xxh3_128_digest(codes.tobytes()))
-                    samples.append((drawn & np.uint64(0x7FFFFFFF)).astype(np.int32))
-                    bands.append(signed(band_keys(drawn)))
-                else:
-                    keys.append(None)
-                    samples.append(None)
-                    bands.append(None)
+                    drawn.append(weighted_samples(*shingle_weights(codes, weights)))
+            drawn = np.array(drawn, np.uint64).reshape(-1, SAMPLES)
+            of_words = iter((drawn & np.uint64(0x7FFFFFFF)).astype(np.int32)), iter(signed(band_keys(drawn)))
+            samples, bands = ([next(rows) if key else None for key in keys] for rows in of_words)
             yield pd.DataFrame({"id": batch["id"], "class_key": keys, "samples": samples, "bands": bands})
 
     return texts.mapInPandas(freed(run, forget_words), "id long, class_key binary, samples array<int>, bands array<long>")
@@ -364,19 +451,20 @@ def _linked(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataF
         remembered: dict[int, tuple] = {}
         held = 0
 
-        def vector(key: int, text: str):
-            nonlocal held
-            if key not in remembered:
-                if held >= REMEMBERED_SHINGLES:
-                    remembered.clear()
-                    held = 0
-                remembered[key] = shingle_weights(word_codes(text), weights)
+        for batch in pieces(batches, PAIRS_READ):
+            if held >= REMEMBERED_SHINGLES:
+                remembered.clear()
+                held = 0
+            unread: dict[int, str] = {}
+            for x, y, tx, ty in zip(batch["x"], batch["y"], batch["tx"], batch["ty"], strict=True):
+                for key, text in ((x, tx), (y, ty)):
+                    if key not in remembered:
+                        unread.setdefault(key, text)
+            for key, codes in zip(unread, codes_of_texts(unread.values()), strict=True):
+                remembered[key] = shingle_weights(codes, weights)
                 held += len(remembered[key][0])
-            return remembered[key]
-
-        for batch in pieces(batches):
-            near = [weighted_jaccard(vector(x, tx), vector(y, ty)) >= similarity - 1e-9
-                    for x, y, tx, ty in zip(batch["x"], batch["y"], batch["tx"], batch["ty"], strict=True)]
+            near = [weighted_jaccard(remembered[x], remembered[y]) >= similarity - 1e-9
+                    for x, y in zip(batch["x"], batch["y"], strict=True)]
             yield pd.DataFrame({"a": batch["x"][near], "b": batch["y"][near]})
 
     return written(pairs.join(second, "y").join(first, "x").select("x", "y", "tx", "ty")
