@@ -75,3 +75,23 @@ def test_damaged_archive_keeps_what_the_chain_reaches(spark):
         .write.option("lineSep", "\n").text(path)
     ids = [r[0] for r in read(warc.read_archives(spark, path))]
     assert 1 in ids and 3 not in ids
+
+
+def one_archive(spark, records):
+    """An archive of so many records in one file, and its candidates."""
+    df = spark.range(records).selectExpr("id AS page_id", "'http://a' AS url", "concat('page ', id) AS html").coalesce(1)
+    path = new_folder(spark, "chain")
+    warc.write_archives(warc.archive_records(df, "page_id", "url", "html"), path)
+    return warc._candidates(spark, path)
+
+
+def test_rounds_of_a_long_chain_do_not_grow_the_estimates(spark):
+    found = warc._reachable(one_archive(spark, 3000))
+    assert found.count() == 3000
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**40
+
+
+def test_tables_with_a_row_per_record_are_not_broadcast(spark):
+    marked = warc._marked(warc.written(one_archive(spark, 100), "pieces"))
+    assert "Broadcast" not in marked._jdf.queryExecution().executedPlan().toString()
+    assert marked.filter("real").count() == 100

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import written
-from tidemark.session import cut_lineage, new_folder
+from tidemark.session import new_folder
 
 VERSION = "WARC/1.1"
 BREAK = "\r\n"
@@ -142,23 +142,43 @@ def _candidates(spark: SparkSession, path: str) -> DataFrame:
         "next", F.col("start") + len(MAGIC) + F.col("span") + len(RECORD_END)).drop("base", "before", "span")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """For joins with a row per record: never broadcast.
+
+    Stored, a path and an offset take a byte or a few, far from what they take on the
+    driver, so a file below the bound of a broadcast can hold millions of them.
+    """
+    return rows.hint("merge")
+
+
 def _reachable(candidates: DataFrame) -> DataFrame:
-    """``file, start`` of the candidates on the chain from offset 0 of their file."""
-    state = cut_lineage(candidates.filter("start >= 0").select(
-        "file", "start", F.col("next").alias("to"), (F.col("start") == 0).alias("real")))
+    """``file, start`` of the candidates on the chain from offset 0 of their file.
+
+    Rounds are stored as files, whose sizes the next plan knows. A checkpoint keeps the
+    estimate of its plan, and the joins of a round multiply it by itself twice: a number
+    of three times the digits in every round, on the driver.
+    """
+    state = written(candidates.filter("start >= 0").select(
+        "file", "start", F.col("next").alias("to"), (F.col("start") == 0).alias("real")), "warc-chain")
     longest = state.groupBy("file").count().agg(F.max("count")).first()[0] or 0
     for _ in range(max(1, longest.bit_length())):
         # after k rounds ``to`` is 2^k records ahead, and so many from the start are real
         ahead = state.filter(F.col("real") & F.col("to").isNotNull()).select(
             "file", F.col("to").alias("start"), F.lit(True).alias("hit"))
         hop = state.select("file", F.col("start").alias("to"), F.col("to").alias("further"))
-        state = cut_lineage(
-            state.join(ahead, ["file", "start"], "left").join(hop, ["file", "to"], "left").select(
+        state = written(
+            state.join(_dealt(ahead), ["file", "start"], "left").join(_dealt(hop), ["file", "to"], "left").select(
                 "file", "start", F.col("further").alias("to"),
-                (F.col("real") | F.coalesce("hit", F.lit(False))).alias("real")))
+                (F.col("real") | F.coalesce("hit", F.lit(False))).alias("real")), "warc-chain")
     return state.filter("real").select("file", "start")
 
 
+def _marked(candidates: DataFrame) -> DataFrame:
+    """The candidates from the first version line on; ``real`` is true on the chain and null beside it."""
+    reached = written(_reachable(candidates), "warc-reached").withColumn("real", F.lit(True))
+    return candidates.join(_dealt(reached), ["file", "start"], "left").filter("start >= 0")
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """``record_id, type, url, refers_to, length, digest`` of every whole record; digests are of the bytes read.
 
@@ -166,8 +186,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     or those they name if it is not in these archives.
     """
     candidates = written(_candidates(spark, path), "warc-candidates")
-    reached = written(_reachable(candidates), "warc-reached")
-    kept = candidates.join(reached.withColumn("real", F.lit(True)), ["file", "start"], "left").filter("start >= 0")
+    kept = _marked(candidates)
     records = written(kept.filter("real"), "warc-records")
     cut = records.filter(~F.col("whole")).select("file", F.col("start").alias("owner"), "next", "length",
                                                  F.col("head").alias("owner_head"))
@@ -176,7 +195,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     broken = written(cut, "warc-cut")
     owned = kept.join(broken.select("file").distinct(), "file", "left_semi").select(
         "file", "start", "piece", F.last(F.when(F.col("real"), F.col("start")), ignorenulls=True).over(order).alias("owner"))
-    needed = written(owned.join(broken, ["file", "owner"]).select("file", "start", "piece", "owner", "length", "owner_head"),
+    needed = written(owned.join(_dealt(broken), ["file", "owner"]).select("file", "start", "piece", "owner", "length", "owner_head"),
                      "warc-needed")
     names = needed.select("file", "piece").distinct()
     texts = (_segments(spark, path).select("file", F.col("value").cast("binary").alias("bytes"))
