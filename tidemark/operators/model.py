@@ -22,6 +22,8 @@ from tidemark.plans.ordered import positions
 
 #: Relative improvement at which the start of the Newton steps is good enough.
 START_TOL = 1e-9
+#: Steps of the start at most; fewer where ``max_iter`` says so.
+START_STEPS = 100
 
 
 def train(
@@ -104,6 +106,7 @@ def _newton(rows: DataFrame, options: ModelOptions, total: int) -> LinearRegress
     start = LogisticRegression(
         featuresCol="features", labelCol="__label", weightCol="__weight", rawPredictionCol="__raw",
         regParam=penalty / total, elasticNetParam=0.0, standardization=False, tol=START_TOL,
+        maxIter=min(options.max_iter, START_STEPS),
     ).fit(rows)
     found, last = np.append(start.coefficients.toArray(), start.intercept), float("inf")
     at = start.transform(rows).withColumn("__eta", vector_to_array("__raw")[1])
